@@ -1,0 +1,103 @@
+"""Velocity potential and streamfunction of the horizontal wind.
+
+The wind of one slice (level, time) is expanded in spherical harmonics by least squares,
+zonal wavenumber by wavenumber. Slices are independent, so Spark spreads them over tasks;
+one slice is one grid, the largest unit any task holds. Filter levels and thin the grid
+*before* calling: a filter on the grouping key is not pushed through a pandas function.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from zonalis.constants import EARTH_RADIUS
+from zonalis.grid import GridSpec, nan_to_null
+
+
+def _legendre(sin_lat: np.ndarray, cos_lat: np.ndarray, m: int, n_max: int) -> np.ndarray:
+    """Normalized associated Legendre functions of order m, degrees m..n_max (columns)."""
+    p = np.zeros((sin_lat.size, n_max - m + 1))
+    p[:, 0] = 1.0
+    for k in range(1, m + 1):
+        p[:, 0] *= np.sqrt((2 * k + 1) / (2 * k)) * cos_lat
+    for n in range(m + 1, n_max + 1):
+        a = np.sqrt((4 * n * n - 1) / (n * n - m * m))
+        p[:, n - m] = a * sin_lat * p[:, n - m - 1]
+        if n - m >= 2:
+            b = np.sqrt(((n - 1) ** 2 - m * m) / (4 * (n - 1) ** 2 - 1))
+            p[:, n - m] -= a * b * p[:, n - m - 2]
+    return p
+
+
+@lru_cache(maxsize=4)
+def _analysis(nlat: int, lat0: float, dlat: float, n_max: int, m_max: int):
+    """Per wavenumber: Legendre table on all rows and the least-squares inverse on the
+    rows off the poles, for unknowns (chi, psi / i)."""
+    lat = np.radians(lat0 - dlat * np.arange(nlat))
+    s, c = np.sin(lat), np.cos(lat)
+    rows = c > 1e-6
+    root = np.sqrt(c[rows])[:, None]
+    out = []
+    for m in range(m_max + 1):
+        p = _legendre(s, c, m, n_max + 1)
+        n = np.arange(m, n_max + 1)
+        eps = np.sqrt((np.arange(m, n_max + 2) ** 2 - m * m) / (4.0 * np.arange(m, n_max + 2) ** 2 - 1))
+        slope = -n * eps[1:] * p[:, 1:]
+        slope[:, 1:] += (n[1:] + 1) * eps[1:-1] * p[:, :n.size - 1]
+        first = 1 if m == 0 else 0                # the global mean is not determined
+        a = m * p[rows, first:n.size] / c[rows, None]
+        b = slope[rows, first:] / c[rows, None]
+        g = np.vstack([np.hstack([root * a, -root * b]), np.hstack([root * b, -root * a])])
+        out.append((p[:, first:n.size], np.linalg.pinv(g, rcond=1e-10)))
+    return rows, root, out
+
+
+def potentials(u: np.ndarray, v: np.ndarray, lat0: float, dlat: float, truncation: int,
+               radius: float = EARTH_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(chi, psi) in m2/s with u, v = grad chi + k x grad psi."""
+    nlat, nlon = u.shape
+    m_max = min(truncation, (nlon - 1) // 2)
+    rows, root, tables = _analysis(nlat, lat0, dlat, truncation, m_max)
+    uh, vh = np.fft.rfft(u, axis=1) * radius, np.fft.rfft(v, axis=1) * radius
+    chi, psi = np.zeros_like(uh), np.zeros_like(uh)
+    for m, (p, inverse) in enumerate(tables):
+        rhs = np.concatenate([root[:, 0] * (uh[rows, m] / 1j), root[:, 0] * vh[rows, m]])
+        x = inverse @ rhs
+        chi[:, m], psi[:, m] = p @ x[:p.shape[1]], p @ (1j * x[p.shape[1]:])
+    return np.fft.irfft(chi, nlon, axis=1), np.fft.irfft(psi, nlon, axis=1)
+
+
+def helmholtz(grid: DataFrame, keys: Sequence[str], spec: GridSpec, truncation: int | None = None,
+              radius: float = EARTH_RADIUS) -> DataFrame:
+    """(keys, lat_idx, lon_idx, chi, psi) for every slice; slices with a missing wind give NULL.
+
+    ``truncation`` defaults to the largest degree the rows off the poles determine.
+    """
+    nlat, nlon, lat0, dlat = spec.nlat, spec.nlon, spec.lat0, spec.dlat
+    n_max = truncation or nlat - 2
+    keys = list(keys)
+
+    def one_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+        wind = np.full((2, nlat, nlon), np.nan)
+        i, j = pdf["lat_idx"].to_numpy(), pdf["lon_idx"].to_numpy()
+        wind[0, i, j], wind[1, i, j] = pdf["u"].to_numpy(), pdf["v"].to_numpy()
+        if np.isfinite(wind).all():
+            chi, psi = potentials(wind[0], wind[1], lat0, dlat, n_max, radius)
+        else:
+            chi = psi = np.full((nlat, nlon), np.nan)
+        ii, jj = np.indices((nlat, nlon), dtype="int32")
+        out = pd.DataFrame({"lat_idx": ii.ravel(), "lon_idx": jj.ravel(),
+                            "chi": chi.ravel(), "psi": psi.ravel()})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    types = dict(grid.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", lat_idx int, lon_idx int, chi double, psi double"
+    cols = grid.select(*keys, "lat_idx", "lon_idx", "u", "v")
+    return nan_to_null(cols.groupBy(*keys).applyInPandas(one_slice, schema))

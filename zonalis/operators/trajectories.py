@@ -1,0 +1,224 @@
+"""Parcels, streamlines and particles carried by a wind field.
+
+A trajectory is sequential, but trajectories are independent: they are hashed into blocks,
+and each (slice, block) meets its slice of the wind in one cogrouped task. The number of
+blocks follows from the number of seeds, so a block stays below ``block_size`` on average
+and the wind of a slice (one grid) is the only other thing a task holds.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonalis.constants import EARTH_RADIUS
+from zonalis.grid import GridSpec
+
+DT_HOURS, MAX_AGE_STEPS, PARCEL_POLE, PARCEL_COS = 6.0, 120, 88.0, 0.05
+LINE_STEPS, LINE_STEP, LINE_POLE, LINE_COS = 90, 0.004, 83.0, 0.08
+PARTICLE_SPEED, PARTICLE_POLE, PARTICLE_AGE, AGE_JITTER = 0.0042, 82.0, 220.0, 0.35
+
+
+class _Wind:
+    """Interpolated wind of one slice: bilinear, and linear in ln p with more than one level."""
+
+    def __init__(self, pdf: pd.DataFrame, spec: GridSpec, names: Sequence[str], levels: Sequence[int]):
+        self.spec, self.levels = spec, np.asarray(levels, float)
+        self.cube = np.full((len(names), len(levels), spec.nlat, spec.nlon), np.nan)
+        k = np.searchsorted(self.levels, pdf["level"].to_numpy(float))
+        i, j = pdf["lat_idx"].to_numpy(), pdf["lon_idx"].to_numpy()
+        for n, name in enumerate(names):
+            self.cube[n, k, i, j] = pdf[name].to_numpy(float)
+
+    def at(self, lat, lon, p=None):
+        """(component, point), NaN outside the grid or beside missing cells."""
+        s = self.spec
+        r, q = (s.lat0 - lat) / s.dlat, np.mod(lon - s.lon0, 360.0) / s.dlon
+        inside = (r >= 0) & (r <= s.nlat - 1)
+        r = np.where(inside, r, 0.0)
+        q = np.where(np.isfinite(q), q, 0.0)
+        i0 = np.floor(r).astype(int)
+        i1 = np.minimum(i0 + 1, s.nlat - 1)
+        j0 = np.floor(q).astype(int) % s.nlon
+        j1 = (j0 + 1) % s.nlon
+        fi, fj = r - i0, q - np.floor(q)
+
+        def level(k):
+            c = self.cube
+            top = c[:, k, i0, j0] * (1 - fj) + c[:, k, i0, j1] * fj
+            low = c[:, k, i1, j0] * (1 - fj) + c[:, k, i1, j1] * fj
+            return top * (1 - fi) + low * fi
+
+        if p is None:
+            out = level(np.zeros(lat.size, int))
+        else:
+            lev = self.levels
+            inside = inside & (p >= lev[0]) & (p <= lev[-1])
+            p = np.where(inside, p, lev[0])
+            k0 = np.clip(np.searchsorted(lev, p, side="left") - 1, 0, lev.size - 1)
+            k1 = np.minimum(k0 + 1, lev.size - 1)
+            f = np.where(k0 == k1, 0.0, np.log(p / lev[k0]) / np.log(np.where(k0 == k1, np.e * lev[k0], lev[k1]) / lev[k0]))
+            out = level(k0) * (1 - f) + level(k1) * f
+        return np.where(inside, out, np.nan)
+
+
+def _wrap(lon):
+    return np.mod(lon + 180.0, 360.0) - 180.0
+
+
+def _parcel_step(w: _Wind, lat, lon, p):
+    dt, deg = DT_HOURS * 3600.0, math.degrees(1.0)
+
+    def rates(la, lo, pr):
+        u, v, om = w.at(la, lo, pr)
+        c = np.maximum(PARCEL_COS, np.cos(np.radians(la)))
+        return v / EARTH_RADIUS * deg, u / (EARTH_RADIUS * c) * deg, om / 100.0
+
+    dla, dlo, dp = rates(lat, lon, p)
+    dla, dlo, dp = rates(lat + 0.5 * dt * dla, lon + 0.5 * dt * dlo, p + 0.5 * dt * dp)
+    return lat + dt * dla, _wrap(lon + dt * dlo), p + dt * dp
+
+
+def _line_step(w: _Wind, lat, lon):
+    u, v = w.at(lat, lon)
+    cos = np.maximum(LINE_COS, np.cos(np.radians(lat)))
+    um, vm = w.at(lat + v * LINE_STEP * 0.5, lon + u * LINE_STEP * 0.5 / cos)
+    return lat + vm * LINE_STEP, _fold(lon + um * LINE_STEP / cos)
+
+
+def _fold(lon):
+    return np.where(lon > 180, lon - 360, np.where(lon < -180, lon + 360, lon))
+
+
+def _blocks(seeds: DataFrame, keys: Sequence[str], block_size: int) -> DataFrame:
+    n = max(1, math.ceil(seeds.count() / block_size))
+    return seeds.withColumn("_block", F.pmod(F.xxhash64("pid"), F.lit(n)).cast("int"))
+
+
+def _trace(seeds: DataFrame, wind: DataFrame, keys: Sequence[str], names: Sequence[str],
+           carried: Sequence[str], out_schema: str, advance: Callable, block_size: int) -> DataFrame:
+    keys = list(keys)
+    seeds = _blocks(seeds.select(*keys, "pid", *carried), keys, block_size)
+    groups = [*keys, "_block"]
+    needed = wind.select(*keys, "level", "lat_idx", "lon_idx", *names)
+    spread = needed.join(seeds.select(*groups).distinct(), keys)
+    types = dict(seeds.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", pid {types['pid']}, " + out_schema
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = advance(left, right) if len(left) and len(right) else left.iloc[:0].assign(step=0)
+        for k in keys:
+            out[k] = left[k].iloc[0] if len(left) else None
+        return out
+
+    return seeds.groupBy(*groups).cogroup(spread.groupBy(*groups)).applyInPandas(run, schema)
+
+
+def _march(pid, state: list[np.ndarray], names: Sequence[str], steps: int, move: Callable,
+           alive: Callable) -> pd.DataFrame:
+    """Step all trajectories of a block together, dropping each when it ends."""
+    idx = np.arange(len(pid))
+    frames = [pd.DataFrame({"pid": pid, "step": np.int32(0), **dict(zip(names, state))})]
+    for s in range(1, steps + 1):
+        if not idx.size:
+            break
+        state = [np.asarray(x) for x in move(*state)]
+        keep = np.isfinite(np.vstack(state)).all(0) & alive(*state)
+        idx, state = idx[keep], [x[keep] for x in state]
+        frames.append(pd.DataFrame({"pid": pid[idx], "step": np.int32(s), **dict(zip(names, state))}))
+    return pd.concat(frames, ignore_index=True)
+
+
+def parcels(seeds: DataFrame, wind: DataFrame, spec: GridSpec, keys: Sequence[str] = ("month",),
+            steps: int = MAX_AGE_STEPS, block_size: int = 2000) -> DataFrame:
+    """Lagrangian parcels (pid, lat, lon, p) by the midpoint rule, 6 hours a step.
+
+    A parcel ends beyond 88 degrees, off the pressure range, beside missing wind, or after
+    120 steps. ``wind`` has u, v (m/s) and w (Pa/s).
+    """
+    lev = (spec.levels[0], spec.levels[-1])
+
+    def advance(left, right):
+        w = _Wind(right, spec, ("u", "v", "w"), spec.levels)
+        return _march(left["pid"].to_numpy(), [left[c].to_numpy(float) for c in ("lat", "lon", "p")],
+                      ("lat", "lon", "p"), min(steps, MAX_AGE_STEPS), lambda *s: _parcel_step(w, *s),
+                      lambda la, lo, p: (np.abs(la) <= PARCEL_POLE) & (p >= lev[0]) & (p <= lev[1]))
+
+    return _trace(seeds, spec.on_axis(wind), keys, ("u", "v", "w"), ("lat", "lon", "p"),
+                  "step int, lat double, lon double, p double", advance, block_size)
+
+
+def parcel_cluster(points: DataFrame, count: int = 12, spread: float = 1.5, seed: int = 7) -> DataFrame:
+    """``count`` seeds scattered up to ``spread`` degrees around each (pid, lat, lon, p), from a
+    hash of the ids, hence reproducible."""
+    def jitter(salt: int):
+        h = F.pmod(F.xxhash64("pid", "_i", F.lit(seed + salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return (h - 0.5) * (2.0 * spread)
+
+    cols = [c for c in points.columns if c not in ("pid", "lat", "lon")]
+    return (points.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+            .select((F.col("pid") * count + F.col("_i")).alias("pid"), *cols,
+                    (F.col("lat") + jitter(0)).alias("lat"), (F.col("lon") + jitter(1)).alias("lon")))
+
+
+def streamlines(seeds: DataFrame, wind: DataFrame, spec: GridSpec, keys: Sequence[str] = ("month",),
+                steps: int = LINE_STEPS, block_size: int = 5000) -> DataFrame:
+    """Streamlines on one level; a line ends beyond 83 degrees or beside missing wind."""
+    def advance(left, right):
+        w = _Wind(right, spec, ("u", "v"), (int(right["level"].iloc[0]),))
+        return _march(left["pid"].to_numpy(), [left[c].to_numpy(float) for c in ("lat", "lon")],
+                      ("lat", "lon"), steps, lambda *s: _line_step(w, *s),
+                      lambda la, lo: np.abs(la) <= LINE_POLE)
+
+    return _trace(seeds, wind, keys, ("u", "v"), ("lat", "lon"),
+                  "step int, lat double, lon double", advance, block_size)
+
+
+def _hash01(pid: np.ndarray, generation: np.ndarray, salt: int) -> np.ndarray:
+    """A uniform number per (particle, life), independent of how particles are blocked."""
+    with np.errstate(over="ignore"):
+        x = (pid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+             + generation.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x.astype(float) / 2.0 ** 64
+
+
+def particles(seeds: DataFrame, wind: DataFrame, spec: GridSpec, keys: Sequence[str] = ("month",),
+              frames: int = 12, seed: int = 1, block_size: int = 20000) -> DataFrame:
+    """Display particles: an Euler step a frame, and a fresh start at a hashed position when a
+    life (220 frames, +-35 %) ends, the particle leaves 85 degrees, or wind is missing."""
+    def advance(left, right):
+        w = _Wind(right, spec, ("u", "v"), (int(right["level"].iloc[0]),))
+        pid = left["pid"].to_numpy()
+        lat, lon = left["lat"].to_numpy(float).copy(), left["lon"].to_numpy(float).copy()
+        life_no, age = np.zeros(pid.size, np.int64), np.zeros(pid.size)
+
+        def lifetime():
+            return PARTICLE_AGE * (1 - AGE_JITTER + 2 * AGE_JITTER * _hash01(pid, life_no, seed + 2))
+
+        out = [pd.DataFrame({"pid": pid, "step": np.int32(0), "lat": lat, "lon": lon, "life": life_no.astype("int32")})]
+        for s in range(1, frames + 1):
+            u, v = w.at(lat, lon)
+            nla = lat + v * PARTICLE_SPEED
+            nlo = lon + u * PARTICLE_SPEED / np.maximum(LINE_COS, np.cos(np.radians(lat)))
+            age = age + 1
+            dead = ~np.isfinite(nla) | ~np.isfinite(nlo) | (np.abs(nla) > PARTICLE_POLE + 3) | (age > lifetime())
+            life_no = life_no + dead
+            lat = np.where(dead, (2 * _hash01(pid, life_no, seed) - 1) * PARTICLE_POLE, nla)
+            lon = np.where(dead, 360 * _hash01(pid, life_no, seed + 1) - 180, _fold(nlo))
+            age = np.where(dead, 0, age)
+            out.append(pd.DataFrame({"pid": pid, "step": np.int32(s), "lat": lat, "lon": lon,
+                                     "life": life_no.astype("int32")}))
+        return pd.concat(out, ignore_index=True)
+
+    return _trace(seeds, wind, keys, ("u", "v"), ("lat", "lon"),
+                  "step int, lat double, lon double, life int", advance, block_size)

@@ -1,0 +1,50 @@
+"""Archive files of one variable, decoded on the executors when a reader is installed."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from zonalis.grid import nan_to_null
+from zonalis.sources.fields import AXIS_ALIASES, MONTHLY_SCHEMA, pick_variable
+
+
+def read_netcdf(spark: SparkSession, path: str, short: str, group: str) -> DataFrame:
+    """Monthly rows of every NetCDF file below ``path``; one file is one decoding unit.
+
+    Needs the optional ``xarray`` package on the executors.
+    """
+    def decode(batches):
+        import io
+
+        import xarray as xr
+        for pdf in batches:
+            for blob in pdf["content"]:
+                ds = xr.open_dataset(io.BytesIO(blob))
+                ds = ds.rename({a: b for a, b in AXIS_ALIASES.items() if a in ds.dims or a in ds.coords})
+                da = ds[pick_variable(list(ds.data_vars), short, ())]
+                if "level" not in da.dims:
+                    da = da.expand_dims(level=[0])
+                if da["lat"].values[0] < da["lat"].values[-1]:
+                    da = da.sortby("lat", ascending=False)
+                times = pd.DatetimeIndex(da["time"].values)
+                for t, when in enumerate(times):
+                    for lev in da["level"].values:
+                        tile = da.isel(time=t).sel(level=lev).transpose("lat", "lon").values
+                        n, m = tile.shape
+                        yield pd.DataFrame({
+                            "var": short, "grp": group, "level": int(lev), "year": when.year,
+                            "month": when.month, "lat_idx": [i for i in range(n) for _ in range(m)],
+                            "lon_idx": list(range(m)) * n, "value": tile.ravel().astype(float)})
+
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.nc")
+             .option("recursiveFileLookup", "true").load(path).select("content"))
+    return nan_to_null(files.mapInPandas(decode, MONTHLY_SCHEMA))
+
+
+def reader_available() -> bool:
+    try:
+        import xarray  # noqa: F401
+    except ImportError:
+        return False
+    return True
