@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonalis.constants import POLE_COS, PRESSURE_LEVELS
+from zonalis.functions.fields import turn
 
 CELL = ("lat_idx", "lon_idx")
 
@@ -54,7 +55,7 @@ class GridSpec:
 
     def column_of(self, lon: Column) -> Column:
         """Fractional column of a longitude on the periodic axis."""
-        return F.pmod(lon - F.lit(self.lon0), F.lit(360.0)) / F.lit(self.dlon)
+        return turn(lon - F.lit(self.lon0)) / F.lit(self.dlon)
 
     # levels ------------------------------------------------------------------
     @property

@@ -235,3 +235,25 @@ def contour_crossings(df: DataFrame, meridian_keys: Sequence[str], value: str, i
                               F.concat(acc, F.array(x))).otherwise(acc))
     return (hits.groupBy(*meridian_keys).agg(ordered.alias("_a"))
             .select(*meridian_keys, F.inline(kept)))
+
+
+def trilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
+              values: Sequence[str], spec: GridSpec) -> DataFrame:
+    """Sample at (lat, lon, p): bilinear on two levels and linear in ln p. Any missing corner
+    gives NULL; points off the pressure range are absent."""
+    levels = spec.levels
+    inside = points.where(F.col("p").between(levels[0], levels[-1]))
+    above = F.aggregate(spec.level_array(), F.lit(0),
+                        lambda acc, x: acc + F.when(x < F.col("p"), 1).otherwise(0))
+    k0 = F.greatest(above - 1, F.lit(0))
+    k1 = F.least(k0 + 1, F.lit(len(levels) - 1))
+    lev = spec.level_array()
+    p0, p1 = F.element_at(lev, k0 + 1), F.element_at(lev, k1 + 1)
+    fk = F.ln(F.col("p") / p0) / F.ln(p1 / p0)
+    pair = F.array(F.struct(p0.alias("level"), (1 - fk).alias("wk")), F.struct(p1.alias("level"), fk.alias("wk")))
+    legs = (corners(inside.select(*point_keys, "lat", "lon", "p"), spec)
+            .withColumn("_l", F.explode(pair)).select(*point_keys, "lat_idx", "lon_idx", "w", "_l.*"))
+    hit = legs.join(spec.on_axis(grid), ["level", "lat_idx", "lon_idx"])
+    w = F.col("w") * F.col("wk")
+    return hit.groupBy(*point_keys, *slice_keys).agg(
+        *[F.when(F.count(v) == 8, F.sum(F.col(v) * w)).alias(v) for v in values])

@@ -107,6 +107,7 @@ def _trace(seeds: DataFrame, wind: DataFrame, keys: Sequence[str], names: Sequen
     groups = [*keys, "_block"]
     needed = wind.select(*keys, "level", "lat_idx", "lon_idx", *names)
     spread = needed.join(seeds.select(*groups).distinct(), keys)
+    spread = spread.toDF(*spread.columns)          # fresh columns: both sides come from the seeds
     types = dict(seeds.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", pid {types['pid']}, " + out_schema
 

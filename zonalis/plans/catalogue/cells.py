@@ -345,8 +345,8 @@ def capped_ranges(spark, sf):
 
 
 @query("P14_P15_grid_position", "pid:l wrapped:6 grid_row:6 grid_col:6", """WITH
-p AS (SELECT c_custkey AS pid, (c_custkey * 29) % 173 - 86.0 + c_acctbal * 1e-4 AS lat,
-  (c_custkey * 61) % 360 - 180.0 + c_acctbal * 2e-5 AS lon FROM customer),
+p AS (SELECT c_custkey AS pid, (c_custkey * 29) % 173 - 86.0 + c_acctbal * 1.118033989e-4 AS lat,
+  (c_custkey * 61) % 360 - 180.0 + c_acctbal * 2.236067977e-5 AS lon FROM customer),
 result AS (SELECT pid, (((lon + 270) % 360) + 360) % 360 - 180 AS wrapped, (90 - lat) / 15 AS grid_row,
   ((((lon + 90) + 180) % 360) + 360) % 360 / 30 AS grid_col FROM p)""")
 def grid_position(spark, sf):

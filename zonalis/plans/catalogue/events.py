@@ -90,16 +90,16 @@ def index_lookup(spark, sf):
 
 
 # composites ------------------------------------------------------------------------------------
-SQL_EVENTS = """ev AS (SELECT DISTINCT year FROM idx WHERE id = 'oni' AND month = 2 AND value >= 0.0)"""
+SQL_EVENTS = """ev AS (SELECT DISTINCT year FROM idx WHERE id = 'oni' AND month = 7 AND value >= 0.0)"""
 
 
-def _events(spark, sf, cmp="ge", threshold=0.0, month=2):
+def _events(spark, sf, cmp="ge", threshold=0.0, month=7):
     return composite.event_years(tables.monthly_index(spark, sf), "oni", month, cmp, threshold)
 
 
 @query("D8_event_years", "cmp:s year:i", with_(SQL_INDEX) + """,
-result AS (SELECT 'ge' AS cmp, year FROM idx WHERE month = 2 AND value >= 0 UNION ALL
-  SELECT 'le', year FROM idx WHERE month = 2 AND value <= 0)""")
+result AS (SELECT 'ge' AS cmp, year FROM idx WHERE month = 7 AND value >= 0 UNION ALL
+  SELECT 'le', year FROM idx WHERE month = 7 AND value <= 0)""")
 def event_years(spark, sf):
     return (_events(spark, sf).withColumn("cmp", F.lit("ge"))
             .unionByName(_events(spark, sf, "le").withColumn("cmp", F.lit("le"))))

@@ -106,16 +106,16 @@ def arc_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, bal = F.col("s_suppkey"), F.col("s_acctbal")
     return table(spark, sf_dir, "supplier").select(
         k.alias("arc_id"),
-        (F.pmod(k * 37, F.lit(151)) - 75.0 + bal * 1e-4).alias("lat1"),
-        (F.pmod(k * 53, F.lit(360)) - 180.0 + bal * 1e-5).alias("lon1"),
-        (F.pmod(k * 71, F.lit(149)) - 74.0 + bal * 2e-4).alias("lat2"),
-        (F.pmod(k * 97, F.lit(360)) - 179.5 + bal * 3e-5).alias("lon2"))
+        (F.pmod(k * 37, F.lit(151)) - 75.0 + bal * 1.118033989e-4).alias("lat1"),
+        (F.pmod(k * 53, F.lit(360)) - 180.0 + bal * 1.322875656e-5).alias("lon1"),
+        (F.pmod(k * 71, F.lit(149)) - 74.0 + bal * 2.236067977e-4).alias("lat2"),
+        (F.pmod(k * 97, F.lit(360)) - 179.5 + bal * 3.162277660e-5).alias("lon2"))
 
 
 def probe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point per customer."""
     k, bal = F.col("c_custkey"), F.col("c_acctbal")
     return table(spark, sf_dir, "customer").select(
-        k.alias("pid"), (F.pmod(k * 29, F.lit(173)) - 86.0 + bal * 1e-4).alias("lat"),
-        (F.pmod(k * 61, F.lit(360)) - 180.0 + bal * 2e-5).alias("lon"),
-        (F.lit(210.0) + F.pmod(k * 17, F.lit(780)) + bal * 1e-3).alias("p"))
+        k.alias("pid"), (F.pmod(k * 29, F.lit(173)) - 86.0 + bal * 1.118033989e-4).alias("lat"),
+        (F.pmod(k * 61, F.lit(360)) - 180.0 + bal * 2.236067977e-5).alias("lon"),
+        (F.lit(210.0) + F.pmod(k * 17, F.lit(780)) + bal * 1.224744871e-3).alias("p"))
