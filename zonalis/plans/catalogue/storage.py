@@ -144,7 +144,7 @@ def float32_tiles(spark, sf):
     folder = work_folder(spark, "tiles")
     t = tiles.to_arrays(clim(spark, sf, "u"), ["month", "level"], SPEC, "u")
     t = t.withColumn("name", F.format_string("%d_%02d", "level", "month"))
-    tiles.write_float32(t, "name", folder.removeprefix("file://").removeprefix("file:"))
+    tiles.write_float32(t, "name", folder)
     return tiles.tile_key(tiles.read_float32(spark, folder, SPEC))
 
 

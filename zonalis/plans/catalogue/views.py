@@ -1 +1,251 @@
+"""Field requests: selection, coordinates, references and comparisons end to end."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from zonalis.operators import vertical
+from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_CLIM, SQL_INDEX, SQL_LEVELS, SQL_SAMPLES, SQL_SURFACE, SQL_WINDOWS,
+                                          WINDOWS, monthly, query, surface_monthly, with_)
+from zonalis.plans.catalogue.diagnostics import sql_isentrope
+from zonalis.plans.catalogue.events import SQL_BEST, SQL_EVENTS
+from zonalis.plans.request import (FieldRequest, FieldStore, base_field, decode, display_range, effective_kind, encode,
+                                   ingredients, resolve, wind_request, with_event_years)
+from zonalis.sources import tables
+
+OUT = "month:i lat_idx:i lon_idx:i "
+
+
+def store(spark, sf, *names, surface=()) -> FieldStore:
+    """The sample fields as a store; without names only the surface ones."""
+    keys = ["year", "month", *CELL]
+    parts = []
+    if names:
+        parts.append(vertical.columns_to_fields(monthly(spark, sf, *names), keys, names))
+    if surface:
+        s = surface_monthly(spark, sf, *surface).withColumn("level", F.lit(0))
+        parts.append(vertical.columns_to_fields(s, keys, surface))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return FieldStore(rows, SPEC, active="1995-2001", windows=WINDOWS, bin_width={"t": 0.05, "u": 0.1})
+
+
+@query("D1_climatology_field", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, t AS value FROM clim WHERE level = 500)""")
+def climatology_field(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500))
+
+
+@query("D1_P3_period_field", OUT + "value:6", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, avg(t) AS value FROM mon WHERE level = 850 AND year BETWEEN 1997 AND 1999 AND month = 4 GROUP BY ALL)""")
+def period_field(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=4, level=850, period="1997-1999"))
+
+
+@query("D1_single_year_field", OUT + "value:6", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, u AS value FROM mon WHERE level = 200 AND year = 1998)""")
+def year_field(spark, sf):
+    return resolve(store(spark, sf, "u"), FieldRequest("u", month=None, year=1998))
+
+
+@query("D1_derived_field", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, sqrt(u*u + v*v) AS value FROM clim WHERE level = 200)""")
+def derived_field(spark, sf):
+    """A climatology of a derived field comes from the climatological ingredients."""
+    return resolve(store(spark, sf, "u", "v"), FieldRequest("wspd", month=None))
+
+
+@query("D1_Q10_derived_single_year", OUT + "value:6", with_(SQL_SAMPLES) + """,
+t AS (SELECT * FROM mon WHERE year = 1999 AND level = 200), b AS (SELECT * FROM mon WHERE year = 1999 AND level = 850),
+k AS (SELECT DISTINCT month, lat_idx, lon_idx FROM mon WHERE year = 1999 AND level IN (200, 850)),
+result AS (SELECT k.month, k.lat_idx, k.lon_idx, sqrt(pow(t.u - b.u, 2) + pow(t.v - b.v, 2)) AS value FROM k
+  LEFT JOIN t USING (month, lat_idx, lon_idx) LEFT JOIN b USING (month, lat_idx, lon_idx))""")
+def derived_year(spark, sf):
+    return resolve(store(spark, sf, "u", "v"), FieldRequest("dls", month=None, year=1999))
+
+
+@query("D1_V2_theta_field", OUT + "value:6", with_(SQL_CLIM, SQL_LEVELS, sql_isentrope("clim", "month, lat_idx, lon_idx", "pv", 330.0, "x")) + """,
+result AS (SELECT month, lat_idx, lon_idx, pv AS value FROM x)""")
+def theta_field(spark, sf):
+    return resolve(store(spark, sf, "pv", "t"), FieldRequest("pv", month=None, theta=330.0))
+
+
+@query("D1_surface_field", OUT + "value:5", with_(SQL_SURFACE) + """,
+result AS (SELECT month, lat_idx, lon_idx, msl AS value FROM sclim)""")
+def surface_field(spark, sf):
+    return resolve(store(spark, sf, surface=("msl", "sst")), FieldRequest("msl", month=None))
+
+
+@query("D1_G7_seasonal_field", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT 1 AS month, lat_idx, lon_idx, avg(t) AS value FROM clim WHERE level = 500 AND month IN (12, 1, 2) GROUP BY ALL)""")
+def seasonal_field(spark, sf):
+    """Centred on January: December, January, February."""
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=1, level=500, seasonal=True))
+
+
+@query("D1_Q11_range_composite_of_theta", OUT + "value:6",
+       with_(SQL_SAMPLES, SQL_LEVELS, sql_isentrope("(SELECT * FROM mon WHERE year BETWEEN 1996 AND 1998)", "year, month, lat_idx, lon_idx", "u", 350.0, "x")) + """,
+result AS (SELECT month, lat_idx, lon_idx, avg(u) AS value FROM x GROUP BY month, lat_idx, lon_idx)""")
+def theta_range(spark, sf):
+    return resolve(store(spark, sf, "u", "t"), FieldRequest("u", month=None, coord="theta", theta=350.0, span=(1996, 1998)))
+
+
+@query("D2_sigma_field", OUT + "value:6", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, stddev_pop(t) AS value FROM mon WHERE level = 500 GROUP BY ALL)""")
+def sigma_field(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500, kind="std"))
+
+
+@query("D2_derived_sigma_field", OUT + "value:6", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, stddev_pop(sqrt(u*u + v*v)) AS value FROM mon WHERE level = 200 GROUP BY ALL)""")
+def derived_sigma(spark, sf):
+    return resolve(store(spark, sf, "u", "v"), FieldRequest("wspd", month=None, kind="std"))
+
+
+@query("D2_theta_sigma_falls_back_to_mean", "kind:s month:i lat_idx:i lon_idx:i value:6",
+       with_(SQL_CLIM, SQL_LEVELS, sql_isentrope("clim", "month, lat_idx, lon_idx", "u", 330.0, "x")) + """,
+result AS (SELECT 'mean' AS kind, month, lat_idx, lon_idx, u AS value FROM x)""")
+def theta_sigma(spark, sf):
+    s, r = store(spark, sf, "u", "t"), FieldRequest("u", month=None, coord="theta", kind="std")
+    return resolve(s, r).withColumn("kind", F.lit(effective_kind(s, r)))
+
+
+@query("D3_eddy_view", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, z - avg(z) OVER (PARTITION BY month, lat_idx) AS value FROM clim WHERE level = 500)""")
+def eddy_view(spark, sf):
+    return resolve(store(spark, sf, "z"), FieldRequest("z", month=None, level=500, mode="eddy"))
+
+
+@query("D5_self_anomaly_view", OUT + "value:6", with_(SQL_CLIM) + """,
+a AS (SELECT lat_idx, lon_idx, avg(t) AS m FROM clim WHERE level = 500 GROUP BY ALL),
+result AS (SELECT 7 AS month, lat_idx, lon_idx, t - m AS value FROM clim JOIN a USING (lat_idx, lon_idx) WHERE level = 500 AND month = 7)""")
+def self_anomaly_view(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=7, level=500, mode="anomaly"))
+
+
+@query("D5_year_anomaly_view", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, m.t - c.t AS value FROM (SELECT * FROM mon WHERE year = 1998 AND level = 500) m
+  LEFT JOIN (SELECT * FROM clim WHERE level = 500) c USING (month, lat_idx, lon_idx))""")
+def year_anomaly_view(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500, year=1998, mode="anomaly"))
+
+
+@query("D5_best_match_view", OUT + "value:6", with_(SQL_SAMPLES) + """,
+c AS (SELECT month, lat_idx, lon_idx, avg(t) AS c FROM mon WHERE level = 500 AND year BETWEEN 1997 AND 1999 GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, t - c AS value FROM (SELECT * FROM mon WHERE year = 1997 AND level = 500) LEFT JOIN c USING (month, lat_idx, lon_idx))""")
+def best_match_view(spark, sf):
+    """1997 lies midway between the centres 1996 and 1998: the later window wins."""
+    r = FieldRequest("t", month=None, level=500, year=1997, mode="anomaly", reference="best-match")
+    return resolve(store(spark, sf, "t"), r)
+
+
+@query("D5_period_difference_view", OUT + "value:6", with_(SQL_CLIM) + """,
+r AS (SELECT month, lat_idx, lon_idx, avg(t) AS r FROM mon WHERE level = 500 AND year BETWEEN 1995 AND 1997 GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, t - r AS value FROM clim LEFT JOIN r USING (month, lat_idx, lon_idx) WHERE level = 500)""")
+def period_difference(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500, mode="anomaly", reference="1995-1997"))
+
+
+@query("D6_theta_year_anomaly", OUT + "value:6",
+       with_(SQL_CLIM, SQL_LEVELS, sql_isentrope("clim", "month, lat_idx, lon_idx", "u", 350.0, "c"),
+             sql_isentrope("(SELECT * FROM mon WHERE year = 1998)", "month, lat_idx, lon_idx", "v", 350.0, "unused"),
+             sql_isentrope("(SELECT * FROM mon WHERE year = 1998)", "month, lat_idx, lon_idx", "u", 350.0, "y")) + """,
+result AS (SELECT month, lat_idx, lon_idx, y.u - c.u AS value FROM y LEFT JOIN c USING (month, lat_idx, lon_idx))""")
+def theta_year_anomaly(spark, sf):
+    """Asked for a standardized anomaly; on theta it becomes a plain one."""
+    r = FieldRequest("u", month=None, coord="theta", theta=350.0, year=1998, mode="zscore")
+    return resolve(store(spark, sf, "u", "t"), r)
+
+
+@query("D4_zscore_view", OUT + "value:5", with_(SQL_SAMPLES) + """,
+s AS (SELECT month, lat_idx, lon_idx, avg(t) AS m, stddev_pop(t) AS sd FROM mon WHERE level = 500 GROUP BY ALL),
+f AS (SELECT month, list_sort(list(sd))[CAST(floor(0.02::DOUBLE * count(*)) AS BIGINT) + 1] AS fl FROM s WHERE sd > 0 GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, CASE WHEN sd > 0 THEN (t - m) / greatest(sd, fl) END AS value
+  FROM (SELECT * FROM mon WHERE year = 1998 AND level = 500) LEFT JOIN s USING (month, lat_idx, lon_idx) LEFT JOIN f USING (month))""")
+def zscore_view(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500, year=1998, mode="zscore"))
+
+
+@query("D7_sigma_difference_view", OUT + "value:6", with_(SQL_SAMPLES) + """,
+a AS (SELECT month, lat_idx, lon_idx, stddev_pop(t) AS a FROM mon WHERE level = 500 GROUP BY ALL),
+b AS (SELECT month, lat_idx, lon_idx, stddev_pop(t) AS b FROM mon WHERE level = 500 AND year BETWEEN 1995 AND 1997 GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, a - b AS value FROM a LEFT JOIN b USING (month, lat_idx, lon_idx))""")
+def sigma_difference(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=500, kind="std", reference="1995-1997"))
+
+
+@query("D9_D10_event_request", OUT + "value:6", with_(SQL_SAMPLES, SQL_INDEX, SQL_WINDOWS, SQL_BEST, SQL_EVENTS) + """,
+m5 AS (SELECT * FROM mon WHERE level = 500),
+wc AS (SELECT w.id AS window_id, month, lat_idx, lon_idx, avg(t) AS c FROM m5 JOIN win w ON m5.year BETWEEN w.first AND w.last GROUP BY ALL),
+ew AS (SELECT year, window_id FROM ev JOIN best USING (year)),
+ref AS (SELECT month, lat_idx, lon_idx, CASE WHEN count(*) = (SELECT count(*) FROM ew) THEN avg(c) END AS c FROM ew JOIN wc USING (window_id) GROUP BY ALL),
+e AS (SELECT month, lat_idx, lon_idx, avg(t) AS t FROM m5 SEMI JOIN ev USING (year) GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, t - c AS value FROM e LEFT JOIN ref USING (month, lat_idx, lon_idx))""")
+def event_request(spark, sf):
+    """From the compact text of a request to a composite anomaly against sliding windows."""
+    r = decode("f=t&L=500&d=anomaly&cr=c:oni:ge:0:7")
+    r = with_event_years(r, tables.monthly_index(spark, sf), tables.upper_samples(spark, sf).select("year"))
+    from dataclasses import replace
+    return resolve(store(spark, sf, "t"), replace(decode(encode(r)), years=r.years, month=None))
+
+
+@query("D12_period_comparison", OUT + "value:6", with_(SQL_CLIM) + """,
+r AS (SELECT month, lat_idx, lon_idx, avg(t) AS r FROM mon WHERE level = 850 AND year BETWEEN 1999 AND 2001 GROUP BY ALL),
+result AS (SELECT month, lat_idx, lon_idx, t - r AS value FROM clim LEFT JOIN r USING (month, lat_idx, lon_idx) WHERE level = 850)""")
+def period_comparison(spark, sf):
+    return resolve(store(spark, sf, "t"), FieldRequest("t", month=None, level=850, compare_period="1999-2001"))
+
+
+@query("D12_year_comparison_own_baselines", OUT + "value:6", with_(SQL_SAMPLES) + """,
+m AS (SELECT * FROM mon WHERE level = 500),
+ca AS (SELECT month, lat_idx, lon_idx, avg(t) AS c FROM m WHERE year BETWEEN 1995 AND 1997 GROUP BY ALL),
+cb AS (SELECT month, lat_idx, lon_idx, avg(t) AS c FROM m WHERE year BETWEEN 1999 AND 2001 GROUP BY ALL),
+a AS (SELECT month, lat_idx, lon_idx, t - c AS x FROM m LEFT JOIN ca USING (month, lat_idx, lon_idx) WHERE year = 1996),
+b AS (SELECT month, lat_idx, lon_idx, t - c AS y FROM m LEFT JOIN cb USING (month, lat_idx, lon_idx) WHERE year = 2000),
+result AS (SELECT month, lat_idx, lon_idx, x - y AS value FROM a LEFT JOIN b USING (month, lat_idx, lon_idx))""")
+def year_comparison(spark, sf):
+    r = FieldRequest("t", month=None, level=500, year=1996, mode="anomaly", reference="best-match", compare_year=2000)
+    return resolve(store(spark, sf, "t"), r)
+
+
+@query("D12_year_comparison_shared_baseline", OUT + "value:6", with_(SQL_CLIM) + """,
+m AS (SELECT * FROM mon WHERE level = 500),
+a AS (SELECT m.month, lat_idx, lon_idx, m.t - c.t AS x FROM m LEFT JOIN clim c USING (month, level, lat_idx, lon_idx) WHERE year = 1996),
+b AS (SELECT m.month, lat_idx, lon_idx, m.t - c.t AS y FROM m LEFT JOIN clim c USING (month, level, lat_idx, lon_idx) WHERE year = 2000),
+result AS (SELECT month, lat_idx, lon_idx, x - y AS value FROM a LEFT JOIN b USING (month, lat_idx, lon_idx))""")
+def year_comparison_shared(spark, sf):
+    r = FieldRequest("t", month=None, level=500, year=1996, mode="anomaly", compare_year=2000)
+    return resolve(store(spark, sf, "t"), r)
+
+
+@query("D14_display_range", "view:s vmin:6 vmax:6", with_(SQL_CLIM) + """,
+m AS (SELECT month, list_sort(list(t))[CAST(floor(0.005::DOUBLE * (count(t) - 1)) AS BIGINT) + 1] AS lo,
+  list_sort(list(t))[CAST(floor(0.995::DOUBLE * (count(t) - 1)) AS BIGINT) + 1] AS hi FROM clim WHERE level = 500 GROUP BY ALL),
+result AS (SELECT 'auto' AS view, min(lo) AS vmin, max(hi) AS vmax FROM m UNION ALL
+  SELECT 'user', 250.0, max(hi) FROM m UNION ALL
+  SELECT 'symmetric', -max(abs(u)), max(abs(u)) FROM clim WHERE level = 200)""")
+def display_ranges(spark, sf):
+    """Clamped and pooled over the months; with a user bound; and symmetric for a signed field."""
+    s = store(spark, sf, "t", "u")
+    auto, user = FieldRequest("t", month=None, level=500), FieldRequest("t", month=None, level=500, user_min=250.0)
+    sym = FieldRequest("u", month=None, level=200)
+    parts = [display_range(s, r, base_field(s, r)).withColumn("view", F.lit(n))
+             for n, r in (("auto", auto), ("user", user), ("symmetric", sym))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("D15_R1_request_inputs", "var:s level:i n:l", with_(SQL_SAMPLES) + """,
+result AS (SELECT nm AS var, level, count(*) AS n FROM mon, (VALUES ('t'), ('pv')) AS a(nm) GROUP BY ALL)""")
+def request_inputs(spark, sf):
+    """The partitions a request reads, and what they hold."""
+    need = ingredients(FieldRequest("pv"), SPEC)
+    want = spark.createDataFrame(need, "var string, level int")
+    rows = store(spark, sf, "pv", "t", "u").monthly
+    return rows.join(want, ["var", "level"], "left_semi").groupBy("var", "level").agg(F.count("*").alias("n"))
+
+
+@query("K20_wind_of_request", OUT + "u:6 v:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, u, v FROM clim WHERE level = 850)""")
+def wind_of_request(spark, sf):
+    s = store(spark, sf, "u", "v", "q")
+    u, v = (resolve(s, r).withColumnRenamed("value", r.name) for r in wind_request(FieldRequest("q", month=None, level=850)))
+    return u.join(v, ["month", "lat_idx", "lon_idx"])

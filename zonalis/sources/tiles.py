@@ -39,14 +39,13 @@ def dequantize(df: DataFrame, value: str = "value") -> DataFrame:
 def to_arrays(df: DataFrame, keys: Sequence[str], spec: GridSpec, value: str = "value") -> DataFrame:
     """One row per tile: row-major ARRAY<FLOAT> with NULL for missing cells.
 
-    A tile is at most nlat x nlon values. They travel as (position, value) pairs, so the
-    result does not depend on the order in which rows arrive.
+    A tile is exactly nlat x nlon values, the size the grid fixes. Cells carry their position
+    and are sorted by it, so the result does not depend on the order in which rows arrive.
     """
-    pos = F.col("lat_idx") * spec.nlon + F.col("lon_idx")
-    entry = F.struct(pos.alias("key"), F.col(value).cast("float").alias("value"))
-    return (df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
-            .select(*keys, F.transform(F.sequence(F.lit(0), F.lit(spec.cells - 1)),
-                                       lambda i: F.element_at("_m", i)).alias("values")))
+    dense = spec.densify(df.select(*keys, "lat_idx", "lon_idx", value), keys, ["lat_idx", "lon_idx"])
+    entry = F.struct((F.col("lat_idx") * spec.nlon + F.col("lon_idx")).alias("pos"), F.col(value).cast("float").alias("v"))
+    return (dense.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_cells"))
+            .select(*keys, F.col("_cells.v").alias("values")))
 
 
 def from_arrays(tiles: DataFrame, keys: Sequence[str], spec: GridSpec, value: str = "value") -> DataFrame:
@@ -91,18 +90,18 @@ def tile_key(paths: DataFrame) -> DataFrame:
 def write_float32(tiles: DataFrame, name: str, folder: str) -> int:
     """Write each tile array as a float32 file from the executors; returns the tile count.
 
-    Tasks overwrite their own files, so a retried task leaves the same bytes behind.
+    ``folder`` may be a path or any URI Arrow's file systems open. A task writes whole files
+    under fixed names, so a retried task leaves the same bytes behind.
     """
     def write(batches):
-        import os
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        store.create_dir(root, recursive=True)
         for pdf in batches:
             for file, values in zip(pdf[name], pdf["values"]):
                 v = np.array([np.nan if x is None else x for x in values], dtype="<f4")
-                tmp = f"{folder}/.{file}.{os.getpid()}"
-                with open(tmp, "wb") as f:
+                with store.open_output_stream(f"{root}/{file}.bin") as f:
                     f.write(v.tobytes())
-                os.replace(tmp, f"{folder}/{file}.bin")
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return tiles.select(name, "values").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
