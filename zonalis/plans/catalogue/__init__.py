@@ -1,7 +1,7 @@
 """The registered queries: one per operator, each with its SQL where SQL can say it."""
 
-from zonalis.plans.catalogue import (cells, diagnostics, events, sampling, storage,  # noqa: F401
-                                     views)
+from zonalis.plans.catalogue import (arriving, cells, diagnostics, events, sampling,  # noqa: F401
+                                     storage, views)
 from zonalis.plans.catalogue.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

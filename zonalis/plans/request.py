@@ -237,7 +237,8 @@ def reference_field(store: FieldStore, req: FieldRequest) -> DataFrame:
 
 
 def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
-    """Event-weighted climatology; falls to the fixed one only through missing cells (NULL)."""
+    """Event-weighted climatology; months in which a needed window has no field at all use the
+    fixed climatology instead."""
     spark = store.monthly.sparkSession
     w = window_frame(spark, store.windows)
     weights = composite.window_weights(composite.best_window(_years_of(store, req), w))
@@ -248,7 +249,13 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     names = [c for c in df.columns if c not in ("year", "month", "level", "lat_idx", "lon_idx")]
     clims = composite.window_climatologies(df, w, names)
     values = _evaluate(clims, ["window_id", *KEYS], req, store.spec)
-    out = composite.sliding_reference(values, weights, ["value"], KEYS[1:])
+    usable = (values.select("window_id", "month").distinct().join(weights, "window_id").groupBy("month")
+              .agg(F.count("*").alias("n_have"), F.max("n_windows").alias("n_need")).where("n_have = n_need"))
+    fixed = base_field(store, _plain(req, month=None, seasonal=False))
+    if months:
+        fixed = fixed.where(F.col("month").isin(*months))
+    out = (composite.sliding_reference(values, weights, ["value"], KEYS[1:]).join(usable, "month", "left_semi")
+           .unionByName(fixed.select(*KEYS, "value").join(usable, "month", "left_anti")))
     if req.seasonal:
         out = reduce.seasonal_mean(out, ["value"], KEYS[1:])
     return out if req.month is None else out.where(F.col("month") == req.month)
@@ -291,7 +298,9 @@ def display_range(store: FieldStore, req: FieldRequest, df: DataFrame) -> DataFr
     mode = effective_mode(store, req)
     centred = mode in ("eddy", "anomaly", "zscore") or req.comparing
     clamp = req.meta.clamp
-    if centred:
+    if mode == "zscore" and not req.comparing:
+        out = df.sparkSession.range(1).select(F.lit(-5.0).alias("vmin"), F.lit(5.0).alias("vmax"))
+    elif centred:
         out = decompose.stable_range(df, mode, [], "value", True, clamp[1] if clamp else None, store.width(req.name))
     else:
         per_month = (ranks.percentile_bounds(df, ["month"], "value", *clamp, bin_width=store.width(req.name))

@@ -32,7 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def upper_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item, fields in source units."""
-    li = table(spark, sf_dir, "lineitem")
+    return upper_from(table(spark, sf_dir, "lineitem"))
+
+
+def upper_from(li: DataFrame) -> DataFrame:
+    """The row-wise mapping alone, for batch and streaming frames."""
     level = F.element_at(SAMPLE_SPEC.level_array(), F.col("l_linenumber"))
     p = level / F.lit(1000.0)
     qty, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
