@@ -100,15 +100,39 @@ class GridSpec:
         """
         full = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
         for axis in axes:
-            if axis == "level":
-                full = full.withColumn("level", F.explode(self.level_array()))
-            elif axis == "month":
-                full = full.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-            else:
-                last = (self.nlat if axis == "lat_idx" else self.nlon) - 1
-                full = full.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(last))))
+            full = full.withColumn(axis, F.explode(self._axis(axis)))
         return full.join(df, [*keys, *axes], "left")
 
+    def fill(self, df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
+        """``densify`` for slices of one panel, tile or year: no join and no second read.
+
+        The rows of a slice (at most the product of its axes, one per coordinate) are packed,
+        padded with an empty row per coordinate and unpacked, all on the slice's own
+        partitioning.
+        """
+        values = [f for f in df.schema.fields if f.name not in (*keys, *axes)]
+        row = F.struct(*[F.col(c) for c in (*axes, *[f.name for f in values])])
+        packed = df.groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
+        types = dict(df.dtypes)
+        blank = {f.name: F.lit(None).cast(f.dataType) for f in values}
+
+        def pad(rest: list[str], at: dict[str, Column]) -> Column:
+            if not rest:
+                return F.array(F.struct(*[at[a].cast(types[a]).alias(a) for a in axes],
+                                        *[b.alias(n) for n, b in blank.items()]))
+            return F.flatten(F.transform(self._axis(rest[0]), lambda x: pad(rest[1:], {**at, rest[0]: x})))
+
+        rows = packed.select(*keys, F.explode(F.concat("_rows", pad(list(axes), {}))).alias("_r"))
+        return (rows.select(*keys, "_r.*").groupBy(*keys, *axes)
+                .agg(*[F.max(f.name).alias(f.name) for f in values]))
+
+    def _axis(self, axis: str) -> Column:
+        if axis == "level":
+            return self.level_array()
+        if axis == "month":
+            return F.sequence(F.lit(1), F.lit(12))
+        return F.sequence(F.lit(0), F.lit((self.nlat if axis == "lat_idx" else self.nlon) - 1))
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -12,7 +12,7 @@ from zonalis.functions.fields import potential_temperature
 from zonalis.grid import GridSpec
 from zonalis.operators import calculus, reduce
 from zonalis.operators.diagnostics import SLICE
-from zonalis.operators.ranks import running_sum_lookup
+from zonalis.operators.ranks import locate
 
 FIELDS = ("u", "v", "w", "t")
 RESERVOIRS = ("pm", "pe", "km", "ke")
@@ -44,20 +44,19 @@ def sorted_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLIC
                      F.struct("level", "lat_idx", "lon_idx").alias("_at")))
     mass = cells.groupBy(*keys, "theta").agg(
         F.sum("w").alias("mass"), F.min_by("w", "_at").alias("w_first"))
-    totals = mass.groupBy(*keys).agg(F.sum("mass").alias("total"), F.min("theta").alias("coldest"))
-    targets = (totals.withColumn("level", F.explode(spec.level_array()))
-               .withColumn("target", F.col("level") * F.lit(100.0 / spec.surface_pa) * F.col("total")))
-    found = running_sum_lookup(mass, keys, "theta", "mass", targets.select(*keys, "level", "target"),
-                               "target", bin_width, descending=True, carry=["w_first"])
-    frac = (F.col("target") - F.col("before")) / F.col("w_first")
+    share = F.array(*[F.struct(F.lit(p).alias("level"), F.lit(p * 100.0 / spec.surface_pa).alias("f")) for p in spec.levels])
+
+    def wanted(total: Column) -> Column:
+        return F.transform(share, lambda x: F.struct(x["level"].alias("name"), (x["f"] * total).alias("pos")))
+
+    found = locate(mass, keys, "theta", "mass", wanted, bin_width, descending=True, carry=["w_first"])
+    frac = (F.col("pos") - F.col("before")) / F.col("w_first")
     theta_r = (F.when(F.col("prev").isNull() | (frac >= 1), F.col("theta"))
                .otherwise(F.col("prev") * (1 - frac) + F.col("theta") * frac))
-    found = found.select(*keys, "level", theta_r.alias("theta_r"))
-    # Rounding can leave the lowest target a hair beyond the summed mass: coldest parcel.
-    t_ref = (F.coalesce("theta_r", "coldest")
-             * F.pow(F.col("level") / F.lit(1000.0), F.lit(K.KAPPA_ENERGY)))
-    return (targets.select(*keys, "level", "coldest").join(found, [*keys, "level"], "left")
-            .select(*keys, "level", t_ref.alias("t_ref")))
+    level = F.col("name")
+    return (found.where(level.isNotNull())
+            .select(*keys, level.alias("level"),
+                    (theta_r * F.pow(level / F.lit(1000.0), F.lit(K.KAPPA_ENERGY))).alias("t_ref")))
 
 
 def simple_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLICE) -> DataFrame:

@@ -1,116 +1,106 @@
 """Exact order statistics with the floor-index convention, and exact prefix sums.
 
-Values are first reduced to (value, multiplicity), so a third of all rows sharing one value
-costs one row after the map-side combine. Ranks then come from two levels of running sums:
-over coarse value bins, and inside the few bins that hold a wanted rank. No task ever sees
-a whole group.
+Values are first reduced to (value, weight), so a third of all rows sharing one value costs
+one row after the map-side combine. A rank is then found in two steps: running sums over
+coarse value bins tell which bin holds it, and only the rows of those bins are ordered. No
+task ever orders a whole group, and the source is read once (the reduced rows feed both
+steps through one reused exchange).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_sum_lookup(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
-                       targets: DataFrame, target: str, bin_width: float,
-                       descending: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """For each target find the first row whose inclusive running weight reaches it.
+def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
+           targets: Callable[[Column], Column], bin_width: float, descending: bool = False,
+           carry: Sequence[str] = ()) -> DataFrame:
+    """Find, per group, the first rows whose inclusive running weight reaches given targets.
 
-    ``weights`` has one row per (keys, order value). ``targets`` has the keys plus a target
-    column (> 0). ``bin_width`` should be around a thousandth of the range of ``order``; it
-    only steers the work split, never the result. The result has one row per target with the row found (``order``, ``weight``,
-    ``carry``), the running weight before it (``before``) and the previous order value
-    (``prev``, NULL at the start). Targets beyond the total are absent.
+    ``weights`` has one row per (keys, order value); rows without an order value carry no
+    weight. ``targets`` maps the group's total weight to an array of structs (name, pos) with
+    0 < pos <= total. ``bin_width`` should be around a thousandth of the range of ``order``; it
+    steers how the work is split, never the result.
+
+    Result: (keys, name, pos, order value, weight, carry, before, prev): ``before`` is the running
+    weight ahead of the row and ``prev`` the order value ahead of it, NULL for the first. A
+    group without weight yields one row with a NULL name.
     """
     keys = list(keys)
-    if not keys:
-        weights, targets = weights.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0))
-        return running_sum_lookup(weights, ["_all"], order, weight, targets, target, bin_width,
-                                  descending, carry).drop("_all")
-    sign = -1 if descending else 1
-    ranked = weights.withColumn("_bin", F.floor(F.col(order) * (sign / bin_width)))
-    last = F.max if not descending else F.min
-    bins = (ranked.groupBy(*keys, "_bin")
-            .agg(F.sum(weight).alias("_bw"), last(order).alias("_edge")))
-    over_bins = W.partitionBy(*keys).orderBy("_bin")
-    upto = over_bins.rowsBetween(W.unboundedPreceding, W.currentRow)
-    bins = (bins.withColumn("_cum", F.sum("_bw").over(upto))
-            .withColumn("_start", F.coalesce(F.lag("_cum").over(over_bins), F.lit(0.0)))
-            .withColumn("_prev_edge", F.lag("_edge").over(over_bins)))
-    # A bin can hold several targets; each target has exactly one bin.
-    hit = bins.join(targets, keys).where(
-        (F.col(target) > F.col("_start")) & (F.col(target) <= F.col("_cum")))
-    wanted = hit.select(*keys, "_bin", "_start", "_prev_edge").distinct()
-    inside = ranked.join(wanted, [*keys, "_bin"])
-    in_bin = W.partitionBy(*keys, "_bin").orderBy(
-        F.col(order).desc() if descending else F.col(order).asc())
-    inside = (inside
-              .withColumn("_incl", F.col("_start") + F.sum(weight).over(
-                  in_bin.rowsBetween(W.unboundedPreceding, W.currentRow)))
-              .withColumn("before", F.coalesce(F.lag("_incl").over(in_bin), F.col("_start")))
-              .withColumn("prev", F.coalesce(F.lag(order).over(in_bin), F.col("_prev_edge"))))
-    extra = [c for c in targets.columns if c not in keys]
-    joined = inside.drop("_start", "_prev_edge").join(
-        hit.select(*keys, "_bin", *extra), [*keys, "_bin"])
-    ok = (F.col(target) <= F.col("_incl")) & ((F.col(target) > F.col("before")) | F.col("prev").isNull())
-    return joined.where(ok).select(*keys, *extra, order, weight, *carry, "before", "prev")
-
-
-def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
+    sign = -1.0 if descending else 1.0
+    ranked = weights.withColumn("_bin", F.floor(F.col(order) * F.lit(sign / bin_width)))
+    far_edge = F.min(order) if descending else F.max(order)
+    valued = F.when(F.col(order).isNotNull(), F.col(weight))
+    bins = ranked.groupBy(*keys, "_bin").agg(F.sum(valued).alias("_bw"), far_edge.alias("_edge"))
+    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_bin").asc_nulls_first())
+    so_far = by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = by_bin.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    bins = (bins.withColumn("_cum", F.coalesce(F.sum("_bw").over(so_far), F.lit(0.0)))
+            .withColumn("_start", F.coalesce(F.lag("_cum").over(by_bin), F.lit(0.0)))
+            .withColumn("_prev_edge", F.lag("_edge").over(by_bin))
+            .withColumn("_total", F.max("_cum").over(whole)))
+    here = F.filter(targets(F.col("_total")), lambda x: (x["pos"] > F.col("_start")) & (x["pos"] <= F.col("_cum")))
+    empty = bins.where((F.col("_total") == 0) & F.col("_bin").isNull())
+    hits = bins.where("_bw > 0").select(*keys, "_bin", "_start", "_prev_edge", F.explode(here).alias("_t"))
+    hits = hits.select(*keys, "_bin", "_start", "_prev_edge", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"))
+
+    in_bin = W.partitionBy(*keys, "_bin", "name").orderBy(F.col(order).desc() if descending else F.col(order).asc())
+    rows = ranked.join(hits, [*keys, "_bin"])
+    incl = F.col("_start") + F.sum(weight).over(in_bin.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = (rows.withColumn("_incl", incl)
+            .withColumn("before", F.coalesce(F.lag("_incl").over(in_bin), F.col("_start")))
+            .withColumn("prev", F.coalesce(F.lag(order).over(in_bin), F.col("_prev_edge")))
+            .withColumn("_last", F.lead(order).over(in_bin).isNull()))
+    # In the last row of a bin the bin's own total decides, whatever the last bits of the sum.
+    found = rows.where((F.col("pos") > F.col("before")) & ((F.col("pos") <= F.col("_incl")) | F.col("_last")))
+    out = [*keys, "name", "pos", order, weight, *carry, "before", "prev"]
+    return found.select(*out).unionByName(empty.select(*keys), allowMissingColumns=True)
+
+
+def value_at_rank(df: DataFrame, keys: Sequence[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]],
                   bin_width: float) -> DataFrame:
-    """Sorted values at 0-based ranks; ``ranks`` maps a name to an expression of ``n``.
+    """Sorted values at 0-based ranks, one column per entry of ``ranks`` (functions of n).
 
-    Long result: (keys, name, value). Groups without values are absent.
+    Groups without values stay in the result with NULL.
     """
+    v = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count("*").cast("double").alias("_mult")))
-    n = counts.groupBy(*keys).agg(F.sum("_mult").alias("n"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), (r + 1).cast("double").alias("pos"))
-                       for k, r in ranks.items()])
-    targets = n.select(*keys, F.explode(wanted).alias("x")).select(*keys, "x.name", "x.pos")
-    found = running_sum_lookup(counts, keys, value, "_mult", targets, "pos", bin_width)
-    return found.select(*keys, "name", value)
+    counts = df.groupBy(*keys, v.alias("_v")).agg(F.count("*").cast("double").alias("_mult"))
+
+    def wanted(n: Column) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("name"), (r(n) + 1).cast("double").alias("pos"))
+                         for k, r in ranks.items()])
+
+    found = locate(counts, keys, "_v", "_mult", wanted, bin_width)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
 
 
-def _clamped(p: float, n: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(n - 1, F.floor(F.lit(p) * (n - 1))))
+def _floor_rank(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.greatest(F.lit(0.0), F.least(n - 1, F.floor(F.lit(p) * (n - 1)).cast("double")))
 
 
 def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float,
                       bin_width: float = 1.0) -> DataFrame:
     """sorted[floor(p*(n-1))] at both ends; groups with no values give (0, 1)."""
-    n = F.col("n")
-    at = value_at_rank(df, keys, value, {"lo": _clamped(lo, n), "hi": _clamped(hi, n)}, bin_width)
-    pick = {s: F.max(F.when(F.col("name") == s, F.col(value))) for s in ("lo", "hi")}
-    bounds = at.groupBy(*keys).agg(pick["lo"].alias("vmin"), pick["hi"].alias("vmax"))
-    groups = df.select(*keys).distinct()
-    return (groups.join(bounds, list(keys), "left")
-            .select(*keys, F.coalesce("vmin", F.lit(0.0)).alias("vmin"),
-                    F.coalesce("vmax", F.lit(1.0)).alias("vmax")))
+    at = value_at_rank(df, keys, value, {"vmin": _floor_rank(lo), "vmax": _floor_rank(hi)}, bin_width)
+    return at.select(*keys, F.coalesce("vmin", F.lit(0.0)).alias("vmin"), F.coalesce("vmax", F.lit(1.0)).alias("vmax"))
 
 
 def clamped_symmetric_range(df: DataFrame, keys: Sequence[str], value: str, hi: float,
                             bin_width: float = 1.0) -> DataFrame:
-    """+- the floor-index percentile of |v|."""
-    mag = df.withColumn("_abs", F.abs(F.col(value)))
-    n = F.col("n")
-    at = value_at_rank(mag, keys, "_abs", {"hi": _clamped(hi, n)}, bin_width)
-    bound = at.select(*keys, F.when(F.col("_abs") < 1e-12, 1.0).otherwise(F.col("_abs")).alias("a"))
-    return (df.select(*keys).distinct().join(bound, list(keys), "left")
-            .withColumn("a", F.coalesce("a", F.lit(1.0)))
-            .select(*keys, (-F.col("a")).alias("vmin"), F.col("a").alias("vmax")))
+    """+- the floor-index percentile of |v|; 1 where that is (almost) zero or absent."""
+    at = value_at_rank(df, keys, F.abs(F.col(value)), {"a": _floor_rank(hi)}, bin_width)
+    a = F.when(F.col("a") >= 1e-12, F.col("a")).otherwise(F.lit(1.0))
+    return at.select(*keys, (-a).alias("vmin"), a.alias("vmax"))
 
 
 def sigma_floor(df: DataFrame, keys: Sequence[str], sigma: str, p: float = 0.02,
                 bin_width: float = 1.0) -> DataFrame:
     """sorted positive sigma[floor(p*n)] (n, not n-1), 0 for groups without one."""
-    pos = df.where(F.col(sigma) > 0)
-    at = value_at_rank(pos, keys, sigma, {"floor": F.floor(F.lit(p) * F.col("n"))}, bin_width)
-    return (df.select(*keys).distinct().join(at.select(*keys, F.col(sigma).alias("sigma_floor")),
-                                             list(keys), "left")
-            .select(*keys, F.coalesce("sigma_floor", F.lit(0.0)).alias("sigma_floor")))
+    positive = F.when(F.col(sigma) > 0, F.col(sigma))
+    at = value_at_rank(df, keys, positive, {"f": lambda n: F.least(n - 1, F.floor(F.lit(p) * n).cast("double"))}, bin_width)
+    return at.select(*keys, F.coalesce("f", F.lit(0.0)).alias("sigma_floor"))

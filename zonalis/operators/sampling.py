@@ -158,10 +158,7 @@ def bilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slic
 def arc_section(points: DataFrame, arc_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
                 values: Sequence[str], spec: GridSpec) -> DataFrame:
     """Vertical section along arcs with the along-path distance."""
-    placed = path_distance(points, arc_keys)
-    keys = [*arc_keys, "s"]
-    sampled = bilinear(placed, keys, grid, slice_keys, values, spec)
-    return sampled.join(placed.select(*keys, "dist_km"), keys)
+    return bilinear(path_distance(points, arc_keys), [*arc_keys, "s", "dist_km"], grid, slice_keys, values, spec)
 
 
 def panel_sample(panel: DataFrame, probes: DataFrame, value: str, spec: GridSpec,

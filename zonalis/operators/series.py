@@ -21,11 +21,9 @@ def area_series(monthly: DataFrame, spec: GridSpec, box: Box, value: str,
     return s.withColumn("t", fractional_year(F.col("year"), F.col("month")))
 
 
-def complete_series(series: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+def complete_series(series: DataFrame, spec: GridSpec, keys: Sequence[str] = ()) -> DataFrame:
     """All twelve months of every year present; missing months as NULL."""
-    full = (series.select(*keys, "year").distinct()
-            .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))))
-    return (full.join(series.drop("t"), [*keys, "year", "month"], "left")
+    return (spec.fill(series.drop("t"), [*keys, "year"], ["month"])
             .withColumn("t", fractional_year(F.col("year"), F.col("month"))))
 
 

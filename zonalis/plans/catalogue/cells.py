@@ -187,7 +187,7 @@ z AS (SELECT month, level, lat_idx, avg(u) AS u FROM clim GROUP BY ALL),
 result AS (SELECT month, level, lat_idx, j AS lon_idx, u FROM z, range(12) AS r(j))""")
 def zonal_broadcast(spark, sf):
     """Every cell of the row gets the mean, also those without data."""
-    dense = SPEC.densify(clim(spark, sf, "u"), ["month", *ROW], ["lon_idx"])
+    dense = SPEC.fill(clim(spark, sf, "u"), ["month", *ROW], ["lon_idx"])
     return decompose.zonal(dense, ["month", *ROW], "u")
 
 

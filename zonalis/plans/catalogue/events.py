@@ -228,7 +228,7 @@ result AS (SELECT g.level, g.year, m AS month, g.year + (m - 0.5) / 12 AS t, s.t
   FROM (SELECT DISTINCT level, year FROM ser) g, range(1, 13) AS r(m)
   LEFT JOIN ser s ON s.level = g.level AND s.year = g.year AND s.month = m)""")
 def complete_series(spark, sf):
-    return series.complete_series(_series(spark, sf), "t_mean", ["level"])
+    return series.complete_series(_series(spark, sf), SPEC, ["level"])
 
 
 @query("K16_series_anomaly", "level:i year:i month:i t_mean:6", with_(SQL_SAMPLES, SQL_SERIES) + f""",
@@ -262,7 +262,7 @@ f AS (SELECT g.level, s.t_mean FROM (SELECT DISTINCT level, year FROM ser) g, ra
 result AS (SELECT level, count(*) AS n, count(t_mean) AS n_loaded, count(t_mean) / count(*)::DOUBLE AS loaded_share,
   avg(t_mean) AS mean_value FROM f GROUP BY ALL)""")
 def series_summary(spark, sf):
-    return series.summary(series.complete_series(_series(spark, sf), "t_mean", ["level"]), "t_mean", ["level"])
+    return series.summary(series.complete_series(_series(spark, sf), SPEC, ["level"]), "t_mean", ["level"])
 
 
 @query("O4_nearest_series_point", "year:i month:i t:6 value:6", with_(SQL_INDEX) + """,

@@ -243,10 +243,10 @@ def parcels(spark, sf):
 @query("K17_parcel_clusters", "month:i pid:l step:i lat:6 lon:6 p:5")
 def parcel_clusters(spark, sf):
     """Twelve parcels around each supplier's arc start, over ten days."""
-    at = tables.arc_ends(spark, sf).select(F.col("arc_id").alias("pid"), F.lit(1).alias("month"), F.lit(500.0).alias("p"),
-                                           F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
-    return trajectories.parcels(trajectories.parcel_cluster(at), clim(spark, sf, "u", "v", "w").where("month = 1"),
-                                SPEC, steps=40)
+    at = tables.arc_ends(spark, sf).select(
+        F.col("arc_id").alias("pid"), (F.pmod("arc_id", F.lit(12)) + 1).cast("int").alias("month"),
+        F.lit(500.0).alias("p"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
+    return trajectories.parcels(trajectories.parcel_cluster(at), clim(spark, sf, "u", "v", "w"), SPEC, steps=40)
 
 
 @query("K18_W13_streamlines", "month:i pid:l step:i lat:6 lon:6 segment:i")

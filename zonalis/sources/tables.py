@@ -41,7 +41,10 @@ def upper_from(li: DataFrame) -> DataFrame:
     p = level / F.lit(1000.0)
     qty, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     lat = F.lit(90.0) - F.lit(15.0) * F.pmod("l_partkey", F.lit(13))
-    return li.select(
+    # Samples without a place in time or space are no samples. Saying so here also lets
+    # both sides of a join with its own aggregate share one scan.
+    placed = li.dropna(subset=["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"])
+    return placed.select(
         F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), level.alias("level"),
         F.pmod("l_partkey", F.lit(13)).cast("int").alias("lat_idx"),
         F.pmod("l_suppkey", F.lit(12)).cast("int").alias("lon_idx"),
@@ -66,7 +69,7 @@ def upper_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = UPPE
 
 
 def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").dropna(subset=["o_orderdate", "o_custkey", "o_orderkey"])
     x = F.col("o_totalprice") / F.lit(1e5)                       # 0 .. 5
     row = F.pmod("o_custkey", F.lit(13)).cast("int")
     lat = F.lit(90.0) - row * F.lit(15.0)
@@ -99,7 +102,7 @@ def surface_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = SU
 
 def monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, year, month, value): the mean order value per month, in units of 1e4 around 25."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").dropna(subset=["o_orderdate"])
     return (o.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
             .agg((F.avg("o_totalprice") / 1e4 - F.lit(25.0)).alias("value"))
             .select(F.lit("oni").alias("id"), "year", "month", "value"))

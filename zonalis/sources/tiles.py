@@ -42,7 +42,7 @@ def to_arrays(df: DataFrame, keys: Sequence[str], spec: GridSpec, value: str = "
     A tile is exactly nlat x nlon values, the size the grid fixes. Cells carry their position
     and are sorted by it, so the result does not depend on the order in which rows arrive.
     """
-    dense = spec.densify(df.select(*keys, "lat_idx", "lon_idx", value), keys, ["lat_idx", "lon_idx"])
+    dense = spec.fill(df.select(*keys, "lat_idx", "lon_idx", value), keys, ["lat_idx", "lon_idx"])
     entry = F.struct((F.col("lat_idx") * spec.nlon + F.col("lon_idx")).alias("pos"), F.col(value).cast("float").alias("v"))
     return (dense.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_cells"))
             .select(*keys, F.col("_cells.v").alias("values")))
