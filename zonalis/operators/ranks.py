@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+NO_VALUE = -(1 << 62)
+
 
 def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
            targets: Callable[[Column], Column], bin_width: float, descending: bool = False,
@@ -32,11 +34,14 @@ def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
     """
     keys = list(keys)
     sign = -1.0 if descending else 1.0
-    ranked = weights.withColumn("_bin", F.floor(F.col(order) * F.lit(sign / bin_width)))
+    # Rows without an order value share a bin of their own, so that no null filter is pushed
+    # into one of the two reads of ``weights``.
+    bin_of = F.coalesce(F.floor(F.col(order) * F.lit(sign / bin_width)), F.lit(NO_VALUE))
+    ranked = weights.withColumn("_bin", bin_of)
     far_edge = F.min(order) if descending else F.max(order)
     valued = F.when(F.col(order).isNotNull(), F.col(weight))
     bins = ranked.groupBy(*keys, "_bin").agg(F.sum(valued).alias("_bw"), far_edge.alias("_edge"))
-    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_bin").asc_nulls_first())
+    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin")
     so_far = by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = by_bin.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     bins = (bins.withColumn("_cum", F.coalesce(F.sum("_bw").over(so_far), F.lit(0.0)))
@@ -44,7 +49,7 @@ def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
             .withColumn("_prev_edge", F.lag("_edge").over(by_bin))
             .withColumn("_total", F.max("_cum").over(whole)))
     here = F.filter(targets(F.col("_total")), lambda x: (x["pos"] > F.col("_start")) & (x["pos"] <= F.col("_cum")))
-    empty = bins.where((F.col("_total") == 0) & F.col("_bin").isNull())
+    empty = bins.where((F.col("_total") == 0) & (F.col("_bin") == NO_VALUE))
     hits = bins.where("_bw > 0").select(*keys, "_bin", "_start", "_prev_edge", F.explode(here).alias("_t"))
     hits = hits.select(*keys, "_bin", "_start", "_prev_edge", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"))
 

@@ -41,10 +41,7 @@ def upper_from(li: DataFrame) -> DataFrame:
     p = level / F.lit(1000.0)
     qty, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     lat = F.lit(90.0) - F.lit(15.0) * F.pmod("l_partkey", F.lit(13))
-    # Samples without a place in time or space are no samples. Saying so here also lets
-    # both sides of a join with its own aggregate share one scan.
-    placed = li.dropna(subset=["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"])
-    return placed.select(
+    return _placed(li.select(
         F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), level.alias("level"),
         F.pmod("l_partkey", F.lit(13)).cast("int").alias("lat_idx"),
         F.pmod("l_suppkey", F.lit(12)).cast("int").alias("lon_idx"),
@@ -59,7 +56,16 @@ def upper_from(li: DataFrame) -> DataFrame:
         (F.pow(F.lit(1.0) / p, F.lit(1.5)) * (disc + 0.05) * 5.772156649e-6).alias("pv"),
         ((disc - tax) * 1.618033989e-4).alias("d"),
         ((tax - disc) * 2.718281828e-4 + F.lit(1e-5)).alias("vo"),
-    )
+    ), "year", "month", "level", "lat_idx", "lon_idx")
+
+
+def _placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Samples without a place in time or space are no samples. Saying so at the source also
+    lets both sides of a join of a field with its own aggregate share one scan and shuffle."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return df.where(cond)
 
 
 def upper_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = UPPER) -> DataFrame:
@@ -69,13 +75,13 @@ def upper_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = UPPE
 
 
 def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").dropna(subset=["o_orderdate", "o_custkey", "o_orderkey"])
+    o = table(spark, sf_dir, "orders")
     x = F.col("o_totalprice") / F.lit(1e5)                       # 0 .. 5
     row = F.pmod("o_custkey", F.lit(13)).cast("int")
     lat = F.lit(90.0) - row * F.lit(15.0)
     warm = F.cos(F.radians(lat))
     col = F.pmod("o_orderkey", F.lit(12)).cast("int")
-    return o.select(
+    return _placed(o.select(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         row.alias("lat_idx"), col.alias("lon_idx"),
         (F.lit(272.0) + warm * 29.0 + x * 0.577215665).alias("sst"),
@@ -92,7 +98,7 @@ def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (x * -1111111.0 - F.lit(1.7e7)).alias("ttr"),
         ((x - 2.5) * 3.3166248).alias("u10"),
         ((F.lit(2.5) - x) * 1.4422496).alias("v10"),
-    )
+    ), "year", "month", "lat_idx", "lon_idx")
 
 
 def surface_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = SURFACE) -> DataFrame:
@@ -102,7 +108,7 @@ def surface_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = SU
 
 def monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, year, month, value): the mean order value per month, in units of 1e4 around 25."""
-    o = table(spark, sf_dir, "orders").dropna(subset=["o_orderdate"])
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate").isNotNull())
     return (o.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
             .agg((F.avg("o_totalprice") / 1e4 - F.lit(25.0)).alias("value"))
             .select(F.lit("oni").alias("id"), "year", "month", "value"))
