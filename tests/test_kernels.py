@@ -1,0 +1,130 @@
+"""Spectral, column and trajectory kernels against independent answers."""
+
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from helpers import SMALL, cosd, grid
+from pyspark.sql import functions as F
+
+from zonalis import constants as K
+from zonalis.functions.ticks import nice_ticks, padded_range
+from zonalis.grid import GridSpec
+from zonalis.operators import intensity, spectral, trajectories
+
+FINE = GridSpec(nlat=37, nlon=72, dlat=5.0, dlon=5.0, levels=(500,))
+
+
+def _lat_lon(spec):
+    lat = np.radians(spec.lat0 - spec.dlat * np.arange(spec.nlat))[:, None]
+    lon = np.radians(spec.lon0 + spec.dlon * np.arange(spec.nlon))[None, :]
+    return lat, lon
+
+
+def test_streamfunction_of_known_harmonic():
+    """psi = sin(lat) cos(lat)^2 cos(2 lon): the wind follows by hand."""
+    lat, lon = _lat_lon(FINE)
+    a, amp = K.EARTH_RADIUS, 1e7
+    psi = amp * np.sin(lat) * np.cos(lat) ** 2 * np.cos(2 * lon)
+    u = -amp * (np.cos(lat) ** 3 - 2 * np.sin(lat) ** 2 * np.cos(lat)) * np.cos(2 * lon) / a
+    v = -2 * amp * np.sin(lat) * np.cos(lat) * np.sin(2 * lon) / a
+    chi, got = spectral.potentials(u, v, 90.0, 5.0, 35)
+    assert np.abs(got - psi).max() < 1e-6 * amp and np.abs(chi).max() < 1e-6 * amp
+
+
+def test_velocity_potential_of_known_harmonic():
+    lat, lon = _lat_lon(FINE)
+    a, amp = K.EARTH_RADIUS, 1e6
+    chi = amp * np.cos(lat) * np.sin(lon) + amp * np.sin(lat)
+    u = amp * np.cos(lon) / a + 0 * lat
+    v = (-amp * np.sin(lat) * np.sin(lon) + amp * np.cos(lat)) / a
+    got, psi = spectral.potentials(u, v, 90.0, 5.0, 35)
+    assert np.abs(got - chi).max() < 1e-6 * amp and np.abs(psi).max() < 1e-6 * amp
+
+
+def test_helmholtz_slices_are_independent(spark):
+    g = grid(spark, SMALL, lambda m, p, la, lo: (p / 100 * cosd(la), cosd(la) * math.sin(math.radians(lo)) * p / 50), names=("u", "v"))
+    full = spectral.helmholtz(g, ["month", "level"], SMALL).where("level = 850")
+    part = spectral.helmholtz(g.where("level = 850"), ["month", "level"], SMALL)
+    assert full.exceptAll(part).count() == 0 and full.count() == 156
+    hole = g.withColumn("u", F.when(~((F.col("lat_idx") == 4) & (F.col("lon_idx") == 2)), F.col("u")))
+    assert spectral.helmholtz(hole.where("level = 500"), ["month", "level"], SMALL).where("chi IS NOT NULL").count() == 0
+
+
+def _tropical_column(n, sst=29.0):
+    p = np.array([1000, 925, 850, 700, 500, 300, 250, 200, 150, 100, 50.0])
+    t = np.array([27, 23, 18, 9.5, -5, -31, -41, -53, -66, -76, -63.0])
+    r = np.array([17.0, 14, 11, 6, 2.5, .4, .15, .05, .01, .005, .004])
+    return np.full(n, sst), np.full(n, 1012.0), p, np.tile(t, (n, 1)), np.tile(r, (n, 1))
+
+
+def test_intensity_of_a_tropical_column():
+    v, pmin, ok = intensity.potential_intensity(*_tropical_column(3))
+    assert ok.all() and 40 < v[0] < 110 and 850 < pmin[0] < 1005
+    warm, _, _ = intensity.potential_intensity(*_tropical_column(1, 30.5))
+    assert warm[0] > v[0]
+
+
+def test_intensity_masks_cold_and_missing():
+    sst, msl, p, t, r = _tropical_column(4)
+    sst[0], t[1, 3], sst[2] = 3.0, np.nan, np.nan
+    v, pmin, ok = intensity.potential_intensity(sst, msl, p, t, r)
+    assert list(ok) == [False, False, False, True] and np.isnan(v[:3]).all()
+
+
+def test_intensity_does_not_depend_on_the_batch():
+    sst, msl, p, t, r = _tropical_column(5)
+    sst = np.linspace(27, 31, 5)
+    v, pm, _ = intensity.potential_intensity(sst, msl, p, t, r)
+    for i in range(5):
+        one = intensity.potential_intensity(sst[i:i + 1], msl[:1], p, t[:1], r[:1])
+        assert abs(one[0][0] - v[i]) < 1e-9 and abs(one[1][0] - pm[i]) < 1e-9
+
+
+def test_parcels_in_uniform_zonal_flow(spark):
+    wind = grid(spark, SMALL, lambda m, p, la, lo: (20.0, 0.0, 0.0), names=("u", "v", "w"))
+    seeds = spark.createDataFrame([(1, 1, 0.0, 170.0, 500.0), (2, 1, 45.0, 0.0, 850.0), (3, 1, 89.0, 0.0, 500.0)],
+                                  "pid long, month int, lat double, lon double, p double")
+    out = trajectories.parcels(seeds, wind, SMALL, steps=8).toPandas()
+    step = 20 * 6 * 3600 / K.EARTH_RADIUS * 180 / math.pi
+    a = out[out.pid == 1].sort_values("step")
+    assert len(a) == 9 and abs((a.lon.iloc[1] - 170) - step) < 1e-9
+    assert a.lon.between(-180, 180).all()
+    b = out[out.pid == 2].sort_values("step")
+    assert abs(b.lon.iloc[1] - step / cosd(45)) < 1e-9 and (b.lat == 45).all()
+    assert list(out[out.pid == 3].step) == [0]
+
+
+def test_parcels_end_on_leaving_the_levels(spark):
+    wind = grid(spark, SMALL, lambda m, p, la, lo: (0.0, 0.0, 1.0), names=("u", "v", "w"))
+    seeds = spark.createDataFrame([(1, 1, 0.0, 0.0, 500.0)], "pid long, month int, lat double, lon double, p double")
+    out = trajectories.parcels(seeds, wind, SMALL).toPandas()
+    assert out.p.max() <= 1000 and len(out) == 1 + int(500 // 216)
+
+
+def test_blocks_do_not_change_trajectories(spark):
+    wind = grid(spark, SMALL, lambda m, p, la, lo: (5 + la / 10, math.sin(math.radians(lo)) * 3, 0.01), names=("u", "v", "w"))
+    seeds = spark.range(40).selectExpr("id AS pid", "1 AS month", "id * 3.0 - 60 AS lat", "id * 7.0 - 150 AS lon", "500.0 AS p")
+    one = trajectories.parcels(seeds, wind, SMALL, steps=10)
+    many = trajectories.parcels(seeds, wind, SMALL, steps=10, block_size=3)
+    assert one.exceptAll(many).count() == 0 and one.count() == many.count()
+
+
+def test_streamlines_and_particles(spark):
+    wind = grid(spark, SMALL, lambda m, p, la, lo: (100.0, 0.0), levels=(500,), names=("u", "v"))
+    seeds = spark.createDataFrame([(1, 1, 0.0, 179.9)], "pid long, month int, lat double, lon double")
+    line = trajectories.streamlines(seeds, wind, SMALL).toPandas().sort_values("step")
+    assert len(line) == 91 and abs(line.lon.iloc[1] + 360 - 179.9 - 0.4) < 1e-9
+    many = trajectories.particles(seeds, wind, SMALL, frames=400).toPandas()
+    assert len(many) == 401 and many.life.max() >= 1
+    again = trajectories.particles(seeds, wind, SMALL, frames=400).toPandas()
+    pd.testing.assert_frame_equal(many.sort_values("step").reset_index(drop=True), again.sort_values("step").reset_index(drop=True))
+
+
+@pytest.mark.parametrize("lo, hi", [(-3.2, 7.9), (0.0, 1.0), (1e-4, 9e-4), (-250, -3)])
+def test_nice_ticks(lo, hi):
+    t = nice_ticks(lo, hi)
+    assert all(lo - 1e-9 <= x <= hi + 1e-9 for x in t) and 2 <= len(t) <= 12
+    assert (0.0 in t) == (lo <= 0 <= hi)
+    assert padded_range([1.0, 2.0], False) == (0.94, 2.06) and padded_range([-1.0, 3.0], True) == (-3.0, 3.0)
