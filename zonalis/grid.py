@@ -34,20 +34,24 @@ class GridSpec:
     levels: tuple[int, ...] = PRESSURE_LEVELS
 
     # coordinates -------------------------------------------------------------
-    def lat(self, idx: Column | str = "lat_idx") -> Column:
-        return F.lit(self.lat0) - _c(idx) * F.lit(self.dlat)
+    # SQL text keeps each of these a single call when plans are built.
+    def _lat_sql(self, idx: str) -> str:
+        return f"({self.lat0!r}D - {idx} * {self.dlat!r}D)"
 
-    def lon(self, idx: Column | str = "lon_idx") -> Column:
-        return F.lit(self.lon0) + _c(idx) * F.lit(self.dlon)
+    def lat(self, idx: str = "lat_idx") -> Column:
+        return F.expr(self._lat_sql(idx))
 
-    def cos_lat(self, idx: Column | str = "lat_idx") -> Column:
-        return F.cos(F.radians(self.lat(idx)))
+    def lon(self, idx: str = "lon_idx") -> Column:
+        return F.expr(f"({self.lon0!r}D + {idx} * {self.dlon!r}D)")
 
-    def area_weight(self, idx: Column | str = "lat_idx") -> Column:
-        return F.greatest(F.lit(0.0), self.cos_lat(idx))
+    def cos_lat(self, idx: str = "lat_idx") -> Column:
+        return F.expr(f"cos(radians({self._lat_sql(idx)}))")
 
-    def is_pole(self, idx: Column | str = "lat_idx") -> Column:
-        return self.cos_lat(idx) < F.lit(POLE_COS)
+    def area_weight(self, idx: str = "lat_idx") -> Column:
+        return F.expr(f"greatest(0.0D, cos(radians({self._lat_sql(idx)})))")
+
+    def is_pole(self, idx: str = "lat_idx") -> Column:
+        return F.expr(f"cos(radians({self._lat_sql(idx)})) < {POLE_COS!r}D")
 
     def row_of(self, lat: Column) -> Column:
         """Fractional row of a latitude."""
@@ -79,13 +83,16 @@ class GridSpec:
     def cells(self) -> int:
         return self.nlat * self.nlon
 
-    def level_pos(self, level: Column | str = "level") -> Column:
+    @property
+    def levels_sql(self) -> str:
+        return f"array({', '.join(str(int(p)) for p in self.levels)})"
+
+    def level_pos(self, level: str = "level") -> Column:
         """0-based position of a level on the axis; NULL when it is not on it."""
-        pos = F.array_position(F.array(*[F.lit(int(p)) for p in self.levels]), _c(level))
-        return F.when(pos > 0, (pos - 1).cast("int"))
+        return F.expr(f"CAST(nullif(array_position({self.levels_sql}, {level}), 0) - 1 AS INT)")
 
     def level_array(self) -> Column:
-        return F.array(*[F.lit(int(p)) for p in self.levels])
+        return F.expr(self.levels_sql)
 
     def on_axis(self, df: DataFrame) -> DataFrame:
         """Keep only rows on the fixed levels (levels appended later are not on the axis)."""
@@ -134,10 +141,6 @@ class GridSpec:
         return F.sequence(F.lit(0), F.lit((self.nlat if axis == "lat_idx" else self.nlon) - 1))
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and infinities become NULL in every floating column (done once, on read)."""
     out = []

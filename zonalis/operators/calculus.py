@@ -21,68 +21,79 @@ from zonalis.grid import GridSpec
 class Axis:
     """Guarded neighbour access along one index column inside a slice."""
 
-    def __init__(self, index: Column, partition: Sequence[str], last: int):
-        self.index, self.last = index, last
+    def __init__(self, index: str, partition: Sequence[str], last: int):
+        self.name, self.last = index, last
+        self.index = F.col(index)
         self.window = W.partitionBy(*partition).orderBy(index)
+        self._adjacent: dict[int, Column] = {}
+        self.edges = {-1: F.expr(f"{index} = 0"), 1: F.expr(f"{index} = {last}")}
+
+    def _there(self, offset: int) -> Column:
+        """Whether the row ``offset`` away is the grid point ``offset`` away."""
+        if offset not in self._adjacent:
+            moved = (F.lag if offset < 0 else F.lead)(self.index, abs(offset)).over(self.window)
+            self._adjacent[offset] = moved == F.expr(f"{self.name} + {offset}")
+        return self._adjacent[offset]
 
     def at(self, value: Column, offset: int) -> Column:
         if offset == 0:
             return value
         step = F.lag if offset < 0 else F.lead
-        n = abs(offset)
-        there = step(self.index, n).over(self.window) == self.index + offset
-        return F.when(there, step(value, n).over(self.window))
+        return F.when(self._there(offset), step(value, abs(offset)).over(self.window))
 
     def clamped(self, value: Column, offset: int) -> Column:
-        """Neighbour, or the point itself at the end of the axis."""
-        edge = self.index == (0 if offset < 0 else self.last)
-        return F.when(edge, value).otherwise(self.at(value, offset))
+        """Neighbour one step away, or the point itself at the end of the axis."""
+        return F.when(self.edges[offset], value).otherwise(self.at(value, offset))
+
+    def across(self, value: Column) -> Column:
+        """Lower-index neighbour minus higher-index neighbour, one-sided at the ends."""
+        return self.clamped(value, -1) - self.clamped(value, 1)
 
-    def spacing(self) -> Column:
-        """Index distance between the two clamped neighbours."""
-        return (F.least(self.index + 1, F.lit(self.last)) - F.greatest(self.index - 1, F.lit(0)))
+    @property
+    def spacing(self) -> str:
+        """SQL for the index distance between the two clamped neighbours."""
+        return f"(least({self.name} + 1, {self.last}) - greatest({self.name} - 1, 0))"
 
 
 def lat_axis(spec: GridSpec, partition: Sequence[str]) -> Axis:
-    return Axis(F.col("lat_idx"), partition, spec.nlat - 1)
+    return Axis("lat_idx", partition, spec.nlat - 1)
 
 
 def level_axis(spec: GridSpec, partition: Sequence[str]) -> Axis:
     """Needs a ``lev_idx`` column, see ``with_level_index``."""
-    return Axis(F.col("lev_idx"), partition, len(spec.levels) - 1)
+    return Axis("lev_idx", partition, len(spec.levels) - 1)
 
 
 def with_level_index(df: DataFrame, spec: GridSpec) -> DataFrame:
-    return df.withColumn("lev_idx", spec.level_pos()).where(F.col("lev_idx").isNotNull())
+    return df.withColumn("lev_idx", spec.level_pos()).where("lev_idx IS NOT NULL")
 
 
 def d_dy(value: Column, axis: Axis, spec: GridSpec) -> Column:
     """Northward derivative per metre, one-sided at the poles."""
-    dy = axis.spacing() * F.lit(EARTH_RADIUS * spec.dlat_rad)
-    return (axis.clamped(value, -1) - axis.clamped(value, 1)) / dy
+    return axis.across(value) / F.expr(f"{axis.spacing} * {EARTH_RADIUS * spec.dlat_rad!r}D")
 
 
 def d_dphi(value: Column, axis: Axis, spec: GridSpec) -> Column:
     """Northward derivative per radian of latitude."""
-    return (axis.clamped(value, -1) - axis.clamped(value, 1)) / (axis.spacing() * F.lit(spec.dlat_rad))
+    return axis.across(value) / F.expr(f"{axis.spacing} * {spec.dlat_rad!r}D")
 
 
-def _level_at(spec: GridSpec, pos: Column) -> Column:
-    return F.element_at(spec.level_array(), pos + 1)
+def _level_sql(spec: GridSpec, pos: str) -> str:
+    return f"element_at({spec.levels_sql}, {pos} + 1)"
 
 
 def d_dp(value: Column, axis: Axis, spec: GridSpec) -> Column:
     """Derivative per Pa on the unevenly spaced levels, one-sided at top and bottom."""
-    above = F.greatest(axis.index - 1, F.lit(0))
-    below = F.least(axis.index + 1, F.lit(axis.last))
-    dp = (_level_at(spec, below) - _level_at(spec, above)) * F.lit(100.0)
-    return (axis.clamped(value, 1) - axis.clamped(value, -1)) / dp
+    above, below = f"greatest({axis.name} - 1, 0)", f"least({axis.name} + 1, {axis.last})"
+    minus_dp = F.expr(f"({_level_sql(spec, above)} - {_level_sql(spec, below)}) * 100.0D")
+    return axis.across(value) / minus_dp
 
 
 def layer_above(value: Column, axis: Axis, spec: GridSpec) -> Column:
     """Trapezoid of the layer between the level above and this one, NULL if either is."""
-    dp = (_level_at(spec, axis.index) - _level_at(spec, F.greatest(axis.index - 1, F.lit(0)))) * F.lit(100.0)
-    return F.when(axis.index > 0, F.lit(0.5) * (axis.at(value, -1) + value) * dp)
+    above = _level_sql(spec, f"greatest({axis.name} - 1, 0)")
+    half_dp = F.expr(f"CASE WHEN {axis.name} > 0 THEN ({_level_sql(spec, axis.name)} - {above}) * 50.0D END")
+    return (axis.at(value, -1) + value) * half_dp
 
 
 def integrate_p(df: DataFrame, keys: Sequence[str], values: Sequence[str], spec: GridSpec) -> DataFrame:
@@ -99,16 +110,16 @@ def accumulate_p(value: Column, axis: Axis, spec: GridSpec) -> Column:
     layer = layer_above(value, axis, spec)
     total = F.sum(F.coalesce(layer, F.lit(0.0))).over(
         axis.window.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return F.when(axis.index == 0, F.lit(0.0)).when(layer.isNotNull(), total)
+    return F.when(axis.edges[-1], F.lit(0.0)).when(layer.isNotNull(), total)
 
 
 def _smooth(value: Column, axis: Axis, weights: dict[int, int]) -> Column:
-    num, den = F.lit(0.0), F.lit(0.0)
-    for off, wt in weights.items():
-        v = axis.at(value, off)
-        num = num + F.coalesce(v * F.lit(float(wt)), F.lit(0.0))
-        den = den + F.when(v.isNotNull(), F.lit(float(wt))).otherwise(F.lit(0.0))
-    return num / F.nullif(den, F.lit(0.0))
+    pairs = F.array(*[F.struct(axis.at(value, off).alias("v"), F.lit(float(wt)).alias("w"))
+                      for off, wt in weights.items()])
+    present = F.filter(pairs, lambda x: x["v"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+    return F.aggregate(present, zero, lambda a, x: F.struct((a["n"] + x["v"] * x["w"]).alias("n"), (a["d"] + x["w"]).alias("d")),
+                       lambda a: a["n"] / F.nullif(a["d"], F.lit(0.0)))
 
 
 def smooth_lat(df: DataFrame, value: str, keys: Sequence[str], spec: GridSpec, passes: int = 3) -> DataFrame:
@@ -136,7 +147,7 @@ def d_dlambda(value: Column, row_keys: Sequence[str], spec: GridSpec) -> Column:
     def wrapped(edge: int, opposite: int, end) -> Column:
         return F.when((j == edge) & (end(j).over(whole) == opposite), end(value).over(whole))
 
-    axis = Axis(j, row_keys, last)
+    axis = Axis("lon_idx", row_keys, last)
     east = F.coalesce(axis.at(value, 1), wrapped(last, 0, F.first))
     west = F.coalesce(axis.at(value, -1), wrapped(0, last, F.last))
     return (east - west) / F.lit(2.0 * spec.dlon_rad)

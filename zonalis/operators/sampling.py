@@ -217,7 +217,7 @@ def contour_crossings(df: DataFrame, meridian_keys: Sequence[str], value: str, i
           .withColumn("_pk", F.when(adjacent, F.lag("_k").over(w))))
     level = F.when(k > F.col("_pk"), k).otherwise(k + 1) * F.lit(interval)
     t = (level - F.col("_pv")) / F.nullif(v - F.col("_pv"), F.lit(0.0))
-    north = spec.lat(F.col("lat_idx") - 1)
+    north = spec.lat("(lat_idx - 1)")
     lat = north + t * (spec.lat() - north)
     hits = (df.where(k != F.col("_pk"))
             .select(*meridian_keys, "lat_idx", level.alias("contour"), lat.alias("lat")))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from zonalis.grid import GridSpec
 from zonalis.registry import Window30
@@ -26,8 +27,15 @@ SURFACE = ("sst", "msl", "sp", "oro", "tp", "ews", "slhf", "sshf", "ssr", "str",
            "u10", "v10")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A sample table; its schema is read from a footer once per process, not once per use."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def upper_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,74 +43,76 @@ def upper_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upper_from(table(spark, sf_dir, "lineitem"))
 
 
-def upper_from(li: DataFrame) -> DataFrame:
+# The upper-air fields over the columns level, lat, qty, price, disc and tax.
+UPPER_SQL = {
+    "u": "(qty - 25.5D) * 0.7310585786D + 12.3D * sin(radians(lat * 2))",
+    "v": "(disc - 0.05D) * 61.80339887D",
+    "w": "(tax - 0.04D) * 1.414213562D",
+    "t": "300.0D * pow(level / 1000.0D, 0.2854D) + (1000.0D - level) * 0.08D + price * 3.14159265e-5D",
+    "z": "434730.0D * (1.0D - pow(level / 1013.25D, 0.1903D)) + price * 0.0271828183D + 3000.0D * cos(radians(lat))",
+    "q": "exp((level - 1000.0D) / 250.0D) * (qty + 20.0D) * 2.236067977e-4D",
+    "pv": "pow(1000.0D / level, 1.5D) * (disc + 0.05D) * 5.772156649e-6D",
+    "d": "(disc - tax) * 1.618033989e-4D",
+    "vo": "(tax - disc) * 2.718281828e-4D + 1e-5D",
+}
+
+
+def upper_from(li: DataFrame, names: Sequence[str] = UPPER) -> DataFrame:
     """The row-wise mapping alone, for batch and streaming frames."""
-    level = F.element_at(SAMPLE_SPEC.level_array(), F.col("l_linenumber"))
-    p = level / F.lit(1000.0)
-    qty, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    lat = F.lit(90.0) - F.lit(15.0) * F.pmod("l_partkey", F.lit(13))
-    return _placed(li.select(
-        F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), level.alias("level"),
-        F.pmod("l_partkey", F.lit(13)).cast("int").alias("lat_idx"),
-        F.pmod("l_suppkey", F.lit(12)).cast("int").alias("lon_idx"),
-        ((qty - 25.5) * 0.7310585786 + F.lit(12.3) * F.sin(F.radians(lat * 2))).alias("u"),
-        ((disc - 0.05) * 61.80339887).alias("v"),
-        ((tax - 0.04) * 1.414213562).alias("w"),
-        (F.lit(300.0) * F.pow(p, F.lit(0.2854)) + (F.lit(1000.0) - level) * 0.08
-         + price * 3.14159265e-5).alias("t"),
-        (F.lit(434730.0) * (F.lit(1.0) - F.pow(level / F.lit(1013.25), F.lit(0.1903)))
-         + price * 0.0271828183 + F.lit(3000.0) * F.cos(F.radians(lat))).alias("z"),
-        (F.exp((level - F.lit(1000.0)) / F.lit(250.0)) * (qty + 20.0) * 2.236067977e-4).alias("q"),
-        (F.pow(F.lit(1.0) / p, F.lit(1.5)) * (disc + 0.05) * 5.772156649e-6).alias("pv"),
-        ((disc - tax) * 1.618033989e-4).alias("d"),
-        ((tax - disc) * 2.718281828e-4 + F.lit(1e-5)).alias("vo"),
-    ), "year", "month", "level", "lat_idx", "lon_idx")
+    keys = ["year", "month", "level", "lat_idx", "lon_idx"]
+    placed = li.selectExpr(
+        "year(l_shipdate) AS year", "month(l_shipdate) AS month",
+        f"element_at({SAMPLE_SPEC.levels_sql}, l_linenumber) AS level",
+        "CAST(pmod(l_partkey, 13) AS INT) AS lat_idx", "CAST(pmod(l_suppkey, 12) AS INT) AS lon_idx",
+        "90.0D - 15.0D * pmod(l_partkey, 13) AS lat", "l_quantity AS qty", "l_extendedprice AS price",
+        "l_discount AS disc", "l_tax AS tax")
+    return _placed(placed.selectExpr(*keys, *[f"{UPPER_SQL[n]} AS {n}" for n in names]), *keys)
 
 
 def _placed(df: DataFrame, *keys: str) -> DataFrame:
     """Samples without a place in time or space are no samples. Saying so at the source also
     lets both sides of a join of a field with its own aggregate share one scan and shuffle."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return df.where(cond)
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
 
 
 def upper_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = UPPER) -> DataFrame:
     """(year, month, level, lat_idx, lon_idx) with source-unit fields."""
-    return (upper_samples(spark, sf_dir).groupBy("year", "month", "level", "lat_idx", "lon_idx")
+    samples = upper_from(table(spark, sf_dir, "lineitem"), fields)
+    return (samples.groupBy("year", "month", "level", "lat_idx", "lon_idx")
             .agg(*[F.avg(f).alias(f) for f in fields]))
 
 
-def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    x = F.col("o_totalprice") / F.lit(1e5)                       # 0 .. 5
-    row = F.pmod("o_custkey", F.lit(13)).cast("int")
-    lat = F.lit(90.0) - row * F.lit(15.0)
-    warm = F.cos(F.radians(lat))
-    col = F.pmod("o_orderkey", F.lit(12)).cast("int")
-    return _placed(o.select(
-        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
-        row.alias("lat_idx"), col.alias("lon_idx"),
-        (F.lit(272.0) + warm * 29.0 + x * 0.577215665).alias("sst"),
-        (F.lit(100500.0) + x * 314.159265).alias("msl"),
-        (F.lit(98000.0) + x * 271.828183).alias("sp"),
-        (F.lit(9000.0) + F.sin(F.radians(col * F.lit(60.0))) * 4000.0 + x * 141.421356).alias("oro"),
-        (x * 1.7320508e-3).alias("tp"),
-        ((x - 2.5) * 4472.135955).alias("ews"),
-        (x * -1234567.0).alias("slhf"),
-        ((x - 1.0) * -345678.9).alias("sshf"),
-        (warm * 1.6e7 + x * 234567.8).alias("ssr"),
-        (x * -654321.0 - F.lit(2e6)).alias("str"),
-        (warm * 3.0e7 + x * 12345.6).alias("tisr"),
-        (x * -1111111.0 - F.lit(1.7e7)).alias("ttr"),
-        ((x - 2.5) * 3.3166248).alias("u10"),
-        ((F.lit(2.5) - x) * 1.4422496).alias("v10"),
-    ), "year", "month", "lat_idx", "lon_idx")
+# The surface fields over x (order value, 0 to 5), warm (cosine of latitude) and lon_idx.
+SURFACE_SQL = {
+    "sst": "272.0D + warm * 29.0D + x * 0.577215665D",
+    "msl": "100500.0D + x * 314.159265D",
+    "sp": "98000.0D + x * 271.828183D",
+    "oro": "9000.0D + sin(radians(lon_idx * 60.0D)) * 4000.0D + x * 141.421356D",
+    "tp": "x * 1.7320508e-3D",
+    "ews": "(x - 2.5D) * 4472.135955D",
+    "slhf": "x * -1234567.0D",
+    "sshf": "(x - 1.0D) * -345678.9D",
+    "ssr": "warm * 1.6e7D + x * 234567.8D",
+    "str": "x * -654321.0D - 2e6D",
+    "tisr": "warm * 3.0e7D + x * 12345.6D",
+    "ttr": "x * -1111111.0D - 1.7e7D",
+    "u10": "(x - 2.5D) * 3.3166248D",
+    "v10": "(2.5D - x) * 1.4422496D",
+}
+
+
+def surface_samples(spark: SparkSession, sf_dir: str, names: Sequence[str] = SURFACE) -> DataFrame:
+    """One row per order, fields in source units."""
+    keys = ["year", "month", "lat_idx", "lon_idx"]
+    placed = table(spark, sf_dir, "orders").selectExpr(
+        "year(o_orderdate) AS year", "month(o_orderdate) AS month", "CAST(pmod(o_custkey, 13) AS INT) AS lat_idx",
+        "CAST(pmod(o_orderkey, 12) AS INT) AS lon_idx", "o_totalprice / 1e5D AS x",
+        "cos(radians(90.0D - 15.0D * pmod(o_custkey, 13))) AS warm")
+    return _placed(placed.selectExpr(*keys, *[f"{SURFACE_SQL[n]} AS {n}" for n in names]), *keys)
 
 
 def surface_monthly(spark: SparkSession, sf_dir: str, fields: Sequence[str] = SURFACE) -> DataFrame:
-    return (surface_samples(spark, sf_dir).groupBy("year", "month", "lat_idx", "lon_idx")
+    return (surface_samples(spark, sf_dir, fields).groupBy("year", "month", "lat_idx", "lon_idx")
             .agg(*[F.avg(f).alias(f) for f in fields]))
 
 
