@@ -69,9 +69,10 @@ def budget_terms(grid: DataFrame, spec: GridSpec, budget: Budget, keys: Sequence
     ``total`` counts missing terms as zero, so it is 0 at the poles and, like the
     residual (its negative), takes part in the smoothing there.
     """
-    raw = spec.fill(raw_terms(grid, spec, budget, keys), keys, ["level", "lat_idx"])
+    raw = raw_terms(grid, spec, budget, keys)
     total = sum((F.coalesce(F.col(t), F.lit(0.0)) for t in TERMS), F.lit(0.0))
     wide = raw.withColumn("total", total).withColumn(budget.residual, -F.col("total"))
+    # One exchange by (slice, term) serves the latitude and the level windows that follow.
     long = (wide.unpivot([*keys, "level", "lat_idx"], [*TERMS, "total", budget.residual], "term", "value")
             .repartition(*[F.col(k) for k in keys], F.col("term")))
     long = calculus.smooth_lat(calculus.with_level_index(long, spec), "value", [*keys, "term", "level"], spec)

@@ -1,8 +1,8 @@
 """Zonal-mean diagnostics on the (level, latitude) plane.
 
 Each starts with one aggregation from cells to (slice, level, latitude). From there on the
-data are slices x levels x latitudes rows; they are hash-partitioned by slice once, and all
-derivatives and integrals run on that partitioning.
+data are slices x levels x latitudes rows; they are hash-partitioned by slice once, when the
+panel is completed, and all derivatives and integrals run on that partitioning.
 """
 
 from __future__ import annotations
@@ -26,8 +26,13 @@ SLICE = ("month",)
 def zonal_table(grid: DataFrame, keys: Sequence[str], means: Sequence[str], spec: GridSpec,
                 covariances: dict[str, tuple[str, str]] | None = None,
                 form: str = "departures") -> DataFrame:
+    """Zonal moments on the full (level, latitude) panel of each slice.
+
+    Rows without data are present as NULL: a derivative exists wherever its two neighbours
+    do, whether or not the point itself has a value.
+    """
     z = reduce.zonal_moments(spec.on_axis(grid), [*keys, "level", "lat_idx"], means, covariances, form)
-    return with_level_index(z, spec).repartition(*[F.col(k) for k in keys])
+    return with_level_index(spec.fill(z, keys, ["level", "lat_idx"]), spec)
 
 
 def _axes(spec: GridSpec, keys: Sequence[str]):
@@ -48,8 +53,8 @@ def absolute_momentum(u: Column, spec: GridSpec) -> Column:
 
 
 def angular_momentum(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLICE, u: str = "u") -> DataFrame:
-    """1e9 m2/s; needs no neighbours, so the zonal mean is its only shuffle."""
-    z = reduce.zonal_mean(spec.on_axis(grid), [*keys, "level", "lat_idx"], [u])
+    """1e9 m2/s."""
+    z = zonal_table(grid, keys, [u], spec)
     return z.select(*keys, "level", "lat_idx", (absolute_momentum(F.col(u), spec) / 1e9).alias("value"))
 
 
