@@ -31,9 +31,9 @@ def parse_psl(lines: DataFrame) -> DataFrame:
     df = lines.where(F.length(F.trim("value")) > 0)
     first = df.groupBy("id").agg(F.min("line_no").alias("_first"))
     df = (df.join(first, "id").where(F.col("line_no") > F.col("_first"))
-          .withColumn("_p", _words()).withColumn("_year", F.element_at("_p", 1).try_cast("int")))
+          .withColumn("_p", _words()).withColumn("_year", F.try_element_at("_p", F.lit(1)).try_cast("int")))
     is_data = (F.size("_p") >= 13) & F.col("_year").isNotNull()
-    footer = (df.where((F.size("_p") == 1)).select("id", F.element_at("_p", 1).try_cast("double").alias("s"))
+    footer = (df.where((F.size("_p") == 1)).select("id", F.try_element_at("_p", F.lit(1)).try_cast("double").alias("s"))
               .where(F.col("s").isNotNull()).groupBy("id").agg(F.collect_set("s").alias("_extra")))
     known = F.array(*[F.lit(s) for s in SENTINELS])
     rows = (df.where(is_data).select("id", F.col("_year").alias("year"),
@@ -49,10 +49,10 @@ def parse_cpc_seasonal(lines: DataFrame) -> DataFrame:
     """``SEAS YR ANOM`` rows anchored on the centre month of the season."""
     pairs = [x for k, m in SEASON_CENTER.items() for x in (F.lit(k), F.lit(m))]
     df = lines.withColumn("_p", _words()).where(F.size("_p") == 3)
-    month = F.element_at(F.create_map(*pairs), F.element_at("_p", 1))
-    v = F.element_at("_p", 3).try_cast("double")
+    month = F.element_at(F.create_map(*pairs), F.try_element_at("_p", F.lit(1)))
+    v = F.try_element_at("_p", F.lit(3)).try_cast("double")
     known = F.array(*[F.lit(s) for s in SENTINELS])
-    return (df.select("id", F.element_at("_p", 2).try_cast("int").alias("year"), month.alias("month"),
+    return (df.select("id", F.try_element_at("_p", F.lit(2)).try_cast("int").alias("year"), month.alias("month"),
                       v.alias("_v"))
             .where("year IS NOT NULL AND month IS NOT NULL AND _v IS NOT NULL")
             .select("id", "year", "month", F.when(~is_missing(F.col("_v"), known), F.col("_v")).alias("value")))
@@ -67,7 +67,7 @@ def read_text(spark, path: str) -> DataFrame:
     Index files are a few kilobytes, so a file is one record and its lines get their
     numbers from the position inside it.
     """
-    df = spark.read.option("wholetext", "true").text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^/]*$", 1).alias("id"), F.col("value"))
     return df.select("id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 

@@ -62,7 +62,7 @@ def upper_from(li: DataFrame, names: Sequence[str] = UPPER) -> DataFrame:
     keys = ["year", "month", "level", "lat_idx", "lon_idx"]
     placed = li.selectExpr(
         "year(l_shipdate) AS year", "month(l_shipdate) AS month",
-        f"element_at({SAMPLE_SPEC.levels_sql}, l_linenumber) AS level",
+        f"element_at({SAMPLE_SPEC.levels_sql}, least(l_linenumber, 7)) AS level",
         "CAST(pmod(l_partkey, 13) AS INT) AS lat_idx", "CAST(pmod(l_suppkey, 12) AS INT) AS lon_idx",
         "90.0D - 15.0D * pmod(l_partkey, 13) AS lat", "l_quantity AS qty", "l_extendedprice AS price",
         "l_discount AS disc", "l_tax AS tax")
