@@ -77,16 +77,24 @@ def window_weights(event_windows: DataFrame) -> DataFrame:
 
 
 def window_climatologies(monthly: DataFrame, windows: DataFrame, values: Sequence[str],
-                         keys: Sequence[str] = reduce.CELL_KEYS, spread: bool = False) -> DataFrame:
-    """Month-of-year climatology of every window in one pass.
+                         keys: Sequence[str] = reduce.CELL_KEYS) -> DataFrame:
+    """Month-of-year means of every window in one pass.
 
-    Windows overlap, so each row is first folded into its (year, month, cell) and only
-    then copied to the windows that hold its year, a join on year against a short
-    (year, window) list.
+    Windows overlap, so years are first summed in the spans between window edges, where no
+    year counts twice; only those few sums per cell are then copied to the windows that
+    contain them. The window list is short and fixed.
     """
-    pairs = windows.select(F.col("id").alias("window_id"),
-                           F.explode(F.sequence("start", "end")).alias("year"))
-    return reduce.climatology(monthly.join(pairs, "year"), values, ["window_id", *keys], spread)
+    ws = [(r["id"], r["start"], r["end"]) for r in windows.collect()]
+    edges = sorted({s for _, s, _ in ws} | {e + 1 for _, _, e in ws})
+    spans = list(zip(edges, edges[1:]))
+    spark = monthly.sparkSession
+    of_year = spark.createDataFrame([(y, a) for a, b in spans for y in range(a, b)], "year int, span int")
+    of_window = spark.createDataFrame([(a, i) for a, b in spans for i, s, e in ws if s <= a and b - 1 <= e],
+                                      "span int, window_id string")
+    sums = monthly.join(of_year, "year").groupBy("span", "month", *keys).agg(
+        *[F.sum(v).alias(v) for v in values], *[F.count(v).alias(f"_n_{v}") for v in values])
+    return sums.join(of_window, "span").groupBy("window_id", "month", *keys).agg(
+        *[F.try_divide(F.sum(v), F.sum(f"_n_{v}")).alias(v) for v in values])
 
 
 def sliding_reference(clims: DataFrame, weights: DataFrame, values: Sequence[str],

@@ -84,21 +84,22 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str | Column, ranks
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
 
 
-def _floor_rank(p: float) -> Callable[[Column], Column]:
+def floor_rank(p: float) -> Callable[[Column], Column]:
+    """The 0-based rank floor(p*(n-1)), kept inside the group."""
     return lambda n: F.greatest(F.lit(0.0), F.least(n - 1, F.floor(F.lit(p) * (n - 1)).cast("double")))
 
 
 def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float,
                       bin_width: float = 1.0) -> DataFrame:
     """sorted[floor(p*(n-1))] at both ends; groups with no values give (0, 1)."""
-    at = value_at_rank(df, keys, value, {"vmin": _floor_rank(lo), "vmax": _floor_rank(hi)}, bin_width)
+    at = value_at_rank(df, keys, value, {"vmin": floor_rank(lo), "vmax": floor_rank(hi)}, bin_width)
     return at.select(*keys, F.coalesce("vmin", F.lit(0.0)).alias("vmin"), F.coalesce("vmax", F.lit(1.0)).alias("vmax"))
 
 
 def clamped_symmetric_range(df: DataFrame, keys: Sequence[str], value: str, hi: float,
                             bin_width: float = 1.0) -> DataFrame:
     """+- the floor-index percentile of |v|; 1 where that is (almost) zero or absent."""
-    at = value_at_rank(df, keys, F.abs(F.col(value)), {"a": _floor_rank(hi)}, bin_width)
+    at = value_at_rank(df, keys, F.abs(F.col(value)), {"a": floor_rank(hi)}, bin_width)
     a = F.when(F.col("a") >= 1e-12, F.col("a")).otherwise(F.lit(1.0))
     return at.select(*keys, (-a).alias("vmin"), a.alias("vmax"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
-from zonalis.operators import (budgets, calculus, diagnostics, ep_flux, intensity, lorenz, reduce, spectral,
+from zonalis.operators import (budgets, calculus, diagnostics, ep_flux, intensity, lorenz, ranks, reduce, spectral,
                                vertical)
 from zonalis.plans.catalogue.base import (CELL, DYM, ROW, SPEC, SQL_CLIM, SQL_LEVELS, SQL_SAMPLES, SQL_SURFACE, clim,
                                           monthly, query, surface_clim, surface_monthly, with_)
@@ -342,6 +342,35 @@ _register_budget("energy", "h", 3)
 _register_budget("energy", "H", 3, "_form_H")
 
 
+def sql_capped(value: str, source: str, lo: float, hi: float, keys: str = "month") -> str:
+    return f"""
+result AS (SELECT {keys}, greatest({lo}::DOUBLE, least({hi}::DOUBLE,
+  list_sort(list(abs({value})))[CAST(floor(0.95::DOUBLE * (count({value}) - 1)) AS BIGINT) + 1])) AS bound
+  FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys})"""
+
+
+def _capped(df, keys, which, width):
+    at = ranks.value_at_rank(df, keys, F.abs(F.col("value")), {"b": ranks.floor_rank(0.95)}, width)
+    return at.select(*keys, diagnostics.capped_symmetric(F.col("b"), which).alias("bound"))
+
+
+@query("P24_K3_geostrophic_display_bound", "month:i bound:5", BASE + f""",
+g AS (SELECT month, CASE WHEN abs(lat) >= 5 THEN
+  -9.80665::DOUBLE * {sql_dy('z')} / nullif(2 * 7.2921e-5 * sin(radians(lat)), 0) END AS value FROM panel),"""
+       + sql_capped("value", "g", 5, 100))
+def geostrophic_bound(spark, sf):
+    """95th-percentile colour bound, held between 5 and 100 m/s; values stay as they are."""
+    return _capped(diagnostics.geostrophic_wind(clim(spark, sf, "z"), SPEC), ["month"], "geostrophic", 0.1)
+
+
+@query("P24_K7_m_budget_display_bound", "month:i term:s bound:4", BASE + sql_budget("momentum") + f""",
+disp AS (SELECT month, term, {SHOW['momentum', 'u']} AS value FROM terms),"""
+       + sql_capped("value", "disp", 0.3, 30, "month, term"))
+def m_budget_bound(spark, sf):
+    t = budgets.section(budgets.budget_terms(clim(spark, sf, "u", "v", "w"), SPEC, budgets.MOMENTUM), SPEC, budgets.MOMENTUM, "u")
+    return _capped(t, ["month", "term"], "m_budget_u", 0.1)
+
+
 # surface terms -----------------------------------------------------------------------------------------
 @query("K8_friction_torque", "month:i lat_idx:i value:7", with_(SQL_SURFACE) + """,
 result AS (SELECT month, lat_idx, -avg(ews) AS value FROM sclim GROUP BY ALL)""")

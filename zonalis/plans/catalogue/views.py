@@ -115,6 +115,12 @@ def eddy_view(spark, sf):
     return resolve(store(spark, sf, "z"), FieldRequest("z", month=None, level=500, mode="eddy"))
 
 
+@query("D3_zonal_view", OUT + "value:6", with_(SQL_CLIM) + """,
+result AS (SELECT month, lat_idx, lon_idx, avg(z) OVER (PARTITION BY month, lat_idx) AS value FROM clim WHERE level = 500)""")
+def zonal_view(spark, sf):
+    return resolve(store(spark, sf, "z"), FieldRequest("z", month=None, level=500, mode="zonal"))
+
+
 @query("D5_self_anomaly_view", OUT + "value:6", with_(SQL_CLIM) + """,
 a AS (SELECT lat_idx, lon_idx, avg(t) AS m FROM clim WHERE level = 500 GROUP BY ALL),
 result AS (SELECT 7 AS month, lat_idx, lon_idx, t - m AS value FROM clim JOIN a USING (lat_idx, lon_idx) WHERE level = 500 AND month = 7)""")
