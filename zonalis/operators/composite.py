@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.operators import reduce
+from zonalis.registry import Window30
 
 
 def event_years(index: DataFrame, index_id: str, month: int, cmp: str, threshold: float) -> DataFrame:
@@ -41,20 +42,26 @@ def requested_years(spark, years: Sequence[int] | None = None, start: int | None
 def composite_mean(monthly: DataFrame, years: DataFrame, values: Sequence[str],
                    keys: Sequence[str] = reduce.CELL_KEYS) -> DataFrame:
     """Mean over the listed years, missing cells skipped. The semi-join prunes the years
-    before the aggregation."""
-    return reduce.climatology(monthly.join(years.select("year"), "year", "left_semi"), values, keys)
+    before the aggregation; its list has at most one row per calendar year, so it is broadcast
+    and the fields are not shuffled by year."""
+    listed = F.broadcast(years.select("year").distinct())
+    return reduce.climatology(monthly.join(listed, "year", "left_semi"), values, keys)
 
 
-def best_window(years: DataFrame, windows: DataFrame, year: str = "year") -> DataFrame:
+def _packed(windows: Sequence[Window30]) -> Column:
+    """The fixed list of windows as an array literal, by centre."""
+    rows = ", ".join(f"named_struct('center', {w.center!r}D, 'id', '{w.id}', 'start', {w.start}, 'end', {w.end})"
+                     for w in sorted(windows, key=lambda w: w.center))
+    return F.expr(f"array({rows})")
+
+
+def best_window(years: DataFrame, windows: Sequence[Window30], year: str = "year") -> DataFrame:
     """The window whose centre is nearest to each year; of two equally near, the later.
 
     The windows are a fixed list of a few rows, packed into one array per task: no join at
     all, whatever the number of years.
     """
-    ws = [(r["id"], r["start"], r["end"], r["center"]) for r in windows.collect()]
-    packed = F.array(*[F.struct(F.lit(float(c)).alias("center"), F.lit(i).alias("id"),
-                                F.lit(s).alias("start"), F.lit(e).alias("end"))
-                       for i, s, e, c in sorted(ws, key=lambda w: w[3])])
+    packed = _packed(windows)
 
     def nearer(acc: Column, x: Column) -> Column:
         return F.when(F.abs(F.col(year) - x["center"]) <= F.abs(F.col(year) - acc["center"]), x).otherwise(acc)
@@ -76,25 +83,25 @@ def window_weights(event_windows: DataFrame) -> DataFrame:
                     F.count("*").over(whole).alias("n_windows"))
 
 
-def window_climatologies(monthly: DataFrame, windows: DataFrame, values: Sequence[str],
+def window_climatologies(monthly: DataFrame, windows: Sequence[Window30], values: Sequence[str],
                          keys: Sequence[str] = reduce.CELL_KEYS) -> DataFrame:
     """Month-of-year means of every window in one pass.
 
     Windows overlap, so years are first summed in the spans between window edges, where no
     year counts twice; only those few sums per cell are then copied to the windows that
-    contain them. The window list is short and fixed.
+    contain them. The window list is fixed and enters as literals: no join.
     """
-    ws = [(r["id"], r["start"], r["end"]) for r in windows.collect()]
-    edges = sorted({s for _, s, _ in ws} | {e + 1 for _, _, e in ws})
-    spans = list(zip(edges, edges[1:]))
-    spark = monthly.sparkSession
-    of_year = spark.createDataFrame([(y, a) for a, b in spans for y in range(a, b)], "year int, span int")
-    of_window = spark.createDataFrame([(a, i) for a, b in spans for i, s, e in ws if s <= a and b - 1 <= e],
-                                      "span int, window_id string")
-    sums = monthly.join(of_year, "year").groupBy("span", "month", *keys).agg(
-        *[F.sum(v).alias(v) for v in values], *[F.count(v).alias(f"_n_{v}") for v in values])
-    return sums.join(of_window, "span").groupBy("window_id", "month", *keys).agg(
-        *[F.try_divide(F.sum(v), F.sum(f"_n_{v}")).alias(v) for v in values])
+    edges = sorted({w.start for w in windows} | {w.end + 1 for w in windows})
+    cases = " ".join(f"WHEN year >= {a} AND year < {b} THEN {a}" for a, b in zip(edges, edges[1:]))
+    # Years outside every window get no span and leave with the explode below; a filter here would
+    # be pushed to the scan and part it from the one the fields themselves use.
+    sums = (monthly.withColumn("span", F.expr(f"CASE {cases} END"))
+            .groupBy("span", "month", *keys)
+            .agg(*[F.sum(v).alias(v) for v in values], *[F.count(v).alias(f"_n_{v}") for v in values]))
+    holding = F.filter(_packed(windows), lambda w: (w["start"] <= F.col("span")) & (F.col("span") <= w["end"]))
+    return (sums.withColumn("window_id", F.explode(F.transform(holding, lambda w: w["id"])))
+            .groupBy("window_id", "month", *keys)
+            .agg(*[F.try_divide(F.sum(v), F.sum(f"_n_{v}")).alias(v) for v in values]))
 
 
 def sliding_reference(clims: DataFrame, weights: DataFrame, values: Sequence[str],

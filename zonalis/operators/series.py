@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.fields import fractional_year
 from zonalis.grid import GridSpec
 from zonalis.operators import composite, reduce
+from zonalis.registry import Window30
 
 Box = tuple[float, float, float, float]
 
@@ -35,7 +36,7 @@ def series_anomaly(series: DataFrame, clim_series: DataFrame, value: str,
             .withColumn(value, F.col(value) - F.col("_c")).drop("_c"))
 
 
-def series_sliding_anomaly(series: DataFrame, window_series: DataFrame, windows: DataFrame,
+def series_sliding_anomaly(series: DataFrame, window_series: DataFrame, windows: Sequence[Window30],
                            value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Minus the same-month area mean of each year's best-matching window."""
     tagged = composite.best_window(series, windows).drop("win_start", "win_end")

@@ -9,7 +9,6 @@ from zonalis.operators import composite, decompose, reduce, series, vertical
 from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_INDEX, SQL_LEVELS, SQL_SAMPLES, SQL_WINDOWS, WINDOWS, monthly,
                                           query, with_)
 from zonalis.plans.catalogue.diagnostics import sql_isentrope
-from zonalis.registry import window_frame
 from zonalis.sources import indices, tables
 
 KEYS = "month:i level:i lat_idx:i lon_idx:i "
@@ -148,7 +147,7 @@ def derived_composite(spark, sf):
 result AS (SELECT month, lat_idx, lon_idx, avg(u) AS u FROM th0 GROUP BY ALL)""")
 def theta_composite(spark, sf):
     """Each year is put on the surface first; then the years are averaged."""
-    m = monthly(spark, sf, "t", "u").join(_events(spark, sf), "year", "left_semi")
+    m = monthly(spark, sf, "t", "u").join(F.broadcast(_events(spark, sf)), "year", "left_semi")
     on = vertical.on_isentrope(m, ["year", "month", "lat_idx", "lon_idx"], ["u"], 350.0, SPEC)
     return reduce.climatology(on, ["u"], ["lat_idx", "lon_idx"])
 
@@ -172,14 +171,14 @@ result AS (SELECT b.year, window_id, first AS win_start, last AS win_end, count(
   JOIN idx USING (year) JOIN win ON win.id = window_id GROUP BY ALL)""")
 def best_window(spark, sf):
     years = tables.monthly_index(spark, sf).groupBy("year").agg(F.count("*").alias("n"))
-    return composite.best_window(years, window_frame(spark, WINDOWS))
+    return composite.best_window(years, WINDOWS)
 
 
 @query("J8_window_weights", "window_id:s n:l weight:8", with_(SQL_INDEX, SQL_WINDOWS, SQL_BEST, SQL_EVENTS) + """,
 result AS (SELECT window_id, count(*) AS n, count(*) / (SELECT count(*) FROM ev)::DOUBLE AS weight
   FROM ev JOIN best USING (year) GROUP BY ALL)""")
 def window_weights(spark, sf):
-    return composite.window_weights(composite.best_window(_events(spark, sf), window_frame(spark, WINDOWS)))
+    return composite.window_weights(composite.best_window(_events(spark, sf), WINDOWS))
 
 
 @query("D10_J8_sliding_composite_anomaly", KEYS + "t:6",
@@ -192,7 +191,7 @@ e AS (SELECT month, level, lat_idx, lon_idx, avg(t) AS t FROM mon SEMI JOIN ev U
 result AS (SELECT month, level, lat_idx, lon_idx, t - c AS t FROM e LEFT JOIN ref USING (month, level, lat_idx, lon_idx))""")
 def sliding_composite_anomaly(spark, sf):
     """One climatology per window, weighted by the events that fall to it."""
-    m, w = monthly(spark, sf, "t"), window_frame(spark, WINDOWS)
+    m, w = monthly(spark, sf, "t"), WINDOWS
     ev = _events(spark, sf)
     weights = composite.window_weights(composite.best_window(ev, w))
     ref = composite.sliding_reference(composite.window_climatologies(m, w, ["t"]), weights, ["t"])
@@ -204,7 +203,7 @@ wc AS (SELECT w.id AS window_id, month, level, lat_idx, lon_idx, avg(t) AS c FRO
 result AS (SELECT year, month, level, lat_idx, lon_idx, t - c AS t FROM mon JOIN best USING (year)
   LEFT JOIN wc USING (window_id, month, level, lat_idx, lon_idx))""")
 def best_match_anomaly(spark, sf):
-    m, w = monthly(spark, sf, "t"), window_frame(spark, WINDOWS)
+    m, w = monthly(spark, sf, "t"), WINDOWS
     tagged = composite.best_window(m, w)
     return decompose.anomaly(tagged, composite.window_climatologies(m, w, ["t"]), ["window_id", "month", *CELL], "t")
 
@@ -250,7 +249,7 @@ cs AS (SELECT window_id, level, month, sum(t * cos(radians(90.0 - 15.0 * lat_idx
 result AS (SELECT s.level, s.year, s.month, window_id, t_mean - c AS t_mean FROM ser s JOIN best USING (year)
   LEFT JOIN cs USING (window_id, level, month))""")
 def sliding_series(spark, sf):
-    w = window_frame(spark, WINDOWS)
+    w = WINDOWS
     wc = composite.window_climatologies(monthly(spark, sf, "t"), w, ["t"]).withColumnRenamed("t", "t_mean")
     ws = reduce.box_mean(wc, SPEC, ["level", "window_id", "month"], ["t_mean"], BOX)
     return series.series_sliding_anomaly(_series(spark, sf), ws, w, "t_mean", ["level"])

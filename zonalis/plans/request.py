@@ -18,7 +18,7 @@ from zonalis.constants import PRESSURE_LEVELS, THETA_LEVELS
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec
 from zonalis.operators import composite, decompose, ranks, reduce, vertical
-from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, Window30, shear_levels, window_frame
+from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, Window30, shear_levels
 
 KEYS = ["month", "lat_idx", "lon_idx"]
 
@@ -191,7 +191,7 @@ def base_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     if req.year is not None:
         out = _evaluate(df.where(F.col("year") == req.year), by_year, req, store.spec).drop("year")
     elif req.composite:
-        df = df.join(_years_of(store, req), "year", "left_semi")
+        df = df.join(F.broadcast(_years_of(store, req)), "year", "left_semi")      # calendar years: a short list
         out = reduce.climatology(_evaluate(df, by_year, req, store.spec), ["value"], KEYS[1:])
     else:
         df = df.where(F.col("year").between(*store.period_years(req.period)))
@@ -239,8 +239,7 @@ def reference_field(store: FieldStore, req: FieldRequest) -> DataFrame:
 def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     """Event-weighted climatology; months in which a needed window has no field at all use the
     fixed climatology instead."""
-    spark = store.monthly.sparkSession
-    w = window_frame(spark, store.windows)
+    w = store.windows
     weights = composite.window_weights(composite.best_window(_years_of(store, req), w))
     df = _inputs(store, req)
     months = _months(req)
