@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.fields import celsius, mixing_ratio_gkg
 from zonalis.grid import GridSpec
+from zonalis.session import ship_package
 
 # Thermodynamic constants of the published scheme.
 CPD, CPV, CL, RV, RD, ALV0 = 1005.7, 1870.0, 2500.0, 461.5, 287.04, 2.501e6
@@ -189,6 +190,7 @@ def maximum_potential_intensity(profiles: DataFrame, keys: Sequence[str], spec:
             out["converged"] = ok
             yield out
 
+    ship_package(profiles.sparkSession)
     types = dict(profiles.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", mpi double, pmin double, converged boolean"
     solved = profiles.mapInPandas(solve, schema)

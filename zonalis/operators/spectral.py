@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from zonalis.constants import EARTH_RADIUS
 from zonalis.grid import GridSpec, nan_to_null
+from zonalis.session import ship_package
 
 
 def _legendre(sin_lat: np.ndarray, cos_lat: np.ndarray, m: int, n_max: int) -> np.ndarray:
@@ -97,6 +98,7 @@ def helmholtz(grid: DataFrame, keys: Sequence[str], spec: GridSpec, truncation:
             out[k] = pdf[k].iloc[0]
         return out
 
+    ship_package(grid.sparkSession)
     types = dict(grid.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", lat_idx int, lon_idx int, chi double, psi double"
     cols = grid.select(*keys, "lat_idx", "lon_idx", "u", "v")

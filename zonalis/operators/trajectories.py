@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from zonalis.constants import EARTH_RADIUS
 from zonalis.grid import GridSpec
+from zonalis.session import ship_package
 
 DT_HOURS, MAX_AGE_STEPS, PARCEL_POLE, PARCEL_COS = 6.0, 120, 88.0, 0.05
 LINE_STEPS, LINE_STEP, LINE_POLE, LINE_COS = 90, 0.004, 83.0, 0.08
@@ -103,6 +104,7 @@ def _blocks(seeds: DataFrame, keys: Sequence[str], block_size: int) -> DataFrame
 def _trace(seeds: DataFrame, wind: DataFrame, keys: Sequence[str], names: Sequence[str],
            carried: Sequence[str], out_schema: str, advance: Callable, block_size: int) -> DataFrame:
     keys = list(keys)
+    ship_package(seeds.sparkSession)
     seeds = _blocks(seeds.select(*keys, "pid", *carried), keys, block_size)
     groups = [*keys, "_block"]
     needed = wind.select(*keys, "level", "lat_idx", "lon_idx", *names)

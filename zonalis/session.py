@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +50,18 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, for tests that inspect written files."""
-    return os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of every executor.
+
+    Called by the operators that run Python in tasks. By reference rather than pickled by
+    value, so that a reused worker keeps what it cached (the spectral tables of a grid).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="zonalis-"), "zonalis-package")
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(sc.applicationId)

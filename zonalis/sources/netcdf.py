@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from zonalis.grid import nan_to_null
+from zonalis.session import ship_package
 from zonalis.sources.fields import AXIS_ALIASES, MONTHLY_SCHEMA, pick_variable
 
 
@@ -37,6 +38,7 @@ def read_netcdf(spark: SparkSession, path: str, short: str, group: str) -> DataF
                             "month": when.month, "lat_idx": [i for i in range(n) for _ in range(m)],
                             "lon_idx": list(range(m)) * n, "value": tile.ravel().astype(float)})
 
+    ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.nc")
              .option("recursiveFileLookup", "true").load(path).select("content"))
     return nan_to_null(files.mapInPandas(decode, MONTHLY_SCHEMA))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from zonalis.constants import MISSING_CODE, QUANT_STEPS
 from zonalis.grid import GridSpec, nan_to_null
+from zonalis.session import ship_package
 
 
 def tile_ranges(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -68,6 +69,7 @@ def read_float32(spark: SparkSession, path: str, spec: GridSpec, glob: str = "*.
                 i, j = np.divmod(np.arange(v.size, dtype="int32"), np.int32(nlon))
                 yield pd.DataFrame({"path": p, "lat_idx": i, "lon_idx": j, "value": v})
 
+    ship_package(spark)
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", "true").load(path).select("path", "content"))
     return nan_to_null(raw.mapInPandas(decode, "path string, lat_idx int, lon_idx int, value double"))
@@ -104,4 +106,5 @@ def write_float32(tiles: DataFrame, name: str, folder: str) -> int:
                     f.write(v.tobytes())
             yield pd.DataFrame({"n": [len(pdf)]})
 
+    ship_package(tiles.sparkSession)
     return tiles.select(name, "values").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
