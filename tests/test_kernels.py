@@ -128,3 +128,53 @@ def test_nice_ticks(lo, hi):
     assert all(lo - 1e-9 <= x <= hi + 1e-9 for x in t) and 2 <= len(t) <= 12
     assert (0.0 in t) == (lo <= 0 <= hi)
     assert padded_range([1.0, 2.0], False) == (0.94, 2.06) and padded_range([-1.0, 3.0], True) == (-3.0, 3.0)
+
+
+def _brute_wind(cube, spec, lat, lon, p):
+    """Scalar trilinear sample, None outside."""
+    lev = spec.levels
+    if not (lev[0] <= p <= lev[-1]) or not (-90 <= lat <= 90):
+        return None
+    k = max((i for i in range(len(lev)) if lev[i] < p), default=0)
+    k1 = min(k + 1, len(lev) - 1)
+    fk = math.log(p / lev[k]) / math.log(lev[k1] / lev[k]) if k1 != k else 0.0
+    r, q = (spec.lat0 - lat) / spec.dlat, ((lon - spec.lon0) % 360) / spec.dlon
+    i, j = int(r), int(q) % spec.nlon
+    i1, j1 = min(i + 1, spec.nlat - 1), (j + 1) % spec.nlon
+    fi, fj = r - int(r), q - int(q)
+    out = []
+    for c in range(3):
+        def at(k):
+            top = cube[k, i, j][c] * (1 - fj) + cube[k, i, j1][c] * fj
+            low = cube[k, i1, j][c] * (1 - fj) + cube[k, i1, j1][c] * fj
+            return top * (1 - fi) + low * fi
+        out.append(at(k) * (1 - fk) + at(k1) * fk)
+    return out
+
+
+def test_parcels_against_a_scalar_integration(spark):
+    g = grid(spark, SMALL, lambda m, p, la, lo: (15 * cosd(la) + p / 100, 4 * math.sin(math.radians(2 * lo)), 0.02 * cosd(lo)),
+             names=("u", "v", "w"))
+    cube = {(SMALL.levels.index(r["level"]), r["lat_idx"], r["lon_idx"]): (r["u"], r["v"], r["w"]) for r in g.collect()}
+    starts = [(1, 12.0, 100.0, 600.0), (2, -47.0, 175.0, 300.0), (3, 80.0, -20.0, 900.0)]
+    seeds = spark.createDataFrame([(i, 1, la, lo, p) for i, la, lo, p in starts], "pid long, month int, lat double, lon double, p double")
+    got = {(r["pid"], r["step"]): r for r in trajectories.parcels(seeds, g, SMALL, steps=30).collect()}
+    n = 0
+    for pid, lat, lon, p in starts:
+        for step in range(31):
+            r = got.get((pid, step))
+            if lat is None:
+                assert r is None
+                continue
+            assert abs(r["lat"] - lat) < 1e-8 and abs((r["lon"] - lon + 180) % 360 - 180) < 1e-8 and abs(r["p"] - p) < 1e-8
+            n += 1
+            dt, deg, a = 21600.0, 180 / math.pi, K.EARTH_RADIUS
+            s = _brute_wind(cube, SMALL, lat, lon, p)
+            half = s and (lat + dt / 2 * s[1] / a * deg, lon + dt / 2 * s[0] / (a * max(.05, cosd(lat))) * deg, p + dt / 2 * s[2] / 100)
+            t = half and _brute_wind(cube, SMALL, *half)
+            if not t:
+                lat = None
+                continue
+            new = (lat + dt * t[1] / a * deg, (lon + dt * t[0] / (a * max(.05, cosd(half[0]))) * deg + 180) % 360 - 180, p + dt * t[2] / 100)
+            lat, lon, p = new if abs(new[0]) <= 88 and SMALL.levels[0] <= new[2] <= SMALL.levels[-1] else (None, None, None)
+    assert n > 60
