@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from zonalis.llm.bpe import op2_bpe
+from zonalis.llm.language import op5_language
+from zonalis.llm.secret_scan import op3_secrets
 
-QUERIES = {f.__name__: f for f in (op2_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_secrets, op5_language)}
 ORACLES: dict[str, str] = {}
