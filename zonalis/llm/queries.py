@@ -2,7 +2,9 @@
 
 from zonalis.llm.bpe import op2_bpe
 from zonalis.llm.language import op5_language
+from zonalis.llm.mixing import op10_mix
+from zonalis.llm.simhash import op9_simhash
 from zonalis.llm.secret_scan import op3_secrets
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_secrets, op5_language)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_secrets, op5_language, op9_simhash, op10_mix)}
 ORACLES: dict[str, str] = {}
