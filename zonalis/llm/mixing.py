@@ -61,13 +61,14 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, target) from one row per source with its ``source_size``.
+    """(source, source_size, start, target) from one row per source with its ``source_size``.
 
-    Sources are ranked by name to get their weights. With the sources in order of limit / weight,
-    those whose limit lies below the share that the rest would get are at their limit; all others
-    share what remains by weight. This is where resharing the excess again and again ends.
+    ``start`` is the size of all sources before. Sources are ranked by name to get their weights. With
+    the sources in order of limit / weight, those whose limit lies below the share that the rest
+    would get are at their limit; all others share what remains by weight. This is where resharing
+    the excess again and again ends.
     """
-    ranked = running_sums(sizes, nulls_last("source"), {"_rank": F.lit(1)}, "mix-ranks")
+    ranked = running_sums(sizes, nulls_last("source"), {"_rank": F.lit(1), "start": F.col("source_size")}, "mix-ranks")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     each = ranked.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(epochs)))
     by_limit = running_sums(each, [(F.col("_cap") / F.col("_w")), F.col("_rank")],
@@ -78,7 +79,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     free = at.where(F.col("_cap") / F.col("_w") > F.col("_share"))
     level = free.agg(F.min_by("_share", "_caps").alias("_level"))                     # of the first source below its limit
     target = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
-    return at.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"))
+    return at.crossJoin(F.broadcast(level)).select("source", "source_size", "start", target.alias("target"))
 
 
 def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", seed: int = 0,
@@ -89,31 +90,33 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     """
     held = (docs.withColumn("_size", size).drop("size", "source_size", "target", "taken", "copies", "cut_words")
             .withColumnRenamed("_size", "size"))
+    per = stored(held.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources")
+    goals = targets(per, weights, epochs).withColumnRenamed("source", "_source")
     order = [*nulls_last(source), F.xxhash64(F.col(key), F.lit(seed)), *nulls_last(key), F.col("size")]
-    placed = stored(running_sums(held, order, {"_before": F.col("size")}, "mix-sorted"), "mix-places")
-    per = placed.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.min("_before").alias("_start"))
-    goals = targets(per.select("source", "source_size"), weights, epochs)
-    return _cut(placed, per, goals, source)
-
-
-def _cut(placed: DataFrame, per: DataFrame, goals: DataFrame, source: str) -> DataFrame:
-    plan = (per.drop("source_size").withColumnRenamed("source", "_s")
-            .join(goals, F.col("_s").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("_s", "_source"))
-    joined = placed.join(plan, F.col(source).eqNullSafe(F.col("_source")))
+    placed = running_sums(held, order, {"_before": F.col("size")}, "mix-sorted")
+    joined = placed.join(goals, F.col(source).eqNullSafe(F.col("_source")))
     budget = F.floor(F.col("target"))
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - full * F.col("source_size") - (F.col("_before") - F.col("_start"))
+    rest = budget - full * F.col("source_size") - (F.col("_before") - F.col("start"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("long")
     whole = (part == F.col("size")) & (F.col("size") > 0)
     return (joined
             .withColumn("taken", full * F.col("size") + part)
             .withColumn("copies", F.when(F.col("size") > 0, full + whole.cast("long")).otherwise(F.lit(0)).cast("long"))
             .withColumn("cut_words", F.when(whole, F.lit(0)).otherwise(part).cast("long"))
-            .drop("_source", "_start", "_before"))
+            .drop("_source", "start", "_before"))
+
+
+def rows_of(mixed: DataFrame) -> DataFrame:
+    """The mix as rows: every document as often as it is taken. The document at a source's cut comes
+    once more if at least half of it fits, so no text is cut."""
+    n = F.col("copies") + (F.col("cut_words") * 2 >= F.col("size")).cast("long") * (F.col("cut_words") > 0).cast("long")
+    return (mixed.withColumn("_n", n).where(F.col("_n") > 0)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n", "_copy"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sized = stored(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
     return mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut_words")

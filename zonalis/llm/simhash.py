@@ -191,17 +191,37 @@ def _stars_of(a: np.ndarray, b: np.ndarray, near: Callable, ids: np.ndarray) ->
     return [(ids[leaves + low], ids[label[leaves] + low])]
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(key, fp, component_id) of every row: the smallest key reachable over near fingerprints."""
-    each = stored(fingerprints(docs.select(key, text), text).select(F.col(key).alias("id"), "fp"), "fingerprints")
+def _classes(each: DataFrame, radius: int) -> DataFrame:
+    """(fp, id, component_id) per distinct fingerprint, from one (id, fp) row per document."""
     distinct = stored(each.groupBy("fp").agg(F.min("id").alias("id")), "distinct-fingerprints")
     joined = components(links(distinct.where(F.col("id").isNotNull()), radius), "a", "b")
-    classes = (distinct.join(joined, F.col("id") == F.col("node"), "left")
-               .select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")))
-    return (each.join(classes, F.col("fp") == F.col("_fp"))
+    return (distinct.join(joined, F.col("id") == F.col("node"), "left")
+            .select("fp", "id", F.coalesce("component", "id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """(key, fp, component_id) of every row: the smallest key reachable over near fingerprints."""
+    each = stored(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "fingerprints")
+    classes = stored(_classes(each, radius).select(F.col("fp").alias("_fp"), "component_id"), "classes")
+    return (each.join(classes, F.col("fp") == F.col("_fp"))          # exchanges only below it: AQE splits a hot fingerprint
             .select(F.col("id").alias(key), "fp", "component_id"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of one document per group of near-duplicates: the one with the smallest key.
+
+    Rows that share a key count as one document. Of rows without a key, a group without any key keeps one.
+    """
+    each = stored(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "fingerprints")
+    firsts = stored(_classes(each, radius).where(F.col("id").eqNullSafe(F.col("component_id"))).select("fp", "id"), "keepers")
+    ids = firsts.select(F.col("id").alias("_id")).where(F.col("_id").isNotNull())
+    named = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
+    bare = fingerprints(docs.where(F.col(key).isNull()), text, "_fp")
+    alone = firsts.where(F.col("id").isNull()).select(F.col("fp").alias("_alone"))
+    rest = bare.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
+    return named.unionByName(rest)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every document."""
     near = near_duplicates(table(spark, sf_dir, "documents"))
