@@ -99,9 +99,10 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
                   f"made array<struct<rule:string,spans:{SPAN}>>", work)
     fresh = made.select("blob", F.inline("made"))
     fresh.write.mode("append").partitionBy("rule").parquet(ledger)
-    entries = (_seen(spark, ledger).where(F.col("rule").isin(mine) & (F.size("spans") > 0))
+    # stored, so that the last join has nothing but exchanges below it and a hot blob can be split
+    entries = stored(_seen(spark, ledger).where(F.col("rule").isin(mine) & (F.size("spans") > 0))
                .groupBy("blob", "rule").agg(F.first("spans").alias("spans"))          # repeated rows of a path
-               .groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_found")))
+               .groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_found")), "findings")
     order = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     ordered = F.transform(
         F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("k"), s.alias("s")))),
@@ -129,8 +130,8 @@ def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     Findings are joined by content, so repeated keys cannot be mixed up; documents without secrets
     pass unchanged.
     """
-    bad = (found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
-           .select(F.col("blob").alias("_blob"), "_spans"))
+    bad = stored(found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
+                 .select(F.col("blob").alias("_blob"), "_spans"), "bad-blobs")
     keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     held = keyed.join(bad, F.col("_key") == F.col("_blob"), "left")
 
