@@ -3,11 +3,12 @@
 from zonalis.llm.bpe import op2_bpe
 from zonalis.llm.language import op5_language
 from zonalis.llm.mixing import op10_mix
+from zonalis.llm.pivots import op7_pivots
 from zonalis.llm.quality import op1_quality
 from zonalis.llm.secret_scan import op3_secrets
 from zonalis.llm.simhash import op9_simhash
 from zonalis.llm.url_rules import op8_urls
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_bpe, op3_secrets, op5_language, op8_urls, op9_simhash, op10_mix)}
+    op1_quality, op2_bpe, op3_secrets, op5_language, op7_pivots, op8_urls, op9_simhash, op10_mix)}
 ORACLES: dict[str, str] = {}

@@ -30,11 +30,12 @@ from itertools import combinations_with_replacement
 from operator import add
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonalis.llm.blocks import groups, meetings, stars
 from zonalis.llm.common import WORD, append, blocked_pairs, python_ready, stored, table
 from zonalis.llm.components import components
 
@@ -117,78 +118,31 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         blocks = blocked_pairs(dealt, ["shard"], ["fp"])
         key = F.xxhash64("shard", "left_block", "right_block")
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from _near(batches, radius)
-
         # many small shards per task: sorted by shard, cut where the shard changes
-        part = (blocks.select("shard", "left_block", "right_block", "own_block", "moved", "fp", "id")
-                .repartition(key).sortWithinPartitions("shard", "left_block", "right_block"))
-        found = part.mapInPandas(near, "a long, b long")
+        part = (blocks.select(*KEYS, "own_block", "moved", "fp", "id")
+                .repartition(key).sortWithinPartitions(*KEYS))
+        found = part.mapInArrow(_stars_of(radius), "a long, b long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _near(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Links of each shard in a sorted stream of rows; a shard may span batches."""
-    held = None
-    for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(held):
-            continue
-        key = held[["shard", "left_block", "right_block"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-        yield _links_of(held.iloc[:starts[-1]], starts[:-1], radius)
-        held = held.iloc[starts[-1]:]
-    if held is not None and len(held):
-        yield _links_of(held, np.array([0]), radius)
-
-
-def _links_of(rows: pd.DataFrame, starts: np.ndarray, radius: int) -> pd.DataFrame:
-    fp, ids = rows["fp"].to_numpy().view(np.uint64), rows["id"].to_numpy()
-    own, left, right, moved = (rows[c].to_numpy() for c in ("own_block", "left_block", "right_block", "moved"))
-    sizes = np.r_[starts[1:], len(rows)] - starts
-
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return ((moved[x] & moved[y]) == 0) & (np.bitwise_count(fp[x] ^ fp[y]) <= radius)
-
-    found = []
-    for n in np.unique(sizes[sizes > 1]):
-        at = starts[sizes == n]
-        if n <= 64:                                        # small shards of one size at once
-            i, j = np.triu_indices(n, 1)
-            for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
-                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                ok = near(x, y) & ((left[x] == right[x]) | (own[x] != own[y]))
-                found.append((ids[x[ok]], ids[y[ok]]))
-        else:
-            for s in at:
-                every = np.arange(s, s + n)
-                a, b = (every[own[every] == side[s]] for side in (left, right))
-                found += _stars_of(a, b, near, ids)
-    pairs = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
-
-
-def _stars_of(a: np.ndarray, b: np.ndarray, near: Callable, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The components of the links between two blocks, each as a star: the smallest label reachable
-    is passed on until it no longer changes."""
-    if not len(a) or not len(b):
-        return []
-    low = min(a[0], b[0])
-    label = np.arange(max(a[-1], b[-1]) + 1 - low)
-    parts = [(a[k:k + 512] - low, near(a[k:k + 512, None], b[None, :])) for k in range(0, len(a), 512)]
-    while True:
-        new = label.copy()
-        for rows, ok in parts:
-            new[rows] = np.minimum(new[rows], np.where(ok, label[b - low][None, :], len(label)).min(1))
-            new[b - low] = np.minimum(new[b - low], np.where(ok, label[rows][:, None], len(label)).min(0))
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    leaves = np.flatnonzero(label != np.arange(len(label)))
-    return [(ids[leaves + low], ids[label[leaves] + low])]
+KEYS = ["shard", "left_block", "right_block"]
+
+
+def _stars_of(radius: int) -> Callable:
+    """For each stretch of shards, links that connect what their near pairs connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in groups(batches, KEYS):
+            fp = rows.column("fp").to_numpy().view(np.uint64)
+            own, left, right, moved, ids = (rows.column(c).to_numpy() for c in ("own_block", "left_block", "right_block", "moved", "id"))
+
+            def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return ((moved[x] & moved[y]) == 0) & (np.bitwise_count(fp[x] ^ fp[y]) <= radius)
+
+            for x, y in meetings(starts, rows.num_rows, own, left, right, near):
+                a, b = stars(rows.num_rows, x, y) if len(x) else (x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+    return run
 
 
 def _classes(each: DataFrame, radius: int) -> DataFrame:
