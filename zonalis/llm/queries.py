@@ -7,9 +7,10 @@ from zonalis.llm.pivots import op7_pivots
 from zonalis.llm.quality import op1_quality
 from zonalis.llm.secret_scan import op3_secrets
 from zonalis.llm.simhash import op9_simhash
+from zonalis.llm.suffixes import op6_suffixes
 from zonalis.llm.topk import op4_topk
 from zonalis.llm.url_rules import op8_urls
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_bpe, op3_secrets, op4_topk, op5_language, op7_pivots, op8_urls, op9_simhash, op10_mix)}
+    op1_quality, op2_bpe, op3_secrets, op4_topk, op5_language, op6_suffixes, op7_pivots, op8_urls, op9_simhash, op10_mix)}
 ORACLES: dict[str, str] = {}
