@@ -16,7 +16,7 @@ HEADLINE = (
     "G13_sample_percentiles", "W1_eddy", "J6_D3_same_month_anomaly", "D4_zscore_floor",
     "D10_J8_sliding_composite_anomaly", "K16_J7_sliding_series_anomaly", "V1_J9_isentropic", "V4_J11_bilinear_sample",
     "V13_arc_section", "K1_W6_streamfunction", "K5_ep_flux", "K6_K7_m_budget", "K11_h_budget", "K13_lorenz_sorted",
-    "K14_helmholtz", "K15_U1_potential_intensity", "K17_B15_parcels", "S9_S10_quantize_roundtrip",
+    "S9_S10_quantize_roundtrip", "D1_climatology_field", "D4_zscore_view", "D14_display_range",
 )
 
 

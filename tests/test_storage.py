@@ -12,7 +12,7 @@ from zonalis.grid import nan_to_null, null_to_nan, stride, stride_for
 from zonalis.operators import vertical
 from zonalis.plans import jobs
 from zonalis.sources import fields as store
-from zonalis.sources import indices, netcdf, tiles
+from zonalis.sources import indices, tiles
 
 KEYS = ["year", "month", "level", "lat_idx", "lon_idx"]
 
@@ -81,7 +81,7 @@ def test_names_and_periods():
     with pytest.raises(ValueError):
         store.pick_variable(["a", "b"], "t", [])
     assert store.nearest_level((280, 300, 320), 290) == 280
-    assert stride_for(1.0) == 2 and stride_for(0.25) == 1 and isinstance(netcdf.reader_available(), bool)
+    assert stride_for(1.0) == 2 and stride_for(0.25) == 1
 
 
 def test_stride_is_a_subsample(spark):
@@ -128,17 +128,6 @@ def test_quantized_tree(spark, tmp_path):
     assert worst < 21 / 65534
 
 
-def test_helmholtz_and_intensity_jobs(spark, tmp_path):
-    long = long_fields(spark, (2000,))
-    jobs.build_helmholtz(long, str(tmp_path), SMALL, levels=[500])
-    out = spark.read.parquet(f"{tmp_path}/per_year")
-    assert out.where("value IS NOT NULL").count() == 2 * 2 * 156 and out.where("level <> 500").count() == 0
-    sfc = grid(spark, SMALL, lambda m, p, la, lo: (303.0, 1010.0), levels=(0,), names=("sst", "msl"), months=(1, 2)).withColumn("year", F.lit(2000))
-    sfc = vertical.columns_to_fields(sfc, KEYS, ("sst", "msl")).withColumn("grp", F.lit("single_levels"))
-    jobs.build_intensity(long.unionByName(sfc), str(tmp_path / "mpi"), SMALL)
-    assert spark.read.parquet(f"{tmp_path}/mpi/per_year").where("var = 'pmin'").count() == 2 * 156
-
-
 def test_float32_tiles(spark, tmp_path):
     folder = tmp_path / "tiles"
     folder.mkdir()

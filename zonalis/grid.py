@@ -8,10 +8,10 @@ Missing values are NULL everywhere inside the package; NaN only exists in files.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,30 +95,43 @@ class GridSpec:
         return F.expr(self.levels_sql)
 
     def on_axis(self, df: DataFrame) -> DataFrame:
-        """Keep only rows on the fixed levels (levels appended later are not on the axis)."""
-        return df.where(F.col("level").isin(*self.levels))
+        """The frame itself; a row whose level is not on the axis is an error, never dropped.
+
+        Levels appended to a store belong on the axis: see ``with_levels``.
+        """
+        off = F.raise_error(F.concat(F.lit("level off the axis: "), F.coalesce(F.col("level").cast("string"), F.lit("NULL"))))
+        return df.where(F.when(F.col("level").isin(*self.levels), F.lit(True)).otherwise(off.cast("boolean")))
+
+    def with_levels(self, levels: Iterable[int]) -> GridSpec:
+        """This grid on other levels, for instance those a store's catalogue lists."""
+        return replace(self, levels=tuple(sorted(int(p) for p in levels)))
 
     # completion --------------------------------------------------------------
-    def densify(self, df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    def densify(self, df: DataFrame, keys: Sequence[str], axes: Sequence[str], slices: DataFrame | None = None) -> DataFrame:
         """One row per (slice, coordinate): absent rows appear with NULL values.
 
-        The coordinates are generated from the distinct slices, so the generated side
-        never exceeds slices x grid and both sides share one hash partitioning.
+        ``slices`` lists the slices where they are known (an axis, a catalogue); otherwise they come
+        from the frame, which is then read twice. The generated side never exceeds slices x grid.
         """
-        full = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+        if slices is None:
+            slices = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
         for axis in axes:
-            full = full.withColumn(axis, F.explode(self._axis(axis)))
-        return full.join(df, [*keys, *axes], "left")
+            slices = slices.withColumn(axis, F.explode(self._axis(axis)))
+        return slices.join(df, [*keys, *axes], "left")
+
+    def level_slices(self, spark: SparkSession) -> DataFrame:
+        """One row per level of the axis."""
+        return spark.range(1).select(F.explode(self.level_array()).alias("level"))
 
     def fill(self, df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
         """``densify`` for slices of one panel, tile or year: no join and no second read.
 
         The rows of a slice (at most the product of its axes, one per coordinate) are packed,
         padded with an empty row per coordinate and unpacked, all on the slice's own
-        partitioning.
+        partitioning. Two rows for one coordinate are an error.
         """
         values = [f for f in df.schema.fields if f.name not in (*keys, *axes)]
-        row = F.struct(*[F.col(c) for c in (*axes, *[f.name for f in values])])
+        row = F.struct(*[F.col(c) for c in (*axes, *[f.name for f in values])], F.lit(True).alias("_real"))
         packed = df.groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
         types = dict(df.dtypes)
         blank = {f.name: F.lit(None).cast(f.dataType) for f in values}
@@ -126,12 +139,12 @@ class GridSpec:
         def pad(rest: list[str], at: dict[str, Column]) -> Column:
             if not rest:
                 return F.array(F.struct(*[at[a].cast(types[a]).alias(a) for a in axes],
-                                        *[b.alias(n) for n, b in blank.items()]))
+                                        *[b.alias(n) for n, b in blank.items()], F.lit(False).alias("_real")))
             return F.flatten(F.transform(self._axis(rest[0]), lambda x: pad(rest[1:], {**at, rest[0]: x})))
 
         rows = packed.select(*keys, F.explode(F.concat("_rows", pad(list(axes), {}))).alias("_r"))
         return (rows.select(*keys, "_r.*").groupBy(*keys, *axes)
-                .agg(*[F.max(f.name).alias(f.name) for f in values]))
+                .agg(*[only_one(F.col(f.name), F.col("_real")).alias(f.name) for f in values]))
 
     def _axis(self, axis: str) -> Column:
         if axis == "level":
@@ -141,6 +154,11 @@ class GridSpec:
         return F.sequence(F.lit(0), F.lit((self.nlat if axis == "lat_idx" else self.nlon) - 1))
 
 
+def only_one(value: Column, counted: Column) -> Column:
+    """Aggregate: the value of the one row for which ``counted`` holds; an error if there are two."""
+    return F.when(F.count_if(counted) > 1, F.raise_error(F.lit("two rows for one cell")).cast("double")).otherwise(F.max(value))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and infinities become NULL in every floating column (done once, on read)."""
     out = []

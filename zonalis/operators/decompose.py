@@ -38,12 +38,12 @@ def anomaly(df: DataFrame, reference: DataFrame, on: Sequence[str], value: str)
 
 
 def zscore(df: DataFrame, reference: DataFrame, on: Sequence[str], tile_keys: Sequence[str],
-           value: str, sigma: str, bin_width: float = 1.0) -> DataFrame:
+           value: str, sigma: str) -> DataFrame:
     """(v - mean) / max(sigma, floor): ``reference`` carries ``value`` and ``sigma``.
 
     The floor of a tile is its 2nd-percentile positive sigma, one row per tile.
     """
-    floor = ranks.sigma_floor(reference, tile_keys, sigma, bin_width=bin_width)
+    floor = ranks.sigma_floor(reference, tile_keys, sigma)
     ref = reference.select(*on, F.col(value).alias("_ref"), F.col(sigma).alias("_sd"))
     s = F.greatest(F.col("_sd"), F.col("sigma_floor"))
     return (df.join(ref, list(on), "left").join(floor, list(tile_keys), "left")
@@ -53,8 +53,7 @@ def zscore(df: DataFrame, reference: DataFrame, on: Sequence[str], tile_keys: Se
 
 def decompose(df: DataFrame, mode: str, value: str, row_keys: Sequence[str],
               on: Sequence[str], reference: DataFrame | None = None,
-              sigma: str | None = None, tile_keys: Sequence[str] = (),
-              bin_width: float = 1.0) -> DataFrame:
+              sigma: str | None = None, tile_keys: Sequence[str] = ()) -> DataFrame:
     """Dispatch on mode. A missing reference or an unknown mode passes the field through."""
     if mode == "zonal":
         return zonal(df, row_keys, value)
@@ -63,7 +62,7 @@ def decompose(df: DataFrame, mode: str, value: str, row_keys: Sequence[str],
     if mode == "anomaly" and reference is not None:
         return anomaly(df, reference, on, value)
     if mode == "zscore" and reference is not None and sigma is not None:
-        return zscore(df, reference, on, tile_keys, value, sigma, bin_width)
+        return zscore(df, reference, on, tile_keys, value, sigma)
     return df
 
 
@@ -72,11 +71,11 @@ def is_symmetric(mode: str, has_reference: bool) -> bool:
 
 
 def stable_range(df: DataFrame, mode: str, slice_keys: Sequence[str], value: str,
-                 symmetric: bool, clamp_hi: float | None = None, bin_width: float = 1.0) -> DataFrame:
+                 symmetric: bool, clamp_hi: float | None = None) -> DataFrame:
     """Range of a decomposed field pooled over its months."""
     by_month = [*slice_keys, "month"]
     if symmetric and clamp_hi is not None:
-        ranges = ranks.clamped_symmetric_range(df, by_month, value, clamp_hi, bin_width)
+        ranges = ranks.clamped_symmetric_range(df, by_month, value, clamp_hi)
     elif symmetric:
         ranges = reduce.symmetric_range(df, by_month, value)
     else:

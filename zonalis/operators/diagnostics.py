@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from zonalis import constants as K
 from zonalis.functions.fields import coriolis, potential_temperature
 from zonalis.grid import GridSpec
-from zonalis.operators import reduce
+from zonalis.operators import ranks, reduce
 from zonalis.operators.calculus import (accumulate_p, d_dlambda, d_dp, d_dy, lat_axis,
                                         level_axis, with_level_index)
 
@@ -111,16 +111,27 @@ def surface_heating(surface: DataFrame, keys: Sequence[str] = SLICE) -> DataFram
     return z.select(*keys, "lat_idx", turb.alias("turb"), rad.alias("rad"), (turb + rad).alias("total"))
 
 
-# Caps on the display range of each diagnostic (never on its values).
-RANGE_CAPS = {
-    "geostrophic": (5.0, 100.0), "brunt_vaisala": (-2.0, 12.0), "ep_flux": (1.0, 20.0),
-    "pv": (-10.0, 10.0), "zscore": (-5.0, 5.0),
-    "m_budget_u": (0.3, 30.0), "m_budget_M": (2.0, 200.0), "q_budget": (0.1, 5.0),
-    "h_budget_h": (0.5, 30.0), "h_budget_H": (5.0, 300.0),
+# How each diagnostic's display range (never its values) is found and limited.
+# "percentile": +- the 95th percentile of |v|, "extreme": +- the largest |v|, both held between two
+# limits; "range": least and greatest value, each with a limit of its own, and what stands for no values.
+DISPLAY_LIMITS = {
+    "geostrophic": ("percentile", 5.0, 100.0), "brunt_vaisala": ("range", -2.0, 12.0, 0.0, 4.0),
+    "ep_flux": ("extreme", 1.0, 20.0), "pv": ("range", -10.0, 10.0, 0.0, 1.0),
+    "m_budget_u": ("percentile", 0.3, 30.0), "m_budget_M": ("percentile", 2.0, 200.0),
+    "q_budget": ("percentile", 0.1, 5.0), "h_budget_h": ("percentile", 0.5, 30.0), "h_budget_H": ("percentile", 5.0, 300.0),
 }
 
 
-def capped_symmetric(bound: Column, which: str) -> Column:
-    """A symmetric bound held between its floor and its cap."""
-    lo, hi = RANGE_CAPS[which]
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), bound))
+def display_limits(df: DataFrame, keys: Sequence[str], value: str, which: str) -> DataFrame:
+    """(keys, vmin, vmax) of a diagnostic's display."""
+    rule, lo, hi, *none = DISPLAY_LIMITS[which]
+    if rule == "range":
+        r = df.groupBy(*keys).agg(F.min(value).alias("a"), F.max(value).alias("b"))
+        return r.select(*keys, F.greatest(F.coalesce("a", F.lit(none[0])), F.lit(lo)).alias("vmin"),
+                        F.least(F.coalesce("b", F.lit(none[1])), F.lit(hi)).alias("vmax"))
+    if rule == "extreme":
+        r = df.groupBy(*keys).agg(F.max(F.abs(F.col(value))).alias("b"))
+    else:
+        r = ranks.value_at_rank(df, keys, F.abs(F.col(value)), {"b": ranks.floor_rank(0.95)})
+    bound = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce("b", F.lit(0.0))))
+    return r.select(*keys, (-bound).alias("vmin"), bound.alias("vmax"))

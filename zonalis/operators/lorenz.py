@@ -30,8 +30,7 @@ def _layer_thickness(spec: GridSpec) -> Column:
     return out
 
 
-def sorted_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLICE,
-                     bin_width: float = 1.0) -> DataFrame:
+def sorted_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLICE) -> DataFrame:
     """Reference temperature by adiabatic sorting of mass: (slice, level, t_ref).
 
     Cells are reduced to distinct theta with the mass they carry before any ordering; the
@@ -49,7 +48,7 @@ def sorted_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLIC
     def wanted(total: Column) -> Column:
         return F.transform(share, lambda x: F.struct(x["level"].alias("name"), (x["f"] * total).alias("pos")))
 
-    found = locate(mass, keys, "theta", "mass", wanted, bin_width, descending=True, carry=["w_first"])
+    found = locate(mass, keys, "theta", "mass", wanted, descending=True, carry=["w_first"])
     frac = (F.col("pos") - F.col("before")) / F.col("w_first")
     theta_r = (F.when(F.col("prev").isNull() | (frac >= 1), F.col("theta"))
                .otherwise(F.col("prev") * (1 - frac) + F.col("theta") * frac))
@@ -83,9 +82,9 @@ def _joint_moments(grid: DataFrame, spec: GridSpec, keys: Sequence[str]) -> Data
 
 
 def level_integrands(grid: DataFrame, spec: GridSpec, reference: str = "lorenz",
-                     keys: Sequence[str] = SLICE, bin_width: float = 1.0) -> DataFrame:
+                     keys: Sequence[str] = SLICE) -> DataFrame:
     """The eight vertical integrands per (slice, level)."""
-    ref = (sorted_reference(grid, spec, keys, bin_width) if reference == "lorenz"
+    ref = (sorted_reference(grid, spec, keys) if reference == "lorenz"
            else simple_reference(grid, spec, keys))
     ref = calculus.with_level_index(ref, spec)
     lev_of_ref = calculus.level_axis(spec, keys)
@@ -131,7 +130,7 @@ def level_integrands(grid: DataFrame, spec: GridSpec, reference: str = "lorenz",
 
 
 def energy_cycle(grid: DataFrame, spec: GridSpec, reference: str = "lorenz",
-                 keys: Sequence[str] = SLICE, bin_width: float = 1.0) -> DataFrame:
+                 keys: Sequence[str] = SLICE) -> DataFrame:
     """One row per slice: reservoirs (J/m2) and conversions (W/m2)."""
-    per_level = level_integrands(grid, spec, reference, keys, bin_width)
+    per_level = level_integrands(grid, spec, reference, keys)
     return calculus.integrate_p(per_level, keys, [*RESERVOIRS, *CONVERSIONS], spec)

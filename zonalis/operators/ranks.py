@@ -1,10 +1,10 @@
 """Exact order statistics with the floor-index convention, and exact prefix sums.
 
-Values are first reduced to (value, weight), so a third of all rows sharing one value costs
-one row after the map-side combine. A rank is then found in two steps: running sums over
-coarse value bins tell which bin holds it, and only the rows of those bins are ordered. No
-task ever orders a whole group, and the source is read once (the reduced rows feed both
-steps through one reused exchange).
+A rank is found by two histograms, both summed map-side before anything is shuffled. The first has
+logarithmic bins (a fixed number per power of two, so they need no knowledge of the data); running sums tell
+which bin holds the rank. The second cuts just that bin evenly between the least and the greatest value in it.
+Only the rows of the one narrow bin that is left are ordered, after equal values are collapsed. A field of
+tiny range, an extreme outlier or a third of all rows with one value thus never bring a group into one task.
 """
 
 from __future__ import annotations
@@ -16,71 +16,92 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NO_VALUE = -(1 << 62)
+#: Bins per power of two, and even bins inside a bin.
+PER_OCTAVE, EVEN = 256, 1024
+
+
+def log_bin(value: Column) -> Column:
+    """Monotone bin number of a value: sign, power of two and a linear part in between."""
+    size = F.abs(value)
+    octave = F.floor(F.log2(size))
+    part = octave + size / F.pow(F.lit(2.0), octave) + 1100.0               # above 0 for every double
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * F.floor(part * PER_OCTAVE))
+
+
+def _running(bins: DataFrame, keys: Sequence[str], bin_: str, first: Column, edge: Column) -> DataFrame:
+    """Running weight ahead of (``_start``) and through (``_cum``) each bin, and the edge of the bin ahead."""
+    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy(bin_)
+    so_far = by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (bins.withColumn("_cum", first + F.coalesce(F.sum("_bw").over(so_far), F.lit(0.0)))
+            .withColumn("_start", F.coalesce(F.lag("_cum").over(by_bin), first))
+            .withColumn("_prev_edge", F.coalesce(F.lag("_edge").over(by_bin), edge)))
 
 
 def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
-           targets: Callable[[Column], Column], bin_width: float, descending: bool = False,
-           carry: Sequence[str] = ()) -> DataFrame:
-    """Find, per group, the first rows whose inclusive running weight reaches given targets.
+           targets: Callable[[Column], Column], descending: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Find, per group, the first value whose inclusive running weight reaches given targets.
 
-    ``weights`` has one row per (keys, order value); rows without an order value carry no
-    weight. ``targets`` maps the group's total weight to an array of structs (name, pos) with
-    0 < pos <= total. ``bin_width`` should be around a thousandth of the range of ``order``; it
-    steers how the work is split, never the result.
+    Rows without an order value carry no weight. ``targets`` maps the group's total weight to an
+    array of structs (name, pos) with 0 < pos <= total. Rows with equal values count as one; of
+    ``carry`` columns, which must agree among them, any is taken.
 
     Result: (keys, name, pos, order value, weight, carry, before, prev): ``before`` is the running
-    weight ahead of the row and ``prev`` the order value ahead of it, NULL for the first. A
+    weight ahead of the value and ``prev`` the order value ahead of it, NULL for the first. A
     group without weight yields one row with a NULL name.
     """
     keys = list(keys)
-    sign = -1.0 if descending else 1.0
-    # Rows without an order value share a bin of their own, so that no null filter is pushed
-    # into one of the two reads of ``weights``.
-    bin_of = F.coalesce(F.floor(F.col(order) * F.lit(sign / bin_width)), F.lit(NO_VALUE))
-    ranked = weights.withColumn("_bin", bin_of)
-    far_edge = F.min(order) if descending else F.max(order)
-    valued = F.when(F.col(order).isNotNull(), F.col(weight))
-    bins = ranked.groupBy(*keys, "_bin").agg(F.sum(valued).alias("_bw"), far_edge.alias("_edge"))
-    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin")
-    so_far = by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = by_bin.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    bins = (bins.withColumn("_cum", F.coalesce(F.sum("_bw").over(so_far), F.lit(0.0)))
-            .withColumn("_start", F.coalesce(F.lag("_cum").over(by_bin), F.lit(0.0)))
-            .withColumn("_prev_edge", F.lag("_edge").over(by_bin))
-            .withColumn("_total", F.max("_cum").over(whole)))
+    sign = -1 if descending else 1
+    v = F.col(order)
+    rows = weights.withColumn("_bin", F.coalesce(log_bin(v) * sign, F.lit(NO_VALUE)))
+    edge = F.min(order) if descending else F.max(order)
+    none = F.lit(None).cast("double")
+    coarse = rows.groupBy(*keys, "_bin").agg(F.sum(F.when(v.isNotNull(), F.col(weight))).alias("_bw"), edge.alias("_edge"),
+                                             F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    whole = W.partitionBy(*(keys or [F.lit(0)]))
+    coarse = _running(coarse, keys, "_bin", F.lit(0.0), none).withColumn("_total", F.max("_cum").over(whole))
     here = F.filter(targets(F.col("_total")), lambda x: (x["pos"] > F.col("_start")) & (x["pos"] <= F.col("_cum")))
-    empty = bins.where((F.col("_total") == 0) & (F.col("_bin") == NO_VALUE))
-    hits = bins.where("_bw > 0").select(*keys, "_bin", "_start", "_prev_edge", F.explode(here).alias("_t"))
-    hits = hits.select(*keys, "_bin", "_start", "_prev_edge", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"))
-
-    in_bin = W.partitionBy(*keys, "_bin", "name").orderBy(F.col(order).desc() if descending else F.col(order).asc())
-    rows = ranked.join(hits, [*keys, "_bin"])
-    incl = F.col("_start") + F.sum(weight).over(in_bin.rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = (rows.withColumn("_incl", incl)
-            .withColumn("before", F.coalesce(F.lag("_incl").over(in_bin), F.col("_start")))
-            .withColumn("prev", F.coalesce(F.lag(order).over(in_bin), F.col("_prev_edge")))
-            .withColumn("_last", F.lead(order).over(in_bin).isNull()))
-    # In the last row of a bin the bin's own total decides, whatever the last bits of the sum.
-    found = rows.where((F.col("pos") > F.col("before")) & ((F.col("pos") <= F.col("_incl")) | F.col("_last")))
+    empty = coarse.where((F.col("_total") == 0) & (F.col("_bin") == NO_VALUE))
+    hits = (coarse.where("_bw > 0").select(*keys, "_bin", "_start", "_prev_edge", "_lo", "_hi", F.explode(here).alias("_t"))
+            .select(*keys, "_bin", "_lo", "_hi", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"),
+                    F.col("_start").alias("_s1"), F.col("_prev_edge").alias("_e1")))
+
+    even = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * EVEN) * sign
+    inner = rows.join(hits, [*keys, "_bin"]).withColumn("_even", F.coalesce(even, F.lit(0)))
+    group = [*keys, "name", "pos"]
+    fine = inner.groupBy(*group, "_even").agg(F.sum(weight).alias("_bw"), edge.alias("_edge"), F.max("_s1").alias("_s1"), F.max("_e1").alias("_e1"))
+    fine = (_running(fine, group, "_even", F.col("_s1"), F.col("_e1"))
+            .withColumn("_last", F.lead("_even").over(W.partitionBy(*group).orderBy("_even")).isNull()))
+    # In the last bin, and below in the last value, the total decides, whatever the last bits of a sum.
+    fits = (F.col("pos") > F.col("_start")) & ((F.col("pos") <= F.col("_cum")) | F.col("_last"))
+    one = fine.where(fits).select(*group, "_even", "_start", "_prev_edge")
+    values = (inner.join(one, [*group, "_even"]).groupBy(*group, order)
+              .agg(F.sum(weight).alias(weight), F.max("_start").alias("_start"), F.max("_prev_edge").alias("_prev_edge"),
+                   *[F.any_value(c).alias(c) for c in carry]))
+    along = W.partitionBy(*group).orderBy(v.desc() if descending else v.asc())
+    incl = F.col("_start") + F.sum(weight).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+    values = (values.withColumn("_incl", incl)
+              .withColumn("before", F.coalesce(F.lag("_incl").over(along), F.col("_start")))
+              .withColumn("prev", F.coalesce(F.lag(order).over(along), F.col("_prev_edge")))
+              .withColumn("_last", F.lead(order).over(along).isNull()))
+    found = values.where((F.col("pos") > F.col("before")) & ((F.col("pos") <= F.col("_incl")) | F.col("_last")))
     out = [*keys, "name", "pos", order, weight, *carry, "before", "prev"]
     return found.select(*out).unionByName(empty.select(*keys), allowMissingColumns=True)
 
 
-def value_at_rank(df: DataFrame, keys: Sequence[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]],
-                  bin_width: float) -> DataFrame:
+def value_at_rank(df: DataFrame, keys: Sequence[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Sorted values at 0-based ranks, one column per entry of ``ranks`` (functions of n).
 
     Groups without values stay in the result with NULL.
     """
     v = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
-    counts = df.groupBy(*keys, v.alias("_v")).agg(F.count("*").cast("double").alias("_mult"))
+    counts = df.select(*keys, v.cast("double").alias("_v"), F.lit(1.0).alias("_mult"))
 
     def wanted(n: Column) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("name"), (r(n) + 1).cast("double").alias("pos"))
                          for k, r in ranks.items()])
 
-    found = locate(counts, keys, "_v", "_mult", wanted, bin_width)
+    found = locate(counts, keys, "_v", "_mult", wanted)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
 
 
@@ -89,24 +110,21 @@ def floor_rank(p: float) -> Callable[[Column], Column]:
     return lambda n: F.greatest(F.lit(0.0), F.least(n - 1, F.floor(F.lit(p) * (n - 1)).cast("double")))
 
 
-def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float,
-                      bin_width: float = 1.0) -> DataFrame:
+def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float) -> DataFrame:
     """sorted[floor(p*(n-1))] at both ends; groups with no values give (0, 1)."""
-    at = value_at_rank(df, keys, value, {"vmin": floor_rank(lo), "vmax": floor_rank(hi)}, bin_width)
+    at = value_at_rank(df, keys, value, {"vmin": floor_rank(lo), "vmax": floor_rank(hi)})
     return at.select(*keys, F.coalesce("vmin", F.lit(0.0)).alias("vmin"), F.coalesce("vmax", F.lit(1.0)).alias("vmax"))
 
 
-def clamped_symmetric_range(df: DataFrame, keys: Sequence[str], value: str, hi: float,
-                            bin_width: float = 1.0) -> DataFrame:
+def clamped_symmetric_range(df: DataFrame, keys: Sequence[str], value: str, hi: float) -> DataFrame:
     """+- the floor-index percentile of |v|; 1 where that is (almost) zero or absent."""
-    at = value_at_rank(df, keys, F.abs(F.col(value)), {"a": floor_rank(hi)}, bin_width)
+    at = value_at_rank(df, keys, F.abs(F.col(value)), {"a": floor_rank(hi)})
     a = F.when(F.col("a") >= 1e-12, F.col("a")).otherwise(F.lit(1.0))
     return at.select(*keys, (-a).alias("vmin"), a.alias("vmax"))
 
 
-def sigma_floor(df: DataFrame, keys: Sequence[str], sigma: str, p: float = 0.02,
-                bin_width: float = 1.0) -> DataFrame:
+def sigma_floor(df: DataFrame, keys: Sequence[str], sigma: str, p: float = 0.02) -> DataFrame:
     """sorted positive sigma[floor(p*n)] (n, not n-1), 0 for groups without one."""
     positive = F.when(F.col(sigma) > 0, F.col(sigma))
-    at = value_at_rank(df, keys, positive, {"f": lambda n: F.least(n - 1, F.floor(F.lit(p) * n).cast("double"))}, bin_width)
+    at = value_at_rank(df, keys, positive, {"f": lambda n: F.least(n - 1, F.floor(F.lit(p) * n).cast("double"))})
     return at.select(*keys, F.coalesce("f", F.lit(0.0)).alias("sigma_floor"))

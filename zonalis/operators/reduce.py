@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions.fields import in_box
@@ -50,11 +49,12 @@ def seasonal_mean(clim: DataFrame, values: Sequence[str],
     """
     m = F.col("month")
     targets = F.array(F.pmod(m - 2, F.lit(12)) + 1, m, F.pmod(m, F.lit(12)) + 1)
-    spread = clim.withColumn("_src", F.call_function("shiftleft", F.lit(1), m)).withColumn("month", F.explode(targets))
-    cells = spread.groupBy("month", *keys).agg(*[F.avg(v).alias(v) for v in values], F.bit_or("_src").alias("_src"))
     slice_keys = [k for k in keys if k not in ("lat_idx", "lon_idx")]
-    present = F.bit_or("_src").over(W.partitionBy("month", *slice_keys))
-    return cells.withColumn("_n", F.bit_count(present)).where("_n = 3").drop("_src", "_n")
+    spread = clim.withColumn("_src", m).withColumn("month", F.explode(targets))
+    cells = spread.groupBy("month", *keys).agg(*[F.avg(v).alias(v) for v in values])
+    # slices with all three source months: a few rows, pre-aggregated before any shuffle
+    whole = (spread.groupBy("month", *slice_keys).agg(F.count_distinct("_src").alias("_n")).where("_n = 3").drop("_n"))
+    return cells.join(whole, ["month", *slice_keys], "left_semi")
 
 
 def zonal_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

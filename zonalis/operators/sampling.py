@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
+from operator import and_, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions.fields import haversine_km, unit_vector, vector_lat, vector_lon
-from zonalis.grid import GridSpec
+from zonalis.grid import GridSpec, only_one
 
 DEFAULT_SEGMENTS = 128
 
@@ -119,40 +122,102 @@ def split_at_date_line(points: DataFrame, keys: Sequence[str], order: str = "s")
     return df.withColumn("n_points", F.count("*").over(W.partitionBy(*keys, "segment")).cast("int"))
 
 
-def corners(points: DataFrame, spec: GridSpec) -> DataFrame:
-    """Four weighted grid corners per point (lat clamped, lon periodic); points outside the
-    latitude range have none."""
-    i, j = F.floor("_r"), F.floor("_q")
-    fi, fj = F.col("_r") - i, F.col("_q") - j
-    i0 = F.greatest(F.lit(0), F.least(F.lit(spec.nlat - 1), i))
-    i1 = F.least(F.lit(spec.nlat - 1), i0 + 1)
-    j0 = F.pmod(j, F.lit(spec.nlon))
-    j1 = F.pmod(j0 + 1, F.lit(spec.nlon))
+def _reach(own: str, n: int, periodic: bool) -> Column:
+    """The homes a grid position serves: its own (side 0) and that before it (side 1). A periodic
+    axis wraps; on another the last position is its own neighbour."""
+    c = F.col(own)
+    before = F.pmod(c - 1, F.lit(n)) if periodic else F.when(c > 0, c - 1)
+    pairs = [F.struct(c.alias("home"), F.lit(0).alias("side")),
+             F.when(before.isNotNull(), F.struct(before.alias("home"), F.lit(1).alias("side")))]
+    if not periodic:
+        pairs.append(F.when(c == n - 1, F.struct(c.alias("home"), F.lit(1).alias("side"))))
+    return F.filter(F.array(*pairs), lambda x: x.isNotNull())
 
-    def corner(row: Column, col: Column, w: Column) -> Column:
-        return F.struct(row.cast("int").alias("lat_idx"), col.cast("int").alias("lon_idx"), w.alias("w"))
 
-    quad = F.array(corner(i0, j0, (1 - fi) * (1 - fj)), corner(i0, j1, (1 - fi) * fj),
-                   corner(i1, j0, fi * (1 - fj)), corner(i1, j1, fi * fj))
-    return (points.withColumn("_r", spec.row_of(F.col("lat")))
-            .withColumn("_q", spec.column_of(F.col("lon")))
-            .where(F.col("_r").between(0, spec.nlat - 1))
-            .withColumn("_c", F.explode(quad))
-            .select(*points.columns, "_c.lat_idx", "_c.lon_idx", "_c.w"))
+def boxes(grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec, axes: Sequence[str]) -> DataFrame:
+    """Per slice and home position, the values at its corners, for every position of the axes.
+
+    Neighbours are brought together once per grid cell (the side the grid bounds), so a point later
+    needs one join and no aggregation. Two rows for one cell are an error. Columns: slice keys,
+    ``_h_<axis>`` and ``<value>_<sides>`` with a digit per axis.
+    """
+    size = {"lat_idx": spec.nlat, "lon_idx": spec.nlon, "_k": len(spec.levels)}
+    df = grid.select(*slice_keys, *axes, *values)
+    for a in axes:
+        df = df.withColumn("_p", F.explode(_reach(a, size[a], a == "lon_idx")))
+        df = df.withColumn(f"_h_{a}", F.col("_p.home").cast("int")).withColumn(f"_s_{a}", F.col("_p.side")).drop("_p")
+    homes = [f"_h_{a}" for a in axes]
+    aggs = []
+    for sides in product((0, 1), repeat=len(axes)):
+        here = reduce(and_, [F.col(f"_s_{a}") == x for a, x in zip(axes, sides)])
+        for v in values:
+            aggs.append(only_one(F.when(here, F.col(v)), here).alias(f"{v}_{''.join(map(str, sides))}"))
+    found = df.groupBy(*slice_keys, *homes).agg(*aggs)
+    every = df.select(*slice_keys).distinct() if slice_keys else df.limit(1).select()
+    for a in axes:
+        every = every.withColumn(f"_h_{a}", F.explode(F.sequence(F.lit(0), F.lit(size[a] - 1))))
+    return every.join(found, [*slice_keys, *homes], "left")
+
+
+def _sampled(points: DataFrame, grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec,
+             places: dict[str, tuple[Column, Column]], inside: Column, point_keys: Sequence[str], partial_mean: bool) -> DataFrame:
+    """Join points to their home boxes; ``places`` has (home, fraction) per axis. A point outside, or
+    without the corners it needs, stays with NULL in every slice (and once with NULL keys if the
+    grid is empty)."""
+    axes = list(places)
+    at = points.withColumn("_in", inside)
+    for a, (home, frac) in places.items():
+        at = at.withColumn(f"_h_{a}", F.coalesce(F.when(F.col("_in"), home), F.lit(0)).cast("int")).withColumn(f"_f_{a}", frac)
+    hit = at.join(boxes(grid, slice_keys, values, spec, axes), [f"_h_{a}" for a in axes], "left")
+    out = []
+    for v in values:
+        total, present, n = F.lit(0.0), F.lit(0), 0
+        mean = F.lit(0.0)
+        for sides in product((0, 1), repeat=len(axes)):
+            c = F.col(f"{v}_{''.join(map(str, sides))}")
+            w = reduce(mul, [F.col(f"_f_{a}") if x else 1 - F.col(f"_f_{a}") for a, x in zip(axes, sides)])
+            total, mean = total + c * w, mean + F.coalesce(c, F.lit(0.0))
+            present, n = present + c.isNotNull().cast("int"), n + 1
+        rest = F.when(present > 0, mean / present) if partial_mean else F.lit(None).cast("double")
+        out.append(F.when(F.col("_in"), F.when(present == n, total).otherwise(rest)).alias(v))
+    return hit.select(*point_keys, *slice_keys, *out)
+
+
+def _lat_place(spec: GridSpec) -> tuple[Column, Column]:
+    r = spec.row_of(F.col("lat"))
+    i = F.greatest(F.lit(0), F.least(F.lit(spec.nlat - 1), F.floor(r)))
+    return i, r - i
+
+
+def _lon_place(spec: GridSpec) -> tuple[Column, Column]:
+    q = spec.column_of(F.col("lon"))
+    return F.pmod(F.floor(q), F.lit(spec.nlon)), q - F.floor(q)
+
+
+def _p_place(spec: GridSpec) -> tuple[Column, Column]:
+    """Level position above p and the fraction in ln p towards the one below."""
+    last = len(spec.levels) - 1
+    above = F.aggregate(spec.level_array(), F.lit(0), lambda acc, x: acc + F.when(x < F.col("p"), 1).otherwise(0))
+    k0 = F.least(F.greatest(above - 1, F.lit(0)), F.lit(last))
+    k1 = F.least(k0 + 1, F.lit(last))
+    p0, p1 = (F.element_at(spec.level_array(), k + 1) for k in (k0, k1))
+    return k0, F.when(k0 == k1, F.lit(0.0)).otherwise(F.ln(F.col("p") / p0) / F.ln(p1 / p0))
+
+
+def _in_lat(spec: GridSpec) -> Column:
+    return F.coalesce(spec.row_of(F.col("lat")).between(0, spec.nlat - 1), F.lit(False))
 
 
 def bilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
              values: Sequence[str], spec: GridSpec) -> DataFrame:
-    """Sample every slice of ``grid`` at every point.
+    """Sample every slice of ``grid`` at every point: points x slices rows, by contract.
 
-    With all four corners present the result is bilinear, otherwise the plain mean of the
-    present ones; a point without any is absent. One equi-join on the corner cell (left to
-    the optimizer to broadcast or shuffle) and one aggregation.
+    With all four corners present the result is bilinear, otherwise the plain mean of the present
+    ones; a point without any, outside the latitude range or without coordinates is NULL.
     """
-    hit = corners(points.select(*point_keys, "lat", "lon"), spec).join(grid, ["lat_idx", "lon_idx"])
-    aggs = [F.when(F.count(v) == 4, F.sum(F.col(v) * F.col("w"))).otherwise(F.avg(v)).alias(v)
-            for v in values]
-    return hit.groupBy(*point_keys, *slice_keys).agg(*aggs)
+    places = {"lat_idx": _lat_place(spec), "lon_idx": _lon_place(spec)}
+    inside = _in_lat(spec) & F.col("lon").isNotNull()
+    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon"])), grid, slice_keys, values, spec, places, inside, point_keys, True)
 
 
 def arc_section(points: DataFrame, arc_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
@@ -165,30 +230,13 @@ def panel_sample(panel: DataFrame, probes: DataFrame, value: str, spec: GridSpec
                  slice_keys: Sequence[str] = ()) -> DataFrame:
     """Sample a (level, lat) panel at probes (probe_id, lat, p): linear in latitude and ln p.
 
-    Any missing corner gives NULL. Each probe touches four panel cells by equi-join.
+    Any missing corner gives NULL, and so does a probe outside the latitude range; beyond the
+    lowest and highest level the layer there is extended.
     """
-    levels = spec.levels
-    below = F.aggregate(spec.level_array(), F.lit(0),
-                        lambda acc, x: acc + F.when(x < F.col("p"), 1).otherwise(0))
-    k0 = F.least(F.greatest(below - 1, F.lit(0)), F.lit(len(levels) - 1))
-    k1 = F.least(k0 + 1, F.lit(len(levels) - 1))
-    lev = spec.level_array()
-    p0, p1 = F.element_at(lev, k0 + 1), F.element_at(lev, k1 + 1)
-    fk = F.when(k0 == k1, F.lit(0.0)).otherwise(F.ln(F.col("p") / p0) / F.ln(p1 / p0))
-    r = spec.row_of(F.col("lat"))
-    i0 = F.least(F.greatest(F.floor(r), F.lit(0)), F.lit(spec.nlat - 1))
-    i1 = F.least(i0 + 1, F.lit(spec.nlat - 1))
-    fi = r - i0
-
-    def corner(level: Column, row: Column, w: Column) -> Column:
-        return F.struct(level.cast("int").alias("level"), row.cast("int").alias("lat_idx"), w.alias("w"))
-
-    quad = F.array(corner(p0, i0, (1 - fk) * (1 - fi)), corner(p0, i1, (1 - fk) * fi),
-                   corner(p1, i0, fk * (1 - fi)), corner(p1, i1, fk * fi))
-    hit = (probes.where(r.between(0, spec.nlat - 1)).withColumn("_c", F.explode(quad))
-           .select("probe_id", "_c.*").join(panel, ["level", "lat_idx"]))
-    return hit.groupBy("probe_id", *slice_keys).agg(
-        F.when(F.count(value) == 4, F.sum(F.col(value) * F.col("w"))).alias(value))
+    places = {"_k": _p_place(spec), "lat_idx": _lat_place(spec)}
+    on = spec.on_axis(panel).withColumn("_k", spec.level_pos())
+    return _sampled(probes.select("probe_id", "lat", "p"), on, slice_keys, [value], spec, places,
+                    _in_lat(spec) & F.coalesce(F.col("p") > 0, F.lit(False)), ["probe_id"], False)
 
 
 def barb_sites(spark, lat_step: float = 8.0, pole_limit: float = 82.0) -> DataFrame:
@@ -236,21 +284,9 @@ def contour_crossings(df: DataFrame, meridian_keys: Sequence[str], value: str, i
 
 def trilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
               values: Sequence[str], spec: GridSpec) -> DataFrame:
-    """Sample at (lat, lon, p): bilinear on two levels and linear in ln p. Any missing corner
-    gives NULL; points off the pressure range are absent."""
-    levels = spec.levels
-    inside = points.where(F.col("p").between(levels[0], levels[-1]))
-    above = F.aggregate(spec.level_array(), F.lit(0),
-                        lambda acc, x: acc + F.when(x < F.col("p"), 1).otherwise(0))
-    k0 = F.greatest(above - 1, F.lit(0))
-    k1 = F.least(k0 + 1, F.lit(len(levels) - 1))
-    lev = spec.level_array()
-    p0, p1 = F.element_at(lev, k0 + 1), F.element_at(lev, k1 + 1)
-    fk = F.ln(F.col("p") / p0) / F.ln(p1 / p0)
-    pair = F.array(F.struct(p0.alias("level"), (1 - fk).alias("wk")), F.struct(p1.alias("level"), fk.alias("wk")))
-    legs = (corners(inside.select(*point_keys, "lat", "lon", "p"), spec)
-            .withColumn("_l", F.explode(pair)).select(*point_keys, "lat_idx", "lon_idx", "w", "_l.*"))
-    hit = legs.join(spec.on_axis(grid), ["level", "lat_idx", "lon_idx"])
-    w = F.col("w") * F.col("wk")
-    return hit.groupBy(*point_keys, *slice_keys).agg(
-        *[F.when(F.count(v) == 8, F.sum(F.col(v) * w)).alias(v) for v in values])
+    """Sample at (lat, lon, p): bilinear on two levels and linear in ln p. Any missing corner and
+    any point off the pressure or latitude range gives NULL."""
+    places = {"_k": _p_place(spec), "lat_idx": _lat_place(spec), "lon_idx": _lon_place(spec)}
+    on = spec.on_axis(grid).withColumn("_k", spec.level_pos())
+    inside = _in_lat(spec) & F.col("lon").isNotNull() & F.coalesce(F.col("p").between(spec.levels[0], spec.levels[-1]), F.lit(False))
+    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon", "p"])), on, slice_keys, values, spec, places, inside, point_keys, False)

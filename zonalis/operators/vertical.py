@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.fields import potential_temperature
+from zonalis.functions.fields import celsius, mixing_ratio_gkg, potential_temperature
 from zonalis.grid import GridSpec
 from zonalis.operators.calculus import level_axis, with_level_index
 
@@ -82,3 +82,20 @@ def fields_to_columns(long: DataFrame, keys: Sequence[str], fields: Sequence[str
 
 def columns_to_fields(wide: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     return wide.unpivot(list(keys), list(fields), "var", "value")
+
+
+def column_profiles(upper: DataFrame, surface: DataFrame, keys: Sequence[str], spec: GridSpec) -> DataFrame:
+    """One row per column: surface values and arrays ordered from the surface upwards.
+
+    ``upper`` holds t (K) and q (kg/kg) on levels, ``surface`` sst (K) and msl (hPa). The
+    join keeps the times and cells all four fields share.
+    """
+    down = sorted(spec.levels, reverse=True)
+    upper = spec.on_axis(upper).select(*keys, "level", celsius(F.col("t")).alias("tc"), mixing_ratio_gkg(F.col("q")).alias("r"))
+
+    def profile(c: str) -> Column:
+        return F.array(*[F.max(F.when(F.col("level") == p, F.col(c))) for p in down])
+
+    cols = upper.groupBy(*keys).agg(profile("tc").alias("t_profile"), profile("r").alias("r_profile"))
+    sfc = surface.select(*keys, celsius(F.col("sst")).alias("sst_c"), F.col("msl").alias("msl_hpa"))
+    return cols.join(sfc, list(keys))

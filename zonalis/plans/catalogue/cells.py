@@ -127,14 +127,14 @@ def _floor_index(value: str, p: float, n: str = "(count({v}) - 1)") -> str:
 result AS (SELECT month, level, {_floor_index('t', 0.005)} AS vmin, {_floor_index('t', 0.995)} AS vmax
   FROM clim GROUP BY ALL)""")
 def percentile_bounds(spark, sf):
-    return ranks.percentile_bounds(clim(spark, sf, "t"), ["month", "level"], "t", 0.005, 0.995, bin_width=0.05)
+    return ranks.percentile_bounds(clim(spark, sf, "t"), ["month", "level"], "t", 0.005, 0.995)
 
 
 @query("G13_sample_percentiles", "level:i vmin:6 vmax:6", with_(SQL_SAMPLES) + f""",
 result AS (SELECT level, {_floor_index('u', 0.03)} AS vmin, {_floor_index('u', 0.97)} AS vmax FROM raw GROUP BY ALL)""")
 def sample_percentiles(spark, sf):
     """Over every sample of the table: the hot, many-duplicates case."""
-    return ranks.percentile_bounds(tables.upper_samples(spark, sf), ["level"], "u", 0.03, 0.97, bin_width=0.05)
+    return ranks.percentile_bounds(tables.upper_samples(spark, sf), ["level"], "u", 0.03, 0.97)
 
 
 @query("G14_symmetric_ranges", "month:i level:i plain:6 clamped:6", with_(SQL_CLIM) + f""",
@@ -143,7 +143,7 @@ result AS (SELECT month, level, max(a) AS plain, {_floor_index('a', 0.97)} AS cl
 def symmetric_ranges(spark, sf):
     e = decompose.eddy(clim(spark, sf, "u"), ["month", *ROW], "u")
     plain = reduce.symmetric_range(e, ["month", "level"], "u").select("month", "level", F.col("vmax").alias("plain"))
-    cl = ranks.clamped_symmetric_range(e, ["month", "level"], "u", 0.97, bin_width=0.05)
+    cl = ranks.clamped_symmetric_range(e, ["month", "level"], "u", 0.97)
     return plain.join(cl.select("month", "level", F.col("vmax").alias("clamped")), ["month", "level"])
 
 
@@ -155,7 +155,7 @@ result AS (SELECT g.month, g.level, coalesce(f.f, 0) AS sigma_floor
   FROM (SELECT DISTINCT month, level FROM s) g LEFT JOIN f USING (month, level))""")
 def sigma_floor(spark, sf):
     c = reduce.climatology(monthly(spark, sf, "t"), ["t"], spread=True)
-    return ranks.sigma_floor(c, ["month", "level"], "t_std", bin_width=0.01)
+    return ranks.sigma_floor(c, ["month", "level"], "t_std")
 
 
 @query("G16_D13_range_pool", "level:i vmin:6 vmax:6 sym:6", with_(SQL_CLIM) + """,
@@ -215,7 +215,7 @@ result AS (SELECT year, month, level, lat_idx, lon_idx,
 def zscore_floor(spark, sf):
     m = monthly(spark, sf, "t")
     ref = reduce.climatology(m, ["t"], spread=True)
-    return decompose.zscore(m, ref, ["month", *CELL], ["month", "level"], "t", "t_std", bin_width=0.01)
+    return decompose.zscore(m, ref, ["month", *CELL], ["month", "level"], "t", "t_std")
 
 
 @query("D13_stable_eddy_range", "level:i vmin:6 vmax:6", with_(SQL_CLIM) + f""",
@@ -224,7 +224,7 @@ m AS (SELECT month, level, {_floor_index('a', 0.97)} AS hi FROM e GROUP BY ALL),
 result AS (SELECT level, -max(hi) AS vmin, max(hi) AS vmax FROM m GROUP BY ALL)""")
 def stable_eddy_range(spark, sf):
     e = decompose.eddy(clim(spark, sf, "u"), ["month", *ROW], "u")
-    return decompose.stable_range(e, "eddy", ["level"], "u", True, 0.97, bin_width=0.05)
+    return decompose.stable_range(e, "eddy", ["level"], "u", True, 0.97)
 
 
 # point-wise formulas --------------------------------------------------------------------

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
-from zonalis.operators import (budgets, calculus, diagnostics, ep_flux, intensity, lorenz, ranks, reduce, spectral,
-                               vertical)
+from zonalis.operators import budgets, calculus, diagnostics, ep_flux, lorenz, ranks, reduce, vertical
 from zonalis.plans.catalogue.base import (CELL, DYM, ROW, SPEC, SQL_CLIM, SQL_LEVELS, SQL_SAMPLES, SQL_SURFACE, clim,
                                           monthly, query, surface_clim, surface_monthly, with_)
+from zonalis.sources import tables
 
 PANEL = "month:i level:i lat_idx:i "
 COLUMN = ["month", "lat_idx", "lon_idx"]
@@ -342,33 +342,61 @@ _register_budget("energy", "h", 3)
 _register_budget("energy", "H", 3, "_form_H")
 
 
-def sql_capped(value: str, source: str, lo: float, hi: float, keys: str = "month") -> str:
+def sql_percentile_limits(source: str, lo: float, hi: float, keys: str = "month") -> str:
     return f"""
-result AS (SELECT {keys}, greatest({lo}::DOUBLE, least({hi}::DOUBLE,
-  list_sort(list(abs({value})))[CAST(floor(0.95::DOUBLE * (count({value}) - 1)) AS BIGINT) + 1])) AS bound
-  FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys})"""
+lim AS (SELECT {keys}, greatest({lo}::DOUBLE, least({hi}::DOUBLE, coalesce(
+  list_sort(list(abs(value)) FILTER (WHERE value IS NOT NULL))[CAST(floor(0.95::DOUBLE * (count(value) - 1)) AS BIGINT) + 1], 0))) AS vmax
+  FROM {source} GROUP BY {keys}),
+result AS (SELECT *, -vmax AS vmin FROM lim)"""
 
 
-def _capped(df, keys, which, width):
-    at = ranks.value_at_rank(df, keys, F.abs(F.col("value")), {"b": ranks.floor_rank(0.95)}, width)
-    return at.select(*keys, diagnostics.capped_symmetric(F.col("b"), which).alias("bound"))
-
-
-@query("P24_K3_geostrophic_display_bound", "month:i bound:5", BASE + f""",
+@query("P24_K3_geostrophic_display_limits", "month:i vmin:5 vmax:5", BASE + f""",
 g AS (SELECT month, CASE WHEN abs(lat) >= 5 THEN
   -9.80665::DOUBLE * {sql_dy('z')} / nullif(2 * 7.2921e-5 * sin(radians(lat)), 0) END AS value FROM panel),"""
-       + sql_capped("value", "g", 5, 100))
-def geostrophic_bound(spark, sf):
+       + sql_percentile_limits("g", 5, 100))
+def geostrophic_limits(spark, sf):
     """95th-percentile colour bound, held between 5 and 100 m/s; values stay as they are."""
-    return _capped(diagnostics.geostrophic_wind(clim(spark, sf, "z"), SPEC), ["month"], "geostrophic", 0.1)
+    return diagnostics.display_limits(diagnostics.geostrophic_wind(clim(spark, sf, "z"), SPEC), ["month"], "value", "geostrophic")
+
+
+@query("P24_K4_brunt_vaisala_display_limits", "month:i vmin:5 vmax:5", BASE + f""",
+th AS (SELECT *, t * pow(1000.0 / level, 0.2854) AS th FROM panel),
+n2 AS (SELECT month, -(9.80665::DOUBLE * 9.80665::DOUBLE * level * 100 / (287.04::DOUBLE * t * th)) * {sql_dp('th')} / 1e-4 AS value FROM th),
+result AS (SELECT month, greatest(-2.0, coalesce(min(value), 0)) AS vmin, least(12.0, coalesce(max(value), 4)) AS vmax FROM n2 GROUP BY month)""")
+def brunt_vaisala_limits(spark, sf):
+    """Lower and upper end have limits of their own."""
+    return diagnostics.display_limits(diagnostics.brunt_vaisala(clim(spark, sf, "t"), SPEC), ["month"], "value", "brunt_vaisala")
+
+
+@query("P24_K5_ep_flux_display_limits", "month:i vmin:4 vmax:4", BASE + SQL_EP + _ep_result("+").replace("result AS", "ep AS") + """,
+result AS (SELECT month, -greatest(1.0, least(20.0, coalesce(max(abs(div)), 0))) AS vmin, greatest(1.0, least(20.0, coalesce(max(abs(div)), 0))) AS vmax FROM ep GROUP BY month)""")
+def ep_limits(spark, sf):
+    return diagnostics.display_limits(ep_flux.ep_flux(clim(spark, sf, "u", "v", "t"), SPEC), ["month"], "div", "ep_flux")
+
 
+@query("P24_V2_pv_display_limits", "month:i vmin:6 vmax:6",
+       with_(SQL_CLIM, SQL_LEVELS, sql_isentrope("clim", "month, lat_idx, lon_idx", "pv", 330.0, "onth")) + """,
+result AS (SELECT month, greatest(-10.0, coalesce(min(pv), 0)) AS vmin, least(10.0, coalesce(max(pv), 1)) AS vmax FROM onth GROUP BY month)""")
+def pv_limits(spark, sf):
+    pv = vertical.on_isentrope(clim(spark, sf, "t", "pv"), COLUMN, ["pv"], 330.0, SPEC)
+    return diagnostics.display_limits(pv, ["month"], "pv", "pv")
 
-@query("P24_K7_m_budget_display_bound", "month:i term:s bound:4", BASE + sql_budget("momentum") + f""",
-disp AS (SELECT month, term, {SHOW['momentum', 'u']} AS value FROM terms),"""
-       + sql_capped("value", "disp", 0.3, 30, "month, term"))
-def m_budget_bound(spark, sf):
-    t = budgets.section(budgets.budget_terms(clim(spark, sf, "u", "v", "w"), SPEC, budgets.MOMENTUM), SPEC, budgets.MOMENTUM, "u")
-    return _capped(t, ["month", "term"], "m_budget_u", 0.1)
+
+def _register_limits(kind: str, form: str, which: str) -> None:
+    _, lo, hi = diagnostics.DISPLAY_LIMITS[which]
+
+    @query(f"P24_{OPID[kind]}_{which}_display_limits", "month:i term:s vmin:4 vmax:4", BASE + sql_budget(kind) + f""",
+disp AS (SELECT month, term, {SHOW[kind, form]} AS value FROM terms),""" + sql_percentile_limits("disp", lo, hi, "month, term"))
+    def limits(spark, sf):
+        terms = budgets.budget_terms(clim(spark, sf, *FIELDS_OF[kind]), SPEC, BUDGET[kind])
+        return diagnostics.display_limits(budgets.section(terms, SPEC, BUDGET[kind], form), ["month", "term"], "value", which)
+
+
+_register_limits("momentum", "u", "m_budget_u")
+_register_limits("momentum", "M", "m_budget_M")
+_register_limits("moisture", "q", "q_budget")
+_register_limits("energy", "h", "h_budget_h")
+_register_limits("energy", "H", "h_budget_H")
 
 
 # surface terms -----------------------------------------------------------------------------------------
@@ -504,26 +532,15 @@ def lorenz_simple(spark, sf):
     return _cycle(spark, sf, "simple")
 
 
-# kernels without a relational form ---------------------------------------------------------------------------
-@query("K14_helmholtz", "level:i lat_idx:i lon_idx:i chi:3 psi:3")
-def helmholtz(spark, sf):
-    """Annual means of every level; display units 1e6 m2/s."""
-    annual = reduce.annual_mean(clim(spark, sf, "u", "v"), ["u", "v"])
-    h = spectral.helmholtz(annual, ["level"], SPEC)
-    return h.withColumn("chi", F.col("chi") / 1e6).withColumn("psi", F.col("psi") / 1e6)
-
-
-@query("K15_U1_potential_intensity", "year:i month:i lat_idx:i lon_idx:i mpi:4 pmin:3")
-def potential_intensity(spark, sf):
-    from zonalis.sources import tables
-    upper = tables.upper_monthly(spark, sf, ("t", "q"))
+@query("O2_column_profiles", "year:i month:i lat_idx:i lon_idx:i k:i tc:6 r:8 sst_c:6 msl_hpa:6", with_(SQL_SAMPLES, SQL_SURFACE) + """,
+b AS (SELECT DISTINCT year, month, lat_idx, lon_idx FROM src),
+c AS (SELECT b.year, b.month, b.lat_idx, b.lon_idx, s.sst - 273.15 AS sst_c, s.msl AS msl_hpa FROM b JOIN smon s USING (year, month, lat_idx, lon_idx)),
+l AS (SELECT i AS k, [1000, 925, 850, 700, 500, 300, 200][i + 1] AS level FROM range(7) AS r(i)),
+result AS (SELECT c.*, l.k, t - 273.15 AS tc, q / greatest(1 - q, 1e-12) * 1000 AS r FROM c CROSS JOIN l LEFT JOIN src
+  ON src.year = c.year AND src.month = c.month AND src.lat_idx = c.lat_idx AND src.lon_idx = c.lon_idx AND src.level = l.level)""")
+def column_profiles(spark, sf):
+    """Columns from the surface upwards, beside the surface values they belong to."""
     keys = ["year", "month", "lat_idx", "lon_idx"]
-    cols = intensity.column_profiles(upper, surface_monthly(spark, sf, "sst", "msl"), keys, SPEC)
-    return intensity.maximum_potential_intensity(cols, keys, SPEC)
-
-
-@query("K15_intensity_of_climatology", "month:i lat_idx:i lon_idx:i mpi:4 pmin:3")
-def intensity_of_climatology(spark, sf):
-    q = clim(spark, sf, "t", "q").withColumn("q", F.col("q") / 1000)
-    cols = intensity.column_profiles(q, surface_clim(spark, sf, "sst", "msl"), COLUMN, SPEC)
-    return intensity.maximum_potential_intensity(cols, COLUMN, SPEC)
+    cols = vertical.column_profiles(tables.upper_monthly(spark, sf, ("t", "q")), surface_monthly(spark, sf, "sst", "msl"), keys, SPEC)
+    both = F.arrays_zip(F.col("t_profile").alias("tc"), F.col("r_profile").alias("r"))
+    return cols.select(*keys, "sst_c", "msl_hpa", F.posexplode(both).alias("k", "_x")).select(*keys, "k", "_x.tc", "_x.r", "sst_c", "msl_hpa")

@@ -1,4 +1,4 @@
-"""Arcs, sections, point samples, contours and trajectories."""
+"""Arcs, sections, point samples, and contours."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
 from zonalis.operators import sampling as sm
-from zonalis.operators import trajectories
 from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_CLIM, SQL_LEVELS, SQL_SURFACE, clim, query, surface_clim, with_)
 from zonalis.plans.catalogue.diagnostics import SQL_PANEL
 from zonalis.sources import tables
@@ -15,6 +14,15 @@ SQL_POINTS = """pts AS (SELECT c_custkey AS pid, (c_custkey * 29) % 173 - 86.0 +
   (c_custkey * 61) % 360 - 180.0 + c_acctbal * 2.236067977e-5 AS lon,
   210.0 + (c_custkey * 17) % 780 + c_acctbal * 1.224744871e-3 AS p FROM customer)"""
 
+# the same points stretched beyond every range
+SQL_BEYOND = SQL_POINTS.replace("pts AS (", "near AS (", 1) + """,
+pts AS (SELECT pid, lat * 1.2 AS lat, lon, p * 1.1 - 60 AS p FROM near)"""
+
+
+def _beyond(points):
+    return points.withColumn("lat", F.col("lat") * 1.2).withColumn("p", F.col("p") * 1.1 - 60)
+
+
 SQL_ARCS = """arcs AS (SELECT s_suppkey AS arc_id, (s_suppkey * 37) % 151 - 75.0 + s_acctbal * 1.118033989e-4 AS lat1,
   (s_suppkey * 53) % 360 - 180.0 + s_acctbal * 1.322875656e-5 AS lon1, (s_suppkey * 71) % 149 - 74.0 + s_acctbal * 2.236067977e-4 AS lat2,
   (s_suppkey * 97) % 360 - 179.5 + s_acctbal * 3.162277660e-5 AS lon2 FROM supplier),
@@ -104,12 +112,12 @@ def path_length(spark, sf):
     return sm.path_length(sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 128), ["arc_id"])
 
 
-@query("W13_date_line_split", "arc_id:l s:i segment:i n_points:i", with_(SQL_ARCS, sql_great_circle(64)) + """,
+@query("W13_date_line_split", "arc_id:l s:i segment:i n_points:i", with_(SQL_ARCS, sql_great_circle(128)) + """,
 j AS (SELECT *, (abs(lon - lag(lon) OVER (PARTITION BY arc_id ORDER BY s)) > 180)::INT AS jump FROM gc),
 k AS (SELECT *, sum(coalesce(jump, 0)) OVER (PARTITION BY arc_id ORDER BY s) AS segment FROM j),
 result AS (SELECT arc_id, s, segment, count(*) OVER (PARTITION BY arc_id, segment) AS n_points FROM k)""")
 def date_line_split(spark, sf):
-    return sm.split_at_date_line(sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 64), ["arc_id"])
+    return sm.split_at_date_line(sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 128), ["arc_id"])
 
 
 def sql_corners(points: str, keys: str) -> str:
@@ -122,85 +130,91 @@ cor AS (SELECT {keys}, i0 AS lat_idx, j0 AS lon_idx, (1 - fi) * (1 - fj) AS wt F
   SELECT {keys}, i1, j1, fi * fj FROM cell)"""
 
 
-@query("V4_J11_bilinear_sample", "pid:l month:i sst:6", with_(SQL_SURFACE, SQL_POINTS, sql_corners("pts", "pid")) + """,
-result AS (SELECT pid, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
-  FROM cor JOIN sclim USING (lat_idx, lon_idx) GROUP BY ALL)""")
+@query("V4_J11_bilinear_sample", "pid:l month:i sst:6", with_(SQL_SURFACE, SQL_BEYOND, sql_corners("pts", "pid")) + """,
+x AS (SELECT pid, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
+  FROM cor JOIN sclim USING (lat_idx, lon_idx) GROUP BY ALL),
+result AS (SELECT p.pid, m.month, x.sst FROM pts p CROSS JOIN (SELECT DISTINCT month FROM sclim) m LEFT JOIN x ON x.pid = p.pid AND x.month = m.month)""")
 def bilinear(spark, sf):
-    return sm.bilinear(tables.probe_points(spark, sf), ["pid"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC)
+    """Some points lie beyond the poles; they stay, with NULL."""
+    return sm.bilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC)
 
 
 @query("V4_V15_bilinear_with_gaps", "pid:l month:i sst:6", with_(SQL_SURFACE, SQL_POINTS, sql_corners("pts", "pid")) + """,
 g AS (SELECT * REPLACE (CASE WHEN (lat_idx + lon_idx) % 3 <> 0 THEN sst END AS sst) FROM sclim),
-result AS (SELECT pid, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
-  FROM cor JOIN g USING (lat_idx, lon_idx) GROUP BY ALL)""")
+x AS (SELECT pid, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
+  FROM cor JOIN g USING (lat_idx, lon_idx) GROUP BY ALL),
+result AS (SELECT p.pid, m.month, x.sst FROM pts p CROSS JOIN (SELECT DISTINCT month FROM g) m LEFT JOIN x ON x.pid = p.pid AND x.month = m.month)""")
 def bilinear_gaps(spark, sf):
     g = surface_clim(spark, sf, "sst").withColumn(
         "sst", F.when((F.col("lat_idx") + F.col("lon_idx")) % 3 != 0, F.col("sst")))
     return sm.bilinear(tables.probe_points(spark, sf), ["pid"], g, ["month"], ["sst"], SPEC)
 
 
-@query("V5_trilinear_wind", "pid:l month:i u:6 v:6", with_(SQL_CLIM, SQL_POINTS, SQL_LEVELS, sql_corners("pts", "pid, p")) + """,
+@query("V5_trilinear_wind", "pid:l month:i u:6 v:6", with_(SQL_CLIM, SQL_BEYOND, SQL_LEVELS, sql_corners("pts", "pid, p")) + """,
 kk AS (SELECT pid, p, lat_idx, lon_idx, wt, greatest(0, (SELECT count(*) FROM lev WHERE lev.p < cor.p) - 1) AS k0 FROM cor WHERE p BETWEEN 200 AND 1000),
 lv AS (SELECT kk.*, a.p AS p0, b.p AS p1, ln(kk.p / a.p) / ln(b.p / a.p::DOUBLE) AS fk FROM kk JOIN lev a ON a.k = k0 JOIN lev b ON b.k = least(k0 + 1, 6)),
 two AS (SELECT pid, lat_idx, lon_idx, p0 AS level, wt * (1 - fk) AS wt FROM lv UNION ALL SELECT pid, lat_idx, lon_idx, p1, wt * fk FROM lv),
-result AS (SELECT pid, month, CASE WHEN count(u) = 8 THEN sum(wt * u) END AS u, CASE WHEN count(v) = 8 THEN sum(wt * v) END AS v
-  FROM two JOIN clim USING (level, lat_idx, lon_idx) GROUP BY pid, month)""")
+x AS (SELECT pid, month, CASE WHEN count(u) = 8 THEN sum(wt * u) END AS u, CASE WHEN count(v) = 8 THEN sum(wt * v) END AS v
+  FROM two JOIN clim USING (level, lat_idx, lon_idx) GROUP BY pid, month),
+result AS (SELECT p.pid, m.month, x.u, x.v FROM pts p CROSS JOIN (SELECT DISTINCT month FROM clim) m LEFT JOIN x ON x.pid = p.pid AND x.month = m.month)""")
 def trilinear(spark, sf):
-    return sm.trilinear(tables.probe_points(spark, sf), ["pid"], clim(spark, sf, "u", "v"), ["month"], ["u", "v"], SPEC)
+    """Probes reach beyond the levels and the poles; those are NULL."""
+    return sm.trilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], clim(spark, sf, "u", "v"), ["month"], ["u", "v"], SPEC)
 
 
-@query("V6_V14_panel_sample", "probe_id:l month:i u:6", with_(SQL_CLIM, SQL_LEVELS, SQL_POINTS) + SQL_PANEL + """,
+@query("V6_V14_panel_sample", "probe_id:l month:i u:6", with_(SQL_CLIM, SQL_LEVELS, SQL_BEYOND) + SQL_PANEL + """,
 pr AS (SELECT pid AS probe_id, p, (90 - lat) / 15 AS r, greatest(0, (SELECT count(*) FROM lev WHERE lev.p < pts.p) - 1) AS k0 FROM pts),
 pk AS (SELECT probe_id, floor(r)::INT AS i0, least(12, floor(r)::INT + 1) AS i1, r - floor(r) AS fi, a.p AS p0, b.p AS p1,
   CASE WHEN a.k = b.k THEN 0 ELSE ln(pr.p / a.p) / ln(b.p / a.p::DOUBLE) END AS fk
   FROM pr JOIN lev a ON a.k = k0 JOIN lev b ON b.k = least(k0 + 1, 6) WHERE r BETWEEN 0 AND 12),
 c4 AS (SELECT probe_id, i0 AS lat_idx, p0 AS level, (1 - fi) * (1 - fk) AS wt FROM pk UNION ALL SELECT probe_id, i1, p0, fi * (1 - fk) FROM pk
   UNION ALL SELECT probe_id, i0, p1, (1 - fi) * fk FROM pk UNION ALL SELECT probe_id, i1, p1, fi * fk FROM pk),
-result AS (SELECT probe_id, month, CASE WHEN count(u) = 4 THEN sum(wt * u) END AS u FROM c4 JOIN panel USING (level, lat_idx) GROUP BY probe_id, month)""")
+x AS (SELECT probe_id, month, CASE WHEN count(u) = 4 THEN sum(wt * u) END AS u FROM c4 JOIN panel USING (level, lat_idx) GROUP BY probe_id, month),
+result AS (SELECT p.pid AS probe_id, m.month, x.u FROM pts p CROSS JOIN (SELECT DISTINCT month FROM clim) m LEFT JOIN x ON x.probe_id = p.pid AND x.month = m.month)""")
 def panel_sample(spark, sf):
     z = clim(spark, sf, "u").groupBy("month", "level", "lat_idx").agg(F.avg("u").alias("u"))
-    probes = tables.probe_points(spark, sf).select(F.col("pid").alias("probe_id"), "lat", "p")
+    probes = _beyond(tables.probe_points(spark, sf)).select(F.col("pid").alias("probe_id"), "lat", "p")
     return sm.panel_sample(z, probes, "u", SPEC, ["month"])
 
 
 @query("V13_arc_section", "arc_id:l s:i month:i dist_km:4 sst:6",
-       with_(SQL_ARCS, sql_great_circle(32), SQL_LENGTH, SQL_SURFACE, sql_corners("gc", "arc_id, s")) + """,
+       with_(SQL_ARCS, sql_great_circle(192), SQL_LENGTH, SQL_SURFACE, sql_corners("gc", "arc_id, s")) + """,
 dd AS (SELECT arc_id, s, sum(coalesce(d, 0)) OVER (PARTITION BY arc_id ORDER BY s) AS dist_km FROM leg),
 x AS (SELECT arc_id, s, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
   FROM cor JOIN sclim USING (lat_idx, lon_idx) GROUP BY ALL),
-result AS (SELECT x.*, dist_km FROM x JOIN dd USING (arc_id, s))""")
+result AS (SELECT dd.arc_id, dd.s, m.month, dist_km, sst FROM dd CROSS JOIN (SELECT DISTINCT month FROM sclim) m
+  LEFT JOIN x ON x.arc_id = dd.arc_id AND x.s = dd.s AND x.month = m.month)""")
 def arc_section(spark, sf):
-    pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 32)
+    pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 192)
     return sm.arc_section(pts, ["arc_id"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC)
 
 
-@query("V13_upper_air_section", "arc_id:l s:i level:i dist_km:4 u:6",
-       with_(SQL_ARCS, sql_great_circle(32), SQL_LENGTH, SQL_CLIM, sql_corners("gc", "arc_id, s")) + """,
+@query("V13_upper_air_section", "arc_id:l s:i month:i level:i dist_km:4 u:6",
+       with_(SQL_ARCS, sql_great_circle(192), SQL_LENGTH, SQL_CLIM, sql_corners("gc", "arc_id, s")) + """,
 dd AS (SELECT arc_id, s, sum(coalesce(d, 0)) OVER (PARTITION BY arc_id ORDER BY s) AS dist_km FROM leg),
-x AS (SELECT arc_id, s, level, CASE WHEN count(u) = 4 THEN sum(wt * u) ELSE avg(u) END AS u
-  FROM cor JOIN (SELECT * FROM clim WHERE month = 1) c USING (lat_idx, lon_idx) GROUP BY ALL),
-result AS (SELECT x.*, dist_km FROM x JOIN dd USING (arc_id, s))""")
+x AS (SELECT arc_id, s, month, level, CASE WHEN count(u) = 4 THEN sum(wt * u) ELSE avg(u) END AS u
+  FROM cor JOIN clim USING (lat_idx, lon_idx) GROUP BY ALL),
+result AS (SELECT dd.arc_id, dd.s, m.month, m.level, dist_km, u FROM dd CROSS JOIN (SELECT DISTINCT month, level FROM clim) m
+  LEFT JOIN x ON x.arc_id = dd.arc_id AND x.s = dd.s AND x.month = m.month AND x.level = m.level)""")
 def upper_section(spark, sf):
-    pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 32)
-    january = clim(spark, sf, "u").where("month = 1").drop("month")
-    return sm.arc_section(pts, ["arc_id"], january, ["level"], ["u"], SPEC)
+    pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 192)
+    return sm.arc_section(pts, ["arc_id"], clim(spark, sf, "u"), ["month", "level"], ["u"], SPEC)
 
 
-@query("P20_barb_sites", "month:i lat:6 lon:6 speed:6 pennants:i full:i half:i", with_(SQL_CLIM) + """,
+@query("P20_barb_sites", "month:i level:i lat:6 lon:6 speed:6 pennants:i full:i half:i", with_(SQL_CLIM) + """,
 b AS (SELECT -82.0 + 8.0 * i AS lat FROM range(21) AS r(i)),
 n AS (SELECT lat, greatest(3, floor(360 / least(30.0, 8 / greatest(0.1, cos(radians(lat)))) + 0.5))::INT AS n FROM b),
 st AS (SELECT lat, -180 + j * (360.0::DOUBLE / n) AS lon FROM n, LATERAL (SELECT unnest(range(n)) AS j)),
 """ + sql_corners("st", "lat, lon") + """,
-x AS (SELECT month, lat, lon, CASE WHEN count(u) = 4 THEN sum(wt * u) ELSE avg(u) END AS u, CASE WHEN count(v) = 4 THEN sum(wt * v) ELSE avg(v) END AS v
-  FROM cor JOIN (SELECT * FROM clim WHERE level = 500) c USING (lat_idx, lon_idx) GROUP BY ALL),
+x AS (SELECT month, level, lat, lon, CASE WHEN count(u) = 4 THEN sum(wt * u) ELSE avg(u) END AS u, CASE WHEN count(v) = 4 THEN sum(wt * v) ELSE avg(v) END AS v
+  FROM cor JOIN clim USING (lat_idx, lon_idx) GROUP BY ALL),
 k AS (SELECT *, sqrt(u*u + v*v) AS speed, sqrt(u*u + v*v) * 1.94384::DOUBLE AS kt FROM x),
 f AS (SELECT *, floor(kt / 50) AS p FROM k), g AS (SELECT *, floor((kt - p * 50) / 10) AS q FROM f),
-result AS (SELECT month, lat, lon, speed, p AS pennants, q AS "full", (kt - p * 50 - q * 10 >= 4.5)::INT AS half FROM g WHERE speed >= 1.5)""")
+result AS (SELECT month, level, lat, lon, speed, p AS pennants, q AS "full", (kt - p * 50 - q * 10 >= 4.5)::INT AS half FROM g WHERE speed >= 1.5)""")
 def barb_sites(spark, sf):
-    wind = clim(spark, sf, "u", "v").where("level = 500").drop("level")
-    at = sm.bilinear(sm.barb_sites(spark), ["lat", "lon"], wind, ["month"], ["u", "v"], SPEC)
+    at = sm.bilinear(sm.barb_sites(spark), ["lat", "lon"], clim(spark, sf, "u", "v"), ["month", "level"], ["u", "v"], SPEC)
     at = at.withColumn("speed", fx.wind_speed(F.col("u"), F.col("v"))).withColumn("b", fx.wind_barb(F.col("speed")))
-    return at.where("b IS NOT NULL").select("month", "lat", "lon", "speed", "b.*")
+    return at.where("b IS NOT NULL").select("month", "level", "lat", "lon", "speed", "b.*")
 
 
 SQL_CROSS = """,
@@ -229,37 +243,6 @@ def contour_labels(spark, sf):
     return sm.contour_crossings(clim(spark, sf, "t"), ["month", "level", "lon_idx"], "t", 0.5, SPEC, min_gap_deg=12.0)
 
 
-# trajectories ------------------------------------------------------------------------------------------
-def _seeds(spark, sf):
-    """A seed per customer, spread over the months."""
-    return tables.probe_points(spark, sf).withColumn("month", (F.pmod("pid", F.lit(12)) + 1).cast("int"))
-
-
-@query("K17_B15_parcels", "month:i pid:l step:i lat:6 lon:6 p:5")
-def parcels(spark, sf):
-    return trajectories.parcels(_seeds(spark, sf), clim(spark, sf, "u", "v", "w"), SPEC)
-
-
-@query("K17_parcel_clusters", "month:i pid:l step:i lat:6 lon:6 p:5")
-def parcel_clusters(spark, sf):
-    """Twelve parcels around each supplier's arc start, over ten days."""
-    at = tables.arc_ends(spark, sf).select(
-        F.col("arc_id").alias("pid"), (F.pmod("arc_id", F.lit(12)) + 1).cast("int").alias("month"),
-        F.lit(500.0).alias("p"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
-    return trajectories.parcels(trajectories.parcel_cluster(at), clim(spark, sf, "u", "v", "w"), SPEC, steps=40)
-
-
-@query("K18_W13_streamlines", "month:i pid:l step:i lat:6 lon:6 segment:i")
-def streamlines(spark, sf):
-    lines = trajectories.streamlines(_seeds(spark, sf), clim(spark, sf, "u", "v").where("level = 500"), SPEC)
-    return sm.split_at_date_line(lines, ["month", "pid"], "step")
-
-
-@query("K19_particles", "month:i pid:l step:i lat:6 lon:6 life:i")
-def particles(spark, sf):
-    return trajectories.particles(_seeds(spark, sf), clim(spark, sf, "u", "v").where("level = 200"), SPEC, frames=24)
-
-
 @query("K20_surface_wind_for_surface_fields", "month:i lat_idx:i lon_idx:i sst:6 u:6 v:6", with_(SQL_SURFACE) + """,
 result AS (SELECT month, lat_idx, lon_idx, sst, u10 AS u, v10 AS v FROM sclim)""")
 def surface_wind(spark, sf):
@@ -282,4 +265,4 @@ result AS (SELECT m AS month, l AS level, i AS lat_idx, j AS lon_idx, u FROM ran
   LEFT JOIN clim ON clim.month = m AND clim.level = l AND clim.lat_idx = i AND clim.lon_idx = j)""")
 def annual_frames(spark, sf):
     """Twelve dense frames per level, ready to be drawn in a loop."""
-    return SPEC.densify(clim(spark, sf, "u"), ["level"], ["month", "lat_idx", "lon_idx"]).select("month", *CELL, "u")
+    return SPEC.densify(clim(spark, sf, "u"), ["level"], ["month", "lat_idx", "lon_idx"], SPEC.level_slices(spark)).select("month", *CELL, "u")

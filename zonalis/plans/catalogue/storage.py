@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonalis.operators import reduce, vertical
+from zonalis.operators import diagnostics, reduce, vertical
 from zonalis.plans import jobs
 from zonalis.plans.catalogue.base import CELL, SPEC, SQL_CLIM, SQL_SAMPLES, SQL_SURFACE, clim, monthly, query, surface_monthly, with_
 from zonalis.registry import field_frame
@@ -185,6 +185,23 @@ def manifest(spark, sf):
             .select("grp", "var", F.size("m.levels").alias("n_levels"), F.size("m.years").alias("n_years")))
 
 
+@query("B7_appended_level_panel", "month:i level:i lat_idx:i t:6", with_(SQL_SAMPLES, sql_long("t")) + """,
+n AS (SELECT year, month, 600 AS level, lat_idx, lon_idx, value + 1 AS value FROM lg WHERE level = 500),
+b AS (SELECT year, month, level, lat_idx, lon_idx, value FROM lg UNION ALL SELECT * FROM n),
+c AS (SELECT month, level, lat_idx, lon_idx, avg(value) AS v FROM b GROUP BY ALL),
+z AS (SELECT month, level, lat_idx, avg(v) AS t FROM c GROUP BY ALL),
+result AS (SELECT m.month, l.level, i AS lat_idx, z.t FROM (SELECT DISTINCT month FROM c) m CROSS JOIN (SELECT DISTINCT level FROM c) l CROSS JOIN range(13) AS r(i)
+  LEFT JOIN z ON z.month = m.month AND z.level = l.level AND z.lat_idx = i)""")
+def appended_level_panel(spark, sf):
+    """A level appended to the store is on the axis that the catalogue gives, and in the panel."""
+    m = _long(spark, sf, "t")
+    new = m.where("level = 500").withColumn("level", F.lit(600)).withColumn("value", F.col("value") + 1)
+    both = m.unionByName(store.append_levels(m, new))
+    spec = SPEC.with_levels(store.axis_levels(store.variable_meta(both), "t"))
+    c = both.groupBy("month", *CELL).agg(F.avg("value").alias("t"))
+    return diagnostics.zonal_table(c, ["month"], ["t"], spec).select("month", "level", "lat_idx", "t")
+
+
 @query("S15_X4_B7_append_levels", "var:s levels:s vmin:6 vmax:6 n:l", with_(SQL_SAMPLES, sql_long("t")) + """,
 result AS (SELECT var, (SELECT string_agg(l, ',' ORDER BY l::INT) FROM (SELECT DISTINCT CAST(level AS VARCHAR) AS l FROM lg)) AS levels,
   min(value) AS vmin, max(value) AS vmax, count(*) AS n FROM lg GROUP BY ALL)""")

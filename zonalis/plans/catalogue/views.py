@@ -26,7 +26,7 @@ def store(spark, sf, *names, surface=()) -> FieldStore:
         s = surface_monthly(spark, sf, *surface).withColumn("level", F.lit(0))
         parts.append(vertical.columns_to_fields(s, keys, surface))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return FieldStore(rows, SPEC, active="1995-2001", windows=WINDOWS, bin_width={"t": 0.05, "u": 0.1})
+    return FieldStore(rows, SPEC, active="1995-2001", windows=WINDOWS)
 
 
 @query("D1_climatology_field", OUT + "value:6", with_(SQL_CLIM) + """,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec, stride, stride_for
-from zonalis.operators import intensity, reduce, spectral, vertical
+from zonalis.operators import reduce, vertical
 from zonalis.registry import shear_levels
 from zonalis.sources import fields as store
 from zonalis.sources import tiles
@@ -81,37 +81,6 @@ def completeness(df: DataFrame, keys: Sequence[str], expected: int) -> DataFrame
         *keys, "have", F.lit(expected).alias("expected"), (F.col("have") >= expected).alias("complete"))
 
 
-def build_helmholtz(long: DataFrame, root: str, spec: GridSpec, levels: Sequence[int] | None = None,
-                    years: tuple[int, int] | None = None) -> str:
-    """chi and psi monthly tree. Levels and years are cut before the spectral step, which no
-    filter is pushed through; each slice is independent, so a subset equals the full run."""
-    rows = select_inputs(long, ["u", "v"], years=years)
-    if levels:
-        rows = rows.where(F.col("level").isin(*levels))
-    keys = ["year", "month", "level"]
-    wind = vertical.fields_to_columns(rows, [*keys, "lat_idx", "lon_idx"], ["u", "v"])
-    out = spectral.helmholtz(wind, keys, spec)
-    out = out.withColumn("chi", F.col("chi") / 1e6).withColumn("psi", F.col("psi") / 1e6)
-    rows = vertical.columns_to_fields(out, [*keys, "lat_idx", "lon_idx"], ["chi", "psi"])
-    return store.write_monthly(rows.withColumn("grp", F.lit("pressure_levels")), root)
-
-
-def intensity_monthly(long: DataFrame, spec: GridSpec) -> DataFrame:
-    """mpi and pmin monthly rows from t (K), q (g/kg), sst (K) and msl (hPa)."""
-    keys = ["year", "month", "lat_idx", "lon_idx"]
-    upper = vertical.fields_to_columns(long, [*keys, "level"], ["t", "q"]).withColumn("q", F.col("q") / 1000)
-    surface = vertical.fields_to_columns(long, keys, ["sst", "msl"])
-    out = intensity.maximum_potential_intensity(intensity.column_profiles(upper, surface, keys, spec), keys, spec)
-    return (vertical.columns_to_fields(out, keys, ["mpi", "pmin"])
-            .withColumn("level", F.lit(store.SURFACE_LEVEL)).withColumn("grp", F.lit("single_levels")))
-
-
-def build_intensity(long: DataFrame, root: str, spec: GridSpec, period: tuple[int, int] | None = None) -> str:
-    """Per-year tree, or with a period its climatology and sigma."""
-    rows = intensity_monthly(store.in_years(long, *period) if period else long, spec)
-    return build_climatology(rows, root, *period) if period else build_per_year(rows, root)
-
-
 def add_levels(existing: DataFrame, new: DataFrame, root: str) -> str:
     """Append levels to a per-year tree; levels stored before are left alone."""
     return store.write_monthly(store.append_levels(existing, new), root, mode="append")
@@ -120,6 +89,7 @@ def add_levels(existing: DataFrame, new: DataFrame, root: str) -> str:
 def quantize_tree(clim: DataFrame, path: str) -> str:
     """Quantized copy of a climatology tree, one range per (period, kind, var, level, month)."""
     q = tiles.quantize(clim, ["period", "kind", "var", "level", "month"])
-    (q.repartition("period", "kind", "var", "level").write.mode("overwrite")
+    band = F.floor(F.col("lat_idx") / 64)
+    (q.repartition("period", "kind", "var", "level", band).sortWithinPartitions("period", "kind", "var", "level", "month", "lat_idx").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("period", "kind", "var", "level").parquet(path))
     return path

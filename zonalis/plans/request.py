@@ -8,7 +8,7 @@ references and fallbacks is plain Python on the request, never on data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from zonalis.constants import PRESSURE_LEVELS, THETA_LEVELS
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec
-from zonalis.operators import composite, decompose, ranks, reduce, vertical
+from zonalis.operators import composite, decompose, diagnostics, ranks, reduce, vertical
 from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, Window30, shear_levels
 
 KEYS = ["month", "lat_idx", "lon_idx"]
@@ -84,7 +84,6 @@ class FieldStore:
     active: str = DEFAULT_PERIOD
     windows: tuple[Window30, ...] = CLIMO_WINDOWS
     has_std: bool = True
-    bin_width: dict[str, float] = field(default_factory=dict)
 
     def period_years(self, period: str) -> tuple[int, int]:
         """``default`` stands for the active period; a literal period is itself."""
@@ -94,9 +93,6 @@ class FieldStore:
     def best_window(self, year: int) -> str:
         return min(self.windows, key=lambda w: (abs(year - w.center), -w.center)).id
 
-    def width(self, name: str) -> float:
-        return self.bin_width.get(name, 1.0)
-
 
 # what a request needs ---------------------------------------------------------------------
 def ingredients(req: FieldRequest, spec: GridSpec) -> list[tuple[str, int | None]]:
@@ -134,15 +130,34 @@ def effective_mode(store: FieldStore, req: FieldRequest) -> str:
 
 
 # evaluation ---------------------------------------------------------------------------------
-def _inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
-    """Ingredient columns per (year, month, level, cell): partition pruning on var and level."""
+INPUT_KEYS = ["year", "month", "level", "lat_idx", "lon_idx"]
+
+
+def _rows(store: FieldStore, req: FieldRequest) -> tuple[DataFrame, list[str]]:
+    """The long rows a request reads (partition pruning on var, level and month) and their fields."""
     need = ingredients(req, store.spec)
     names = list(dict.fromkeys(n for n, _ in need))
     levels = {lev for _, lev in need if lev is not None}
-    rows = store.monthly
+    rows = store.monthly.where(F.col("var").isin(*names))
     if levels:
         rows = rows.where(F.col("level").isin(*levels))
-    return vertical.fields_to_columns(rows, ["year", "month", "level", "lat_idx", "lon_idx"], names)
+    months = _months(req)
+    return (rows.where(F.col("month").isin(*months)) if months else rows), names
+
+
+def _inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """Ingredient columns per (year, month, level, cell). One field is renamed, not shuffled."""
+    rows, names = _rows(store, req)
+    if len(names) == 1:
+        return rows.select(*INPUT_KEYS, F.col("value").alias(names[0]))
+    return vertical.fields_to_columns(rows, INPUT_KEYS, names)
+
+
+def _mean_inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """Climatological ingredient columns per (month, level, cell): one aggregation from the long rows."""
+    rows, names = _rows(store, req)
+    rows = rows.where(F.col("year").between(*store.period_years(req.period)))
+    return rows.groupBy("month", *INPUT_KEYS[2:]).agg(*[F.avg(F.when(F.col("var") == n, F.col("value"))).alias(n) for n in names])
 
 
 def _evaluate(df: DataFrame, keys: Sequence[str], req: FieldRequest, spec: GridSpec) -> DataFrame:
@@ -183,25 +198,24 @@ def base_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     Single years and composites evaluate each year and then average; a climatology averages
     its ingredients first and evaluates once; sigma evaluates each year and takes the spread.
     """
-    df = _inputs(store, req)
-    months = _months(req)
-    if months:
-        df = df.where(F.col("month").isin(*months))
     by_year = ["year", *KEYS]
+    if not (req.year is not None or req.composite or effective_kind(store, req) == "std"):
+        out = _evaluate(_mean_inputs(store, req), KEYS, req, store.spec)
+        return _centred(out, req)
+    df = _inputs(store, req)
     if req.year is not None:
         out = _evaluate(df.where(F.col("year") == req.year), by_year, req, store.spec).drop("year")
     elif req.composite:
         df = df.join(F.broadcast(_years_of(store, req)), "year", "left_semi")      # calendar years: a short list
         out = reduce.climatology(_evaluate(df, by_year, req, store.spec), ["value"], KEYS[1:])
     else:
-        df = df.where(F.col("year").between(*store.period_years(req.period)))
-        if effective_kind(store, req) == "std":
-            yearly = _evaluate(df, by_year, req, store.spec)
-            out = yearly.groupBy(*KEYS).agg(F.stddev_pop("value").alias("value"))
-        else:
-            names = [c for c in df.columns if c not in ("year", "month", "level", "lat_idx", "lon_idx")]
-            clim = reduce.climatology(df, names)
-            out = _evaluate(clim, KEYS, req, store.spec)
+        yearly = _evaluate(df.where(F.col("year").between(*store.period_years(req.period))), by_year, req, store.spec)
+        out = yearly.groupBy(*KEYS).agg(F.stddev_pop("value").alias("value"))
+    return _centred(out, req)
+
+
+def _centred(out: DataFrame, req: FieldRequest) -> DataFrame:
+    """The seasonal mean where asked for, and the month of the request."""
     if req.seasonal:
         out = reduce.seasonal_mean(out, ["value"], KEYS[1:])
     return out if req.month is None else out.where(F.col("month") == req.month)
@@ -243,8 +257,6 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     weights = composite.window_weights(composite.best_window(_years_of(store, req), w))
     df = _inputs(store, req)
     months = _months(req)
-    if months:
-        df = df.where(F.col("month").isin(*months))
     names = [c for c in df.columns if c not in ("year", "month", "level", "lat_idx", "lon_idx")]
     clims = composite.window_climatologies(df, w, names)
     values = _evaluate(clims, ["window_id", *KEYS], req, store.spec)
@@ -255,9 +267,7 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
         fixed = fixed.where(F.col("month").isin(*months))
     out = (composite.sliding_reference(values, weights, ["value"], KEYS[1:]).join(usable, "month", "left_semi")
            .unionByName(fixed.select(*KEYS, "value").join(usable, "month", "left_anti")))
-    if req.seasonal:
-        out = reduce.seasonal_mean(out, ["value"], KEYS[1:])
-    return out if req.month is None else out.where(F.col("month") == req.month)
+    return _centred(out, req)
 
 
 def _decomposed(store: FieldStore, req: FieldRequest, baseline: DataFrame | None = None) -> DataFrame:
@@ -272,7 +282,7 @@ def _decomposed(store: FieldStore, req: FieldRequest, baseline: DataFrame | None
         period = req.reference if req.reference not in ("default", "best-match") else "default"
         sd = base_field(store, _plain(req, kind="std", period=period)).withColumnRenamed("value", "sigma")
         both = ref.join(sd, KEYS, "outer")
-        return decompose.zscore(df, both, KEYS, ["month"], "value", "sigma", store.width(req.name) / 10)
+        return decompose.zscore(df, both, KEYS, ["month"], "value", "sigma")
     return df
 
 
@@ -300,12 +310,15 @@ def display_range(store: FieldStore, req: FieldRequest, df: DataFrame) -> DataFr
     if mode == "zscore" and not req.comparing:
         out = df.sparkSession.range(1).select(F.lit(-5.0).alias("vmin"), F.lit(5.0).alias("vmax"))
     elif centred:
-        out = decompose.stable_range(df, mode, [], "value", True, clamp[1] if clamp else None, store.width(req.name))
+        out = decompose.stable_range(df, mode, [], "value", True, clamp[1] if clamp else None)
     else:
-        per_month = (ranks.percentile_bounds(df, ["month"], "value", *clamp, bin_width=store.width(req.name))
-                     if clamp else reduce.value_range(df, ["month"], "value"))
+        per_month = (ranks.percentile_bounds(df, ["month"], "value", *clamp) if clamp
+                     else reduce.value_range(df, ["month"], "value"))
         symmetric = req.meta.symmetric and effective_kind(store, req) != "std"
         out = reduce.pooled_range(per_month, [], symmetric)
+        if req.name == "pv" and req.on_theta:
+            _, lo, hi, *_ = diagnostics.DISPLAY_LIMITS["pv"]
+            out = out.select(F.greatest("vmin", F.lit(lo)).alias("vmin"), F.least("vmax", F.lit(hi)).alias("vmax"))
     return out.select(F.coalesce(F.lit(req.user_min).cast("double"), "vmin").alias("vmin"),
                       F.coalesce(F.lit(req.user_max).cast("double"), "vmax").alias("vmax"))
 

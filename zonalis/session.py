@@ -57,7 +57,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable by the Python workers of every executor.
 
     Called by the operators that run Python in tasks. By reference rather than pickled by
-    value, so that a reused worker keeps what it cached (the spectral tables of a grid).
+    value, so that a reused worker keeps what it cached.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:

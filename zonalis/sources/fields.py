@@ -146,10 +146,15 @@ def write_climatology(clim: DataFrame, root: str, mode: str = "overwrite") -> st
 
 
 def append_levels(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet: appending them twice changes nothing."""
-    key = [c for c in ("period", "kind", "var", "level", "year", "month", "lat_idx", "lon_idx")
-           if c in new.columns]
-    return new.join(existing.select(*key).distinct(), key, "left_anti")
+    """Rows of ``new`` whose tile (variable, level, time) is not stored yet: appending them twice
+    changes nothing.
+
+    Only the tile keys of the levels in question are read from the store (partition columns), and
+    they are as few as its folders and months, however many cells a tile has.
+    """
+    key = [c for c in ("period", "kind", "var", "level", "year", "month") if c in new.columns]
+    levels = [r["level"] for r in new.select("level").distinct().collect()]             # an axis: a short list
+    return new.join(existing.where(F.col("level").isin(levels)).select(*key).distinct(), key, "left_anti")
 
 
 # catalogue ---------------------------------------------------------------------
@@ -176,6 +181,12 @@ def manifest_json(meta: DataFrame) -> DataFrame:
             .select("grp", F.to_json(F.map_from_entries("e")).alias("manifest")))
 
 
+def axis_levels(meta: DataFrame, var: str) -> list[int]:
+    """The level axis of a variable as the catalogue has it (one row)."""
+    row = meta.where(F.col("var") == var).select("levels").first()
+    return list(row["levels"]) if row else []
+
+
 def available_levels(long: DataFrame, var: str) -> DataFrame:
     return long.where(F.col("var") == var).select("level").distinct().orderBy("level")
 
