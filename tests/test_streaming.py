@@ -37,13 +37,13 @@ def test_running_mean_and_readiness(spark, tmp_path):
     for y, v in ((2000, 1.0), (2001, 2.0), (2001, 2.0)):
         deliver(spark, src, y, v)
     s = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
-    arrivals.upsert_batches(arrivals.ready_slices(s, (2000, 2001, 2002)), f"{tmp_path}/r", f"{tmp_path}/rc").awaitTermination()
-    rows = arrivals.latest_rows(spark, f"{tmp_path}/r", arrivals.SLICE).collect()
+    arrivals.upsert_batches(arrivals.ready_slices(s, (2000, 2001, 2002)), f"{tmp_path}/r", f"{tmp_path}/rc", arrivals.SLICE).awaitTermination()
+    rows = arrivals.latest_rows(spark, f"{tmp_path}/r").collect()
     assert len(rows) == 2 and all(r["n_years"] == 2 and not r["ready"] for r in rows)
     deliver(spark, src, 2002, 9.0)
     s = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
-    arrivals.upsert_batches(arrivals.ready_slices(s, (2000, 2001, 2002)), f"{tmp_path}/r", f"{tmp_path}/rc").awaitTermination()
-    assert all(r["ready"] for r in arrivals.latest_rows(spark, f"{tmp_path}/r", arrivals.SLICE).collect())
+    arrivals.upsert_batches(arrivals.ready_slices(s, (2000, 2001, 2002)), f"{tmp_path}/r", f"{tmp_path}/rc", arrivals.SLICE).awaitTermination()
+    assert all(r["ready"] for r in arrivals.latest_rows(spark, f"{tmp_path}/r").collect())
 
 
 def test_progress_listener(spark, tmp_path):
@@ -53,7 +53,7 @@ def test_progress_listener(spark, tmp_path):
     try:
         s = arrivals.arriving(spark, str(tmp_path / "in"), store.MONTHLY_SCHEMA)
         keys = ["month", "level"]
-        arrivals.upsert_batches(arrivals.progressive_mean(s, keys, "value"), f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination()
+        arrivals.upsert_batches(arrivals.progressive_mean(s, keys, "value"), f"{tmp_path}/o", f"{tmp_path}/c", keys).awaitTermination()
         import time
         for _ in range(50):
             if seen.rows:
@@ -62,3 +62,18 @@ def test_progress_listener(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.rows == 2 * 156 and seen.batches >= 1
+
+
+def test_state_does_not_grow_with_batches(spark, tmp_path):
+    import os
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sizes = []
+    for n in range(5):
+        deliver(spark, src, 2000 + n % 2, float(n))
+        s = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
+        arrivals.keep_climatology_fresh(s, out, 2000, 2001, f"{tmp_path}/c").awaitTermination()
+        s = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
+        arrivals.upsert_batches(arrivals.progressive_mean(s, ["month", "level"], "value"), f"{out}/mean", f"{tmp_path}/m", ["month", "level"]).awaitTermination()
+        sizes.append((sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{out}/landed") for f in fs),
+                      spark.read.parquet(f"{out}/landed").count(), len(os.listdir(f"{out}/mean"))))
+    assert len({x[:2] for x in sizes[1:]}) == 1 and sizes[-1][2] <= 3, sizes

@@ -22,9 +22,9 @@ def progressive(spark, sf):
     work = work_folder(spark, "progressive")
     schema = tables.table(spark, sf, "lineitem").schema
     samples = tables.upper_from(arrivals.arriving(spark, f"{sf.rstrip('/')}/lineitem.parq*", schema))
-    q = arrivals.upsert_batches(arrivals.progressive_mean(samples, KEYS, "t"), f"{work}/out", f"{work}/ckpt")
+    q = arrivals.upsert_batches(arrivals.progressive_mean(samples, KEYS, "t"), f"{work}/out", f"{work}/ckpt", KEYS)
     q.awaitTermination()
-    return arrivals.mean_of(arrivals.latest_rows(spark, f"{work}/out", KEYS), "t")
+    return arrivals.mean_of(arrivals.latest_rows(spark, f"{work}/out"), "t")
 
 
 def _landing(spark, sf, work):
@@ -33,7 +33,7 @@ def _landing(spark, sf, work):
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in store.MONTHLY_SCHEMA])
     folder = f"{work}/landing"
     for years in ((1995, 1996), (1997, 1998, 1999), (1997,), (2000, 2001)):
-        rows.where(F.col("year").isin(*years)).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.col("year").isin(*years)).write.mode("append").parquet(folder)
     return folder
 
 
@@ -54,6 +54,6 @@ def readiness(spark, sf):
     """Slices of which all of 1999-2001 have arrived (2001 ends before December)."""
     work = work_folder(spark, "ready")
     stream = arrivals.arriving(spark, _landing(spark, sf, work), store.MONTHLY_SCHEMA, files_per_batch=1)
-    q = arrivals.upsert_batches(arrivals.ready_slices(stream, (1999, 2000, 2001)), f"{work}/out", f"{work}/ckpt")
+    q = arrivals.upsert_batches(arrivals.ready_slices(stream, (1999, 2000, 2001)), f"{work}/out", f"{work}/ckpt", arrivals.SLICE)
     q.awaitTermination()
-    return arrivals.latest_rows(spark, f"{work}/out", arrivals.SLICE)
+    return arrivals.latest_rows(spark, f"{work}/out")

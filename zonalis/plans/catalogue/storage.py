@@ -80,7 +80,7 @@ def span_pruning(spark, sf):
     return s.where(keep).groupBy("folder", "year").agg(F.count("*").alias("n"))
 
 
-@query("S6_T5_settled_files", "level:i n:l", with_(SQL_SAMPLES) + """,
+@query("S6_settled_files", "level:i n:l", with_(SQL_SAMPLES) + """,
 result AS (SELECT level, count(*) AS n FROM samples GROUP BY ALL)""")
 def settled(spark, sf):
     li = store.keep_settled(tables.table(spark, sf, "lineitem"))

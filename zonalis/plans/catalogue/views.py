@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalis.operators import vertical
+from zonalis.operators.sampling import great_circle
+from zonalis.plans import sections
 from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_CLIM, SQL_INDEX, SQL_LEVELS, SQL_SAMPLES, SQL_SURFACE, SQL_WINDOWS,
                                           WINDOWS, monthly, query, surface_monthly, with_)
 from zonalis.plans.catalogue.diagnostics import sql_isentrope
-from zonalis.plans.catalogue.events import SQL_BEST, SQL_EVENTS
+from zonalis.plans.catalogue.events import BOX, SQL_BEST, SQL_BOX, SQL_EVENTS
+from zonalis.plans.catalogue.sampling import SQL_ARCS, SQL_LENGTH, sql_corners, sql_great_circle
 from zonalis.plans.request import (FieldRequest, FieldStore, base_field, decode, display_range, effective_kind, encode,
                                    ingredients, resolve, wind_request, with_event_years)
 from zonalis.sources import tables
@@ -239,6 +242,98 @@ def display_ranges(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# sections and series of a request ---------------------------------------------------------------------
+SECTION = "month:i level:i lat_idx:i value:6"
+
+
+@query("D1_V12_zonal_section_derived", SECTION, with_(SQL_CLIM) + """,
+result AS (SELECT month, level, lat_idx, avg(sqrt(u*u + v*v)) AS value FROM clim GROUP BY ALL)""")
+def zonal_section_derived(spark, sf):
+    return sections.zonal_section(store(spark, sf, "u", "v"), FieldRequest("wspd", month=None))
+
+
+@query("D1_V12_zonal_section_seasonal", SECTION, with_(SQL_CLIM) + """,
+s AS (SELECT level, lat_idx, lon_idx, avg(t) AS t FROM clim WHERE month IN (12, 1, 2) GROUP BY ALL),
+result AS (SELECT 1 AS month, level, lat_idx, avg(t) AS value FROM s GROUP BY ALL)""")
+def zonal_section_seasonal(spark, sf):
+    return sections.zonal_section(store(spark, sf, "t"), FieldRequest("t", month=1, seasonal=True))
+
+
+@query("D1_D5_V12_zonal_section_year_anomaly", SECTION, with_(SQL_CLIM) + """,
+a AS (SELECT m.month, m.level, m.lat_idx, m.t - c.t AS x FROM mon m LEFT JOIN clim c USING (month, level, lat_idx, lon_idx) WHERE year = 1998),
+result AS (SELECT month, level, lat_idx, avg(x) AS value FROM a GROUP BY ALL)""")
+def zonal_section_anomaly(spark, sf):
+    return sections.zonal_section(store(spark, sf, "t"), FieldRequest("t", month=None, year=1998, mode="anomaly"))
+
+
+SQL_ARC_VALUE = """,
+dd AS (SELECT arc_id, s, sum(coalesce(d, 0)) OVER (PARTITION BY arc_id ORDER BY s) AS dist_km FROM leg),
+x AS (SELECT arc_id, s, month, level, CASE WHEN count(value) = 4 THEN sum(wt * value) ELSE avg(value) END AS value
+  FROM cor JOIN f USING (lat_idx, lon_idx) GROUP BY ALL),
+result AS (SELECT dd.arc_id, dd.s, m.month, m.level, dist_km, value FROM dd CROSS JOIN (SELECT DISTINCT month, level FROM f) m
+  LEFT JOIN x ON x.arc_id = dd.arc_id AND x.s = dd.s AND x.month = m.month AND x.level = m.level)"""
+ARC = "arc_id:l s:i month:i level:i dist_km:4 value:6"
+SQL_ARC_PATH = (SQL_ARCS, sql_great_circle(192), SQL_LENGTH, sql_corners("gc", "arc_id, s"))
+
+
+def _arcs(spark, sf):
+    return great_circle(tables.arc_ends(spark, sf), ["arc_id"], 192)
+
+
+@query("D1_V13_arc_section_derived_year", ARC, with_(SQL_SAMPLES, *SQL_ARC_PATH) + """,
+f AS (SELECT month, level, lat_idx, lon_idx, sqrt(u*u + v*v) AS value FROM mon WHERE year = 1999 AND month = 7)""" + SQL_ARC_VALUE)
+def arc_section_year(spark, sf):
+    return sections.arc_section(store(spark, sf, "u", "v"), FieldRequest("wspd", month=7, year=1999), _arcs(spark, sf), ["arc_id"])
+
+
+@query("D1_V13_arc_section_composite", ARC, with_(SQL_SAMPLES, *SQL_ARC_PATH) + """,
+f AS (SELECT month, level, lat_idx, lon_idx, avg(t) AS value FROM mon WHERE year BETWEEN 1996 AND 1998 AND month = 1 GROUP BY ALL)""" + SQL_ARC_VALUE)
+def arc_section_composite(spark, sf):
+    return sections.arc_section(store(spark, sf, "t"), FieldRequest("t", month=1, span=(1996, 1998)), _arcs(spark, sf), ["arc_id"])
+
+
+def sql_box_mean(value: str, source: str, keys: str) -> str:
+    w = "cos(radians(90.0 - 15.0 * lat_idx))"
+    return (f"SELECT {keys}, sum({value} * {w}) / nullif(sum(CASE WHEN {value} IS NOT NULL THEN {w} END), 0) AS value FROM {source} "
+            f"WHERE {SQL_BOX} AND {w} > 0 GROUP BY {keys}")
+
+
+@query("D1_K16_series_of_derived_field", "year:i month:i t:6 value:6", with_(SQL_SAMPLES) + f""",
+f AS (SELECT year, month, lat_idx, lon_idx, sqrt(u*u + v*v) AS x FROM mon WHERE level = 200),
+result AS (SELECT *, year + (month - 0.5) / 12 AS t FROM ({sql_box_mean('x', 'f', 'year, month')}))""")
+def series_derived(spark, sf):
+    return sections.area_series(store(spark, sf, "u", "v"), FieldRequest("wspd"), BOX)
+
+
+@query("D1_K16_series_anomaly_on_theta", "year:i month:i value:6", with_(SQL_SAMPLES, SQL_LEVELS,
+       sql_isentrope("mon", "year, month, lat_idx, lon_idx", "u", 350.0, "y"),
+       sql_isentrope("(SELECT month, level, lat_idx, lon_idx, avg(u) AS u, avg(t) AS t FROM mon GROUP BY ALL)", "month, lat_idx, lon_idx", "u", 350.0, "c")) + f""",
+a AS ({sql_box_mean('u', 'y', 'year, month')}), b AS ({sql_box_mean('u', 'c', 'month')}),
+result AS (SELECT a.year, a.month, a.value - b.value AS value FROM a LEFT JOIN b USING (month))""")
+def series_theta(spark, sf):
+    s = sections.area_series(store(spark, sf, "u", "t"), FieldRequest("u", coord="theta", theta=350.0), BOX, "fixed")
+    return s.select("year", "month", "value")
+
+
+@query("D1_K16_series_sliding_anomaly", "year:i month:i window_id:s value:6", with_(SQL_SAMPLES, SQL_INDEX, SQL_WINDOWS, SQL_BEST) + f""",
+m AS (SELECT * FROM mon WHERE level = 500),
+wc AS (SELECT w.id AS window_id, month, lat_idx, lon_idx, avg(t) AS t FROM m JOIN win w ON m.year BETWEEN w.first AND w.last GROUP BY ALL),
+a AS ({sql_box_mean('t', 'm', 'year, month')}), b AS ({sql_box_mean('t', 'wc', 'window_id, month')}),
+result AS (SELECT a.year, a.month, window_id, a.value - b.value AS value FROM a JOIN best USING (year) LEFT JOIN b USING (window_id, month))""")
+def series_sliding(spark, sf):
+    s = sections.area_series(store(spark, sf, "t"), FieldRequest("t", level=500), BOX, "sliding")
+    return s.select("year", "month", "window_id", "value")
+
+
+@query("S20_K16_series_csv_with_header", "n:l line:s", with_(SQL_SAMPLES) + f""",
+m AS (SELECT * FROM mon WHERE level = 500), a AS ({sql_box_mean('t', 'm', 'year, month')}),
+result AS (SELECT -2 AS n, '# field: t' AS line UNION ALL SELECT -1, '# year,month,value'
+  UNION ALL SELECT year * 12 + month, year || ',' || month || ',' || printf('%.1f', value) FROM a)""")
+def series_csv_header(spark, sf):
+    s = sections.area_series(store(spark, sf, "t"), FieldRequest("t", level=500), BOX)
+    return sections.csv_lines(s, ["field: t", "year,month,value"], places=1)
+
+
 @query("D15_R1_request_inputs", "var:s level:i n:l", with_(SQL_SAMPLES) + """,
 result AS (SELECT nm AS var, level, count(*) AS n FROM mon, (VALUES ('t'), ('pv')) AS a(nm) GROUP BY ALL)""")
 def request_inputs(spark, sf):

@@ -20,7 +20,6 @@ from zonalis.grid import GridSpec
 from zonalis.operators import composite, decompose, diagnostics, ranks, reduce, vertical
 from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, Window30, shear_levels
 
-KEYS = ["month", "lat_idx", "lon_idx"]
 
 
 @dataclass(frozen=True)
@@ -44,6 +43,12 @@ class FieldRequest:
     compare_period: str | None = None
     user_min: float | None = None
     user_max: float | None = None
+    all_levels: bool = False                   # every level of the axis, as sections need it
+
+    @property
+    def keys(self) -> list[str]:
+        """What tells the values of an answer apart."""
+        return ["month", *(["level"] if self.all_levels else []), "lat_idx", "lon_idx"]
 
     @property
     def meta(self):
@@ -63,7 +68,7 @@ class FieldRequest:
 
     @property
     def effective_level(self) -> int | None:
-        return None if self.meta.kind == "sl" else (self.level or self.meta.default_level)
+        return None if self.meta.kind == "sl" or self.all_levels else (self.level or self.meta.default_level)
 
     def validate(self) -> FieldRequest:
         if self.name not in FIELDS:
@@ -72,6 +77,8 @@ class FieldRequest:
             raise ValueError("month must be 1..12")
         if self.kind not in ("mean", "std") or self.mode not in decompose.MODES:
             raise ValueError("unknown kind or mode")
+        if self.all_levels and (self.on_theta or self.meta.kind == "sl" or self.name == "dls"):
+            raise ValueError("only fields on pressure levels have all levels")
         return self
 
 
@@ -198,26 +205,26 @@ def base_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     Single years and composites evaluate each year and then average; a climatology averages
     its ingredients first and evaluates once; sigma evaluates each year and takes the spread.
     """
-    by_year = ["year", *KEYS]
+    by_year = ["year", *req.keys]
     if not (req.year is not None or req.composite or effective_kind(store, req) == "std"):
-        out = _evaluate(_mean_inputs(store, req), KEYS, req, store.spec)
+        out = _evaluate(_mean_inputs(store, req), req.keys, req, store.spec)
         return _centred(out, req)
     df = _inputs(store, req)
     if req.year is not None:
         out = _evaluate(df.where(F.col("year") == req.year), by_year, req, store.spec).drop("year")
     elif req.composite:
         df = df.join(F.broadcast(_years_of(store, req)), "year", "left_semi")      # calendar years: a short list
-        out = reduce.climatology(_evaluate(df, by_year, req, store.spec), ["value"], KEYS[1:])
+        out = reduce.climatology(_evaluate(df, by_year, req, store.spec), ["value"], req.keys[1:])
     else:
         yearly = _evaluate(df.where(F.col("year").between(*store.period_years(req.period))), by_year, req, store.spec)
-        out = yearly.groupBy(*KEYS).agg(F.stddev_pop("value").alias("value"))
+        out = yearly.groupBy(*req.keys).agg(F.stddev_pop("value").alias("value"))
     return _centred(out, req)
 
 
 def _centred(out: DataFrame, req: FieldRequest) -> DataFrame:
     """The seasonal mean where asked for, and the month of the request."""
     if req.seasonal:
-        out = reduce.seasonal_mean(out, ["value"], KEYS[1:])
+        out = reduce.seasonal_mean(out, ["value"], req.keys[1:])
     return out if req.month is None else out.where(F.col("month") == req.month)
 
 
@@ -245,7 +252,7 @@ def reference_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     if explicit and (req.on_theta or not req.meta.derived):
         return base_field(store, _plain(req, period=ref, kind=effective_kind(store, req)))
     months = base_field(store, _plain(req, month=None, period=req.period))
-    mean = reduce.mean_by(months, KEYS[1:], ["value"])
+    mean = reduce.mean_by(months, req.keys[1:], ["value"])
     wanted = [req.month] if req.month is not None else range(1, 13)
     return mean.withColumn("month", F.explode(F.array(*[F.lit(m) for m in wanted])))
 
@@ -259,14 +266,14 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     months = _months(req)
     names = [c for c in df.columns if c not in ("year", "month", "level", "lat_idx", "lon_idx")]
     clims = composite.window_climatologies(df, w, names)
-    values = _evaluate(clims, ["window_id", *KEYS], req, store.spec)
+    values = _evaluate(clims, ["window_id", *req.keys], req, store.spec)
     usable = (values.select("window_id", "month").distinct().join(weights, "window_id").groupBy("month")
               .agg(F.count("*").alias("n_have"), F.max("n_windows").alias("n_need")).where("n_have = n_need"))
     fixed = base_field(store, _plain(req, month=None, seasonal=False))
     if months:
         fixed = fixed.where(F.col("month").isin(*months))
-    out = (composite.sliding_reference(values, weights, ["value"], KEYS[1:]).join(usable, "month", "left_semi")
-           .unionByName(fixed.select(*KEYS, "value").join(usable, "month", "left_anti")))
+    out = (composite.sliding_reference(values, weights, ["value"], req.keys[1:]).join(usable, "month", "left_semi")
+           .unionByName(fixed.select(*req.keys, "value").join(usable, "month", "left_anti")))
     return _centred(out, req)
 
 
@@ -274,15 +281,15 @@ def _decomposed(store: FieldStore, req: FieldRequest, baseline: DataFrame | None
     mode = effective_mode(store, req)
     df = base_field(store, req)
     if mode in ("zonal", "eddy"):
-        return decompose.decompose(df, mode, "value", KEYS[:2], KEYS)
+        return decompose.decompose(df, mode, "value", req.keys[:-1], req.keys)
     if mode in ("anomaly", "zscore"):
         ref = baseline if baseline is not None else reference_field(store, req)
         if mode == "anomaly":
-            return decompose.anomaly(df, ref, KEYS, "value")
+            return decompose.anomaly(df, ref, req.keys, "value")
         period = req.reference if req.reference not in ("default", "best-match") else "default"
         sd = base_field(store, _plain(req, kind="std", period=period)).withColumnRenamed("value", "sigma")
-        both = ref.join(sd, KEYS, "outer")
-        return decompose.zscore(df, both, KEYS, ["month"], "value", "sigma")
+        both = ref.join(sd, req.keys, "outer")
+        return decompose.zscore(df, both, req.keys, req.keys[:-2], "value", "sigma")
     return df
 
 
@@ -298,7 +305,7 @@ def resolve(store: FieldStore, req: FieldRequest) -> DataFrame:
         target = replace(target, kind="mean")
     own = req.reference == "best-match" and target.year is not None
     shared = reference_field(store, req) if target.mode == "anomaly" and not own else None
-    return decompose.anomaly(left, _decomposed(store, target, shared), KEYS, "value")
+    return decompose.anomaly(left, _decomposed(store, target, shared), req.keys, "value")
 
 
 def display_range(store: FieldStore, req: FieldRequest, df: DataFrame) -> DataFrame:

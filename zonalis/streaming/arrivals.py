@@ -1,8 +1,8 @@
 """Fields that arrive over time: incremental climatologies, readiness and refresh.
 
-State and outputs are bounded by the grid (cells x months), not by the number of arrivals.
-Every sink is idempotent per batch: a batch replayed after a lost executor or driver writes
-the same partition again.
+State and outputs are bounded by the grid (cells x months x years), not by the number of arrivals: every
+batch is merged into the state it touches, and versions that were replaced are deleted. Every sink is
+idempotent per batch: a batch replayed after a lost executor or driver gives the same state again.
 """
 
 from __future__ import annotations
@@ -35,20 +35,41 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def upsert_batches(df: DataFrame, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep the rows each batch updated as one partition per batch; see ``latest_rows``."""
+def upsert_batches(df: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], interval: str | None = None) -> StreamingQuery:
+    """Keep the newest row of every key: each batch writes the merged state as one version and drops
+    the versions before its predecessor; see ``latest_rows``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, folder) if v < batch_id]
+        new = batch.withColumn("_batch", F.lit(batch_id))
+        if before:
+            new = spark.read.parquet(f"{folder}/version={before[-1]}").withColumn("_batch", F.lit(before[-1])).unionByName(new)
+        rest = [c for c in batch.columns if c not in keys]
+        merged = (new.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+                  .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+        merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        for old in before[:-1]:
+            _files(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}"), True)
 
     return _start(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
 
 
-def latest_rows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of every key over all batches."""
-    df = spark.read.parquet(folder)
-    rest = [c for c in df.columns if c not in (*keys, "batch")]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+def _files(spark: SparkSession, folder: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions, ascending (three at most)."""
+    fs, path = _files(spark, folder), spark._jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def latest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of the state."""
+    return spark.read.parquet(f"{folder}/version={_versions(spark, folder)[-1]}")
 
 
 def progressive_mean(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -75,20 +96,27 @@ def keep_climatology_fresh(stream: DataFrame, root: str, start: int, end: int, c
                            interval: str | None = None) -> StreamingQuery:
     """Recompute the climatology partitions (variable, level) a batch touched, and only those.
 
-    A field delivered twice counts once, its latest delivery. Landed rows are partitioned by
-    variable and level, so a refresh reads just the touched folders.
+    A field delivered twice counts once, its latest delivery. What has landed is kept once per cell
+    and time, partitioned by variable and level; a batch reads and replaces just the partitions it touches,
+    which are named by literals (at most the catalogue's variables x levels), so the scan is pruned.
     """
     landed = f"{root}/landed"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.MONTHLY_SCHEMA)}, batch long"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (batch.withColumn("batch", F.lit(batch_id)).repartition("var", "level")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("var", "level", "batch").parquet(landed))
-        touched = batch.select("var", "level").distinct()
-        rows = spark.read.parquet(landed).join(touched, ["var", "level"], "left_semi")
-        once = rows.groupBy(*CELL_KEY).agg(F.max_by("value", "batch").alias("value"))
-        store.write_climatology(climatology_rows(once, start, end), root)
+        touched = [(r["var"], r["level"]) for r in batch.select("var", "level").distinct().collect()]
+        if not touched:
+            return
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        if _files(spark, root).exists(spark._jvm.org.apache.hadoop.fs.Path(landed)):
+            mine = " OR ".join(f"(var = '{v}' AND level = {level})" for v, level in touched)
+            rows = spark.read.schema(schema).parquet(landed).where(mine).unionByName(rows)
+        once = rows.groupBy(*CELL_KEY).agg(F.max_by("value", "batch").alias("value"), F.max("batch").alias("batch"))
+        (once.repartition("var", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("var", "level").parquet(landed))
+        kept = spark.read.schema(schema).parquet(landed).where(" OR ".join(f"(var = '{v}' AND level = {level})" for v, level in touched))
+        store.write_climatology(climatology_rows(kept, start, end), root)
 
     return _start(stream.writeStream.foreachBatch(step), checkpoint, interval)
 
