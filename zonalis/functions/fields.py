@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zonalis import constants as K
+from zonalis.registry import SEASON_CENTER
 
 
 def finite(c: Column) -> Column:
@@ -127,12 +128,11 @@ def solar_declination(month: Column) -> Column:
 
 
 def daylight_fraction(lat_deg: Column, month: Column) -> Column:
-    sin_l, sin_d = F.sin(F.radians(lat_deg)), F.sin(solar_declination(month))
-
-    def tan_of(s: Column) -> Column:
-        return s / F.greatest(F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - s * s)), F.lit(1e-4))
-
-    return F.acos(clip(-tan_of(sin_l) * tan_of(sin_d), -1.0, 1.0)) / F.lit(math.pi)
+    """Share of the day with the sun up: the sunset hour angle over pi, all or nothing at the poles."""
+    sun = solar_declination(month)
+    hour_angle = F.acos(clip(-F.tan(F.radians(lat_deg)) * F.tan(sun), -1.0, 1.0))
+    towards = F.signum(lat_deg) * F.when(F.abs(sun) < 1e-9, F.lit(0.0)).otherwise(F.signum(sun))
+    return F.when(F.abs(lat_deg) > 89.99, (towards + 1) / 2).otherwise(hour_angle / F.lit(math.pi))
 
 
 def winter_darkening(lat_deg: Column, month: Column) -> Column:
@@ -161,53 +161,75 @@ def contour_bucket(v: Column, interval: float) -> Column:
     return F.floor(v / F.lit(interval)).cast("long")
 
 
-def colour_at(t: Column, stops: Sequence[tuple[float, float, float]]) -> Column:
-    """Linear interpolation in a table of RGB stops; NULL gives the no-data colour."""
-    n = len(stops) - 1
-    x = clip(t, 0.0, 1.0) * n
-    i = F.floor(x).cast("int")
-    f = x - i
+def table_lookup(t: Column, table: Sequence[Sequence[float]]) -> list[Column]:
+    """Linear interpolation of every column of an evenly spaced table at t in 0..1 (clamped)."""
+    at = clip(t, 0.0, 1.0) * (len(table) - 1)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    out = []
+    for column in zip(*table):
+        values = F.array(*[F.lit(float(x)) for x in column])
+        start = F.get(values, low)
+        out.append(start + (F.get(values, high) - start) * (at - low))
+    return out
 
-    def channel(k: int) -> Column:
-        lut = F.array(*[F.lit(float(s[k])) for s in stops])
-        a = F.element_at(lut, i + 1)
-        b = F.element_at(lut, F.least(F.lit(n), i + 1) + 1)
-        return F.when(t.isNull(), F.lit((18.0, 26.0, 22.0)[k])).otherwise((a + f * (b - a)) * 255.0)
 
-    return F.struct(channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+# The colour of missing data.
+NO_DATA = (18.0, 26.0, 22.0)
 
 
-def mean_luminance(stops: Sequence[tuple[float, float, float]]) -> float:
-    return sum(0.2126 * r + 0.7152 * g + 0.0722 * b for r, g, b in stops) / len(stops)
+def colour_at(t: Column, stops: Sequence[tuple[float, float, float]]) -> Column:
+    """RGB (0 to 255) from a table of stops; NULL gives the no-data colour."""
+    rgb = [F.coalesce(c * 255.0, F.lit(none)).alias(n) for c, none, n in zip(table_lookup(t, stops), NO_DATA, "rgb")]
+    return F.struct(*rgb)
 
 
 # labels ------------------------------------------------------------------------
+def degrees_label(angle: Column, positive: str, negative: str, plain: dict[int, str]) -> Column:
+    """Whole degrees with a letter by sign; some values have a text of their own."""
+    size = F.abs(F.round(angle)).cast("int")
+    named = F.create_map(*[F.lit(x) for item in plain.items() for x in item])
+    return F.coalesce(named[size], F.format_string("%d°%s", size, F.when(angle < 0, negative).otherwise(positive)))
+
+
 def lat_label(lat: Column) -> Column:
-    a = F.abs(F.round(lat)).cast("int")
-    return (F.when(a == 0, F.lit("Eq"))
-            .otherwise(F.concat(a.cast("string"), F.when(lat >= 0, F.lit("°N")).otherwise(F.lit("°S")))))
+    return degrees_label(lat, "N", "S", {0: "Eq"})
 
 
 def lon_label(lon: Column) -> Column:
-    w = wrap_lon(lon)
-    a = F.abs(F.round(w)).cast("int")
-    return (F.when(a == 0, F.lit("0°")).when(a == 180, F.lit("180°"))
-            .otherwise(F.concat(a.cast("string"), F.when(w >= 0, F.lit("°E")).otherwise(F.lit("°W")))))
+    return degrees_label(wrap_lon(lon), "E", "W", {0: "0°", 180: "180°"})
 
 
 def season_label(month: Column) -> Column:
-    """Initials of the three months centred on ``month``: DJF, JFM, ..."""
-    initials = F.lit("DJFMAMJJASONDJ")
-    return F.substring(initials, month, F.lit(3))
+    """Name of the three-month season centred on a month."""
+    names = {m: s for s, m in SEASON_CENTER.items()}
+    return F.create_map(*[F.lit(x) for item in sorted(names.items()) for x in item])[month]
 
 
 def month_label(month: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in K.MONTH_NAMES]), month)
 
 
+# Signs of comparisons.
+SIGNS = {"ge": "≥", "le": "≤"}
+
+
 def composite_label(index_id: Column, month: Column, cmp: str, threshold: float) -> Column:
-    text = f" {'≥' if cmp == 'ge' else '≤'} {'+' if threshold >= 0 else ''}{threshold:.1f} · "
-    return F.concat(F.upper(index_id), F.lit(text), month_label(month))
+    rule = F.format_string(f"%s {SIGNS[cmp]} %+.1f", F.upper(index_id), F.lit(float(threshold)))
+    return F.concat_ws(" · ", rule, month_label(month))
+
+
+def value_label(value: Column, units: str) -> Column:
+    """A value to the precision its size asks for, with its units; empty where there is none."""
+    size = F.abs(value)
+    text = (F.when(size >= 100, F.format_string("%.0f", value)).when(size >= 10, F.format_string("%.1f", value))
+            .when((size >= 0.01) | (size == 0), F.format_string("%.2f", value)).otherwise(F.format_string("%.1e", value)))
+    return F.coalesce(F.concat_ws(" ", text, F.lit(units)), F.lit(""))
+
+
+def box_label(lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> Column:
+    """Corners of a box."""
+    south, north, west, east = (F.lit(float(x)) for x in (lat_min, lat_max, lon_min, lon_max))
+    return F.concat_ws(", ", F.concat_ws(" to ", lat_label(south), lat_label(north)), F.concat_ws(" to ", lon_label(west), lon_label(east)))
 
 
 def fractional_year(year: Column, month: Column) -> Column:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from zonalis.operators import vertical
 from zonalis.operators.sampling import great_circle
-from zonalis.plans import sections
+from zonalis.plans import jobs, sections
 from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_CLIM, SQL_INDEX, SQL_LEVELS, SQL_SAMPLES, SQL_SURFACE, SQL_WINDOWS,
                                           WINDOWS, monthly, query, surface_monthly, with_)
 from zonalis.plans.catalogue.diagnostics import sql_isentrope
 from zonalis.plans.catalogue.events import BOX, SQL_BEST, SQL_BOX, SQL_EVENTS
 from zonalis.plans.catalogue.sampling import SQL_ARCS, SQL_LENGTH, sql_corners, sql_great_circle
 from zonalis.plans.request import (FieldRequest, FieldStore, base_field, decode, display_range, effective_kind, encode,
-                                   ingredients, resolve, wind_request, with_event_years)
-from zonalis.sources import tables
+                                   expected_inputs, ingredients, resolve, resolve_with_flags, wind_request, with_event_years)
+from zonalis.sources import fields, tables
 
 OUT = "month:i lat_idx:i lon_idx:i "
 
@@ -344,6 +346,55 @@ def request_inputs(spark, sf):
     return rows.join(want, ["var", "level"], "left_semi").groupBy("var", "level").agg(F.count("*").alias("n"))
 
 
+@query("D15_expected_inputs", "role:s var:s level:i kind:s n:l", with_(SQL_SAMPLES) + """,
+e(role, var, level, kind) AS (VALUES ('field', 'u', 200, 'mean'), ('field', 'v', 200, 'mean'), ('reference', 'u', 200, 'mean'), ('reference', 'v', 200, 'mean'), ('sigma', 'wspd', 200, 'std')),
+h AS (SELECT nm AS var, level, count(*) AS n FROM mon, (VALUES ('u'), ('v')) AS a(nm) GROUP BY ALL),
+result AS (SELECT e.role, e.var, e.level, e.kind, coalesce(h.n, 0) AS n FROM e LEFT JOIN h USING (var, level))""")
+def expected_inputs_of_view(spark, sf):
+    """A standardized anomaly of a derived field waits for its ingredients twice and for its sigma."""
+    s = store(spark, sf, "u", "v")
+    want = spark.createDataFrame(expected_inputs(s, FieldRequest("wspd", mode="zscore")), "role string, var string, level int, kind string")
+    have = s.monthly.groupBy("var", "level").agg(F.count("*").alias("n"))
+    return want.join(have, ["var", "level"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def _catalogued(spark, sf):
+    """Mean and sigma of t, only the mean of u."""
+    s = store(spark, sf, "t", "u")
+    rows = jobs.climatology_rows(s.monthly.withColumn("grp", F.lit("pl")), 1995, 2001)
+    return s, rows.where("var = 't' OR kind = 'mean'")
+
+
+@query("S14_B11_catalogue", "grp:s var:s vmin:6 vmax:6 std_vmin:6 std_vmax:6 has_mean:b has_std:b derived:b n_levels:i n_years:i", with_(SQL_SAMPLES) + """,
+c AS (SELECT 't' AS var, month, level, lat_idx, lon_idx, avg(t) AS m, stddev_pop(t) AS d FROM mon GROUP BY ALL
+  UNION ALL SELECT 'u', month, level, lat_idx, lon_idx, avg(u), NULL FROM mon GROUP BY ALL),
+result AS (SELECT 'pl' AS grp, var, min(m) AS vmin, max(m) AS vmax, min(d) AS std_vmin, max(d) AS std_vmax, true AS has_mean, count(d) > 0 AS has_std, false AS derived,
+  count(DISTINCT level) AS n_levels, (SELECT count(DISTINCT year) FROM mon) AS n_years FROM c GROUP BY var)""")
+def catalogue_of_tree(spark, sf):
+    s, rows = _catalogued(spark, sf)
+    meta = fields.catalogue(rows, s.monthly)
+    return meta.withColumn("n_levels", F.size("levels")).withColumn("n_years", F.size("years"))
+
+
+@query("D2_sigma_by_catalogue", "name:s month:i lat_idx:i lon_idx:i value:6 kind:s sigma_unavailable:b reference_empty:b", with_(SQL_SAMPLES) + """,
+result AS (SELECT 't' AS name, month, lat_idx, lon_idx, stddev_pop(t) AS value, 'std' AS kind, false AS sigma_unavailable, false AS reference_empty FROM mon WHERE level = 500 GROUP BY ALL
+  UNION ALL SELECT 'u', month, lat_idx, lon_idx, avg(u), 'mean', true, false FROM mon WHERE level = 200 GROUP BY ALL)""")
+def sigma_by_catalogue(spark, sf):
+    """Sigma is shown for the field whose catalogue entry has one; the other says it fell back."""
+    s, rows = _catalogued(spark, sf)
+    s = replace(s, sigmas=fields.with_sigma(fields.catalogue(rows)))
+    parts = [resolve_with_flags(s, FieldRequest(n, month=None, level=level, kind="std")).withColumn("name", F.lit(n)) for n, level in (("t", 500), ("u", 200))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("D3_empty_reference", OUT + "value:6 reference_empty:b", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, NULL::DOUBLE AS value, true AS reference_empty FROM mon WHERE level = 500 AND year = 1998)""")
+def empty_reference(spark, sf):
+    """An anomaly from a period without data is NULL and says why."""
+    r = FieldRequest("t", month=None, level=500, year=1998, mode="anomaly", reference="1961-1990")
+    return resolve_with_flags(store(spark, sf, "t"), r)
+
+
 @query("K20_wind_of_request", OUT + "u:6 v:6", with_(SQL_CLIM) + """,
 result AS (SELECT month, lat_idx, lon_idx, u, v FROM clim WHERE level = 850)""")
 def wind_of_request(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec, stride, stride_for
 from zonalis.operators import reduce, vertical
-from zonalis.registry import shear_levels
+from zonalis.registry import SHEAR_LEVELS
 from zonalis.sources import fields as store
 from zonalis.sources import tiles
 
@@ -60,7 +60,7 @@ def derived_monthly(long: DataFrame) -> DataFrame:
     both = w.select(*keys, fx.wind_speed(F.col("u"), F.col("v")).alias("wspd"),
                     fx.mse_kelvin(F.col("t"), F.col("z"), F.col("q")).alias("mse"))
     rows = vertical.columns_to_fields(both, keys, ["wspd", "mse"]).withColumn("grp", F.lit("pressure_levels"))
-    top, bottom = shear_levels()
+    top, bottom = SHEAR_LEVELS
     s = vertical.levels_to_columns(w, ["year", "month", "lat_idx", "lon_idx"], {
         "ut": ("u", top), "vt": ("v", top), "ub": ("u", bottom), "vb": ("v", bottom)})
     s = s.select("year", "month", F.lit(store.SURFACE_LEVEL).alias("level"), "lat_idx", "lon_idx",

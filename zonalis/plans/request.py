@@ -18,7 +18,7 @@ from zonalis.constants import PRESSURE_LEVELS, THETA_LEVELS
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec
 from zonalis.operators import composite, decompose, diagnostics, ranks, reduce, vertical
-from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, Window30, shear_levels
+from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, SHEAR_LEVELS, Window30
 
 
 
@@ -90,7 +90,8 @@ class FieldStore:
     spec: GridSpec
     active: str = DEFAULT_PERIOD
     windows: tuple[Window30, ...] = CLIMO_WINDOWS
-    has_std: bool = True
+    #: Variables with a sigma, as the catalogue lists them; None: derived from the yearly fields, so all.
+    sigmas: frozenset[str] | None = None
 
     def period_years(self, period: str) -> tuple[int, int]:
         """``default`` stands for the active period; a literal period is itself."""
@@ -106,15 +107,15 @@ def ingredients(req: FieldRequest, spec: GridSpec) -> list[tuple[str, int | None
     """(variable, level) partitions the request reads."""
     names = req.meta.ingredients or (req.name,)
     if req.name == "dls":
-        return [(n, lev) for n in names for lev in shear_levels()]
+        return [(n, lev) for n in names for lev in SHEAR_LEVELS]
     if req.on_theta:
         return [(n, lev) for n in dict.fromkeys((*names, "t")) for lev in spec.levels]
     return [(n, req.effective_level) for n in names]
 
 
 def kind_available(store: FieldStore, req: FieldRequest) -> bool:
-    """Sigma exists for raw and pipeline-derived fields on pressure, never on theta or for a year."""
-    return req.kind == "mean" or (store.has_std and not req.on_theta)
+    """Sigma exists for the fields whose catalogue entry says so on pressure, never on theta."""
+    return req.kind == "mean" or (not req.on_theta and (store.sigmas is None or req.name in store.sigmas))
 
 
 def effective_kind(store: FieldStore, req: FieldRequest) -> str:
@@ -136,6 +137,31 @@ def effective_mode(store: FieldStore, req: FieldRequest) -> str:
     return req.mode
 
 
+def expected_inputs(store: FieldStore, req: FieldRequest) -> list[tuple[str, str, int | None, str]]:
+    """Everything a view waits for: (role, variable, level, kind) of its own field, its sigma, the
+    reference of an anomaly, and the field it is compared with."""
+    kind, mode = effective_kind(store, req), effective_mode(store, req)
+    need = [("field", n, level, kind) for n, level in ingredients(req, store.spec)]
+    if mode in ("anomaly", "zscore"):
+        need += [("reference", n, level, kind) for n, level in ingredients(req, store.spec)]
+    if mode == "zscore":
+        need += [("sigma", req.name, req.effective_level, "std")]
+    if req.comparing:
+        need += [("target", n, level, "mean" if req.compare_year is not None else kind) for n, level in ingredients(req, store.spec)]
+    return list(dict.fromkeys(need))
+
+
+def resolve_with_flags(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """The answer with what it fell back to: ``kind`` shown, ``sigma_unavailable`` where a sigma was
+    asked for and the mean is shown, ``reference_empty`` per month without any reference value."""
+    out = (resolve(store, req).withColumn("kind", F.lit(effective_kind(store, req)))
+           .withColumn("sigma_unavailable", F.lit(req.kind == "std" and not kind_available(store, req))))
+    if effective_mode(store, req) not in ("anomaly", "zscore"):
+        return out.withColumn("reference_empty", F.lit(False))
+    there = (reference_field(store, req).groupBy("month").agg(F.count("value").alias("_n")).where("_n > 0").select("month", F.lit(True).alias("_there")))
+    return out.join(there, "month", "left").withColumn("reference_empty", F.col("_there").isNull()).drop("_there")
+
+
 # evaluation ---------------------------------------------------------------------------------
 INPUT_KEYS = ["year", "month", "level", "lat_idx", "lon_idx"]
 
@@ -172,7 +198,7 @@ def _evaluate(df: DataFrame, keys: Sequence[str], req: FieldRequest, spec: GridS
     names = list(req.meta.ingredients or (req.name,))
     keys = list(keys)
     if req.name == "dls":
-        top, bottom = shear_levels()
+        top, bottom = SHEAR_LEVELS
         w = vertical.levels_to_columns(df, keys, {"ut": ("u", top), "vt": ("v", top), "ub": ("u", bottom), "vb": ("v", bottom)})
         return w.select(*keys, fx.shear(*[F.col(c) for c in ("ut", "vt", "ub", "vb")]).alias("value"))
     if req.on_theta:

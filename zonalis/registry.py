@@ -87,8 +87,8 @@ UNIT_SCALE: dict[str, float] = {
 }
 
 
-def shear_levels() -> tuple[int, int]:
-    return 200, 850
+# The two levels of deep-layer shear.
+SHEAR_LEVELS = (200, 850)
 
 
 @dataclass(frozen=True)
@@ -105,12 +105,11 @@ class Window30:
         return (self.start + self.end) / 2.0
 
 
-def stepped_windows(first: int, last_start: int, step: int, length: int) -> tuple[Window30, ...]:
-    return tuple(Window30(s, s + length - 1) for s in range(first, last_start + 1, step))
-
-
-# Eight overlapping 30-year windows, every five years from 1961.
-CLIMO_WINDOWS = stepped_windows(1961, 1996, 5, 30)
+# The eight overlapping reference windows.
+CLIMO_WINDOWS = (
+    Window30(1961, 1990), Window30(1966, 1995), Window30(1971, 2000), Window30(1976, 2005),
+    Window30(1981, 2010), Window30(1986, 2015), Window30(1991, 2020), Window30(1996, 2025),
+)
 DEFAULT_PERIOD = "1991-2020"
 
 

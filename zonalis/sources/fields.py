@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonalis.functions.fields import finite
-from zonalis.registry import DEFAULT_PERIOD, UNIT_SCALE, unit_factor
+from zonalis.registry import DEFAULT_PERIOD, FIELDS, UNIT_SCALE, unit_factor
 
 SURFACE_LEVEL = 0
 SETTLE_SECONDS = 120
@@ -181,6 +181,34 @@ def manifest_json(meta: DataFrame) -> DataFrame:
             .select("grp", F.to_json(F.map_from_entries("e")).alias("manifest")))
 
 
+def catalogue(clim: DataFrame, monthly: DataFrame | None = None, resolution_deg: float | None = None) -> DataFrame:
+    """One row per variable of a climatology tree: ranges of mean and sigma, what exists, units.
+
+    ``clim`` has (kind, var, grp, level, month, value); with ``monthly`` the years are listed too. All
+    sums and extremes are pre-aggregated before a shuffle; lists come from distinct keys.
+    """
+    def of(kind: str, how) -> Column:
+        return how(F.when(F.col("kind") == kind, F.col("value")))
+
+    has = {k: F.coalesce(F.bool_or((F.col("kind") == k) & F.col("value").isNotNull()), F.lit(False)) for k in ("mean", "std")}
+    meta = clim.groupBy("grp", "var").agg(
+        of("mean", F.min).alias("vmin"), of("mean", F.max).alias("vmax"), of("std", F.min).alias("std_vmin"), of("std", F.max).alias("std_vmax"),
+        has["mean"].alias("has_mean"), has["std"].alias("has_std"), F.array_sort(F.collect_set("level")).alias("levels"))
+    names = F.create_map(*[F.lit(x) for f in FIELDS.values() for x in (f.name, f.units)])
+    derived = F.create_map(*[F.lit(x) for f in FIELDS.values() for x in (f.name, f.derived)])
+    meta = meta.withColumns({"units": names[F.col("var")], "derived": F.coalesce(derived[F.col("var")], F.lit(False)),
+                             "resolution_deg": F.lit(resolution_deg).cast("double")})
+    if monthly is None:
+        return meta
+    years = monthly.select("var", "year").distinct().groupBy("var").agg(F.array_sort(F.collect_set("year")).alias("years"))
+    return meta.join(years, "var", "left")
+
+
+def with_sigma(meta: DataFrame) -> frozenset[str]:
+    """Variables whose sigma a catalogue lists (one row per variable comes to the driver)."""
+    return frozenset(r["var"] for r in meta.where("has_std").select("var").collect())
+
+
 def axis_levels(meta: DataFrame, var: str) -> list[int]:
     """The level axis of a variable as the catalogue has it (one row)."""
     row = meta.where(F.col("var") == var).select("levels").first()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,19 +93,23 @@ def tile_key(paths: DataFrame) -> DataFrame:
 def write_float32(tiles: DataFrame, name: str, folder: str) -> int:
     """Write each tile array as a float32 file from the executors; returns the tile count.
 
-    ``folder`` may be a path or any URI Arrow's file systems open. A task writes whole files
-    under fixed names, so a retried task leaves the same bytes behind.
+    ``folder`` is a URI that Arrow's file systems open, or, in local mode only, a plain path. A task
+    writes whole files under fixed names, so a retried task leaves the same bytes behind.
     """
+    spark = tiles.sparkSession
+    if "://" not in folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder}: executors need a URI of a store they share")
+
     def write(batches):
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
         store.create_dir(root, recursive=True)
-        for pdf in batches:
-            for file, values in zip(pdf[name], pdf["values"]):
-                v = np.array([np.nan if x is None else x for x in values], dtype="<f4")
+        for batch in batches:
+            for file, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = values.values.to_numpy(zero_copy_only=False).astype("<f4")       # missing becomes NaN
                 with store.open_output_stream(f"{root}/{file}.bin") as f:
                     f.write(v.tobytes())
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    ship_package(tiles.sparkSession)
-    return tiles.select(name, "values").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    ship_package(spark)
+    return tiles.select(name, "values").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
