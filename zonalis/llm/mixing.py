@@ -92,7 +92,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
             .withColumnRenamed("_size", "size"))
     per = stored(held.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources")
     goals = targets(per, weights, epochs).withColumnRenamed("source", "_source")
-    order = [*nulls_last(source), F.xxhash64(F.col(key), F.lit(seed)), *nulls_last(key), F.col("size")]
+    order = [*nulls_last(source), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), *nulls_last(key), F.col("size")]
     placed = running_sums(held, order, {"_before": F.col("size")}, "mix-sorted")
     joined = placed.join(goals, F.col(source).eqNullSafe(F.col("_source")))
     budget = F.floor(F.col("target"))
@@ -120,3 +120,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = stored(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
     return mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut_words")
+
+
+#: The same rows in SQL: targets by limits in order, cuts by windows over each source.
+OP10_SQL = r"""WITH
+d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM p),
+l AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS n FROM w),
+t AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share FROM l),
+g AS (SELECT min_by(share, n) AS level FROM t WHERE cap / w > share),
+s AS (SELECT t.source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM t, g),
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d),
+j AS (SELECT o.doc_id, o.size, s.source_size, s.target, o.source, o.before, CASE WHEN s.source_size > 0 THEN floor(floor(s.target) / s.source_size) ELSE 0 END AS epochs
+  FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source),
+k AS (SELECT *, greatest(0, least(size, floor(target) - epochs * source_size - before)) AS part FROM j)
+SELECT doc_id, size, source_size, target, (epochs * size + part)::BIGINT AS taken, source,
+  CASE WHEN size > 0 THEN epochs + (part = size)::INT ELSE 0 END::BIGINT AS copies, CASE WHEN part = size THEN 0 ELSE part END::BIGINT AS cut_words FROM k"""

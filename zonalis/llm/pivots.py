@@ -171,3 +171,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in SQL: all pairs, and the smallest id reachable over the links.
+OP7_SQL = """WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c < e.b),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""

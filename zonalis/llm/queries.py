@@ -2,15 +2,15 @@
 
 from zonalis.llm.bpe import op2_bpe
 from zonalis.llm.language import op5_language
-from zonalis.llm.mixing import op10_mix
-from zonalis.llm.pivots import op7_pivots
+from zonalis.llm.mixing import OP10_SQL, op10_mix
+from zonalis.llm.pivots import OP7_SQL, op7_pivots
 from zonalis.llm.quality import op1_quality
 from zonalis.llm.secret_scan import op3_secrets
 from zonalis.llm.simhash import op9_simhash
 from zonalis.llm.suffixes import op6_suffixes
-from zonalis.llm.topk import op4_topk
+from zonalis.llm.topk import OP4_SQL, op4_topk
 from zonalis.llm.url_rules import op8_urls
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_bpe, op3_secrets, op4_topk, op5_language, op6_suffixes, op7_pivots, op8_urls, op9_simhash, op10_mix)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op7_pivots": OP7_SQL, "op10_mix": OP10_SQL}

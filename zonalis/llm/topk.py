@@ -248,3 +248,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select(F.col("vec_id").cast("long").alias("id"), numbers("embedding").alias("values")))
     found = search(vectors, vectors.where(F.col("id") % EVERY == 0).dropDuplicates(["id"]))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+#: The same rows in SQL: every query with every other row.
+OP4_SQL = """WITH
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 20"""
