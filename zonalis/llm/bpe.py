@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from zonalis.llm.common import append, table
 
 #: Encoded pieces that one Python worker keeps in each of two generations.
-CACHE = 400_000
+CACHE = 200_000
 
 # The pre-token pattern of byte-level BPE (white space as Unicode defines it).
 SPACE = r"\p{White_Space}"

@@ -16,6 +16,10 @@ from zonalis.session import ship_package, work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Splits of rows that meet in pairs: at most this many on each side of one task.
 BLOCK = 4096
+#: Bytes of Arrow data that become Python objects at once.
+SLICE = 4 << 20
+#: Words of 64 bits that mark which keys may be in a set.
+SIEVE = 1 << 17
 #: Share of documents that no model learns from.
 FOLDS = 5
 
@@ -45,8 +49,17 @@ def python_ready(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about ``size`` bytes, one row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def append(df: DataFrame, inputs: Sequence[str], schema: str, work: Callable[..., Sequence]) -> DataFrame:
-    """Append columns that ``work`` computes from whole input columns, an Arrow batch at a time.
+    """Append columns that ``work`` computes from whole input columns, some rows at a time: about
+    ``SLICE`` bytes, and one row at least, are Python objects at once.
 
     ``work`` gets one list per input and returns one list or array per column of ``schema``. Columns
     of the frame with the names of new ones are replaced. A narrow pass: no shuffle.
@@ -58,16 +71,32 @@ def append(df: DataFrame, inputs: Sequence[str], schema: str, work: Callable[...
     names = [f.name for f in kept] + added.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.columns[len(kept):]
-            made = work(*[c.to_pylist() for c in given])
+        for part in sliced(batches):
+            made = work(*[c.to_pylist() for c in part.columns[len(kept):]])
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:len(kept)] + [pa.array(m, t) for m, t in zip(made, types, strict=True)], names)
+                part.columns[:len(kept)] + [pa.array(m, t) for m, t in zip(made, types, strict=True)], names)
 
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(inputs)])
     return source.mapInArrow(run, StructType(kept + added.fields))
 
 
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """Bits for a set of keys of any size: at most ``SIEVE`` rows (word, bits), whatever the data."""
+    h = F.xxhash64(key, F.lit("sieve"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    return stored(keys.groupBy(F.pmod(F.shiftright(h, 6), F.lit(SIEVE)).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "sieve")
+
+
+def sifted(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Append ``_maybe``: false only where the key is surely not in the set. No shuffle of ``df``: what is
+    broadcast has at most ``SIEVE`` rows of 16 bytes."""
+    h = F.xxhash64(key, F.lit("sieve"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    return (df.withColumn("_word", F.pmod(F.shiftright(h, 6), F.lit(SIEVE))).withColumn("_bit", bit)
+            .join(F.broadcast(bits), "_word", "left")
+            .withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits"))
+
+
 def blocked_pairs(df: DataFrame, keys: Sequence[str], spread: Sequence[str], size: int = BLOCK) -> DataFrame:
     """Deal rows that must meet within a key to tasks of at most about 2 x ``size`` rows.
 
@@ -77,8 +106,9 @@ def blocked_pairs(df: DataFrame, keys: Sequence[str], spread: Sequence[str], siz
     block numbers: every pair of rows of a key then meets in exactly one group, namely that of its
     two own blocks.
     """
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-              .select(*keys, F.ceil(F.col("_n") / F.lit(size)).cast("int").alias("_blocks")))
+    # stored: their size is then known when the join is planned, and a short list moves instead of the rows
+    counts = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+                    .select(*keys, F.ceil(F.col("_n") / F.lit(size)).cast("int").alias("_blocks")), "large-keys")
     n = F.coalesce("_blocks", F.lit(1))
     own = F.pmod(F.xxhash64(*spread, F.lit("block")), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))

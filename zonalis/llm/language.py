@@ -33,7 +33,7 @@ WORDS = 40_000
 GRAMS = 8_000
 SIZES = (4, 3, 2, 1)
 #: Distinct words whose scores a Python worker keeps.
-CACHE = 300_000
+CACHE = 250_000
 #: Added to every count of a word or n-gram in a language.
 SMOOTH = 0.5
 #: Words after which more evidence no longer makes the posterior sharper.
