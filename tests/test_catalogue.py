@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,13 +22,14 @@ def db(sf):
 
 def canonical(df):
     df = df.reindex(sorted(df.columns), axis=1)
-    return sorted(tuple("NULL" if x is None or x != x else repr(x) for x in r) for r in df.itertuples(index=False))
+    return sorted(tuple("NULL" if pd.isna(x) else repr(x) for x in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", EVERY)
 def test_same_answer_as_sql(spark, sf, db, name):
     got = entry.queries()[name](spark, sf).toArrow().to_pandas()
-    want = db.sql(entry.oracle_sql()[name]).df()
+    want = db.sql(entry.oracle_sql()[name]).arrow()
+    want = (want.read_all() if hasattr(want, "read_all") else want).to_pandas()
     assert canonical(got) == canonical(want)
 
 

@@ -2,8 +2,8 @@
 
 A rank is found by two histograms, both summed map-side before anything is shuffled. The first has
 logarithmic bins (a fixed number per power of two, so they need no knowledge of the data); running sums tell
-which bin holds the rank. The second cuts just that bin evenly between the least and the greatest value in it.
-Only the rows of the one narrow bin that is left are ordered, after equal values are collapsed. A field of
+which bin holds the rank. The second cuts just that bin evenly between the least and the greatest value in it,
+after equal values are collapsed. Only the values of the one narrow bin that is left are ordered. A field of
 tiny range, an extreme outlier or a third of all rows with one value thus never bring a group into one task.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 NO_VALUE = -(1 << 62)
 #: Bins per power of two, and even bins inside a bin.
-PER_OCTAVE, EVEN = 256, 1024
+PER_OCTAVE, EVEN = 1024, 1024
 
 
 def log_bin(value: Column) -> Column:
@@ -65,18 +65,19 @@ def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
             .select(*keys, "_bin", "_lo", "_hi", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"),
                     F.col("_start").alias("_s1"), F.col("_prev_edge").alias("_e1")))
 
-    even = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * EVEN) * sign
-    inner = rows.join(hits, [*keys, "_bin"]).withColumn("_even", F.coalesce(even, F.lit(0)))
     group = [*keys, "name", "pos"]
-    fine = inner.groupBy(*group, "_even").agg(F.sum(weight).alias("_bw"), edge.alias("_edge"), F.max("_s1").alias("_s1"), F.max("_e1").alias("_e1"))
+    # one row per group and target: groups are slices (periods x variables x levels x months), a short list
+    values = (rows.join(F.broadcast(hits), [*keys, "_bin"]).groupBy(*group, "_s1", "_e1", "_lo", "_hi", order)
+              .agg(F.sum(weight).alias(weight), *[F.any_value(c).alias(c) for c in carry]))
+    even = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * EVEN) * sign
+    values = values.withColumn("_even", F.coalesce(even, F.lit(0)))
+    fine = values.groupBy(*group, "_even").agg(F.sum(weight).alias("_bw"), edge.alias("_edge"), F.max("_s1").alias("_s1"), F.max("_e1").alias("_e1"))
     fine = (_running(fine, group, "_even", F.col("_s1"), F.col("_e1"))
             .withColumn("_last", F.lead("_even").over(W.partitionBy(*group).orderBy("_even")).isNull()))
     # In the last bin, and below in the last value, the total decides, whatever the last bits of a sum.
     fits = (F.col("pos") > F.col("_start")) & ((F.col("pos") <= F.col("_cum")) | F.col("_last"))
     one = fine.where(fits).select(*group, "_even", "_start", "_prev_edge")
-    values = (inner.join(one, [*group, "_even"]).groupBy(*group, order)
-              .agg(F.sum(weight).alias(weight), F.max("_start").alias("_start"), F.max("_prev_edge").alias("_prev_edge"),
-                   *[F.any_value(c).alias(c) for c in carry]))
+    values = values.join(F.broadcast(one), [*group, "_even"])
     along = W.partitionBy(*group).orderBy(v.desc() if descending else v.asc())
     incl = F.col("_start") + F.sum(weight).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
     values = (values.withColumn("_incl", incl)
