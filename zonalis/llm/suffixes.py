@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonalis.llm.blocks import groups
-from zonalis.llm.common import append, blocked_pairs, python_ready, stored, table
+from zonalis.llm.common import append, blocked_pairs, python_ready, sieve, sifted, sliced, stored, table
 
 LENGTH = 100
 GRAM = 50
@@ -149,13 +149,14 @@ def _anchored(docs: DataFrame) -> DataFrame:
     names = ["gram", "unit", "doc", "sub", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for doc, sub, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "sub", "text")]):
                 for g, u, first, at, count in units(text.encode()):
                     for c, x in zip(cols, (g.view(np.int64), u.view(np.int64), np.full(len(g), doc), np.full(len(g), sub), (first << 17) | (at << 9) | (count << 1))):
                         c.append(x)
             gram, unit, doc, sub, packed = (np.concatenate(c) for c in cols)
+            del cols
             _, where, n = np.unique(gram, return_inverse=True, return_counts=True)
             packed |= n[where] >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, unit, doc, sub, packed)], names)
@@ -232,10 +233,12 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     heads = classes.join(several, "gram", "left_semi").select("gram", "unit", "first.doc", "first.sub", "first.packed")
     # the bytes of the earliest members, fetched from their documents
     per_doc = heads.groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "unit", "packed")).alias("parts"))
-    held = per_doc.join(docs.select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "text"), (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")))
+    per_doc = stored(per_doc, "suffix-wanted")
+    wanted = sifted(docs, "doc", sieve(per_doc, "doc")).where("_maybe")          # only texts that may be asked for move
+    held = per_doc.join(wanted.select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "text"), (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, parts, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "parts", "text")]):
                 raw = text.encode()
@@ -282,8 +285,11 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     sub = F.xxhash64(body) if mixed_ids else F.lit(0).cast("long")
     found = repeated_intervals(docs.select(doc.alias("doc"), sub.alias("sub"), body.alias("text")))
     per = stored(found.groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "suffix-intervals")
-    joined = (docs.withColumns({"_d": doc, "_s": sub}).join(per, (F.col("_d") == F.col("_doc")) & (F.col("_s") == F.col("_sub")), "left")
-              .drop("_d", "_s", "_doc", "_sub"))
+    # documents that surely have no repeat stay where they are
+    told = sifted(docs.withColumns({"_d": doc, "_s": sub}), "_d", sieve(per, "_doc"))
+    some = told.where("_maybe").join(per, (F.col("_d") == F.col("_doc")) & (F.col("_s") == F.col("_sub")), "left").drop("_doc", "_sub")
+    none = told.where("NOT _maybe").withColumn("_spans", F.lit(None).cast(per.schema["_spans"].dataType))
+    joined = some.unionByName(none).drop("_d", "_s", "_maybe")
 
     def work(texts: list, spans: list) -> list:
         removed, kept = [], []
