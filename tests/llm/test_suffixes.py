@@ -104,3 +104,17 @@ def test_whole_table(spark, sf):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(b), sum(y - x for x, y in cut), len(cut))
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+def test_a_gram_often_met_in_one_place_and_once_in_another(spark, monkeypatch):
+    """The single place is a repeat too, whatever the salt of the many."""
+    monkeypatch.setattr(sx, "OFTEN", 2)
+    monkeypatch.setattr(sx, "SALTS", 1000)
+    r = random.Random(3)
+    for trial in range(3):
+        passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+        many = [(k, passage) for k in range(3)]
+        df = spark.createDataFrame(many, "doc_id long, text string").coalesce(1).union(
+            spark.createDataFrame([(9, "xyz" + passage)], "doc_id long, text string").coalesce(1))
+        got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in sx.dedup(df).collect()}
+        assert got == {0: [], 1: [(0, 260)], 2: [(0, 260)], 9: [(3, 263)]}

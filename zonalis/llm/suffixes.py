@@ -15,13 +15,13 @@ shards in which all equal strings meet:
    Windows whose neighbours in the array agree in ``LENGTH`` bytes are equal; all but the earliest are repeats.
 4. Repeated windows come back to their documents as intervals, and their union is cut out.
 
-Grams that a task meets very often are known to repeat and are spread by a salt; a gram with very many
+Grams that a task meets very often are known to repeat and, but for one place, are spread by a salt; a gram with very many
 classes is cut into blocks that meet in pairs (a window is a repeat if any pair says so). Every join
 that may meet a hot key has plain exchanges on both sides, so AQE can split it.
 
 Defined cases: null texts are empty; documents shorter than ``LENGTH`` lose nothing; order is by id
 and then by start (null ids last), so rows that share an id and a start are not earlier than
-each other; repeated rows get the same result; texts of any length are handled in pieces.
+each other; repeated rows get the same result; equality of units rests on two 64-bit hashes; texts of any length are handled in pieces.
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(gram, unit, doc, sub, packed) of every unit; packed: first window, place of the anchor, windows, often."""
+    """(gram, unit, doc, sub, packed) of every unit; packed: first window, place of the anchor,
+    windows, whether it is known to repeat, whether it is salted."""
     names = ["gram", "unit", "doc", "sub", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,23 +154,26 @@ def _anchored(docs: DataFrame) -> DataFrame:
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for doc, sub, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "sub", "text")]):
                 for g, u, first, at, count in units(text.encode()):
-                    for c, x in zip(cols, (g.view(np.int64), u.view(np.int64), np.full(len(g), doc), np.full(len(g), sub), (first << 17) | (at << 9) | (count << 1))):
+                    for c, x in zip(cols, (g.view(np.int64), u.view(np.int64), np.full(len(g), doc), np.full(len(g), sub), (first << 18) | (at << 10) | (count << 2))):
                         c.append(x)
             gram, unit, doc, sub, packed = (np.concatenate(c) for c in cols)
             del cols
-            _, where, n = np.unique(gram, return_inverse=True, return_counts=True)
-            packed |= n[where] >= OFTEN
+            # what is met often here is known to repeat; all but its first place here is salted, and that
+            # one stands for it beside single places elsewhere
+            _, head, where, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+            known = n[where] >= OFTEN
+            packed |= (known << 1) | (known & (np.arange(len(gram)) != head[where]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, unit, doc, sub, packed)], names)
 
     return docs.mapInArrow(run, "gram long, unit long, doc long, sub long, packed long")
 
 
 def first_window(packed: str) -> Column:
-    return F.shiftright(packed, 17)
+    return F.shiftright(packed, 18)
 
 
 def windows(packed: str) -> Column:
-    return F.shiftright(packed, 1).bitwiseAND(F.lit(255))
+    return F.shiftright(packed, 2).bitwiseAND(F.lit(255))
 
 
 KEYS = ["gram", "left_block", "right_block"]
@@ -185,7 +189,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         pieces = rows.column("piece").to_pylist()
         gram, unit, doc, packed = (rows.column(c).to_numpy() for c in ("gram", "unit", "doc", "packed"))
-        first, count = packed >> 17, (packed >> 1) & 255
+        first, count = packed >> 18, (packed >> 2) & 255
         text = np.frombuffer(b"".join(pieces) + bytes(LENGTH), np.uint8)
         begin = np.cumsum([0, *map(len, pieces)])[:-1]
         row = np.repeat(np.arange(len(pieces)), count)
@@ -225,8 +229,8 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     salt = F.when(F.col("packed").bitwiseAND(F.lit(1)) == 1, F.pmod(F.xxhash64("doc", "packed"), F.lit(SALTS))).otherwise(F.lit(0))
     every = _anchored(docs).withColumn("_salt", salt)
     seen = F.count(F.lit(1)).over(Window.partitionBy("gram", "_salt"))
-    again = stored(every.withColumn("_n", seen).where((F.col("_n") > 1) | (F.col("packed").bitwiseAND(F.lit(1)) == 1)).drop("_n", "_salt")
-                   .withColumn("packed", F.shiftleft(F.shiftright("packed", 1), 1)), "suffix-units")
+    again = stored(every.withColumn("_n", seen).where((F.col("_n") > 1) | (F.col("packed").bitwiseAND(F.lit(2)) != 0)).drop("_n", "_salt")
+                   .withColumn("packed", F.shiftleft(F.shiftright("packed", 2), 2)), "suffix-units")
     place = F.struct(F.col("doc"), first_window("packed").alias("start"), F.col("packed"), F.col("sub"))
     classes = stored(again.groupBy("gram", "unit").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-classes")
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("gram")
@@ -243,7 +247,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
             for doc, parts, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "parts", "text")]):
                 raw = text.encode()
                 for x in parts:
-                    start, count = x["packed"] >> 17, (x["packed"] >> 1) & 255
+                    start, count = x["packed"] >> 18, (x["packed"] >> 2) & 255
                     for c, v in zip(out, (x["gram"], x["unit"], doc, x["packed"], raw[start:start + count - 1 + LENGTH])):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.binary())], ["gram", "unit", "doc", "packed", "piece"])
