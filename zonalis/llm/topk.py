@@ -73,7 +73,8 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def build(vectors: DataFrame) -> DataFrame:
-    """(block, shard, low, high, ids, values) from (id, values): the forward index with term extrema."""
+    """(block, shard, low, high, ids, values) from (id, values): the forward index (packed 64-bit
+    integers, row by row) with its term extrema."""
     python_ready(vectors.sparkSession)
     keyed = vectors.withColumn("_key", order_key("values"))
     placed = keyed.repartitionByRange("_key", "id").sortWithinPartitions("_key", "id").withColumn("_part", F.spark_partition_id())
@@ -84,9 +85,9 @@ def build(vectors: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             m = dense(rows)
             name = (part << 32) + at
-            cols = [[name], [name // SHARD], [m.min(0).tolist()], [m.max(0).tolist()], [ids], [m.ravel().tolist()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4))],
-                                              ["block", "shard", "low", "high", "ids", "values"])
+            cols = [[name], [name // SHARD], [m.min(0).tolist()], [m.max(0).tolist()], [np.array(ids, np.int64).tobytes()], [m.tobytes()]]
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["block", "shard", "low", "high", "ids", "values"])
 
         for batch in batches:
             for i, r, p in zip(*[batch.column(c).to_pylist() for c in ("id", "values", "_part")]):
@@ -99,7 +100,7 @@ def build(vectors: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    return placed.select("id", "values", "_part").mapInArrow(run, "block long, shard long, low array<long>, high array<long>, ids array<long>, values array<long>")
+    return placed.select("id", "values", "_part").mapInArrow(run, "block long, shard long, low array<long>, high array<long>, ids binary, values binary")
 
 
 def bounds(q: np.ndarray, low: list, high: list) -> np.ndarray:
@@ -139,8 +140,8 @@ def visit(queries: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: list[dict]
         return best
     top = bounds(q, [b["low"] for b in blocks], [b["high"] for b in blocks])
     order = np.argsort(-top, axis=1, kind="stable")
-    values = [np.array(b["values"], np.int64).reshape(len(b["ids"]), -1) for b in blocks]
-    ids = [np.array(b["ids"], np.int64) for b in blocks]
+    ids = [np.frombuffer(b["ids"], np.int64) for b in blocks]
+    values = [np.frombuffer(b["values"], np.int64).reshape(len(i), -1) for b, i in zip(blocks, ids)]
     active = np.arange(len(qid))
     for turn in range(len(blocks)):
         nxt = order[active, turn]
@@ -194,8 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         for batch in batches:
             out = [[], []]
             for i, q, ids, all_ in zip(*[batch.column(c).to_pylist() for c in ("id", "values", "ids", "all")]):
-                m = np.array(all_, np.int64).reshape(len(ids), -1)
-                s = exact(dense([q]), m)[0][np.array(ids) != i]
+                ids = np.frombuffer(ids, np.int64)
+                s = exact(dense([q]), np.frombuffer(all_, np.int64).reshape(len(ids), -1))[0][ids != i]
                 s = -np.sort(-s)[:k]
                 out[0] += [i] * len(s)
                 out[1] += s.tolist()
