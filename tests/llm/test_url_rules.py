@@ -38,6 +38,15 @@ def test_fixed_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
 
 
+@pytest.mark.parametrize("url, rule, verdict", [
+    ("http://a.org/x", "org/", "allow"), ("http://example.org/es/7", "example.org/es/", "block"), ("http://example.org/en/1", "example.org/en/1", "block"),
+    ("https://a.b.example.org/en/123?q#f", "example.org/en/1", "block"), ("http://example.org/en/2", "org/", "allow"),
+    ("http://a.com/fr/1", "com/fr/", "allow"), ("http://a.com/de/1", "com/de/", "block")])
+def test_fixed_rules_as_literals(spark, url, rule, verdict):
+    r = ur.judge(spark.createDataFrame([(url,)], "url string"), []).first()
+    assert (r["rule"], r["verdict"]) == (rule, verdict)
+
+
 def brute_mine(labelled, least):
     """Every combination of up to three tokens, counted one by one."""
     baskets = [(set(ur.tokens(u)), v) for u, v in labelled if u and ur.tokens(u)]
