@@ -32,6 +32,23 @@ def test_edges(text):
     assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a\xa0b\xa0c \xa0 \xa0 \xa0d", "a\tb\tc  d \te", "a\u3000b\u2003c  d", "a\x85b  c", "a\rb\x1cc   d", "a\tb "])
+def test_single_rare_spaces_beside_runs(text):
+    assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert bpe.blanks(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab  \n" + bpe.SPACES_WIDE), min_size=1, max_size=12))
+def test_blanks_as_defined(text):
+    beside = f" {text} "
+    assert bpe.blanks(text) == any(c == " " and (beside[k].isspace() or beside[k + 2].isspace()) for k, c in enumerate(text))
+
+
+def test_all_white_space_is_listed():
+    assert sorted(bpe.SPACES_WIDE) == [chr(k) for k in range(0x110000) if chr(k).isspace()]
+
+
 def test_cache_eviction_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     e = bpe.Encoder(PATH)

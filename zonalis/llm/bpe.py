@@ -46,15 +46,17 @@ def byte_letters() -> dict[int, str]:
 # The white space characters, blank excepted.
 ASCII_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES, SPACES_WIDE = " " + ASCII_SPACES, " " + ASCII_SPACES + OTHER_SPACES
 BESIDE = [x for c in ASCII_SPACES for x in (f" {c}", f"{c} ")] + ["  "]
 BESIDE_WIDE = BESIDE + [x for c in OTHER_SPACES for x in (f" {c}", f"{c} ")]
 
 
 def blanks(text: str) -> bool:
     """Whether some blank has white space or the end of the text beside it."""
-    if len(text.split()) == 1 + text.count(" ") + text.count("\n"):
+    plain = text.isascii()
+    if len(text.split()) == 1 + sum(text.count(c) for c in (SPACES if plain else SPACES_WIDE) if c in text):
         return False                                       # every stretch of white space is one character
-    return text[0] == " " or text[-1] == " " or any(map(text.__contains__, BESIDE if text.isascii() else BESIDE_WIDE))
+    return text[0] == " " or text[-1] == " " or any(map(text.__contains__, BESIDE if plain else BESIDE_WIDE))
 
 
 class Cache(dict):
