@@ -76,6 +76,25 @@ def test_mined_rules(spark):
     assert ur.mine(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("bad, good", [
+    ("http://b{k}.adult-x.example.net/{k}", "http://b{k}.plain.example.net/{k}"),
+    ("http://a.com/en/casino/{k}", "http://a.com/en/news/{k}"),
+    ("http://a.com/en/{k}?page=2&ref=x", "http://a.com/en/{k}?page=2&lang=x")])
+def test_every_part_of_a_url_can_decide(spark, bad, good):
+    labelled = [(bad.format(k=k), "block") for k in range(40)] + [(good.format(k=k), "allow") for k in range(120)]
+    mined = ur.mine(spark.createDataFrame(labelled, "url string, verdict string"))
+    pages = spark.createDataFrame([(bad.format(k=999),), (good.format(k=999),)], "url string")
+    assert [r["verdict"] for r in ur.judge(pages, mined).collect()] == ["block", "allow"]
+
+
+def test_many_tokens_that_go_together(spark):
+    """40 query keys of one template are one class: no 2 ** 40 combinations, and each key decides alone."""
+    query = "&".join(f"k{k}=1" for k in range(40))
+    labelled = [(f"http://a.com/x{'?' + query if k % 4 == 0 else ''}", "block" if k % 4 == 0 else "allow") for k in range(80)]
+    mined = ur.mine(spark.createDataFrame(labelled, "url string, verdict string"))
+    assert {("query=k7",), ("query=k39",)} <= {r.tokens for r in mined if r.verdict == "block"}
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_whole_table(spark, sf, empty):
     got = ur.op8_urls(spark, sf)

@@ -5,9 +5,13 @@ support, confidence, lift and by simpler rules that are as good. A URL is matche
 token to rules; a rule applies when all its tokens are there. The verdict is that of the applying
 rule with the highest confidence; without any, the default.
 
-A URL has at most nine tokens, so at most 129 combinations of up to three, and each kept combination
-holds in a share of ``MIN_SUPPORT`` of the labelled URLs: there are never more than 129 / MIN_SUPPORT
-rules per label, whatever the data, and that is what the tasks get. Matching is one narrow pass.
+Every part of a URL makes a token: all host labels and suffixes, path segments and query keys. One count
+in Spark leaves out tokens below the minimum support, which no rule can have; tokens that hold in the same
+URLs are mined as one and told apart again in the rules. Each kept combination of up to three tokens holds
+in a share of ``MIN_SUPPORT`` of the labelled URLs, so the list that the tasks get grows with the tokens of a
+URL (at most C / MIN_SUPPORT rules per label if C is the mean number of such combinations in a URL) and
+not with the rows. FP-growth itself takes time exponential in the frequent tokens, unlike ones, that meet in
+one URL. Matching is one narrow pass.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path, no tokens and the
 default verdict; repeated rows are judged alike; without labels nothing is mined.
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations, product
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,22 +67,27 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RU
 
 
 def tokens(url: str | None) -> list[str]:
-    """At most nine distinct tokens of a URL; numbers are not told apart."""
+    """The distinct tokens of a URL, whatever their number; numbers are not told apart in paths."""
     m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?", url or "")
     if not m:
         return []
     scheme, host, path, query, fragment = m.groups()
-    labels = host.lower().split(".")
+    host = host.lower()
+    labels = host.split(".")
     segments = [s for s in path.split("/") if s]
-    out = [f"scheme={scheme.lower()}", f"host={host.lower()}", f"domain={'.'.join(labels[-2:])}", f"top={labels[-1]}", f"sub={labels[0]}"]
+    out = [f"scheme={scheme.lower()}", f"host={host}", f"top={labels[-1]}", f"sub={labels[0]}"]
+    out += [f"part={label}" for label in labels if label]
+    out += [f"domain={'.'.join(labels[k:])}" for k in range(max(1, len(labels) - 1))]
     if segments:
-        out.append("first=" + re.sub(r"\d+", "0", segments[0]))
+        named = [re.sub(r"\d+", "0", s) for s in segments]
+        out.append("first=" + named[0])
+        out += [f"segment={s}" for s in named]
         out.append("ends=" + (re.sub(r".*\.", ".", segments[-1]) if "." in segments[-1] else "/" if path.endswith("/") else "none"))
     if query:
-        out.append("query=" + query.split("=")[0])
+        out += ["query=" + q.split("=")[0] for q in query.split("&") if q]
     if fragment:
         out.append("fragment")
-    return out
+    return list(dict.fromkeys(out))
 
 
 @dataclass(frozen=True)
@@ -91,30 +102,47 @@ def mine(labelled: DataFrame, url: str = "url", verdict: str = "verdict", least_
     """Rules from URLs with a verdict, best first. A bounded list (see above)."""
     known = labelled.where(F.col(verdict).isNotNull() & F.col(url).isNotNull()).select(F.col(url).alias("url"), F.col(verdict).alias("verdict"))
     told = append(known, ["url"], "items array<string>", lambda urls: [[tokens(u) for u in urls]])
-    baskets = stored(told.where(F.size("items") > 0).select(F.array_append("items", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items")), "url-baskets")
-    n = baskets.count()
+    told = stored(told.where(F.size("items") > 0), "url-tokens")
+    n = told.count()
     if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_COUNT / n)), minConfidence=least_confidence).fit(baskets)
+    share = min(1.0, max(MIN_SUPPORT, MIN_COUNT / n))
+    alike = classes(told, ceil(share * n))
+    first = labelled.sparkSession.sparkContext.broadcast({t: same[0] for same in alike for t in same})
+    reduced = append(told, ["items"], "items array<string>", lambda rows: [[list({first.value[t] for t in r if t in first.value}) for r in rows]])
+    baskets = stored(reduced.select(F.array_append("items", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=least_confidence).fit(baskets)
     label = F.col("consequent")[0]
     rules = (model.associationRules.where(label.startswith(LABEL) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") >= MIN_LIFT)
                                           & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
              .select("antecedent", label.alias("label"), "confidence", "support").collect())
-    return pruned([Mined(tuple(sorted(r["antecedent"])), r["label"][len(LABEL):], r["confidence"], r["support"]) for r in rules])
+    kept = pruned([Mined(tuple(sorted(r["antecedent"])), r["label"][len(LABEL):], r["confidence"], r["support"]) for r in rules])
+    members = {same[0]: same for same in alike}
+    return ordered([replace(r, tokens=tuple(sorted(pick))) for r in kept for pick in product(*[members[t] for t in r.tokens])])
+
+
+def classes(told: DataFrame, least: int) -> list[list[str]]:
+    """Tokens in at least ``least`` rows, those that hold in the same rows together.
+
+    Same rows: the same number of them and the same sum of the hashes of their URLs.
+    """
+    held = told.select(F.xxhash64("url").cast("decimal(20,0)").alias("h"), F.explode("items").alias("token"))
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).where(F.col("n") >= least).collect()
+    by: dict[tuple, list[str]] = {}
+    for r in sorted(counts, key=lambda r: r["token"]):
+        by.setdefault((r["n"], r["h"]), []).append(r["token"])
+    return list(by.values())
 
 
 def pruned(rules: list[Mined]) -> list[Mined]:
     """Without rules that have a simpler one for the same verdict and at least the same confidence."""
-    kept: list[Mined] = []
-    by_token: dict[str, list[Mined]] = {}
-    for r in sorted(rules, key=lambda r: (len(r.tokens), -r.confidence, r.tokens, r.verdict)):
-        simpler = (s for t in r.tokens for s in by_token.get(t, ()) if s.verdict == r.verdict and len(s.tokens) < len(r.tokens))
-        if any(s.confidence >= r.confidence and set(s.tokens) < set(r.tokens) for s in simpler):
-            continue
-        kept.append(r)
-        for t in r.tokens:
-            by_token.setdefault(t, []).append(r)
-    return sorted(kept, key=lambda r: (-r.confidence, -r.support, r.tokens, r.verdict))
+    sure = {(frozenset(r.tokens), r.verdict): r.confidence for r in rules}
+    return ordered([r for r in rules if not any(sure.get((frozenset(c), r.verdict), -1.0) >= r.confidence
+                                                for size in range(1, len(r.tokens)) for c in combinations(r.tokens, size))])
+
+
+def ordered(rules: list[Mined]) -> list[Mined]:
+    return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.tokens, r.verdict))
 
 
 class Index:
@@ -129,12 +157,12 @@ class Index:
         self.known: dict[tuple[str, ...], Mined | None] = {}
 
     def best(self, url: str | None) -> Mined | None:
-        key = tuple(tokens(url))
+        key = tuple(t for t in tokens(url) if t in self.by_token)
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
             hits: dict[int, int] = {}
-            for t in set(key):
+            for t in key:
                 for k in self.by_token.get(t, ()):
                     hits[k] = hits.get(k, 0) + 1
             found = min((k for k, n in hits.items() if n == len(self.rules[k].tokens)), default=None)
