@@ -86,6 +86,23 @@ def test_rows(spark):
     assert sh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(500)}" for _ in range(600)]
+    first = " ".join(words)
+    near = next(t for t in (" ".join(words[:-1] + [f"x{k}"]) for k in range(1000))
+                if 1 <= (sh.fingerprint(t) ^ sh.fingerprint(first)).bit_count() <= sh.RADIUS)
+    other, third = "an unrelated text about boats and the sea", "one more about bread, salt and an oven"
+    rows = [(2, first), (5, near), (5, other), (5, other), (5, third), (6, third), (7, "words of one id"), (7, "WORDS of one id"), (None, other), (None, "no id here")]
+    want = {(2, first), (5, other), (5, third), (None, "no id here")}
+    kept = []
+    for given in (rows, rows[::-1]):
+        got = [tuple(r) for r in sh.one_of_each(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect()]
+        assert len(got) == 5 and want < set(got)
+        kept.append(set(got))
+    assert kept[0] == kept[1]
+
+
 def test_components_of_odd_links(spark):
     links = [(1, 2), (2, 1), (3, 2), (5, 5), (None, 4), (9, 8), (10, 9), (11, 10), (12, 11), (20, 1)] + [(100, k) for k in range(101, 160)]
     df = spark.createDataFrame(links, "a long, b long")

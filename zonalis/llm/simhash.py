@@ -162,18 +162,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of one document per group of near-duplicates: the one with the smallest key.
+    """One row per group of near-duplicates, of those with the smallest key.
 
-    Rows that share a key count as one document. Of rows without a key, a group without any key keeps one.
+    Groups are made of fingerprints, so rows that share a key but not a text are judged apart. Of rows with
+    the same key and fingerprint one stays, by a fixed order. Of rows without a key, a group without any key keeps one.
     """
     each = stored(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "fingerprints")
-    firsts = stored(_classes(each, radius).where(F.col("id").eqNullSafe(F.col("component_id"))).select("fp", "id"), "keepers")
-    ids = firsts.select(F.col("id").alias("_id")).where(F.col("_id").isNotNull())
-    named = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
+    distinct = stored(each.groupBy("fp").agg(F.min("id").alias("id")), "distinct-fingerprints")
+    joined = components(links(distinct.where(F.col("id").isNotNull()).select("fp", F.col("fp").alias("id")), radius), "a", "b")
+    heads = (distinct.join(joined, F.col("fp") == F.col("node"), "left")
+             .groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min(F.struct("id", "fp")).alias("head")))
+    firsts = stored(heads.select("head.fp", "head.id"), "keepers")
+
+    # only keys with several fingerprints need those of their rows again; stored, so that a short list moves instead of the rows
+    mixed = stored(each.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+                   .where(F.col("low") != F.col("high")).select(F.col("id").alias("_mixed")), "mixed-keys")
+    told = docs.where(F.col(key).isNotNull()).join(mixed, F.col(key) == F.col("_mixed"), "left")
+    told = fingerprints(told.withColumn("_text", F.when(F.col("_mixed").isNotNull(), F.col(text))), "_text", "_fp")
+    ids = (firsts.where(F.col("id").isNotNull()).join(mixed, F.col("id") == F.col("_mixed"), "left")
+           .select(F.col("id").alias("_id"), F.when(F.col("_mixed").isNotNull(), F.col("fp")).otherwise(F.lit(fingerprint(None))).alias("_own")))
+    named = told.join(ids, (F.col(key) == F.col("_id")) & (F.col("_fp") == F.col("_own")), "left_semi")
     bare = fingerprints(docs.where(F.col(key).isNull()), text, "_fp")
     alone = firsts.where(F.col("id").isNull()).select(F.col("fp").alias("_alone"))
-    rest = bare.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
-    return named.unionByName(rest)
+    rest = bare.join(alone, F.col("_fp") == F.col("_alone"), "left_semi")
+    return _one_row(named, [key, "_fp"], docs.columns, text).unionByName(_one_row(rest, ["_fp"], docs.columns, text))
+
+
+def _one_row(rows: DataFrame, by: list[str], columns: list[str], text: str) -> DataFrame:
+    """The row of each group whose hash is the smallest: the same one in every run."""
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != text]))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return rows.groupBy(*by).agg(F.min_by(row, F.xxhash64(F.col(text), others)).alias("_row")).select("_row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
