@@ -64,6 +64,37 @@ def test_rank_search_matches_sorting(spark, kind):
     assert [got[f"r{i}"] for i in (0, 7, 600, 1199)] == [s[i] for i in (0, 7, 600, 1199)]
 
 
+def test_ranks_keep_groups_with_null_keys(spark):
+    rows = [(None, 1, float(v)) for v in range(10)] + [(1, None, float(v)) for v in range(5)] + [(None, None, None), (1, 1, 7.0)]
+    df = spark.createDataFrame(rows, "level int, k int, v double")
+    for keys in (["level", "k"], ["k", "level"]):
+        got = {(r["level"], r["k"]): (r["vmin"], r["vmax"]) for r in ranks.percentile_bounds(df, keys, "v", 0.5, 1.0).collect()}
+        assert got == {(None, 1): (4.0, 9.0), (1, None): (2.0, 4.0), (None, None): (0.0, 1.0), (1, 1): (7.0, 7.0)}
+    one = ranks.percentile_bounds(df, [], "v", 0.0, 1.0).collect()
+    assert [(r["vmin"], r["vmax"]) for r in one] == [(0.0, 9.0)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_by_weight(spark, descending):
+    """Running weights ahead of a value and through it, equal values as one, the value before it."""
+    rng = np.random.default_rng(8)
+    v, w = np.round(rng.normal(size=700), 2), rng.integers(1, 9, 700).astype(float)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(v, w)] + [(1, None, 3.0), (2, None, 1.0)], "k int, v double, w double")
+    at = [0.1, 0.5, 0.93, 1.0]
+    got = ranks.locate(df, ["k"], "v", "w", lambda total: F.array(*[F.struct(F.lit(p).alias("name"), (total * p).alias("pos")) for p in at]),
+                       descending, {"most": F.max("w")}).collect()
+    assert [r["k"] for r in got if r["name"] is None] == [2]
+    x, n = np.unique(v, return_inverse=True)
+    sums = np.bincount(n, w)
+    if descending:
+        x, sums = x[::-1], sums[::-1]
+    cum = np.cumsum(sums)
+    for r in got:
+        if r["name"] is not None:
+            k = int(np.searchsorted(cum, float(r["name"]) * cum[-1]))
+            assert (r["v"], r["w"], r["before"], r["prev"], r["most"]) == (x[k], sums[k], cum[k] - sums[k], x[k - 1] if k else None, w[v == x[k]].max())
+
+
 def test_sigma_floor_and_zscore(spark):
     ref = grid(spark, SMALL, lambda m, p, la, lo: (0.0, 1e-9 if (la, lo) == (0, 0) else 2.0), levels=(500,), names=("u", "sd"))
     v = grid(spark, SMALL, lambda m, p, la, lo: 4.0, levels=(500,))

@@ -1,11 +1,12 @@
 """Arriving fields: replays, repeats and readiness."""
 
+import pytest
 from helpers import SMALL, grid
 from pyspark.sql import functions as F
 
 from zonalis.operators import vertical
 from zonalis.sources import fields as store
-from zonalis.streaming import arrivals
+from zonalis.streaming import arrivals, versions
 
 KEYS = ["year", "month", "level", "lat_idx", "lon_idx"]
 
@@ -77,3 +78,96 @@ def test_state_does_not_grow_with_batches(spark, tmp_path):
         sizes.append((sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{out}/landed") for f in fs),
                       spark.read.parquet(f"{out}/landed").count(), len(os.listdir(f"{out}/mean"))))
     assert len({x[:2] for x in sizes[1:]}) == 1 and sizes[-1][2] <= 3, sizes
+
+
+def fields_of(spark, var, level, year, value):
+    g = grid(spark, SMALL, lambda m, p, la, lo: value + m, levels=(500,), months=(1, 2), names=("t",))
+    return g.select(F.lit(var).alias("var"), F.lit("g").alias("grp"), F.lit(level).cast("int").alias("level"), F.lit(year).cast("int").alias("year"),
+                    F.col("month").cast("int").alias("month"), F.col("lat_idx").cast("int").alias("lat_idx"), F.col("lon_idx").cast("int").alias("lon_idx"),
+                    F.col("t").alias("value")).coalesce(1)
+
+
+def fresh(spark, src, out, ck, years=(2000, 2009)):
+    arrivals.keep_climatology_fresh(arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1), out, *years, ck).awaitTermination()
+    return spark.read.parquet(f"{out}/climatology")
+
+
+def test_surface_fields_and_odd_names(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for var, level in (("msl", None), ("o'neill =50%", 300)):
+        for year, value in ((2000, 1.0), (2001, 4.0), (2000, 2.0), (1990, 77.0)):
+            fields_of(spark, var, level, year, value).write.mode("append").parquet(src)
+    got = {(r["var"], r["level"], r["month"], r["kind"]): r["v"] for r in
+           fresh(spark, src, out, ck).groupBy("var", "level", "month", "kind").agg(F.avg("value").alias("v")).collect()}
+    want = {(v, lev, m, k): x for v, lev in (("msl", 0), ("o'neill =50%", 300)) for m in (1, 2) for k, x in (("mean", 3.0 + m), ("std", 1.0))}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def files_of(folder):
+    import os
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet")}
+
+
+@pytest.mark.parametrize("broken", ["landed", "moments", "climatology", "log", "cleaning"])
+def test_a_batch_lost_half_way_is_replayed(spark, tmp_path, monkeypatch, broken):
+    """Whatever was written when the driver went, history stays and the replay gives the same rows."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for year, value in ((2000, 1.0), (2001, 5.0)):
+        fields_of(spark, "t", 500, year, value).write.mode("append").parquet(src)
+    fresh(spark, src, out, ck)
+    fields_of(spark, "t", 500, 2001, 9.0).write.mode("append").parquet(src)
+    with monkeypatch.context() as m:
+        if broken in ("landed", "moments"):
+            real = versions.VersionedTree.write
+
+            def write(tree, *args):
+                real(tree, *args)
+                if tree.root.endswith(broken):
+                    raise RuntimeError("lost")
+            m.setattr(versions.VersionedTree, "write", write)
+        elif broken == "climatology":
+            m.setattr(store, "write_climatology", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        elif broken == "log":
+            m.setattr(versions.Files, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        else:
+            m.setattr(versions.VersionedTree, "forget", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            fresh(spark, src, out, ck)
+    landed = versions.VersionedTree(spark, f"{out}/landed", ["var", "level", "year"], versions.CommitLog(spark, f"{out}/_log"))
+    seen = {r["year"]: r["v"] for r in landed.read(None).where("month = 1").groupBy("year").agg(F.avg("value").alias("v")).collect()}
+    assert seen == {2000: 2.0, 2001: 10.0 if broken == "cleaning" else 6.0}
+    after = fresh(spark, src, out, ck).where("month = 1").groupBy("kind").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    assert {r["kind"]: (r["a"], r["b"]) for r in after.collect()} == {"mean": (6.0, 6.0), "std": (4.0, 4.0)}
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    """Bytes written do not grow with the years that landed before."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    written = []
+    for year in range(2000, 2006):
+        before = files_of(f"{out}")
+        fields_of(spark, "t", 500, year, float(year)).write.mode("append").parquet(src)
+        fresh(spark, src, out, ck)
+        written.append(sum(n for f, n in files_of(out).items() if f not in before))
+    assert max(written[1:]) < 1.2 * min(written[1:])
+    clim = spark.read.parquet(f"{out}/climatology").where("kind = 'std' AND month = 2")
+    assert {round(r["value"], 9) for r in clim.collect()} == {round((35 / 12) ** 0.5, 9)}
+
+
+def test_state_in_partitions(spark, tmp_path):
+    """Only the months that arrive are written anew."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        s = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
+        keys = ["month", "level"]
+        arrivals.upsert_batches(arrivals.progressive_mean(s, keys, "value"), out, f"{tmp_path}/c", keys, parts=["month"]).awaitTermination()
+        return files_of(out)
+
+    fields_of(spark, "t", 500, 2000, 1.0).write.mode("append").parquet(src)
+    first = run()
+    fields_of(spark, "t", 500, 2001, 3.0).where("month = 2").write.mode("append").parquet(src)
+    second = run()
+    assert {f for f in first if "month=1" in f} <= set(second) and not {f for f in first if "month=2" in f} & set(second)
+    rows = arrivals.mean_of(arrivals.latest_rows(spark, out, ["month"]), "value").collect()
+    assert {r["month"]: r["value"] for r in rows} == {1: 2.0, 2: 4.0}

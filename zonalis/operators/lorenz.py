@@ -33,26 +33,23 @@ def _layer_thickness(spec: GridSpec) -> Column:
 def sorted_reference(grid: DataFrame, spec: GridSpec, keys: Sequence[str] = SLICE) -> DataFrame:
     """Reference temperature by adiabatic sorting of mass: (slice, level, t_ref).
 
-    Cells are reduced to distinct theta with the mass they carry before any ordering; the
-    running mass over theta is found in two levels (bins, then only the bins that hold a
-    target), never in one ordered task.
+    The running mass over theta comes from sums in bins; only the cells of the bins that hold a target are
+    told apart and ordered, those of equal theta as one.
     """
     cells = (spec.on_axis(grid).where(F.col("t").isNotNull() & ~spec.is_pole())
              .select(*keys, potential_temperature(F.col("t"), F.col("level"), K.KAPPA_ENERGY).alias("theta"),
                      (spec.area_weight() * _layer_thickness(spec)).alias("w"),
-                     F.struct("level", "lat_idx", "lon_idx").alias("_at")))
-    mass = cells.groupBy(*keys, "theta").agg(
-        F.sum("w").alias("mass"), F.min_by("w", "_at").alias("w_first"))
+                     ((F.col("level").cast("long") * spec.nlat + F.col("lat_idx")) * spec.nlon + F.col("lon_idx")).alias("_place")))
     share = F.array(*[F.struct(F.lit(p).alias("level"), F.lit(p * 100.0 / spec.surface_pa).alias("f")) for p in spec.levels])
 
     def wanted(total: Column) -> Column:
         return F.transform(share, lambda x: F.struct(x["level"].alias("name"), (x["f"] * total).alias("pos")))
 
-    found = locate(mass, keys, "theta", "mass", wanted, descending=True, carry=["w_first"])
+    found = locate(cells, keys, "theta", "w", wanted, descending=True, carry={"w_first": F.min_by("w", "_place")})
     frac = (F.col("pos") - F.col("before")) / F.col("w_first")
     theta_r = (F.when(F.col("prev").isNull() | (frac >= 1), F.col("theta"))
                .otherwise(F.col("prev") * (1 - frac) + F.col("theta") * frac))
-    level = F.col("name")
+    level = F.col("name").cast("double").cast("int")
     return (found.where(level.isNotNull())
             .select(*keys, level.alias("level"),
                     (theta_r * F.pow(level / F.lit(1000.0), F.lit(K.KAPPA_ENERGY))).alias("t_ref")))

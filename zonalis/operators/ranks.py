@@ -1,23 +1,32 @@
 """Exact order statistics with the floor-index convention, and exact prefix sums.
 
-A rank is found by two histograms, both summed map-side before anything is shuffled. The first has
-logarithmic bins (a fixed number per power of two, so they need no knowledge of the data); running sums tell
-which bin holds the rank. The second cuts just that bin evenly between the least and the greatest value in it,
-after equal values are collapsed. Only the values of the one narrow bin that is left are ordered. A field of
-tiny range, an extreme outlier or a third of all rows with one value thus never bring a group into one task.
+A rank is bracketed by a small summary of its group, then found exactly; the source is read twice.
+
+1. The summary merges map-side. Ranks by number: equi-depth edges of a Greenwald-Khanna sketch, whose rank error has a fixed
+   bound far below the width of a bracket. Ranks by weight: sums in logarithmic bins.
+2. The second read keeps the values inside a bracket apart and sums up whatever lies between brackets, so that one row per task
+   and gap remains of all the rest. Equal values are added up before they move. One window per group then gives the running weight.
+
+A third of all rows with one value, a tiny range (ranks by number) or an extreme outlier never bring a group into one task:
+what is ordered are the distinct values of a bracket. A rank that its bracket should miss stops the query rather than giving a wrong value.
+Groups with NULL keys are groups like others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NO_VALUE = -(1 << 62)
-#: Bins per power of two, and even bins inside a bin.
-PER_OCTAVE, EVEN = 1024, 1024
+#: Equi-depth edges of a group, and the sketch's accuracy: its ranks are wrong by n / ACCURACY at most.
+EDGES, ACCURACY = 512, 10_000
+#: Logarithmic bins per power of two.
+PER_OCTAVE = 4096
+#: Keys whose values come from fixed lists (calendar, axis of levels, registry), so that their combinations are few.
+FEW = frozenset({"month", "level", "year", "var", "grp", "kind", "period", "window_id"})
 
 
 def log_bin(value: Column) -> Column:
@@ -28,82 +37,103 @@ def log_bin(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * F.floor(part * PER_OCTAVE))
 
 
-def _running(bins: DataFrame, keys: Sequence[str], bin_: str, first: Column, edge: Column) -> DataFrame:
-    """Running weight ahead of (``_start``) and through (``_cum``) each bin, and the edge of the bin ahead."""
-    by_bin = W.partitionBy(*(keys or [F.lit(0)])).orderBy(bin_)
-    so_far = by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (bins.withColumn("_cum", first + F.coalesce(F.sum("_bw").over(so_far), F.lit(0.0)))
-            .withColumn("_start", F.coalesce(F.lag("_cum").over(by_bin), first))
-            .withColumn("_prev_edge", F.coalesce(F.lag("_edge").over(by_bin), edge)))
+def _by_number(rows: DataFrame, keys: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """(keys, _t): each target with values surely around it, from the edges of the group's sketch."""
+    edges = F.percentile_approx("_v", [k / EDGES for k in range(EDGES + 1)], ACCURACY)
+    s = rows.groupBy(*keys).agg(edges.alias("_edges"), F.count("_v").cast("double").alias("_n"))
+
+    def edge(place: Column) -> Column:
+        return F.element_at("_edges", F.greatest(F.lit(0), F.least(F.lit(EDGES), place)).cast("int") + 1)
+
+    def around(x: Column) -> Column:
+        return F.struct(x["name"].alias("name"), x["pos"].alias("pos"), edge(F.floor((x["pos"] - 1) / F.col("_n") * EDGES) - 1).alias("lo"),
+                        edge(F.ceil(x["pos"] / F.col("_n") * EDGES) + 1).alias("hi"))
 
+    inside = F.filter(wanted(F.col("_n")), lambda x: (x["pos"] > 0) & (x["pos"] <= F.col("_n")))
+    return s.select(*keys, F.transform(inside, around).alias("_t"))
 
-def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str,
-           targets: Callable[[Column], Column], descending: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+
+def _by_weight(rows: DataFrame, keys: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """The same from sums in logarithmic bins; a bracket spans the neighbours of its bin."""
+    bins = (rows.groupBy(*keys, log_bin(F.col("_v")).alias("_bin"))
+            .agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))).alias("_bw"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    by_bin, whole = W.partitionBy(*keys).orderBy(F.col("_bin").asc_nulls_first()), W.partitionBy(*keys)
+    cum = F.coalesce(F.sum("_bw").over(by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0.0))
+    bins = (bins.withColumn("_cum", cum).withColumn("_total", F.coalesce(F.sum("_bw").over(whole), F.lit(0.0)))
+            .withColumn("_first", F.coalesce(F.lag("_cum").over(by_bin), F.lit(0.0)))
+            .withColumn("_below", F.coalesce(F.lag("_lo").over(by_bin), "_lo")).withColumn("_above", F.coalesce(F.lead("_hi").over(by_bin), "_hi"))
+            .withColumn("_end", F.lead("_bin").over(by_bin).isNull()))
+    here = F.filter(wanted(F.col("_total")), lambda x: (F.col("_bw") > 0) & (x["pos"] > F.col("_first")) & ((x["pos"] <= F.col("_cum")) | F.col("_end")))
+    found = F.transform(here, lambda x: F.struct(x["name"].cast("string").alias("name"), x["pos"].alias("pos"), F.col("_below").alias("lo"), F.col("_above").alias("hi")))
+    return bins.withColumn("_t", found).groupBy(*keys).agg(F.flatten(F.collect_list("_t")).alias("_t"))       # as many as targets
+
+
+def locate(weights: DataFrame, keys: Sequence[str], order: str, weight: str | None,
+           targets: Callable[[Column], Column], descending: bool = False, carry: Mapping[str, Column] | None = None) -> DataFrame:
     """Find, per group, the first value whose inclusive running weight reaches given targets.
 
-    Rows without an order value carry no weight. ``targets`` maps the group's total weight to an
-    array of structs (name, pos) with 0 < pos <= total. Rows with equal values count as one; of
-    ``carry`` columns, which must agree among them, any is taken.
+    Rows without an order value carry no weight; without a ``weight`` column each row weighs 1. ``targets``
+    maps the group's total weight to an array of structs (name, pos) with 0 < pos <= total. Rows with equal
+    values count as one; ``carry`` aggregates further columns over them.
 
-    Result: (keys, name, pos, order value, weight, carry, before, prev): ``before`` is the running
+    Result: (keys, name as text, pos, order value, weight, carry, before, prev): ``before`` is the running
     weight ahead of the value and ``prev`` the order value ahead of it, NULL for the first. A
     group without weight yields one row with a NULL name.
     """
-    keys = list(keys)
-    sign = -1 if descending else 1
-    v = F.col(order)
-    rows = weights.withColumn("_bin", F.coalesce(log_bin(v) * sign, F.lit(NO_VALUE)))
-    edge = F.min(order) if descending else F.max(order)
-    none = F.lit(None).cast("double")
-    coarse = rows.groupBy(*keys, "_bin").agg(F.sum(F.when(v.isNotNull(), F.col(weight))).alias("_bw"), edge.alias("_edge"),
-                                             F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    whole = W.partitionBy(*(keys or [F.lit(0)]))
-    coarse = _running(coarse, keys, "_bin", F.lit(0.0), none).withColumn("_total", F.max("_cum").over(whole))
-    here = F.filter(targets(F.col("_total")), lambda x: (x["pos"] > F.col("_start")) & (x["pos"] <= F.col("_cum")))
-    empty = coarse.where((F.col("_total") == 0) & (F.col("_bin") == NO_VALUE))
-    hits = (coarse.where("_bw > 0").select(*keys, "_bin", "_start", "_prev_edge", "_lo", "_hi", F.explode(here).alias("_t"))
-            .select(*keys, "_bin", "_lo", "_hi", F.col("_t.name").alias("name"), F.col("_t.pos").alias("pos"),
-                    F.col("_start").alias("_s1"), F.col("_prev_edge").alias("_e1")))
-
-    group = [*keys, "name", "pos"]
-    # one row per group and target: groups are slices (periods x variables x levels x months), a short list
-    values = (rows.join(F.broadcast(hits), [*keys, "_bin"]).groupBy(*group, "_s1", "_e1", "_lo", "_hi", order)
-              .agg(F.sum(weight).alias(weight), *[F.any_value(c).alias(c) for c in carry]))
-    even = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * EVEN) * sign
-    values = values.withColumn("_even", F.coalesce(even, F.lit(0)))
-    fine = values.groupBy(*group, "_even").agg(F.sum(weight).alias("_bw"), edge.alias("_edge"), F.max("_s1").alias("_s1"), F.max("_e1").alias("_e1"))
-    fine = (_running(fine, group, "_even", F.col("_s1"), F.col("_e1"))
-            .withColumn("_last", F.lead("_even").over(W.partitionBy(*group).orderBy("_even")).isNull()))
-    # In the last bin, and below in the last value, the total decides, whatever the last bits of a sum.
-    fits = (F.col("pos") > F.col("_start")) & ((F.col("pos") <= F.col("_cum")) | F.col("_last"))
-    one = fine.where(fits).select(*group, "_even", "_start", "_prev_edge")
-    values = values.join(F.broadcast(one), [*group, "_even"])
-    along = W.partitionBy(*group).orderBy(v.desc() if descending else v.asc())
-    incl = F.col("_start") + F.sum(weight).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
-    values = (values.withColumn("_incl", incl)
-              .withColumn("before", F.coalesce(F.lag("_incl").over(along), F.col("_start")))
-              .withColumn("prev", F.coalesce(F.lag(order).over(along), F.col("_prev_edge")))
-              .withColumn("_last", F.lead(order).over(along).isNull()))
-    found = values.where((F.col("pos") > F.col("before")) & ((F.col("pos") <= F.col("_incl")) | F.col("_last")))
-    out = [*keys, "name", "pos", order, weight, *carry, "before", "prev"]
-    return found.select(*out).unionByName(empty.select(*keys), allowMissingColumns=True)
+    carry = dict(carry or {})
+    given = list(keys)
+    keys = given or ["_all"]
+    sign = -1.0 if descending else 1.0
+    v = F.col(order).cast("double") * sign if descending else F.col(order).cast("double")
+    rows = weights.withColumn("_v", v).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    if not given:
+        rows = rows.withColumn("_all", F.lit(0))
+
+    def wanted(total: Column) -> Column:
+        return F.transform(targets(total), lambda x: F.struct(x["name"].cast("string").alias("name"), x["pos"].cast("double").alias("pos")))
+
+    summary = (_by_weight if weight else _by_number)(rows, keys, wanted)
+    summary = summary.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_t")
+    if set(keys) <= FEW | {"_all"}:
+        summary = F.broadcast(summary)                     # a row per slice of fixed lists; other keys are left to AQE
+    both = rows.join(summary, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]))
+    t, v = F.col("_t"), F.col("_v")
+    inside = F.coalesce(F.exists(t, lambda x: (v >= x["lo"]) & (v <= x["hi"])), F.lit(False))
+    gap = F.array_max(F.transform(F.filter(t, lambda x: x["hi"] < v), lambda x: x["hi"]))
+    cells = (both.withColumn("_outside", ~inside).withColumn("_at", F.when(inside, v).otherwise(gap))
+             .groupBy(*keys, "_t", "_at", "_outside")
+             .agg(F.sum(F.when(v.isNotNull(), F.col("_w"))).alias("_weight"), F.max("_v").alias("_edge"), *[c.alias(n) for n, c in carry.items()]))
+    along = W.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_outside")
+    cum = F.coalesce(F.sum("_weight").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0.0))
+    cells = (cells.withColumn("_cum", cum).withColumn("before", F.coalesce(F.lag("_cum").over(along), F.lit(0.0)))
+             .withColumn("prev", F.lag("_edge").over(along)).withColumn("_last", F.lead("_outside").over(along).isNull())
+             .withColumn("_first", F.lag("_outside").over(along).isNull()))
+    # at the end the total decides, whatever the last bits of a sum
+    hit = F.filter(t, lambda x: (x["pos"] > F.col("before")) & ((x["pos"] <= F.col("_cum")) | F.col("_last")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("pos"),
+                            F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
+    found = cells.withColumn("_x", F.explode(F.when((F.size(t) == 0) & F.col("_first"), none).otherwise(hit)))
+    missed = F.col("_outside") & F.col("_x.name").isNotNull()
+    value = F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).when(F.col("_x.name").isNotNull(), F.col("_edge"))
+    return found.select(*given, F.col("_x.name").alias("name"), F.col("_x.pos").alias("pos"), (value * sign).alias(order),
+                        F.col("_weight").alias(weight or "n"), *carry, "before", (F.col("prev") * sign).alias("prev"))
 
 
 def value_at_rank(df: DataFrame, keys: Sequence[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Sorted values at 0-based ranks, one column per entry of ``ranks`` (functions of n).
 
-    Groups without values stay in the result with NULL.
+    Groups without values stay in the result with NULL, and so do groups with NULL keys.
     """
     v = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
-    counts = df.select(*keys, v.cast("double").alias("_v"), F.lit(1.0).alias("_mult"))
+    rows = df.select(*keys, v.cast("double").alias("_value"))
 
     def wanted(n: Column) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("name"), (r(n) + 1).cast("double").alias("pos"))
                          for k, r in ranks.items()])
 
-    found = locate(counts, keys, "_v", "_mult", wanted)
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
+    found = locate(rows, keys, "_value", None, wanted)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_value"))).alias(k) for k in ranks])
 
 
 def floor_rank(p: float) -> Callable[[Column], Column]:

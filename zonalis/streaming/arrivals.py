@@ -1,21 +1,22 @@
 """Fields that arrive over time: incremental climatologies, readiness and refresh.
 
 State and outputs are bounded by the grid (cells x months x years), not by the number of arrivals: every
-batch is merged into the state it touches, and versions that were replaced are deleted. Every sink is
-idempotent per batch: a batch replayed after a lost executor or driver gives the same state again.
+batch is merged into the partitions it touches. State lives in versioned trees (``versions.py``): a batch lost
+half-way leaves the state before it whole, and its replay gives the same state as if it had not been lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from zonalis.plans.jobs import climatology_rows
 from zonalis.sources import fields as store
+from zonalis.streaming.versions import CommitLog, VersionedTree
 
 SLICE = ["var", "level", "month"]
 CELL_KEY = ["var", "grp", "level", "year", "month", "lat_idx", "lon_idx"]
@@ -35,41 +36,34 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def upsert_batches(df: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], interval: str | None = None) -> StreamingQuery:
-    """Keep the newest row of every key: each batch writes the merged state as one version and drops
-    the versions before its predecessor; see ``latest_rows``."""
+def upsert_batches(df: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], interval: str | None = None,
+                   parts: Sequence[str] = ()) -> StreamingQuery:
+    """Keep the newest row of every key. ``parts`` (some of the keys) partition the state: a batch reads and writes
+    the partitions it touches. Read the state with ``latest_rows``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in _versions(spark, folder) if v < batch_id]
-        new = batch.withColumn("_batch", F.lit(batch_id))
-        if before:
-            new = spark.read.parquet(f"{folder}/version={before[-1]}").withColumn("_batch", F.lit(before[-1])).unionByName(new)
-        rest = [c for c in batch.columns if c not in keys]
-        merged = (new.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
-                  .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
-        merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-        for old in before[:-1]:
-            _files(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}"), True)
+        tree = VersionedTree(batch.sparkSession, folder, parts)
+        with tree.log.batch(checkpoint, batch_id) as new:
+            touched = tree.touched(batch) if new else []
+            if not touched:
+                return
+            rest = [c for c in batch.columns if c not in keys]
+            both = batch.withColumn("_new", F.lit(1))
+            before = tree.read(touched, batch.schema)
+            if before is not None:
+                both = both.unionByName(before.withColumn("_new", F.lit(0)))
+            merged = (both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_r"))
+                      .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+            tree.write(merged, new, touched)
 
     return _start(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
 
 
-def _files(spark: SparkSession, folder: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete versions, ascending (three at most)."""
-    fs, path = _files(spark, folder), spark._jvm.org.apache.hadoop.fs.Path
-    if not fs.exists(path(folder)):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
-
-
-def latest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of the state."""
-    return spark.read.parquet(f"{folder}/version={_versions(spark, folder)[-1]}")
+def latest_rows(spark: SparkSession, folder: str, parts: Sequence[str] = ()) -> DataFrame:
+    """The committed state."""
+    rows = VersionedTree(spark, folder, parts).read(None)
+    if rows is None:
+        raise FileNotFoundError(f"no committed state in {folder}")
+    return rows
 
 
 def progressive_mean(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -94,33 +88,113 @@ def ready_slices(stream: DataFrame, expected_years: Sequence[int]) -> DataFrame:
 
 def keep_climatology_fresh(stream: DataFrame, root: str, start: int, end: int, checkpoint: str,
                            interval: str | None = None) -> StreamingQuery:
-    """Recompute the climatology partitions (variable, level) a batch touched, and only those.
+    """Keep the climatology of a period up to date with what arrives.
 
-    A field delivered twice counts once, its latest delivery. What has landed is kept once per cell
-    and time, partitioned by variable and level; a batch reads and replaces just the partitions it touches,
-    which are named by literals (at most the catalogue's variables x levels), so the scan is pruned.
+    A field delivered twice counts once, its latest delivery (``delivered``, a time, if the stream has it; else, within
+    one batch, the greatest value). Two versioned trees hold the state under one log: ``landed``, the rows of each
+    (variable, level, year), and ``moments``, the count, mean and sum of squared departures of each cell and month. A
+    batch reads and writes the years it touches and the moments of its variables and levels, whatever the history holds:
+    the moments of the rows it replaces are taken out, those of the new rows put in. A surface field has level 0.
     """
-    landed = f"{root}/landed"
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.MONTHLY_SCHEMA)}, batch long"
-
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = [(r["var"], r["level"]) for r in batch.select("var", "level").distinct().collect()]
-        if not touched:
-            return
-        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
-        if _files(spark, root).exists(spark._jvm.org.apache.hadoop.fs.Path(landed)):
-            mine = " OR ".join(f"(var = '{v}' AND level = {level})" for v, level in touched)
-            rows = spark.read.schema(schema).parquet(landed).where(mine).unionByName(rows)
-        once = rows.groupBy(*CELL_KEY).agg(F.max_by("value", "batch").alias("value"), F.max("batch").alias("batch"))
-        (once.repartition("var", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("var", "level").parquet(landed))
-        kept = spark.read.schema(schema).parquet(landed).where(" OR ".join(f"(var = '{v}' AND level = {level})" for v, level in touched))
-        store.write_climatology(climatology_rows(kept, start, end), root)
+        log = CommitLog(spark, f"{root}/_log")
+        landed = VersionedTree(spark, f"{root}/landed", ["var", "level", "year"], log)
+        moments = VersionedTree(spark, f"{root}/moments", ["var", "level"], log)
+        with log.batch(checkpoint, batch_id) as new:
+            rows = batch.withColumn("level", F.coalesce("level", F.lit(store.SURFACE_LEVEL)))
+            touched = landed.touched(rows) if new else []
+            if not touched:
+                return
+            fields = list(dict.fromkeys(t[:2] for t in touched))
+            old = landed.read(touched, LANDED)
+            landed.write(_newest(rows, old), new, touched, _band())
+            now = landed.read(touched, LANDED, new.version)
+            moments.write(_moved(moments.read(fields, MOMENTS), old, now, start, end), new, fields, _band())
+            store.write_climatology(climatology_of(moments.read(fields, MOMENTS, new.version), start, end), root)
 
     return _start(stream.writeStream.foreachBatch(step), checkpoint, interval)
 
 
+#: A month of a cell of a field; the moments of a month of a cell over the years.
+LANDED = "var string, grp string, level int, year int, month int, lat_idx int, lon_idx int, value double"
+MOMENTS = "var string, grp string, level int, month int, lat_idx int, lon_idx int, n long, mean double, squares double"
+MOMENT_KEY = ["var", "grp", "level", "month", "lat_idx", "lon_idx"]
+#: Rows of a grid that one task writes.
+BAND = 64
+
+
+def _band() -> Column:
+    return F.floor(F.col("lat_idx") / BAND)
+
+
+def _newest(arrived: DataFrame, old: DataFrame | None) -> DataFrame:
+    """One value per cell and time: what arrived last, before what had landed."""
+    def ranked(rows: DataFrame, new: int, delivered: Column) -> DataFrame:
+        order = F.struct(F.lit(new).alias("new"), delivered.cast("timestamp").alias("delivered"), F.col("value"))
+        return rows.select(*CELL_KEY, "value", order.alias("_order"))
+
+    when = F.col("delivered") if "delivered" in arrived.columns else F.lit(None)
+    both = ranked(arrived, 1, when)
+    if old is not None:
+        both = both.unionByName(ranked(old, 0, F.lit(None)))
+    return both.groupBy(*CELL_KEY).agg(F.max_by("value", "_order").alias("value"))
+
+
+Moments = tuple[Column, Column, Column]
+
+
+def together(a: Moments, b: Moments) -> Moments:
+    """(n, mean, squares) of two sets of values."""
+    n = a[0] + b[0]
+    shift, share = b[1] - a[1], b[0] / F.greatest(n, F.lit(1))
+    return n, a[1] + shift * share, a[2] + b[2] + shift * shift * a[0] * share
+
+
+def without(a: Moments, b: Moments) -> Moments:
+    """(n, mean, squares) of the values of ``a`` that are left when those of ``b`` are taken out."""
+    n = a[0] - b[0]
+    mean = (a[1] * a[0] - b[1] * b[0]) / F.greatest(n, F.lit(1))
+    shift = b[1] - mean
+    squares = a[2] - b[2] - shift * shift * n * b[0] / F.greatest(a[0], F.lit(1))
+    return n, F.when(n > 0, mean).otherwise(F.lit(0.0)), F.when(n > 0, F.greatest(F.lit(0.0), squares)).otherwise(F.lit(0.0))
+
+
+def _moved(state: DataFrame | None, old: DataFrame | None, now: DataFrame, start: int, end: int) -> DataFrame:
+    """The moments after the rows ``old`` gave way to ``now``: one aggregation over the touched years and the state."""
+    names, types = ("n", "mean", "squares"), ("long", "double", "double")
+
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        return df.where(F.col("year").between(start, end)).select(
+            *MOMENT_KEY, F.lit(kind).alias("_kind"), "value", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, types)])
+
+    parts = [rows(df, kind) for kind, df in (("old", old), ("now", now)) if df is not None]
+    if state is not None:
+        parts.append(state.select(*MOMENT_KEY, F.lit("state").alias("_kind"), F.lit(None).cast("double").alias("value"), *names))
+
+    def of(kind: str) -> list[Column]:
+        v = F.when(F.col("_kind") == kind, F.col("value"))
+        return [F.count(v).alias(f"{kind}_n"), F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{kind}_mean"),
+                F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias(f"{kind}_squares")]
+
+    def columns(kind: str) -> Moments:
+        return tuple(F.col(f"{kind}_{n}") for n in names)
+
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*MOMENT_KEY).agg(
+        *of("old"), *of("now"), *[F.coalesce(F.max(n), F.lit(0).cast(t)).alias(f"state_{n}") for n, t in zip(names, types)])
+    left = sums.select(*MOMENT_KEY, *columns("now"), *[c.alias(f"left_{n}") for n, c in zip(names, without(columns("state"), columns("old")))])
+    return left.select(*MOMENT_KEY, *[c.alias(n) for n, c in zip(names, together(columns("left"), columns("now")))])
+
+
+def climatology_of(moments: DataFrame, start: int, end: int) -> DataFrame:
+    """Mean and sigma rows from moments."""
+    n = F.nullif(F.col("n"), F.lit(0).cast("long"))
+    kinds = F.array(F.struct(F.lit("mean").alias("kind"), F.when(F.col("n") > 0, F.col("mean")).alias("value")),
+                    F.struct(F.lit("std").alias("kind"), F.sqrt(F.col("squares") / n).alias("value")))
+    return (moments.withColumn("_k", F.explode(kinds))
+            .select(F.lit(f"{start}-{end}").alias("period"), "_k.kind", "var", "grp", "level", "lat_idx", "lon_idx", "month", "_k.value"))
+
+
 class ArrivalProgress(StreamingQueryListener):
     """Counts batches and rows of the session's streams."""
 
