@@ -7,8 +7,9 @@ from helpers import SMALL, by, cosd, grid
 from pyspark.sql import functions as F
 
 from zonalis.operators import composite, decompose, reduce, vertical
+from zonalis.plans import jobs
 from zonalis.plans.request import (FieldRequest, FieldStore, decode, display_range, effective_kind, effective_mode, encode,
-                                   ingredients, resolve)
+                                   ingredients, open_store, resolve)
 from zonalis.registry import CLIMO_WINDOWS, Window30, window_frame
 
 WINDOWS = (Window30(2000, 2002), Window30(2002, 2004))
@@ -94,3 +95,60 @@ def test_unknown_mode_passes_through(store):
     df = resolve(store, FieldRequest("u", level=500))
     assert decompose.decompose(df, "wild", "value", ["month", "lat_idx"], ["month"]) is df
     assert decompose.decompose(df, "anomaly", "value", ["month", "lat_idx"], ["month"]) is df
+
+
+@pytest.fixture(scope="module")
+def both(spark, store, tmp_path_factory):
+    """The same fields as yearly rows alone, and with climatologies of every period beside them."""
+    root = str(tmp_path_factory.mktemp("trees"))
+    long = store.monthly.withColumn("grp", F.lit("pl"))
+    jobs.build_per_year(long, root)
+    for a, b in ((2000, 2004), *[(w.start, w.end) for w in WINDOWS]):
+        jobs.build_climatology(long, root, a, b)
+    index = spark.createDataFrame([("oni", y, m, float(y % 2) - 0.5) for y in range(1998, 2007) for m in (1, 7)], "id string, year int, month int, value double")
+    stored = open_store(spark, root, SMALL, "2000-2004", WINDOWS, index)
+    return replace(stored, climatology=None, tiles=frozenset()), stored
+
+
+ASKED = [FieldRequest("t", month=None, level=500), FieldRequest("t", month=4, level=500, period="2000-2002"), FieldRequest("t", month=None, level=850, kind="std"),
+         FieldRequest("t", month=1, level=500, seasonal=True), FieldRequest("t", month=7, level=500, mode="anomaly"),
+         FieldRequest("t", month=None, level=500, year=2001, mode="anomaly", reference="best-match"), FieldRequest("t", month=None, level=500, year=2003, mode="zscore"),
+         FieldRequest("t", month=None, level=500, years=(2000, 2003, 2004), mode="anomaly"), FieldRequest("t", month=None, coord="theta", theta=300.0),
+         FieldRequest("t", month=None, all_levels=True), FieldRequest("t", month=None, level=500, event=("oni", "ge", 0.0, 7), mode="anomaly"),
+         FieldRequest("t", month=None, level=500, period="2001-2003")]
+
+
+@pytest.mark.parametrize("n", range(len(ASKED)))
+def test_stored_trees_give_the_same_rows(both, n):
+    rows = [sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in resolve(s, ASKED[n]).select(*ASKED[n].keys, "value").collect()], key=str)
+            for s in both]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stored_climatology_is_only_filtered(both):
+    for n in (0, 1, 2):
+        plan = plan_of(resolve(both[1], ASKED[n]))
+        filters = plan[plan.index("PartitionFilters"):]
+        assert "Aggregate" not in plan and "Exchange" not in plan and "Join" not in plan
+        assert all(k in filters for k in ("period", "kind", "var", "level"))
+        assert "Aggregate" in plan_of(resolve(both[0], ASKED[n]))
+    assert "Aggregate" in plan_of(resolve(both[1], ASKED[-1]))                # that period is not stored
+
+
+def test_event_years_prune_folders_when_the_query_runs(spark, both):
+    sc = spark.sparkContext
+    sc.setJobGroup("planning", "")
+    df = resolve(both[1], replace(ASKED[10], mode="total"))
+    plan = plan_of(df)
+    assert list(sc.statusTracker().getJobIdsForGroup("planning")) == []
+    sc.setJobGroup("rest", "")
+    assert "dynamicpruning" in plan
+    years = composite.event_years(both[1].index, "oni", 7, "ge", 0.0)
+    want = by(reduce.climatology(both[1].monthly.where("var = 't' AND level = 500 AND year IN (2001, 2003)"), ["value"], ["lat_idx", "lon_idx"]), "month", "lat_idx", "lon_idx")
+    assert {r["year"] for r in years.collect()} == {1999, 2001, 2003, 2005}
+    got = by(df, "month", "lat_idx", "lon_idx")
+    assert got.keys() == want.keys() and all(abs(got[k]["value"] - want[k]["value"]) < 1e-9 for k in want)

@@ -1,6 +1,6 @@
 """The registered queries: one per operator, each with its SQL where SQL can say it."""
 
-from zonalis.plans.catalogue import (arriving, cells, diagnostics, events, sampling,  # noqa: F401
+from zonalis.plans.catalogue import (arriving, cells, diagnostics, events, sampling, stored,  # noqa: F401
                                      storage, views)
 from zonalis.plans.catalogue.base import ORACLES, QUERIES
 

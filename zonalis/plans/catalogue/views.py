@@ -15,7 +15,7 @@ from zonalis.plans.catalogue.diagnostics import sql_isentrope
 from zonalis.plans.catalogue.events import BOX, SQL_BEST, SQL_BOX, SQL_EVENTS
 from zonalis.plans.catalogue.sampling import SQL_ARCS, SQL_LENGTH, sql_corners, sql_great_circle
 from zonalis.plans.request import (FieldRequest, FieldStore, base_field, decode, display_range, effective_kind, encode,
-                                   expected_inputs, ingredients, resolve, resolve_with_flags, wind_request, with_event_years)
+                                   expected_inputs, ingredients, resolve, resolve_with_flags, wind_request)
 from zonalis.sources import fields, tables
 
 OUT = "month:i lat_idx:i lon_idx:i "
@@ -194,9 +194,8 @@ result AS (SELECT month, lat_idx, lon_idx, t - c AS value FROM e LEFT JOIN ref U
 def event_request(spark, sf):
     """From the compact text of a request to a composite anomaly against sliding windows."""
     r = decode("f=t&L=500&d=anomaly&cr=c:oni:ge:0:7")
-    r = with_event_years(r, tables.monthly_index(spark, sf), tables.upper_samples(spark, sf).select("year"))
-    from dataclasses import replace
-    return resolve(store(spark, sf, "t"), replace(decode(encode(r)), years=r.years, month=None))
+    s = replace(store(spark, sf, "t"), index=tables.monthly_index(spark, sf))
+    return resolve(s, replace(decode(encode(r)), month=None))
 
 
 @query("D12_period_comparison", OUT + "value:6", with_(SQL_CLIM) + """,

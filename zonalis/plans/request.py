@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl, urlencode
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.constants import PRESSURE_LEVELS, THETA_LEVELS
@@ -19,8 +19,7 @@ from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec
 from zonalis.operators import composite, decompose, diagnostics, ranks, reduce, vertical
 from zonalis.registry import CLIMO_WINDOWS, DEFAULT_PERIOD, FIELDS, SHEAR_LEVELS, Window30
-
-
+from zonalis.sources import fields
 
 @dataclass(frozen=True)
 class FieldRequest:
@@ -60,7 +59,7 @@ class FieldRequest:
 
     @property
     def composite(self) -> bool:
-        return self.years is not None or self.span is not None
+        return self.years is not None or self.span is not None or self.event is not None
 
     @property
     def comparing(self) -> bool:
@@ -84,7 +83,12 @@ class FieldRequest:
 
 @dataclass(frozen=True)
 class FieldStore:
-    """Long monthly fields (var, level, year, month, cell, value) in display units."""
+    """Long monthly fields (var, level, year, month, cell, value) in display units, and what was made of them before.
+
+    ``climatology`` is a tree of (period, kind, var, level) folders and ``tiles`` lists those it has. A
+    request takes the climatology, sigma or reference it needs from there if all its folders exist,
+    and else aggregates the yearly fields; either way the rows are the same.
+    """
 
     monthly: DataFrame
     spec: GridSpec
@@ -92,6 +96,15 @@ class FieldStore:
     windows: tuple[Window30, ...] = CLIMO_WINDOWS
     #: Variables with a sigma, as the catalogue lists them; None: derived from the yearly fields, so all.
     sigmas: frozenset[str] | None = None
+    climatology: DataFrame | None = None
+    tiles: frozenset[tuple[str, str, str, int]] = frozenset()
+    #: Years with fields, as the folders say; None: not known without reading.
+    years: frozenset[int] | None = None
+    #: Monthly indices (id, year, month, value) for composites by event.
+    index: DataFrame | None = None
+
+    def period_name(self, period: str) -> str:
+        return "{}-{}".format(*self.period_years(period))
 
     def period_years(self, period: str) -> tuple[int, int]:
         """``default`` stands for the active period; a literal period is itself."""
@@ -102,6 +115,15 @@ class FieldStore:
         return min(self.windows, key=lambda w: (abs(year - w.center), -w.center)).id
 
 
+def open_store(spark: SparkSession, root: str, spec: GridSpec, active: str = DEFAULT_PERIOD, windows: tuple[Window30, ...] = CLIMO_WINDOWS,
+               index: DataFrame | None = None) -> FieldStore:
+    """The store of a folder with a ``per_year`` and, if there is one, a ``climatology`` tree. Only folder names are read."""
+    tiles = fields.stored_tiles(spark, root)
+    clim = spark.read.schema(fields.CLIMATOLOGY_SCHEMA).parquet(f"{root}/climatology") if tiles else None
+    return FieldStore(spark.read.schema(fields.MONTHLY_SCHEMA).parquet(f"{root}/per_year"), spec, active, windows, climatology=clim, tiles=tiles,
+                      years=fields.stored_years(spark, root), index=index)
+
+
 # what a request needs ---------------------------------------------------------------------
 def ingredients(req: FieldRequest, spec: GridSpec) -> list[tuple[str, int | None]]:
     """(variable, level) partitions the request reads."""
@@ -186,8 +208,27 @@ def _inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
     return vertical.fields_to_columns(rows, INPUT_KEYS, names)
 
 
+def _stored(store: FieldStore, periods: Sequence[str], kind: str, need: Sequence[tuple[str, int | None]], months: Sequence[int] | None) -> DataFrame | None:
+    """Rows of the climatology tree that hold all of ``need`` for all periods; None if a folder is missing.
+
+    Every filter but that of the month names folders, so nothing else is listed or read.
+    """
+    wanted = [(n, lev) for n, level in need
+              for lev in (store.spec.levels if level is None and FIELDS[n].kind == "pl" else [fields.SURFACE_LEVEL if level is None else level])]
+    if store.climatology is None or not {(p, kind, n, lev) for p in periods for n, lev in wanted} <= store.tiles:
+        return None
+    rows = store.climatology.where(F.col("period").isin(*periods) & (F.col("kind") == kind) & F.col("var").isin(*{n for n, _ in wanted})
+                                   & F.col("level").isin(*{lev for _, lev in wanted}))
+    return rows.where(F.col("month").isin(*months)) if months else rows
+
+
 def _mean_inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
-    """Climatological ingredient columns per (month, level, cell): one aggregation from the long rows."""
+    """Climatological ingredient columns per (month, level, cell): as stored, else by one aggregation of the long rows."""
+    rows = _stored(store, [store.period_name(req.period)], "mean", ingredients(req, store.spec), _months(req))
+    if rows is not None:
+        names = list(dict.fromkeys(n for n, _ in ingredients(req, store.spec)))
+        keys = ["month", *INPUT_KEYS[2:]]
+        return rows.select(*keys, F.col("value").alias(names[0])) if len(names) == 1 else vertical.fields_to_columns(rows, keys, names)
     rows, names = _rows(store, req)
     rows = rows.where(F.col("year").between(*store.period_years(req.period)))
     return rows.groupBy("month", *INPUT_KEYS[2:]).agg(*[F.avg(F.when(F.col("var") == n, F.col("value"))).alias(n) for n in names])
@@ -214,7 +255,15 @@ def _evaluate(df: DataFrame, keys: Sequence[str], req: FieldRequest, spec: GridS
 
 
 def _years_of(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """The years of a composite, one row each. Those of an event are found when the query runs, and as a semi-join on the
+    folder column they prune the folders that are read."""
     spark = store.monthly.sparkSession
+    if req.event and store.index is not None:
+        i, cmp, threshold, month = req.event
+        years = composite.event_years(store.index, i, month, cmp, threshold)
+        if store.years is not None:
+            return years.where(F.col("year").isin(*store.years))
+        return composite.split_available(years, store.monthly)[0]
     return composite.requested_years(spark, req.years, *(req.span or (None, None)))
 
 
@@ -235,6 +284,10 @@ def base_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     if not (req.year is not None or req.composite or effective_kind(store, req) == "std"):
         out = _evaluate(_mean_inputs(store, req), req.keys, req, store.spec)
         return _centred(out, req)
+    if req.year is None and not req.composite:             # a sigma; that of a derived field cannot be made from its ingredients'
+        rows = _stored(store, [store.period_name(req.period)], "std", [(req.name, req.effective_level)], _months(req))
+        if rows is not None:
+            return _centred(rows.select(*req.keys, "value"), req)
     df = _inputs(store, req)
     if req.year is not None:
         out = _evaluate(df.where(F.col("year") == req.year), by_year, req, store.spec).drop("year")
@@ -264,7 +317,7 @@ def reference_field(store: FieldStore, req: FieldRequest) -> DataFrame:
     ref = req.reference
     explicit = ref not in ("default", "best-match", store.active)
     timed = req.year is not None or req.composite
-    sliding = (req.sliding and req.years is not None and req.year is None and not req.on_theta
+    sliding = (req.sliding and (req.years is not None or req.event is not None) and req.year is None and not req.on_theta
                and ref in ("default", "best-match"))
     if sliding:
         return _sliding(store, req)
@@ -288,10 +341,15 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     fixed climatology instead."""
     w = store.windows
     weights = composite.window_weights(composite.best_window(_years_of(store, req), w))
-    df = _inputs(store, req)
     months = _months(req)
-    names = [c for c in df.columns if c not in ("year", "month", "level", "lat_idx", "lon_idx")]
-    clims = composite.window_climatologies(df, w, names)
+    need = ingredients(req, store.spec)
+    names = list(dict.fromkeys(n for n, _ in need))
+    rows = _stored(store, [x.id for x in w], "mean", need, months)
+    if rows is not None:
+        rows, keys = rows.withColumnRenamed("period", "window_id"), ["window_id", "month", *INPUT_KEYS[2:]]
+        clims = rows.select(*keys, F.col("value").alias(names[0])) if len(names) == 1 else vertical.fields_to_columns(rows, keys, names)
+    else:
+        clims = composite.window_climatologies(_inputs(store, req), w, names)
     values = _evaluate(clims, ["window_id", *req.keys], req, store.spec)
     usable = (values.select("window_id", "month").distinct().join(weights, "window_id").groupBy("month")
               .agg(F.count("*").alias("n_have"), F.max("n_windows").alias("n_need")).where("n_have = n_need"))
@@ -303,16 +361,33 @@ def _sliding(store: FieldStore, req: FieldRequest) -> DataFrame:
     return _centred(out, req)
 
 
+def _one_period(store: FieldStore, req: FieldRequest, period: str) -> bool:
+    """Whether mean and sigma of a standardized anomaly are of the same raw field and period and neither is stored."""
+    timed = req.year is not None or req.span is not None
+    raw = not req.meta.ingredients and not req.on_theta and not req.seasonal
+    best = req.reference == "best-match" and req.year is not None
+    return timed and raw and not best and not any(t[0] == store.period_name(period) and t[2] == req.name for t in store.tiles)
+
+
+def _mean_and_sigma(store: FieldStore, req: FieldRequest, period: str) -> DataFrame:
+    """Both in one aggregation of the long rows."""
+    rows, _ = _rows(store, req)
+    rows = rows.where(F.col("year").between(*store.period_years(period)))
+    return rows.groupBy(*req.keys).agg(F.avg("value").alias("value"), F.stddev_pop("value").alias("sigma"))
+
+
 def _decomposed(store: FieldStore, req: FieldRequest, baseline: DataFrame | None = None) -> DataFrame:
     mode = effective_mode(store, req)
     df = base_field(store, req)
     if mode in ("zonal", "eddy"):
         return decompose.decompose(df, mode, "value", req.keys[:-1], req.keys)
     if mode in ("anomaly", "zscore"):
+        period = req.reference if req.reference not in ("default", "best-match") else "default"
+        if mode == "zscore" and baseline is None and _one_period(store, req, period):
+            return decompose.zscore(df, _mean_and_sigma(store, req, period), req.keys, req.keys[:-2], "value", "sigma")
         ref = baseline if baseline is not None else reference_field(store, req)
         if mode == "anomaly":
             return decompose.anomaly(df, ref, req.keys, "value")
-        period = req.reference if req.reference not in ("default", "best-match") else "default"
         sd = base_field(store, _plain(req, kind="std", period=period)).withColumnRenamed("value", "sigma")
         both = ref.join(sd, req.keys, "outer")
         return decompose.zscore(df, both, req.keys, req.keys[:-2], "value", "sigma")
@@ -435,15 +510,3 @@ def decode(text: str) -> FieldRequest:
     if "cr" in given:
         change.update(_read_selection(given["cr"]))
     return FieldRequest(**change)
-
-
-def with_event_years(req: FieldRequest, index: DataFrame, available: DataFrame) -> FieldRequest:
-    """Fill in the years of an index composite, clipped to the years that have fields.
-
-    At most one row per calendar year comes to the driver.
-    """
-    if not req.event:
-        return req
-    i, cmp, threshold, month = req.event
-    kept, _ = composite.split_available(composite.event_years(index, i, month, cmp, threshold), available)
-    return replace(req, years=tuple(sorted(r["year"] for r in kept.collect())))

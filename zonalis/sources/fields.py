@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from zonalis.functions.fields import finite
 from zonalis.registry import DEFAULT_PERIOD, FIELDS, UNIT_SCALE, unit_factor
+from zonalis.sources.files import Files
 
 SURFACE_LEVEL = 0
 SETTLE_SECONDS = 120
@@ -26,6 +27,9 @@ MONTHLY_SCHEMA = T.StructType([
     T.StructField("month", T.IntegerType()), T.StructField("lat_idx", T.IntegerType()),
     T.StructField("lon_idx", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
+CLIMATOLOGY_SCHEMA = T.StructType([T.StructField("period", T.StringType()), T.StructField("kind", T.StringType()),
+                                   *[f for f in MONTHLY_SCHEMA.fields if f.name != "year"]])
+
 # Names under which an archive may store the axes.
 AXIS_ALIASES = {"latitude": "lat", "longitude": "lon", "pressure_level": "level",
                 "isobaricInhPa": "level", "valid_time": "time"}
@@ -145,6 +149,17 @@ def write_climatology(clim: DataFrame, root: str, mode: str = "overwrite") -> st
     return path
 
 
+def stored_tiles(spark: SparkSession, root: str) -> frozenset[tuple[str, str, str, int]]:
+    """(period, kind, var, level) of the climatologies a tree holds, from the names of its folders."""
+    found = Files(spark, root).partitions(f"{root}/climatology", ["period", "kind", "var", "level"])
+    return frozenset((p, k, v, int(lev)) for p, k, v, lev in found)
+
+
+def stored_years(spark: SparkSession, root: str) -> frozenset[int]:
+    """Years of the monthly fields a tree holds, from the names of its folders."""
+    return frozenset(int(y) for _, _, y in Files(spark, root).partitions(f"{root}/per_year", ["var", "level", "year"]))
+
+
 def append_levels(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` whose tile (variable, level, time) is not stored yet: appending them twice
     changes nothing.

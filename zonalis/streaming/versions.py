@@ -21,42 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-VERSION = "version"
-
-
-class Files:
-    """The few calls on a shared file system that trees and logs need."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, text: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+from zonalis.sources.files import Files
 
-    def names(self, folder: str) -> list[str]:
-        path = self.path(folder)
-        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
-
-    def delete(self, path: str) -> None:
-        self.fs.delete(self.path(path), True)
-
-    def text(self, path: str) -> str:
-        stream = self.fs.open(self.path(path))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def put(self, path: str, text: str) -> None:
-        """A whole file that appears at once; an error if it exists."""
-        folder, _, name = path.rpartition("/")
-        draft = f"{folder}/.{name}"
-        out = self.fs.create(self.path(draft), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not self.fs.rename(self.path(draft), self.path(path)):
-            raise FileExistsError(f"{path}: two writers share this log")
+VERSION = "version"
 
 
 @dataclass
@@ -109,8 +76,7 @@ class VersionedTree:
         return [tuple(r) for r in rows.select(*self.parts).distinct().collect()]
 
     def _folder(self, values: tuple) -> str:
-        named = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        return "/".join([self.root, *(named(p, None if v is None else str(v)) for p, v in zip(self.parts, values))])
+        return "/".join([self.root, *map(self.files.partition, self.parts, values)])
 
     def _every_folder(self) -> list[str]:
         found = [self.root]
