@@ -100,12 +100,12 @@ def climatology_tree(spark, sf):
 
 
 @query("S8_B3_per_year_tree", "var:s level:i year:i month:i lat_idx:i lon_idx:i value:6", with_(SQL_SAMPLES, sql_long("t", "u")) + """,
-result AS (SELECT * FROM lg WHERE level IN (500, 850) AND year = 1998)""")
+result AS (SELECT * FROM lg)""")
 def per_year_tree(spark, sf):
-    """Written as a partitioned tree and read back with partition pruning on level and year."""
+    """Written as a partitioned tree and read back whole."""
     root = work_folder(spark, "peryear")
     jobs.build_per_year(_long(spark, sf, "t", "u"), root)
-    return spark.read.parquet(f"{root}/per_year").where("level IN (500, 850) AND year = 1998")
+    return spark.read.parquet(f"{root}/per_year")
 
 
 @query("S9_S10_quantize_roundtrip", KEYS + "q:i value:6", with_(SQL_CLIM) + """,
@@ -148,6 +148,35 @@ def float32_tiles(spark, sf):
     return tiles.tile_key(tiles.read_float32(spark, folder, SPEC))
 
 
+SQL_CODES = """,
+k AS (SELECT DISTINCT month AS m, level AS l FROM clim),
+g AS (SELECT m AS month, l AS level, i AS lat_idx, j AS lon_idx, CAST(u AS FLOAT)::DOUBLE AS v FROM k, range(13) AS b(i), range(12) AS c(j)
+  LEFT JOIN clim ON month = m AND level = l AND lat_idx = i AND lon_idx = j),
+r AS (SELECT *, min(v) OVER (PARTITION BY month, level) AS lo, max(v) OVER (PARTITION BY month, level) AS hi FROM g),
+result AS (SELECT month, level, lat_idx, lon_idx, lo + round_even((v - lo) / (hi - lo) * 65534, 0) * (hi - lo) / 65534 AS value FROM r"""
+
+
+def _tile_cells(spark, sf):
+    return clim(spark, sf, "u").withColumnRenamed("u", "value").withColumn("var", F.lit("u"))
+
+
+@query("S9_S10_S12_tile_files", KEYS + "value:6", with_(SQL_CLIM) + SQL_CODES + " WHERE level IN (500, 850) AND month > 3)")
+def tile_files(spark, sf):
+    """Gzipped codes with their ranges, written by tasks and committed; read back by filters that pick files."""
+    root = work_folder(spark, "tilefiles")
+    jobs.write_tile_files(_tile_cells(spark, sf), root, SPEC)
+    return jobs.read_tile_files(spark, root, SPEC).where("var = 'u' AND kind = 'mean' AND level IN (500, 850) AND month > 3")
+
+
+@query("S11_B8_compressed_tile_files", KEYS + "value:6", with_(SQL_CLIM) + SQL_CODES + ")")
+def compressed_tile_files(spark, sf):
+    """Float32 tiles of the whole field, replaced in place by codes."""
+    root = work_folder(spark, "tilefiles")
+    jobs.write_tile_files(_tile_cells(spark, sf), root, SPEC, "f32")
+    jobs.compress_tile_files(spark, root, SPEC)
+    return jobs.read_tile_files(spark, root, SPEC)
+
+
 @query("A2_tile_arrays", KEYS + "u:4", with_(SQL_CLIM) + """,
 result AS (SELECT m AS month, l AS level, i AS lat_idx, j AS lon_idx, CAST(u AS FLOAT) AS u FROM
   (SELECT DISTINCT month AS m, level AS l FROM clim), range(13) AS b(i), range(12) AS c(j)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyarrow import fs as afs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
@@ -16,7 +17,7 @@ from zonalis.grid import GridSpec, stride, stride_for
 from zonalis.operators import reduce, vertical
 from zonalis.registry import SHEAR_LEVELS
 from zonalis.sources import fields as store
-from zonalis.sources import tiles
+from zonalis.sources import tile_files, tiles
 
 LONG_CELL = ("var", "grp", "level", "lat_idx", "lon_idx")
 
@@ -93,3 +94,46 @@ def quantize_tree(clim: DataFrame, path: str) -> str:
     (q.repartition("period", "kind", "var", "level", band).sortWithinPartitions("period", "kind", "var", "level", "month", "lat_idx").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("period", "kind", "var", "level").parquet(path))
     return path
+
+
+def write_tile_files(cells: DataFrame, root: str, spec: GridSpec, encoding: str = tile_files.CODES, mode: str = "append", gzip_level: int = 9) -> None:
+    """Cells (grp, var, kind, level, year, month, lat_idx, lon_idx, value) as a tree of tile files; what is missing of
+    kind, year and grp is ``mean``, none, and the group of the level."""
+    tile_files.register(cells.sparkSession)
+    level = F.col("level")
+    whole = cells.withColumns({
+        "kind": F.col("kind") if "kind" in cells.columns else F.lit("mean"), "year": (F.col("year") if "year" in cells.columns else F.lit(None)).cast("int"),
+        "grp": F.coalesce(F.col("grp") if "grp" in cells.columns else F.lit(None), F.when(F.coalesce(level, F.lit(0)) == 0, "single_levels").otherwise("pressure_levels")),
+        "level": F.coalesce(level, F.lit(store.SURFACE_LEVEL)).cast("int"), "month": F.col("month").cast("int")})
+    rows = tiles.to_arrays(whole, tile_files.KEYS, spec).withColumn("level", F.nullif("level", F.lit(store.SURFACE_LEVEL)))
+    (rows.select(*tile_files.KEYS, "values").write.format(tile_files.FORMAT).mode(mode)
+     .options(path=root, nlat=spec.nlat, nlon=spec.nlon, encoding=encoding, gzipLevel=gzip_level).save())
+
+
+def read_tile_files(spark: SparkSession, root: str, spec: GridSpec, rows: str = "cells") -> DataFrame:
+    """The cells (or whole tiles) of a tree of tile files; filters on its keys pick the files."""
+    tile_files.register(spark)
+    return spark.read.format(tile_files.FORMAT).options(path=root, nlat=spec.nlat, nlon=spec.nlon, rows=rows).load()
+
+
+def compress_tile_files(spark: SparkSession, root: str, spec: GridSpec, variables: Sequence[str] | None = None, groups: Sequence[str] | None = None,
+                        force: bool = False, gzip_level: int = 9) -> list[tuple[str, str]]:
+    """Replace float32 tiles by 16-bit codes, in place; returns the (group, variable) folders that were done.
+
+    Folders that hold codes already are left alone unless ``force``. The floats of a folder go after its codes and
+    their ranges are recorded, so a job lost at any moment is simply run again.
+    """
+    fs, base = tile_files.opened(root)
+    todo = [(g, v) for g, v, meta in tile_files.folders(fs, base) if (not variables or v in variables) and (not groups or g in groups)
+            and (force or meta.get("encoding", tile_files.FLOATS) != tile_files.CODES)]
+    if todo:
+        mine = F.struct("grp", "var").isin(*[F.struct(F.lit(g).alias("grp"), F.lit(v).alias("var")) for g, v in todo])
+        whole = read_tile_files(spark, root, spec, "tiles").where(F.col("grp").isin(*{g for g, _ in todo}) & F.col("var").isin(*{v for _, v in todo})).where(mine)
+        (whole.write.format(tile_files.FORMAT).mode("overwrite")
+         .options(path=root, nlat=spec.nlat, nlon=spec.nlon, encoding=tile_files.CODES, gzipLevel=gzip_level).save())
+    for g, v, meta in tile_files.folders(fs, base):        # also what an earlier run left behind
+        if meta.get("encoding") == tile_files.CODES:
+            for i in fs.get_file_info(afs.FileSelector(f"{base}/{g}/{v}")):
+                if i.base_name.endswith(tile_files.ENDING[tile_files.FLOATS]):
+                    fs.delete_file(i.path)
+    return todo
