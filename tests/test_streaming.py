@@ -1,12 +1,13 @@
 """Arriving fields: replays, repeats and readiness."""
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import SMALL, grid
 from pyspark.sql import functions as F
 
 from zonalis.operators import vertical
 from zonalis.sources import fields as store
-from zonalis.streaming import arrivals, versions
+from zonalis.streaming import arrivals, settled, versions
 
 KEYS = ["year", "month", "level", "lat_idx", "lon_idx"]
 
@@ -171,3 +172,83 @@ def test_state_in_partitions(spark, tmp_path):
     assert {f for f in first if "month=1" in f} <= set(second) and not {f for f in first if "month=2" in f} & set(second)
     rows = arrivals.mean_of(arrivals.latest_rows(spark, out, ["month"]), "value").collect()
     assert {r["month"]: r["value"] for r in rows} == {1: 2.0, 2: 4.0}
+
+
+def test_young_files_wait(spark, tmp_path):
+    """A file that is still being written is left out, not lost; a replay and a restart read each file once."""
+    import glob
+    import os
+    import time
+    src, log, out, ck = (str(tmp_path / x) for x in ("in", "log", "out", "ck"))
+    for year in (2000, 2001, 2002):
+        fields_of(spark, "t", 500, year, float(year)).write.mode("append").parquet(src)
+
+    def age(files, seconds):
+        for f in files:
+            os.utime(f, (time.time() - seconds,) * 2)
+
+    def run():
+        s = settled.settled_stream(spark, src, log, store.MONTHLY_SCHEMA, files_per_batch=1)
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["year"] for r in spark.read.parquet(out).select("year").distinct().collect()), spark.read.parquet(out).count()
+
+    files = {int(pq.read_table(f).column("year")[0].as_py()): f for f in glob.glob(f"{src}/*.parquet")}
+    age([files[2001]], 500)
+    with open(f"{src}/part-unfinished.parquet", "wb") as f:
+        f.write(b"PAR1 still being written")
+    years, n = run()
+    assert years == [2001]
+    age([files[2000]], 9000)                                # settled long ago, found later: not skipped
+    years, n = run()
+    assert years == [2000, 2001]
+    age([files[2002]], 121)
+    assert run() == ([2000, 2001, 2002], 3 * 2 * 156) == run()
+
+
+def test_a_slice_is_emitted_once_and_forgotten(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    seen = []
+
+    def run():
+        q = arrivals.emit_ready(arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1), (2000, 2001), out, ck)
+        q.awaitTermination()
+        seen.extend(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators)
+        return sorted((r["var"], r["level"], r["month"], r["n_years"]) for r in spark.read.schema("var string, level int, month int, n_years int").parquet(out).collect())
+
+    fields_of(spark, "t", 500, 2000, 1.0).write.mode("append").parquet(src)
+    fields_of(spark, "msl", None, 2000, 1.0).write.mode("append").parquet(src)
+    fields_of(spark, "t", 500, 1990, 1.0).write.mode("append").parquet(src)
+    assert run() == [] and max(seen) == 4
+    fields_of(spark, "t", 500, 2001, 1.0).where("month = 2").write.mode("append").parquet(src)
+    assert run() == [("t", 500, 2, 2)] and seen[-1] == 3
+    for var, level in (("t", 500), ("msl", None)):
+        fields_of(spark, var, level, 2001, 1.0).where("var = 'msl' OR month = 1").write.mode("append").parquet(src)
+    assert run() == [("msl", 0, 1, 2), ("msl", 0, 2, 2), ("t", 500, 1, 2), ("t", 500, 2, 2)] and seen[-1] == 0
+
+
+def test_pending_goes_to_zero(spark, tmp_path):
+    import time
+    src = str(tmp_path / "in")
+    want = arrivals.PendingInputs([(v, lev, y, m) for v, lev in (("t", 500), ("msl", None)) for y in (2000, 2001) for m in (1, 2)])
+    spark.streams.addListener(want)
+
+    def run(pending):
+        s = arrivals.observed(arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1))
+        q = s.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if want.pending <= pending:
+                break
+            time.sleep(0.1)
+        return want.pending, want.total
+
+    try:
+        fields_of(spark, "t", 500, 2000, 1.0).write.mode("append").parquet(src)
+        fields_of(spark, "t", 500, 1980, 1.0).write.mode("append").parquet(src)
+        assert run(6) == (6, 8)
+        fields_of(spark, "t", 500, 2001, 1.0).write.mode("append").parquet(src)
+        for y in (2000, 2001):
+            fields_of(spark, "msl", None, y, 1.0).write.mode("append").parquet(src)
+        assert run(0) == (0, 8)
+    finally:
+        spark.streams.removeListener(want)

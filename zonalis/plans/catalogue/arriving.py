@@ -9,7 +9,7 @@ from zonalis.plans.catalogue.base import CELL, SQL_SAMPLES, monthly, query, with
 from zonalis.session import work_folder
 from zonalis.sources import fields as store
 from zonalis.sources import tables
-from zonalis.streaming import arrivals
+from zonalis.streaming import arrivals, settled
 
 KEYS = ["month", *CELL]
 LONG = ["year", "month", *CELL]
@@ -57,3 +57,42 @@ def readiness(spark, sf):
     q = arrivals.upsert_batches(arrivals.ready_slices(stream, (1999, 2000, 2001)), f"{work}/out", f"{work}/ckpt", arrivals.SLICE)
     q.awaitTermination()
     return arrivals.latest_rows(spark, f"{work}/out")
+
+
+@query("T3_ready_slices", "var:s level:i month:i n_years:i", with_(SQL_SAMPLES) + """,
+result AS (SELECT 't' AS var, level, month, count(DISTINCT year) AS n_years FROM mon WHERE year IN (1999, 2000, 2001)
+  GROUP BY level, month HAVING count(DISTINCT year) = 3)""")
+def ready_slices(spark, sf):
+    """Each slice once, when the last of its years arrives; its state is gone then."""
+    work = work_folder(spark, "once")
+    stream = arrivals.arriving(spark, _landing(spark, sf, work), store.MONTHLY_SCHEMA, files_per_batch=1)
+    arrivals.emit_ready(stream, (1999, 2000, 2001), f"{work}/out", f"{work}/ckpt").awaitTermination()
+    return spark.read.schema("var string, level int, month int, n_years int").parquet(f"{work}/out")
+
+
+@query("T5_settled_stream", "year:i level:i n:l total:4", with_(SQL_SAMPLES) + """,
+d AS (SELECT year, level, t FROM mon UNION ALL SELECT year, level, t FROM mon WHERE year = 1997),
+result AS (SELECT year, level, count(*) AS n, sum(t) AS total FROM d GROUP BY ALL)""")
+def settled_stream(spark, sf):
+    """Only files that have settled are read, two a batch (here any age will do)."""
+    work = work_folder(spark, "settled")
+    stream = settled.settled_stream(spark, _landing(spark, sf, work), f"{work}/log", store.MONTHLY_SCHEMA, age=0, files_per_batch=2)
+    q = stream.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/ckpt").start()
+    q.processAllAvailable()                                # availableNow would run a single batch of this source
+    q.stop()
+    return spark.read.parquet(f"{work}/out").groupBy("year", "level").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("T7_pending_inputs", "total:l pending:l rows:l", with_(SQL_SAMPLES) + """,
+result AS (SELECT 7 * 7 * 12 AS total, 7 * 7 * 12 - count(DISTINCT (level, year, month)) AS pending,
+  count(*) + count(*) FILTER (year = 1997) AS rows FROM mon)""")
+def pending_inputs(spark, sf):
+    """Tiles of a view that are still missing when the stream has seen all there is."""
+    work = work_folder(spark, "pending")
+    want = arrivals.PendingInputs([("t", lev, y, m) for lev in tables.SAMPLE_SPEC.levels for y in range(1995, 2002) for m in range(1, 13)])
+    stream = arrivals.observed(arrivals.arriving(spark, _landing(spark, sf, work), store.MONTHLY_SCHEMA, files_per_batch=1))
+    q = stream.writeStream.format("noop").option("checkpointLocation", f"{work}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    for progress in q.recentProgress:
+        want.see(progress)
+    return spark.range(1).select(F.lit(want.total).alias("total"), F.lit(want.pending).alias("pending"), F.lit(want.rows).alias("rows"))

@@ -7,14 +7,16 @@ half-way leaves the state before it whole, and its replay gives the same state a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 from pyspark.sql.types import StructType
 
+from zonalis.session import ship_package
 from zonalis.sources import fields as store
 from zonalis.streaming.versions import CommitLog, VersionedTree
 
@@ -195,6 +197,92 @@ def climatology_of(moments: DataFrame, start: int, end: int) -> DataFrame:
             .select(F.lit(f"{start}-{end}").alias("period"), "_k.kind", "var", "grp", "level", "lat_idx", "lon_idx", "month", "_k.value"))
 
 
+class OnceComplete(StatefulProcessor):
+    """Emits a slice when its last expected year arrives, and forgets it."""
+
+    def __init__(self, years: frozenset[int]):
+        self.years = years
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("years", "years array<int>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = set(self.seen.get()[0]) if self.seen.exists() else set()
+        seen |= {r["year"] for r in rows} & self.years
+        if seen == self.years:
+            self.seen.clear()
+            yield Row(var=key[0], level=key[1], month=key[2], n_years=len(seen))
+        elif seen:
+            self.seen.update((sorted(seen),))
+
+    def close(self) -> None:
+        pass
+
+
+def emit_ready(stream: DataFrame, expected_years: Sequence[int], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Append (var, level, month, n_years) of each slice to a folder, once, when all expected years have arrived.
+
+    State holds incomplete slices only, each at most the list of its years. A surface field has level 0. A slice that is
+    delivered anew after it was complete counts its years from the start.
+    """
+    spark = stream.sparkSession
+    ship_package(spark)
+    wanted = frozenset(int(y) for y in expected_years)
+    rows = (stream.where(F.col("year").isin(*wanted)).withColumn("level", F.coalesce("level", F.lit(store.SURFACE_LEVEL)))
+            .select(*SLICE, "year").groupBy(*SLICE)
+            .transformWithState(OnceComplete(wanted), "var string, level int, month int, n_years int", "append", "none"))
+    kept = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:                                                    # a query keeps the settings it was started with
+        return _start(rows.writeStream.outputMode("append").format("parquet").option("path", folder), checkpoint, interval)
+    finally:
+        if kept is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, kept)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+TILE = ["var", "level", "year", "month"]
+
+
+def observed(stream: DataFrame, name: str = "arrived") -> DataFrame:
+    """The same stream; each batch also tells which tiles it held (a handful of keys per file)."""
+    key = F.struct("var", F.coalesce("level", F.lit(store.SURFACE_LEVEL)).alias("level"), "year", "month")
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.collect_set(key).alias("tiles"))
+
+
+class PendingInputs(StreamingQueryListener):
+    """How many of the expected tiles (var, level, year, month) are still to arrive, over the session's ``observed`` streams."""
+
+    def __init__(self, expected: Iterable[tuple], name: str = "arrived") -> None:
+        self.missing = {(v, store.SURFACE_LEVEL if lev is None else lev, y, m) for v, lev, y, m in expected}
+        self.total, self.name = len(self.missing), name
+        self.rows = 0
+
+    @property
+    def pending(self) -> int:
+        return len(self.missing)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.see(event.progress)
+
+    def see(self, progress: StreamingQueryProgress) -> None:
+        seen = progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.rows += seen["rows"]
+            self.missing -= {tuple(t[k] for k in TILE) for t in seen["tiles"]}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class ArrivalProgress(StreamingQueryListener):
     """Counts batches and rows of the session's streams."""
 
