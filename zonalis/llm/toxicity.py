@@ -27,10 +27,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +41,13 @@ SAMPLE = 2000
 TERMS = 1000
 MARGIN, SURE = 0.02, 15.0
 BEGINNINGS, OFTEN = (4, 5, 6, 7, 8), (2, 3, 5, 8)
-#: Words whose terms a Python worker keeps.
-CACHE = 300_000
+#: Words whose terms, and vectors whose neighbours, a Python worker keeps.
+CACHE, VECTORS = 300_000, 50_000
 NEAREST = 15
 BLOCK = 64
 SOFT = 0.05
+#: Cosines are told apart to so many digits.
+DIGITS = 12
 CUT = 0.5
 RESULTS = ("score", "predicted", "terms", "nearest")
 WORD = re.compile(r"\w+")
@@ -94,7 +97,8 @@ def terms_of(text: str | None) -> list[str]:
 # the index -------------------------------------------------------------------------------------
 @dataclass
 class Index:
-    """Examples in blocks, by term: block numbers, greatest weights, and postings (places in the block, weights)."""
+    """Examples in blocks, and per term: block numbers, greatest weights there, where each block's postings begin, and the
+    postings (examples, weights)."""
 
     keys: list[str]
     labels: np.ndarray
@@ -102,44 +106,68 @@ class Index:
     idf: np.ndarray
     blocks: list[np.ndarray]
     greatest: list[np.ndarray]
-    postings: list[list[tuple[np.ndarray, np.ndarray]]]
+    starts: list[np.ndarray]
+    postings: list[tuple[np.ndarray, np.ndarray]]
     n_blocks: int
     #: isotonic fit: votes and their scores; the score of a text without terms
     votes: np.ndarray
     scores: np.ndarray
     bare: float
 
+    def __post_init__(self) -> None:
+        self.rank = np.empty(len(self.keys), np.int64)
+        self.rank[sorted(range(len(self.keys)), key=self.keys.__getitem__)] = np.arange(len(self.keys))
+        self.least_rank = np.array([self.rank[b * BLOCK:(b + 1) * BLOCK].min() for b in range(self.n_blocks)], np.int64)
+
     def weights(self, terms: Sequence[int], times: Sequence[int]) -> np.ndarray:
         w = (1 + np.log(np.array(times, float))) * self.idf[list(terms)]
         return w / math.sqrt(float(w @ w)) if len(w) else w
 
+    def _scored(self, terms: Sequence[int], w: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks with a common term, and their cosines."""
+        inside = np.zeros(self.n_blocks, bool)
+        inside[some] = True
+        total = np.zeros(len(self.keys))
+        for t, x in zip(terms, w):
+            starts, (examples, values) = self.starts[t], self.postings[t]
+            for at in np.flatnonzero(inside[self.blocks[t]]):
+                part = slice(starts[at], starts[at + 1])
+                total[examples[part]] += x * values[part]
+        ids = np.flatnonzero(total)
+        return ids, np.round(total[ids], DIGITS)
+
     def nearest(self, terms: Sequence[int], times: Sequence[int], skip: str | None = None, k: int = NEAREST,
                 seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a common term, without those whose key is ``skip``."""
+        """(examples, cosines) of the k nearest with a common term, without those whose key is ``skip``.
+
+        Blocks come in descending order of their bound, more and more at a time; of those that can only tie with the k-th
+        cosine, just the ones with a smaller id than the k-th example's.
+        """
         w = self.weights(terms, times)
         bound = np.zeros(self.n_blocks)
         for t, x in zip(terms, w):
             bound[self.blocks[t]] += x * self.greatest[t]
-        order = np.argsort(-bound, kind="stable")
+        live = np.flatnonzero(bound)
+        order = live[np.argsort(-bound[live], kind="stable")]
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in order[:int((bound > 0).sum())]:
-            if len(found) == k and bound[b] < cosines[-1] - 1e-12:      # the slack covers the rounding of sums
-                break
+        at, step, slack = 0, 1, 0.6 * 10.0 ** -DIGITS
+        while at < len(order):
+            some = order[at:at + step]
+            at, step = at + step, 2 * step
+            if len(found) == k:
+                if bound[some[0]] < cosines[-1] - slack:
+                    break
+                some = some[(bound[some] > cosines[-1] + slack) | ((bound[some] >= cosines[-1] - slack) & (self.least_rank[some] < self.rank[found[-1]]))]
+                if not len(some):
+                    continue
             if seen is not None:
-                seen.append(int(b))
-            part = np.zeros(BLOCK)
-            for t, x in zip(terms, w):
-                at = np.searchsorted(self.blocks[t], b)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    places, values = self.postings[t][at]
-                    part[places] += x * values
-            at = np.flatnonzero(part)
-            ids = b * BLOCK + at
+                seen += some.tolist()
+            ids, close = self._scored(terms, w, some)
             if skip is not None:
-                other = [self.keys[i] != skip for i in ids]
-                at, ids = at[other], ids[other]
-            found, cosines = np.r_[found, ids], np.r_[cosines, part[at]]
-            best = np.lexsort(([self.keys[i] for i in found], -np.round(cosines, 12)))[:k]
+                other = np.array([self.keys[i] != skip for i in ids], bool)
+                ids, close = ids[other], close[other]
+            found, cosines = np.r_[found, ids], np.r_[cosines, close]
+            best = np.lexsort((self.rank[found], -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
 
@@ -155,20 +183,20 @@ class Index:
 
 def index_of(examples: list[tuple[str, int, list[int], list[int]]], idf: np.ndarray, share: np.ndarray) -> Index:
     """From (key, label, terms, times) of every example; ``share`` weighs the labels."""
-    weigh = Index([], np.zeros(0), share, idf, [], [], [], 0, np.zeros(0), np.zeros(0), 0.0).weights
-    rows = [(k, y, t, weigh(t, n)) for k, y, t, n in examples]
-    full = [r for r in rows if len(r[2])]
+    none = np.zeros(0)
+    weigh = Index([], none, share, idf, [], [], [], [], 0, none, none, 0.0).weights
+    full = [(k, y, t, weigh(t, n)) for k, y, t, n in examples if t]
     # alike examples share a block: by strongest terms, then the label
     full.sort(key=lambda r: ([r[2][i] for i in np.argsort(-r[3], kind="stable")[:3]], r[1], r[0]))
-    lists: list[dict[int, tuple[list, list]]] = [{} for _ in idf]
+    lists: list[list[tuple[int, float]]] = [[] for _ in idf]
     for at, (_, _, terms, w) in enumerate(full):
         for t, x in zip(terms, w):
-            places, values = lists[t].setdefault(at // BLOCK, ([], []))
-            places.append(at % BLOCK)
-            values.append(x)
-    postings = [[(np.array(p), np.array(v)) for _, (p, v) in sorted(x.items())] for x in lists]
-    index = Index([r[0] for r in full], np.array([r[1] for r in full], np.int64), share, idf, [np.array(sorted(x), np.int64) for x in lists],
-                  [np.array([v.max() for _, v in x]) for x in postings], postings, -(-len(full) // BLOCK), np.zeros(1), np.zeros(1), 0.0)
+            lists[t].append((at, x))
+    postings = [(np.array([i for i, _ in x], np.int64), np.array([v for _, v in x])) for x in lists]
+    begins = [np.flatnonzero(np.r_[True, i[1:] // BLOCK != i[:-1] // BLOCK]) if len(i) else np.zeros(0, np.int64) for i, _ in postings]
+    index = Index([r[0] for r in full], np.array([r[1] for r in full], np.int64), share, idf, [i[b] // BLOCK for (i, _), b in zip(postings, begins)],
+                  [np.maximum.reduceat(v, b) if len(b) else none for (_, v), b in zip(postings, begins)],
+                  [np.r_[b, len(i)] for (i, _), b in zip(postings, begins)], postings, -(-len(full) // BLOCK), none, none, 0.0)
     # each example judged by the others
     told = [(index.vote(*index.nearest(t, n, k)) if t else None, y) for k, y, t, n in examples]
     index.bare = rate([y for v, y in told if v is None], share)
@@ -242,6 +270,21 @@ def counted(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
     return append(df, [text], "_terms array<int>, _times array<int>", work)
 
 
+def frequencies(counts: DataFrame, n: int) -> np.ndarray:
+    """In how many rows each of n terms is: summed in the tasks, then over them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["term", "n"])
+
+    out = np.zeros(n)
+    for r in counts.select("_terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """The key and ``RESULTS`` of every row: score (0 to 1), predicted, the telling terms in the text, and the nearest
     examples (key as text, cosine, label).
@@ -259,26 +302,29 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     terms = telling(some)
     counts = stored(counted(body, "_text", terms).select("_key", "_terms", "_times"), "terms")
     total = counts.count()
-    df = {r["t"]: r["n"] for r in counts.select(F.explode("_terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log((1 + total) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))])
+    idf = np.log((1 + total) / (1 + frequencies(counts, len(terms)))) + 1
     rows = [(str(r["_key"]), r["_label"], r["_terms"], r["_times"]) for r in counted(some, "_text", terms).drop("_text").collect()]
     taken = Counter(y for _, y, _, _ in rows)
     share = np.array([n[y] / max(1, taken[y]) for y in (0, 1)])
-    shared = docs.sparkSession.sparkContext.broadcast((index_of(sorted(rows), idf, share), frozenset(r[0] for r in rows), terms))
+    known: dict[tuple, tuple] = {}                          # per Python worker
+    shared = docs.sparkSession.sparkContext.broadcast((index_of(sorted(rows), idf, share), frozenset(r[0] for r in rows), terms, known))
 
     def work(keys: list, which: list, times: list) -> list:
-        index, own, names = shared.value
-        known: dict[tuple, tuple] = {}
+        index, own, names, known = shared.value
         out: list[list] = [[], [], [], []]
         for k, t, m in zip(keys, which, times):
             skip = str(k) if k is not None and str(k) in own else None
-            at = (tuple(t), tuple(m), skip)
-            if at not in known:
+            at = (tuple(t), tuple(m) if len(m) > 1 else (), skip)         # a single term has weight 1 whatever its number
+            got = known.get(at)
+            if got is None:
                 found, cosines = index.nearest(t, m, skip)
-                s = index.score(index.vote(found, cosines))
-                known[at] = s, [(index.keys[i], float(c), int(index.labels[i])) for i, c in zip(found, cosines)]
-            s, near = known[at]
-            for column, value in zip(out, (s, int(s >= CUT), [names[i] for i in t], [{"key": a, "cosine": b, "label": c} for a, b, c in near])):
+                got = index.score(index.vote(found, cosines)), found, cosines
+                if len(known) >= VECTORS:
+                    known.clear()
+                known[at] = got
+            s, found, cosines = got
+            near = [{"key": index.keys[i], "cosine": c, "label": y} for i, c, y in zip(found.tolist(), cosines.tolist(), index.labels[found].tolist())]
+            for column, value in zip(out, (s, int(s >= CUT), [names[i] for i in t], near)):
                 column.append(value)
         return out
 
