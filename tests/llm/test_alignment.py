@@ -71,6 +71,28 @@ ODD = ["", "a", " ", "  two  blanks ", "line\none\ttab", "naïve café 日本語
        "x" * 300, " nb sp   em", "é combined", "\u0000nul"]
 
 
+ODD_CHARACTERS = st.text(st.sampled_from("ab1 é日'’,.!_-́²½\n\t\r\x1c\x85\xa0\u200b\u2009\u3000\ufeff<|endofx>") | st.characters(codec="utf-8"), max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(ODD_CHARACTERS)
+def test_ids_are_those_of_the_files_own_library(text):
+    from tokenizers import Tokenizer
+    global OWN
+    OWN = globals().get("OWN") or Tokenizer.from_file(A)
+    OWN.encode_special_tokens = True
+    for t in (text, text + "<|endoftext|>" + text):
+        assert al.pair(A, B).a.encode([t])[0] == OWN.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_every_token_of_the_vocabulary_comes_back(tables):
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(A)
+    own.encode_special_tokens = True
+    whole = [b.decode() for b in tables.a.bytes_of if b.decode("utf-8", "ignore").encode() == b]
+    assert tables.a.encode(whole) == [e.ids for e in own.encode_batch([" " + w for w in whole], add_special_tokens=False)]
+
+
 def rows_of(df):
     return sorted([tuple(r[c] for c in ("doc_id", *al.RESULTS)) for r in df.collect()], key=str)
 
