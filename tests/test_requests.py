@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from zonalis.operators import composite, decompose, reduce, vertical
 from zonalis.plans import jobs
 from zonalis.plans.request import (FieldRequest, FieldStore, decode, display_range, effective_kind, effective_mode, encode,
-                                   ingredients, open_store, resolve)
+                                   ingredients, open_store, reference_choices, resolve, resolve_sides, sides_range)
 from zonalis.registry import CLIMO_WINDOWS, Window30, window_frame
 
 WINDOWS = (Window30(2000, 2002), Window30(2002, 2004))
@@ -152,3 +152,24 @@ def test_event_years_prune_folders_when_the_query_runs(spark, both):
     assert {r["year"] for r in years.collect()} == {1999, 2001, 2003, 2005}
     got = by(df, "month", "lat_idx", "lon_idx")
     assert got.keys() == want.keys() and all(abs(got[k]["value"] - want[k]["value"]) < 1e-9 for k in want)
+
+
+def test_reference_choices(store):
+    year, clim = FieldRequest("t", year=2001, mode="anomaly"), FieldRequest("t", mode="anomaly")
+    assert reference_choices(store, FieldRequest("t")) == []
+    assert reference_choices(store, year)[0] == ("default", "vs. 2000–2004 mean (current climatology)", True)
+    assert reference_choices(store, clim)[:2] == [("default", "Self · 12-month mean", True), ("best-match", "Best-matching 30 years", False)]
+    assert [(p, ok) for p, _, ok in reference_choices(store, replace(clim, kind="std"))[2:]] == [("2000-2004", False), ("2000-2002", True), ("2002-2004", True)]
+
+
+def test_two_sides_share_a_range(store):
+    r = FieldRequest("t", month=None, level=500, compare_year=2004)
+    rows = resolve_sides(store, r)
+    one = sides_range(store, r, rows).collect()
+    each = [display_range(store, FieldRequest("t", month=None, level=500, **k), resolve(store, FieldRequest("t", month=None, level=500, **k))).first()
+            for k in ({}, {"year": 2004})]
+    assert len(one) == 1 and one[0]["vmin"] == min(x["vmin"] for x in each) and one[0]["vmax"] == max(x["vmax"] for x in each)
+    assert {x["side"]: x["count"] for x in rows.groupBy("side").count().collect()} == {"active": 12 * 156, "target": 12 * 156}
+    assert sides_range(store, replace(r, user_min=1.0), rows).first()["vmin"] == 1.0
+    with pytest.raises(ValueError):
+        resolve_sides(store, FieldRequest("t"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zonalis import constants as K
-from zonalis.registry import SEASON_CENTER
+from zonalis.registry import INDEX_INFO, SEASON_CENTER
 
 
 def finite(c: Column) -> Column:
@@ -214,22 +214,29 @@ SIGNS = {"ge": "≥", "le": "≤"}
 
 
 def composite_label(index_id: Column, month: Column, cmp: str, threshold: float) -> Column:
-    rule = F.format_string(f"%s {SIGNS[cmp]} %+.1f", F.upper(index_id), F.lit(float(threshold)))
+    """An event rule by the index's own label, else its id in capitals."""
+    known = F.create_map(*[F.lit(x) for i, info in INDEX_INFO.items() for x in (i, info.label)])
+    rule = F.format_string(f"%s {SIGNS[cmp]} %+.1f", F.coalesce(known[index_id], F.upper(index_id)), F.lit(float(threshold)))
     return F.concat_ws(" · ", rule, month_label(month))
 
 
-def value_label(value: Column, units: str) -> Column:
-    """A value to the precision its size asks for, with its units; empty where there is none."""
-    size = F.abs(value)
-    text = (F.when(size >= 100, F.format_string("%.0f", value)).when(size >= 10, F.format_string("%.1f", value))
-            .when((size >= 0.01) | (size == 0), F.format_string("%.2f", value)).otherwise(F.format_string("%.1e", value)))
-    return F.coalesce(F.concat_ws(" ", text, F.lit(units)), F.lit(""))
+# From this size on a value is written with so many decimals.
+DECIMALS = ((1000.0, 0), (100.0, 1), (10.0, 2), (0.0, 3))
 
 
-def box_label(lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> Column:
-    """Corners of a box."""
-    south, north, west, east = (F.lit(float(x)) for x in (lat_min, lat_max, lon_min, lon_max))
-    return F.concat_ws(", ", F.concat_ws(" to ", lat_label(south), lat_label(north)), F.concat_ws(" to ", lon_label(west), lon_label(east)))
+def value_label(value: Column) -> Column:
+    """A value to the precision its size asks for; NULL where there is none."""
+    text = F.lit(None).cast("string")
+    for size, places in reversed(DECIMALS):
+        text = F.when(F.abs(value) >= size, F.format_string(f"%.{places}f", value)).otherwise(text)
+    return text
+
+
+def box_label(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
+    """A box from south to north and from its western to its eastern side; the latitudes may come in any order."""
+    span = "–"
+    return F.concat_ws(", ", F.concat_ws(span, lat_label(F.least(lat_min, lat_max)), lat_label(F.greatest(lat_min, lat_max))),
+                       F.concat_ws(span, lon_label(lon_min), lon_label(lon_max)))
 
 
 def fractional_year(year: Column, month: Column) -> Column:

@@ -26,7 +26,7 @@ EDGES, ACCURACY = 512, 10_000
 #: Logarithmic bins per power of two.
 PER_OCTAVE = 4096
 #: Keys whose values come from fixed lists (calendar, axis of levels, registry), so that their combinations are few.
-FEW = frozenset({"month", "level", "year", "var", "grp", "kind", "period", "window_id"})
+FEW = frozenset({"month", "level", "year", "var", "grp", "kind", "period", "window_id", "side"})
 
 
 def log_bin(value: Column) -> Column:

@@ -430,6 +430,23 @@ def labels(spark, sf):
                     fx.composite_label(F.lit("oni"), F.col("month"), "ge", 1.0).alias("event"))
 
 
+@query("P22_value_and_box_labels", "price:4 value:s box:s n:l", """WITH
+v AS (SELECT l_extendedprice * 0.7310585786::DOUBLE * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) / pow(10.0, l_linenumber) AS price, l_quantity AS q FROM lineitem),
+s AS (SELECT price, abs(price) AS a, (q - 25)::DOUBLE AS la, (26 - 2 * q)::DOUBLE AS lb, (q * 7 - 180)::DOUBLE AS lo, (q * 13)::DOUBLE AS hi FROM v),
+w AS (SELECT *, least(la, lb)::INT AS s1, greatest(la, lb)::INT AS n1, lo::INT AS w1, ((((hi + 180) % 360) + 360) % 360 - 180)::INT AS e1 FROM s),
+result AS (SELECT price, CASE WHEN a >= 1000 THEN printf('%.0f', price) WHEN a >= 100 THEN printf('%.1f', price) WHEN a >= 10 THEN printf('%.2f', price) ELSE printf('%.3f', price) END AS value,
+  CASE WHEN s1 = 0 THEN 'Eq' ELSE abs(s1) || '°' || CASE WHEN s1 < 0 THEN 'S' ELSE 'N' END END || '–' || CASE WHEN n1 = 0 THEN 'Eq' ELSE abs(n1) || '°' || CASE WHEN n1 < 0 THEN 'S' ELSE 'N' END END || ', ' ||
+  CASE WHEN w1 = 0 THEN '0°' WHEN abs(w1) = 180 THEN '180°' ELSE abs(w1) || '°' || CASE WHEN w1 < 0 THEN 'W' ELSE 'E' END END || '–' ||
+  CASE WHEN e1 = 0 THEN '0°' WHEN abs(e1) = 180 THEN '180°' ELSE abs(e1) || '°' || CASE WHEN e1 < 0 THEN 'W' ELSE 'E' END END AS box, count(*) AS n FROM w GROUP BY ALL)""")
+def value_and_box_labels(spark, sf):
+    """Values of many sizes and both signs, boxes with their corners in any order."""
+    sign = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    q = F.col("l_quantity")
+    li = tables.table(spark, sf, "lineitem").select((F.col("l_extendedprice") * F.lit(0.7310585786) * sign / F.pow(F.lit(10.0), "l_linenumber")).alias("price"),
+                                                    fx.box_label(q - 25, 26 - 2 * q, q * 7 - 180, q * 13).alias("box"))
+    return li.withColumn("value", fx.value_label(F.col("price"))).groupBy("price", "value", "box").agg(F.count("*").alias("n"))
+
+
 @query("P23_contour_buckets", "level:i bucket:l n:l", with_(SQL_CLIM) + """,
 result AS (SELECT level, CAST(floor(z / 60.0) AS BIGINT) AS bucket, count(*) AS n FROM clim GROUP BY ALL)""")
 def contour_buckets(spark, sf):

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import fields as fx
 from zonalis.operators import composite, decompose, reduce, series, vertical
+from zonalis.plans import jobs
 from zonalis.plans.catalogue.base import (CELL, SPEC, SQL_INDEX, SQL_LEVELS, SQL_SAMPLES, SQL_WINDOWS, WINDOWS, monthly,
                                           query, with_)
 from zonalis.plans.catalogue.diagnostics import sql_isentrope
+from zonalis.session import work_folder
 from zonalis.sources import indices, tables
+from zonalis.sources.files import Files
 
 KEYS = "month:i level:i lat_idx:i lon_idx:i "
 BOX = (-40.0, 40.0, 150.0, -100.0)
@@ -75,6 +78,27 @@ def index_json(spark, sf):
     return indices.from_json(indices.to_json(tables.monthly_index(spark, sf)))
 
 
+@query("S19_B13_index_document", "id:s label:s long_name:s source:s year:i month:i value:6", with_(SQL_INDEX) + """,
+result AS (SELECT g.id, 'ONI' AS label, 'Oceanic Niño Index' AS long_name, 'https://psl.noaa.gov/data/correlation/oni.data' AS source, g.year, m AS month, i.value
+  FROM (SELECT DISTINCT id, year FROM idx) g, range(1, 13) AS r(m) LEFT JOIN idx i ON i.year = g.year AND i.month = m)""")
+def index_document(spark, sf):
+    """The document of all indices, with their names and sources, and back."""
+    return indices.from_document(indices.document(tables.monthly_index(spark, sf)))
+
+
+@query("B9_updated_indices", "id:s year:i month:i value:2", with_(SQL_INDEX) + SQL_PSL)
+def updated_indices(spark, sf):
+    """Index files written from the table, parsed by the job beside a broken one, then again with nothing to do."""
+    root = work_folder(spark, "indices")
+    text = _psl_lines(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("l"))
+    text = text.select("id", F.array_join("l.value", "\n").alias("value"))
+    for name, body in [(r["id"], r["value"]) for r in text.collect()] + [("pna", "not an index")]:       # one short file per index
+        Files(spark, root).put(f"{root}/in/{name}.data", body)
+    jobs.update_indices(spark, f"{root}/in", f"{root}/out")
+    jobs.update_indices(spark, f"{root}/in", f"{root}/out")
+    return spark.read.parquet(f"{root}/out/values")
+
+
 @query("G21_B9_index_coverage", "id:s n_months:l first_year:i last_year:i", with_(SQL_INDEX) + """,
 result AS (SELECT id, count(*) FILTER (month % 5 <> 0) AS n_months, min(year) AS first_year, max(year) AS last_year
   FROM idx GROUP BY ALL)""")

@@ -15,7 +15,8 @@ from zonalis.plans.catalogue.diagnostics import sql_isentrope
 from zonalis.plans.catalogue.events import BOX, SQL_BEST, SQL_BOX, SQL_EVENTS
 from zonalis.plans.catalogue.sampling import SQL_ARCS, SQL_LENGTH, sql_corners, sql_great_circle
 from zonalis.plans.request import (FieldRequest, FieldStore, base_field, decode, display_range, effective_kind, encode,
-                                   expected_inputs, ingredients, resolve, resolve_with_flags, wind_request)
+                                   expected_inputs, ingredients, resolve, resolve_sides, resolve_with_flags,
+                                   sides_range, wind_request)
 from zonalis.sources import fields, tables
 
 OUT = "month:i lat_idx:i lon_idx:i "
@@ -227,6 +228,35 @@ def year_comparison_shared(spark, sf):
     return resolve(store(spark, sf, "t"), r)
 
 
+SQL_SIDES = """,
+a AS (SELECT 'active' AS side, month, lat_idx, lon_idx, avg(t) AS value FROM mon WHERE level = 500 GROUP BY ALL),
+b AS (SELECT 'target' AS side, month, lat_idx, lon_idx, t AS value FROM mon WHERE level = 500 AND year = 1998),
+r AS (SELECT side, month, list_sort(list(value))[CAST(floor(0.005::DOUBLE * (count(value) - 1)) AS BIGINT) + 1] AS lo,
+  list_sort(list(value))[CAST(floor(0.995::DOUBLE * (count(value) - 1)) AS BIGINT) + 1] AS hi FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)"""
+
+
+@query("D12_swipe_sides", "side:s " + OUT + "value:6 vmin:6 vmax:6", with_(SQL_SAMPLES) + SQL_SIDES + """,
+result AS (SELECT s.*, (SELECT min(lo) FROM r) AS vmin, (SELECT max(hi) FROM r) AS vmax FROM (SELECT * FROM a UNION ALL SELECT * FROM b) s)""")
+def swipe_sides(spark, sf):
+    """A climatology beside a year, on one range pooled over both sides and all months."""
+    s, r = store(spark, sf, "t"), FieldRequest("t", month=None, level=500, compare_year=1998)
+    rows = resolve_sides(s, r)
+    both = sides_range(s, r, rows).withColumn("side", F.explode(F.array(F.lit("active"), F.lit("target"))))
+    return rows.join(both, "side")
+
+
+@query("D12_swipe_eddy_range", "vmin:6 vmax:6", with_(SQL_SAMPLES) + """,
+p AS (SELECT 'active' AS side, month, lat_idx, lon_idx, avg(u) AS v FROM mon WHERE level = 200 AND year BETWEEN 1995 AND 2001 GROUP BY ALL UNION ALL
+  SELECT 'target', month, lat_idx, lon_idx, avg(u) FROM mon WHERE level = 200 AND year BETWEEN 1997 AND 1999 GROUP BY ALL),
+e AS (SELECT side, month, abs(v - avg(v) OVER (PARTITION BY side, month, lat_idx)) AS a FROM p),
+result AS (SELECT -max(a) AS vmin, 30.0 AS vmax FROM e)""")
+def swipe_eddy(spark, sf):
+    """Each side loses its own zonal mean; a bound of the user wins."""
+    s = store(spark, sf, "u")
+    r = FieldRequest("u", month=None, level=200, mode="eddy", compare_period="1997-1999", user_max=30.0)
+    return sides_range(s, r, resolve_sides(s, r))
+
+
 @query("D14_display_range", "view:s vmin:6 vmax:6", with_(SQL_CLIM) + """,
 m AS (SELECT month, list_sort(list(t))[CAST(floor(0.005::DOUBLE * (count(t) - 1)) AS BIGINT) + 1] AS lo,
   list_sort(list(t))[CAST(floor(0.995::DOUBLE * (count(t) - 1)) AS BIGINT) + 1] AS hi FROM clim WHERE level = 500 GROUP BY ALL),

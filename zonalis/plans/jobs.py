@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from zonalis.functions import fields as fx
 from zonalis.grid import GridSpec, stride, stride_for
 from zonalis.operators import reduce, vertical
-from zonalis.registry import SHEAR_LEVELS
+from zonalis.plans.ledger import BAD, DONE, Ledger
+from zonalis.registry import FIELDS, INDEX_LAYOUT, SHEAR_LEVELS
 from zonalis.sources import fields as store
-from zonalis.sources import tile_files, tiles
+from zonalis.sources import indices, tile_files, tiles
 
 LONG_CELL = ("var", "grp", "level", "lat_idx", "lon_idx")
 
@@ -70,10 +71,26 @@ def derived_monthly(long: DataFrame) -> DataFrame:
     return rows.unionByName(s)
 
 
-def build_derived_std(long: DataFrame, root: str, start: int, end: int) -> str:
-    """Sigma of derived fields: evaluated per year first, then spread over years."""
-    rows = climatology_rows(derived_monthly(store.in_years(long, start, end)), start, end)
-    return store.write_climatology(rows.where(F.col("kind") == "std"), root)
+def build_derived_std(long: DataFrame, root: str, start: int, end: int, force: bool = False) -> list[tuple[str, int]]:
+    """Sigma of derived fields: evaluated per year first, then spread over years. Returns the (variable, level) done.
+
+    Folders that hold the period's sigma already are left out before anything is computed, unless ``force``; a folder
+    appears when its write is committed, so what exists is whole.
+    """
+    period = f"{start}-{end}"
+    kept = set() if force else {(v, lev) for p, k, v, lev in store.stored_tiles(long.sparkSession, root) if (p, k) == (period, "std")}
+    levels = [r["level"] for r in long.select("level").where(F.col("level") != store.SURFACE_LEVEL).distinct().collect()]       # an axis
+    wanted = [(v, lev) for v in ("wspd", "mse") for lev in sorted(levels)] + [("dls", store.SURFACE_LEVEL)]
+    todo = [w for w in wanted if w not in kept]
+    if not todo:
+        return []
+    names, axis = {v for v, _ in todo}, {lev for v, lev in todo if v != "dls"} | (set(SHEAR_LEVELS) if ("dls", store.SURFACE_LEVEL) in todo else set())
+    inputs = {n for v in names for n in FIELDS[v].ingredients}
+    source = store.in_years(long, start, end).where(F.col("var").isin(*inputs) & F.col("level").isin(*axis))
+    mine = F.concat_ws("/", "var", F.col("level").cast("string")).isin(*[f"{v}/{lev}" for v, lev in todo])
+    rows = climatology_rows(derived_monthly(source).where(mine), start, end)
+    store.write_climatology(rows.where(F.col("kind") == "std"), root)
+    return todo
 
 
 def completeness(df: DataFrame, keys: Sequence[str], expected: int) -> DataFrame:
@@ -137,3 +154,31 @@ def compress_tile_files(spark: SparkSession, root: str, spec: GridSpec, variable
                 if i.base_name.endswith(tile_files.ENDING[tile_files.FLOATS]):
                     fs.delete_file(i.path)
     return todo
+
+
+def update_indices(spark: SparkSession, source: str, root: str, only: Sequence[str] | None = None, force: bool = False) -> DataFrame:
+    """Parse the index files of a folder that are new or changed; (key, hash, status, reason) of those that were looked at.
+
+    Values go to ``<root>/values`` by index, what was done to ``<root>/ledger``. A file without a single value under its layout, or of
+    an unknown index, is recorded as bad with the reason; it neither stops the others nor touches the values it had before.
+    """
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^/]*$", 1)
+    work = spark.read.text(source, wholetext=True).select(stem.alias("key"), F.sha2("value", 256).alias("hash"), "value")
+    if only:
+        work = work.where(F.col("key").isin(*only))
+    ledger = Ledger(spark, f"{root}/ledger")
+    todo = work if force else ledger.open_work(work)
+    lines = todo.select(F.col("key").alias("id"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    parsed = indices.parse_all(lines)
+    n = parsed.groupBy("id").agg(F.count("value").alias("n")).withColumnRenamed("id", "key")
+    known = F.col("key").isin(*INDEX_LAYOUT)
+    good = F.coalesce(F.col("n"), F.lit(0)) > 0
+    reason = F.when(~known, F.lit("unknown index")).when(~good, F.lit("no value in the layout of this index"))
+    results = todo.join(n, "key", "left").select("key", "hash", F.when(known & good, F.lit(DONE)).otherwise(F.lit(BAD)).alias("status"), reason.alias("reason"))
+    results = spark.createDataFrame(results.collect(), results.schema)                    # a row per index file
+    done = [r["key"] for r in results.where(F.col("status") == DONE).collect()]
+    if done:
+        (parsed.where(F.col("id").isin(*done)).repartition("id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("id").parquet(f"{root}/values"))
+    ledger.record(results)
+    return results

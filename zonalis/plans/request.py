@@ -7,11 +7,11 @@ references and fallbacks is plain Python on the request, never on data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl, urlencode
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.constants import PRESSURE_LEVELS, THETA_LEVELS
@@ -234,6 +234,10 @@ def _mean_inputs(store: FieldStore, req: FieldRequest) -> DataFrame:
     return rows.groupBy("month", *INPUT_KEYS[2:]).agg(*[F.avg(F.when(F.col("var") == n, F.col("value"))).alias(n) for n in names])
 
 
+#: Fields that are made of others at one point; the columns come in the order of the registry's ingredients.
+BUILDERS: dict[str, Callable[..., Column]] = {"wspd": fx.wind_speed, "mse": fx.mse_kelvin}
+
+
 def _evaluate(df: DataFrame, keys: Sequence[str], req: FieldRequest, spec: GridSpec) -> DataFrame:
     """Ingredient columns to (keys, value)."""
     names = list(req.meta.ingredients or (req.name,))
@@ -245,12 +249,8 @@ def _evaluate(df: DataFrame, keys: Sequence[str], req: FieldRequest, spec: GridS
     if req.on_theta:
         on = df if "t" not in names else df.withColumn("_t", F.col("t"))
         df = vertical.on_isentrope(on, keys, names, req.theta, spec, "_t" if "t" in names else "t")
-    if req.name == "wspd":
-        value = fx.wind_speed(F.col("u"), F.col("v"))
-    elif req.name == "mse":
-        value = fx.mse_kelvin(F.col("t"), F.col("z"), F.col("q"))
-    else:
-        value = F.col(req.name)
+    build = BUILDERS.get(req.name)
+    value = build(*[F.col(n) for n in req.meta.ingredients]) if build else F.col(req.name)
     return df.select(*keys, value.alias("value"))
 
 
@@ -400,30 +400,53 @@ def resolve(store: FieldStore, req: FieldRequest) -> DataFrame:
     left = _decomposed(store, req)
     if not req.comparing:
         return left
-    target = replace(req, compare_year=None, compare_period=None, year=req.compare_year, years=None, span=None,
+    return decompose.anomaly(left, _other_side(store, req), req.keys, "value")
+
+
+def _other_side(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """What a comparison is with, in the same view."""
+    target = replace(req, compare_year=None, compare_period=None, year=req.compare_year, years=None, span=None, event=None,
                      period=req.compare_period or "default", mode=effective_mode(store, req))
     if target.year is not None:
         target = replace(target, kind="mean")
     own = req.reference == "best-match" and target.year is not None
     shared = reference_field(store, req) if target.mode == "anomaly" and not own else None
-    return decompose.anomaly(left, _decomposed(store, target, shared), req.keys, "value")
+    return _decomposed(store, target, shared)
+
+
+def resolve_sides(store: FieldStore, req: FieldRequest) -> DataFrame:
+    """Both fields of a comparison, side by side: (side, month, cell, value) with side ``active`` or ``target``."""
+    req.validate()
+    if not req.comparing:
+        raise ValueError("two sides need a year or a period to compare with")
+    sides = [df.select(F.lit(name).alias("side"), *req.keys, "value")
+             for name, df in (("active", _decomposed(store, req)), ("target", _other_side(store, req)))]
+    return sides[0].unionByName(sides[1])
+
+
+def sides_range(store: FieldStore, req: FieldRequest, rows: DataFrame) -> DataFrame:
+    """One (vmin, vmax) row for both sides: the range of each side and month in one aggregation, then pooled."""
+    return _pooled_range(store, req, rows, ["side", "month"], effective_mode(store, req) in ("eddy", "anomaly", "zscore"))
 
 
 def display_range(store: FieldStore, req: FieldRequest, df: DataFrame) -> DataFrame:
     """One (vmin, vmax) row: per-month ranges, clamped by percentile where the field asks for
     it, pooled over the months of ``df``; a user bound wins over both."""
-    mode = effective_mode(store, req)
-    centred = mode in ("eddy", "anomaly", "zscore") or req.comparing
-    clamp = req.meta.clamp
+    centred = effective_mode(store, req) in ("eddy", "anomaly", "zscore") or req.comparing
+    return _pooled_range(store, req, df, ["month"], centred)
+
+
+def _pooled_range(store: FieldStore, req: FieldRequest, df: DataFrame, by: Sequence[str], centred: bool) -> DataFrame:
+    mode, clamp = effective_mode(store, req), req.meta.clamp
     if mode == "zscore" and not req.comparing:
         out = df.sparkSession.range(1).select(F.lit(-5.0).alias("vmin"), F.lit(5.0).alias("vmax"))
     elif centred:
-        out = decompose.stable_range(df, mode, [], "value", True, clamp[1] if clamp else None)
+        each = (ranks.clamped_symmetric_range(df, by, "value", clamp[1]) if clamp else reduce.symmetric_range(df, by, "value"))
+        out = reduce.pooled_range(each, [], True)
     else:
-        per_month = (ranks.percentile_bounds(df, ["month"], "value", *clamp) if clamp
-                     else reduce.value_range(df, ["month"], "value"))
+        each = ranks.percentile_bounds(df, by, "value", *clamp) if clamp else reduce.value_range(df, by, "value")
         symmetric = req.meta.symmetric and effective_kind(store, req) != "std"
-        out = reduce.pooled_range(per_month, [], symmetric)
+        out = reduce.pooled_range(each, [], symmetric)
         if req.name == "pv" and req.on_theta:
             _, lo, hi, *_ = diagnostics.DISPLAY_LIMITS["pv"]
             out = out.select(F.greatest("vmin", F.lit(lo)).alias("vmin"), F.least("vmax", F.lit(hi)).alias("vmax"))
@@ -431,6 +454,22 @@ def display_range(store: FieldStore, req: FieldRequest, df: DataFrame) -> DataFr
                       F.coalesce(F.lit(req.user_max).cast("double"), "vmax").alias("vmax"))
 
 
+def reference_choices(store: FieldStore, req: FieldRequest) -> list[tuple[str, str, bool]]:
+    """(reference, text, offered) of every reference a view may be set against; none where the view uses none.
+
+    The default means the field's own twelve months for a climatology and the active climatology for a year; the active
+    period itself would be subtracted from itself and is not offered.
+    """
+    used = req.mode in ("anomaly", "zscore") or (req.comparing and req.compare_year is None) or req.kind == "std"
+    if not used:
+        return []
+    active = store.period_name("default")
+    own = f"vs. {active.replace('-', '–')} mean (current climatology)" if req.year is not None else "Self · 12-month mean"
+    periods = list(dict.fromkeys([active, *[w.id for w in store.windows]]))
+    return [("default", own, True), ("best-match", "Best-matching 30 years", req.year is not None or req.composite),
+            *[(p, f"vs. {p.replace('-', '–')}", p != active) for p in periods]]
+
+
 def wind_request(req: FieldRequest) -> tuple[FieldRequest, FieldRequest]:
     """The wind drawn over a field: 10-m winds for surface fields, else its own surface."""
     u, v = ("u10", "v10") if req.meta.kind == "sl" else ("u", "v")

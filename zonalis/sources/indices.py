@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.constants import SENTINEL_TOLERANCE, SENTINELS
-from zonalis.registry import INDEX_LAYOUT, SEASON_CENTER
+from zonalis.registry import INDEX_INFO, INDEX_LAYOUT, SEASON_CENTER
 
 
 def is_missing(v: Column, sentinels: Column) -> Column:
@@ -97,6 +97,37 @@ def to_json(index: DataFrame) -> DataFrame:
             .select("id", F.to_json("m").alias("json")))
 
 
+def listing(index: DataFrame) -> DataFrame:
+    """(id, label, long_name, source, n_months, first_year, last_year) of each index; unknown ids are labelled by themselves."""
+    def info(part: str) -> Column:
+        return F.create_map(*[F.lit(x) for i, row in INDEX_INFO.items() for x in (i, getattr(row, part))])[F.col("id")]
+
+    return coverage(index).select("id", F.coalesce(info("label"), F.upper("id")).alias("label"), info("long_name").alias("long_name"),
+                                  info("source").alias("source"), "n_months", "first_year", "last_year")
+
+
+def document(index: DataFrame) -> DataFrame:
+    """One JSON document of all indices: {"indices": {id: {label, long_name, source, values: {year: [twelve values]}}}}.
+
+    Indices are a few hundred months each and a handful, so the document is small.
+    """
+    values = to_json(index).select("id", F.from_json("json", "map<string,array<double>>").alias("values"))
+    body = F.struct("label", "long_name", "source", "values")
+    entry = F.struct(F.col("id").alias("key"), body.alias("value"))
+    return (listing(index).join(values, "id").groupBy()
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("indices"))
+            .select(F.to_json(F.struct("indices"), {"ignoreNullFields": "false"}).alias("json")))
+
+
+def from_document(docs: DataFrame) -> DataFrame:
+    """(id, label, long_name, source, year, month, value) of such documents."""
+    body = "struct<indices:map<string,struct<label:string,long_name:string,source:string,values:map<string,array<double>>>>>"
+    one = docs.select(F.explode(F.from_json("json", body)["indices"]).alias("id", "i"))
+    years = one.select("id", "i.label", "i.long_name", "i.source", F.explode("i.values").alias("y", "row"))
+    return (years.select("id", "label", "long_name", "source", F.col("y").try_cast("int").alias("year"), F.posexplode("row").alias("_m", "value"))
+            .withColumn("month", F.col("_m") + 1).drop("_m"))
+
+
 def from_json(docs: DataFrame) -> DataFrame:
     m = F.from_json("json", "map<string,array<double>>")
     return (docs.select("id", F.explode(m).alias("y", "row"))
