@@ -72,10 +72,17 @@ ODD = [(1, "the old house by the river has a door", "en", "a", 37), (1, "the old
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
-        "*", "1 AS score", "'x' AS lang_pred", "'y' AS size", "'z' AS blob", "2 AS fp", "3 AS taken")
+        "*", "concat('mine ', doc_id) AS score", "'x' AS lang_pred", "'y' AS size", "'z' AS blob", "2 AS fp", "3 AS taken", "'k' AS _key",
+        "named_struct('a', doc_id) AS target", "array(1, doc_id) AS `copies`", "'t' AS `_text`")
     at = docs
     for name, f in cp.STAGES:
         at = cp.stored(f(spark, at, ""), name)
+        if name != "bpe_encode":
+            assert at.columns == docs.columns
+            for r in at.collect():
+                assert r["score"] == (None if r["doc_id"] is None else f"mine {r['doc_id']}") and r["target"]["a"] == r["doc_id"]
+                assert (r["lang_pred"], r["size"], r["blob"], r["fp"], r["taken"], r["_key"], r["_text"]) == ("x", "y", "z", 2, 3, "k", "t")
+                assert r["copies"] == [1, r["doc_id"]]
         if rows and name == "simhash_dedup":
             assert sorted(str(r["doc_id"]) for r in at.collect()) == ["1", "5", "6", "None"]
     assert at.count() >= len(rows) // 3

@@ -15,6 +15,7 @@ are kept; versions that differ in text are different blobs; offsets are code poi
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,15 +131,17 @@ def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     Findings are joined by content, so repeated keys cannot be mixed up; documents without secrets
     pass unchanged.
     """
-    bad = stored(found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
-                 .select(F.col("blob").alias("_blob"), "_spans"), "bad-blobs")
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    held = keyed.join(bad, F.col("_key") == F.col("_blob"), "left")
+    key_, blob, spans, masked = (f"_{n}_{uuid.uuid4().hex}" for n in ("key", "blob", "spans", "masked"))      # no column of the user's
+    bad = stored(found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias(spans))
+                 .select(F.col("blob").alias(blob), spans), "bad-blobs")
+    keyed = docs.withColumn(key_, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    held = keyed.join(bad, F.col(key_) == F.col(blob), "left")
 
-    def work(texts: list, spans: list) -> list:
-        return [[t if not s else _masked(t, [(x["start"], x["end"]) for x in s], mark) for t, s in zip(texts, spans)]]
+    def work(texts: list, found: list) -> list:
+        return [[t if not s else _masked(t, [(x["start"], x["end"]) for x in s], mark) for t, s in zip(texts, found)]]
 
-    return append(held, [text, "_spans"], "_masked string", work).withColumn(text, F.col("_masked")).select(*docs.columns)
+    made = append(held, [text, spans], f"`{masked}` string", work)
+    return made.select(*[F.col(masked).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
