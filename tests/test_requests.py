@@ -173,3 +173,24 @@ def test_two_sides_share_a_range(store):
     assert sides_range(store, replace(r, user_min=1.0), rows).first()["vmin"] == 1.0
     with pytest.raises(ValueError):
         resolve_sides(store, FieldRequest("t"))
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, sf):
+    import re
+
+    from zonalis.plans.catalogue import stored
+    monthly, clim = stored.bucketed(spark, sf, "u", "v")
+    m, c = spark.table(monthly), spark.table(clim)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df, joins in ((stored.with_reference(m.where("var = 'u'"), c.where("var = 'u'")), 2), (stored.wind_climatology(m), 0)):
+            plan = plan_of(df)
+            assert not re.search(r"\bExchange", plan) and len(re.findall("SortMergeJoin|ShuffledHashJoin", plan)) == joins
+            assert df.count() > 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        for t in (monthly, clim):
+            spark.sql(f"DROP TABLE {t}")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from zonalis.functions.fields import wind_speed
 from zonalis.operators import vertical
 from zonalis.plans import jobs
 from zonalis.plans.catalogue.base import CELL, SPEC, SQL_CLIM, SQL_INDEX, SQL_SAMPLES, SQL_WINDOWS, WINDOWS, monthly, query, with_
 from zonalis.plans.catalogue.events import SQL_BEST, SQL_EVENTS
 from zonalis.plans.request import FieldRequest, FieldStore, decode, open_store, resolve
 from zonalis.session import work_folder
-from zonalis.sources import tables
+from zonalis.sources import fields, tables
 
 OUT = "month:i lat_idx:i lon_idx:i "
 ACTIVE = "1995-2001"
@@ -64,6 +66,45 @@ result AS (SELECT month, lat_idx, lon_idx, CASE WHEN sd > 0 THEN (t - m) / great
   FROM y LEFT JOIN s USING (month, lat_idx, lon_idx) LEFT JOIN f USING (month))"""
 
 
+def bucketed(spark, sf, *names) -> tuple[str, str]:
+    """Tables of the monthly fields and of their climatologies, bucketed alike."""
+    root, name = work_folder(spark, "bucketed"), f"zonalis_{uuid.uuid4().hex}"
+    long = vertical.columns_to_fields(monthly(spark, sf, *names), ["year", "month", *CELL], names).withColumn("grp", F.lit("pressure_levels"))
+    fields.write_bucketed(long, f"{name}_monthly", f"{root}/monthly", 8)
+    kept = spark.table(f"{name}_monthly")
+    fields.write_bucketed(jobs.climatology_rows(kept, 1995, 2001), f"{name}_clim", f"{root}/clim", 8)
+    return f"{name}_monthly", f"{name}_clim"
+
+
+@query("J6_J1_bucketed_anomaly", "year:i month:i level:i lat_idx:i lon_idx:i value:6 sigma:6", with_(SQL_SAMPLES) + """,
+s AS (SELECT month, level, lat_idx, lon_idx, avg(t) AS m, stddev_pop(t) AS sigma FROM mon GROUP BY ALL),
+result AS (SELECT year, month, level, lat_idx, lon_idx, t - m AS value, sigma FROM mon JOIN s USING (month, level, lat_idx, lon_idx))""")
+def bucketed_anomaly(spark, sf):
+    """A field of all years beside its climatology and sigma: three reads, two joins, no shuffle."""
+    m, c = map(spark.table, bucketed(spark, sf, "t"))
+    return with_reference(m.where("var = 't'"), c.where("var = 't'"))
+
+
+def with_reference(field, clim):
+    keys = list(fields.CELL_KEYS)
+    mean, sigma = (clim.where(F.col("kind") == k).select(*keys, F.col("value").alias(n)) for k, n in (("mean", "_mean"), ("std", "sigma")))
+    both = field.join(mean, keys).join(sigma, keys)
+    return both.select("year", *keys, (F.col("value") - F.col("_mean")).alias("value"), "sigma")
+
+
+@query("J1_G1_bucketed_wind_climatology", OUT + "level:i wspd:6", with_(SQL_SAMPLES) + """,
+result AS (SELECT month, lat_idx, lon_idx, level, avg(sqrt(u*u + v*v)) AS wspd FROM mon GROUP BY ALL)""")
+def bucketed_wind(spark, sf):
+    """Components brought together and years averaged where they lie: no shuffle either."""
+    m = spark.table(bucketed(spark, sf, "u", "v")[0])
+    return wind_climatology(m)
+
+
+def wind_climatology(m):
+    both = vertical.fields_to_columns(m, ["year", *fields.CELL_KEYS], ["u", "v"])
+    return both.groupBy(*fields.CELL_KEYS).agg(F.avg(wind_speed(F.col("u"), F.col("v"))).alias("wspd"))
+
+
 @query("D4_stored_zscore", OUT + "value:5", with_(SQL_SAMPLES) + SQL_ZSCORE)
 def stored_zscore(spark, sf):
     """Mean, sigma and its floor from the tree; only the year itself is read from the yearly fields."""

@@ -149,6 +149,23 @@ def write_climatology(clim: DataFrame, root: str, mode: str = "overwrite") -> st
     return path
 
 
+#: What tells the cells of a month apart; the keys on which a field meets its climatology and its sigma.
+CELL_KEYS = ("month", "level", "lat_idx", "lon_idx")
+
+
+def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int) -> str:
+    """Rows of fields as a table bucketed and sorted by cell and month, in folders by variable (and kind and period).
+
+    Tables with the same number of buckets are joined by cell, and grouped over years, without a shuffle: everything
+    that belongs to a cell and month of any year already lies in the bucket of the same number. A bucket is written by
+    one task; choose their number so that a bucket of a variable fits a task.
+    """
+    folders = [c for c in ("period", "kind", "var") if c in rows.columns]
+    (rows.withColumn("level", F.coalesce("level", F.lit(SURFACE_LEVEL))).repartition(buckets, *CELL_KEYS)
+     .write.mode("overwrite").option("path", path).partitionBy(*folders).bucketBy(buckets, *CELL_KEYS).sortBy(*CELL_KEYS).saveAsTable(table))
+    return table
+
+
 def stored_tiles(spark: SparkSession, root: str) -> frozenset[tuple[str, str, str, int]]:
     """(period, kind, var, level) of the climatologies a tree holds, from the names of its folders."""
     found = Files(spark, root).partitions(f"{root}/climatology", ["period", "kind", "var", "level"])
