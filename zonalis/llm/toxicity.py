@@ -97,8 +97,7 @@ def terms_of(text: str | None) -> list[str]:
 # the index -------------------------------------------------------------------------------------
 @dataclass
 class Index:
-    """Examples in blocks, and per term: block numbers, greatest weights there, where each block's postings begin, and the
-    postings (examples, weights)."""
+    """Examples in blocks, and per term: block numbers, the greatest weight in each, and postings (examples, weights)."""
 
     keys: list[str]
     labels: np.ndarray
@@ -106,7 +105,6 @@ class Index:
     idf: np.ndarray
     blocks: list[np.ndarray]
     greatest: list[np.ndarray]
-    starts: list[np.ndarray]
     postings: list[tuple[np.ndarray, np.ndarray]]
     n_blocks: int
     #: isotonic fit: votes and their scores; the score of a text without terms
@@ -123,18 +121,16 @@ class Index:
         w = (1 + np.log(np.array(times, float))) * self.idf[list(terms)]
         return w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def _scored(self, terms: Sequence[int], w: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks with a common term, and their cosines."""
-        inside = np.zeros(self.n_blocks, bool)
-        inside[some] = True
-        total = np.zeros(len(self.keys))
-        for t, x in zip(terms, w):
-            starts, (examples, values) = self.starts[t], self.postings[t]
-            for at in np.flatnonzero(inside[self.blocks[t]]):
-                part = slice(starts[at], starts[at + 1])
-                total[examples[part]] += x * values[part]
-        ids = np.flatnonzero(total)
-        return ids, np.round(total[ids], DIGITS)
+    def _open(self) -> None:
+        """Lay the postings out by term and block: greatest weights, and weights by place. Bounded by the terms and the sample."""
+        self.most = np.zeros((len(self.idf), self.n_blocks))
+        self.placed = np.zeros((len(self.idf), self.n_blocks, BLOCK))
+        for t, (examples, values) in enumerate(self.postings):
+            self.most[t, self.blocks[t]] = self.greatest[t]
+            self.placed[t, examples // BLOCK, examples % BLOCK] = values
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("most", "placed")}
 
     def nearest(self, terms: Sequence[int], times: Sequence[int], skip: str | None = None, k: int = NEAREST,
                 seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +139,10 @@ class Index:
         Blocks come in descending order of their bound, more and more at a time; of those that can only tie with the k-th
         cosine, just the ones with a smaller id than the k-th example's.
         """
-        w = self.weights(terms, times)
-        bound = np.zeros(self.n_blocks)
-        for t, x in zip(terms, w):
-            bound[self.blocks[t]] += x * self.greatest[t]
+        if not hasattr(self, "placed"):
+            self._open()
+        w, terms = self.weights(terms, times), list(terms)
+        bound = w @ self.most[terms]
         live = np.flatnonzero(bound)
         order = live[np.argsort(-bound[live], kind="stable")]
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
@@ -162,7 +158,9 @@ class Index:
                     continue
             if seen is not None:
                 seen += some.tolist()
-            ids, close = self._scored(terms, w, some)
+            close = np.round(np.tensordot(w, self.placed[terms][:, some], 1), DIGITS)
+            row, place = np.nonzero(close if len(found) < k else close >= max(cosines[-1], 10.0 ** -DIGITS))
+            ids, close = some[row] * BLOCK + place, close[row, place]
             if skip is not None:
                 other = np.array([self.keys[i] != skip for i in ids], bool)
                 ids, close = ids[other], close[other]
@@ -184,7 +182,7 @@ class Index:
 def index_of(examples: list[tuple[str, int, list[int], list[int]]], idf: np.ndarray, share: np.ndarray) -> Index:
     """From (key, label, terms, times) of every example; ``share`` weighs the labels."""
     none = np.zeros(0)
-    weigh = Index([], none, share, idf, [], [], [], [], 0, none, none, 0.0).weights
+    weigh = Index([], none, share, idf, [], [], [], 0, none, none, 0.0).weights
     full = [(k, y, t, weigh(t, n)) for k, y, t, n in examples if t]
     # alike examples share a block: by strongest terms, then the label
     full.sort(key=lambda r: ([r[2][i] for i in np.argsort(-r[3], kind="stable")[:3]], r[1], r[0]))
@@ -196,7 +194,7 @@ def index_of(examples: list[tuple[str, int, list[int], list[int]]], idf: np.ndar
     begins = [np.flatnonzero(np.r_[True, i[1:] // BLOCK != i[:-1] // BLOCK]) if len(i) else np.zeros(0, np.int64) for i, _ in postings]
     index = Index([r[0] for r in full], np.array([r[1] for r in full], np.int64), share, idf, [i[b] // BLOCK for (i, _), b in zip(postings, begins)],
                   [np.maximum.reduceat(v, b) if len(b) else none for (_, v), b in zip(postings, begins)],
-                  [np.r_[b, len(i)] for (i, _), b in zip(postings, begins)], postings, -(-len(full) // BLOCK), none, none, 0.0)
+                  postings, -(-len(full) // BLOCK), none, none, 0.0)
     # each example judged by the others
     told = [(index.vote(*index.nearest(t, n, k)) if t else None, y) for k, y, t, n in examples]
     index.bare = rate([y for v, y in told if v is None], share)
