@@ -123,6 +123,11 @@ class GridSpec:
         """One row per level of the axis."""
         return spark.range(1).select(F.explode(self.level_array()).alias("level"))
 
+    def slices(self, spark: SparkSession, months: Iterable[int] = range(1, 13), levels: bool = True) -> DataFrame:
+        """One row per month, and per level of the axis if asked for."""
+        out = spark.range(1).select(F.explode(F.array(*[F.lit(int(m)) for m in months])).alias("month"))
+        return out.withColumn("level", F.explode(self.level_array())) if levels else out
+
     def fill(self, df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
         """``densify`` for slices of one panel, tile or year: no join and no second read.
 

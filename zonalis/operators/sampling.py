@@ -134,10 +134,12 @@ def _reach(own: str, n: int, periodic: bool) -> Column:
     return F.filter(F.array(*pairs), lambda x: x.isNotNull())
 
 
-def boxes(grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec, axes: Sequence[str]) -> DataFrame:
+def boxes(grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec, axes: Sequence[str],
+          slices: DataFrame | None = None) -> DataFrame:
     """Per slice and home position, the values at its corners, for every position of the axes.
 
-    Neighbours are brought together once per grid cell (the side the grid bounds), so a point later
+    ``slices`` lists the slices where they are known (an axis, a catalogue, a request); else they come from the grid,
+    which is then read twice. Neighbours are brought together once per grid cell (the side the grid bounds), so a point later
     needs one join and no aggregation. Two rows for one cell are an error. Columns: slice keys,
     ``_h_<axis>`` and ``<value>_<sides>`` with a digit per axis.
     """
@@ -153,14 +155,15 @@ def boxes(grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spe
         for v in values:
             aggs.append(only_one(F.when(here, F.col(v)), here).alias(f"{v}_{''.join(map(str, sides))}"))
     found = df.groupBy(*slice_keys, *homes).agg(*aggs)
-    every = df.select(*slice_keys).distinct() if slice_keys else df.limit(1).select()
+    every = slices.select(*slice_keys) if slices is not None else df.select(*slice_keys).distinct() if slice_keys else df.limit(1).select()
     for a in axes:
         every = every.withColumn(f"_h_{a}", F.explode(F.sequence(F.lit(0), F.lit(size[a] - 1))))
     return every.join(found, [*slice_keys, *homes], "left")
 
 
 def _sampled(points: DataFrame, grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec,
-             places: dict[str, tuple[Column, Column]], inside: Column, point_keys: Sequence[str], partial_mean: bool) -> DataFrame:
+             places: dict[str, tuple[Column, Column]], inside: Column, point_keys: Sequence[str], partial_mean: bool,
+             slices: DataFrame | None = None) -> DataFrame:
     """Join points to their home boxes; ``places`` has (home, fraction) per axis. A point outside, or
     without the corners it needs, stays with NULL in every slice (and once with NULL keys if the
     grid is empty)."""
@@ -168,7 +171,7 @@ def _sampled(points: DataFrame, grid: DataFrame, slice_keys: Sequence[str], valu
     at = points.withColumn("_in", inside)
     for a, (home, frac) in places.items():
         at = at.withColumn(f"_h_{a}", F.coalesce(F.when(F.col("_in"), home), F.lit(0)).cast("int")).withColumn(f"_f_{a}", frac)
-    hit = at.join(boxes(grid, slice_keys, values, spec, axes), [f"_h_{a}" for a in axes], "left")
+    hit = at.join(boxes(grid, slice_keys, values, spec, axes, slices), [f"_h_{a}" for a in axes], "left")
     out = []
     for v in values:
         total, present, n = F.lit(0.0), F.lit(0), 0
@@ -209,7 +212,7 @@ def _in_lat(spec: GridSpec) -> Column:
 
 
 def bilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
-             values: Sequence[str], spec: GridSpec) -> DataFrame:
+             values: Sequence[str], spec: GridSpec, slices: DataFrame | None = None) -> DataFrame:
     """Sample every slice of ``grid`` at every point: points x slices rows, by contract.
 
     With all four corners present the result is bilinear, otherwise the plain mean of the present
@@ -217,17 +220,17 @@ def bilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slic
     """
     places = {"lat_idx": _lat_place(spec), "lon_idx": _lon_place(spec)}
     inside = _in_lat(spec) & F.col("lon").isNotNull()
-    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon"])), grid, slice_keys, values, spec, places, inside, point_keys, True)
+    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon"])), grid, slice_keys, values, spec, places, inside, point_keys, True, slices)
 
 
 def arc_section(points: DataFrame, arc_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
-                values: Sequence[str], spec: GridSpec) -> DataFrame:
+                values: Sequence[str], spec: GridSpec, slices: DataFrame | None = None) -> DataFrame:
     """Vertical section along arcs with the along-path distance."""
-    return bilinear(path_distance(points, arc_keys), [*arc_keys, "s", "dist_km"], grid, slice_keys, values, spec)
+    return bilinear(path_distance(points, arc_keys), [*arc_keys, "s", "dist_km"], grid, slice_keys, values, spec, slices)
 
 
 def panel_sample(panel: DataFrame, probes: DataFrame, value: str, spec: GridSpec,
-                 slice_keys: Sequence[str] = ()) -> DataFrame:
+                 slice_keys: Sequence[str] = (), slices: DataFrame | None = None) -> DataFrame:
     """Sample a (level, lat) panel at probes (probe_id, lat, p): linear in latitude and ln p.
 
     Any missing corner gives NULL, and so does a probe outside the latitude range; beyond the
@@ -236,7 +239,7 @@ def panel_sample(panel: DataFrame, probes: DataFrame, value: str, spec: GridSpec
     places = {"_k": _p_place(spec), "lat_idx": _lat_place(spec)}
     on = spec.on_axis(panel).withColumn("_k", spec.level_pos())
     return _sampled(probes.select("probe_id", "lat", "p"), on, slice_keys, [value], spec, places,
-                    _in_lat(spec) & F.coalesce(F.col("p") > 0, F.lit(False)), ["probe_id"], False)
+                    _in_lat(spec) & F.coalesce(F.col("p") > 0, F.lit(False)), ["probe_id"], False, slices)
 
 
 def barb_sites(spark, lat_step: float = 8.0, pole_limit: float = 82.0) -> DataFrame:
@@ -283,10 +286,10 @@ def contour_crossings(df: DataFrame, meridian_keys: Sequence[str], value: str, i
 
 
 def trilinear(points: DataFrame, point_keys: Sequence[str], grid: DataFrame, slice_keys: Sequence[str],
-              values: Sequence[str], spec: GridSpec) -> DataFrame:
+              values: Sequence[str], spec: GridSpec, slices: DataFrame | None = None) -> DataFrame:
     """Sample at (lat, lon, p): bilinear on two levels and linear in ln p. Any missing corner and
     any point off the pressure or latitude range gives NULL."""
     places = {"_k": _p_place(spec), "lat_idx": _lat_place(spec), "lon_idx": _lon_place(spec)}
     on = spec.on_axis(grid).withColumn("_k", spec.level_pos())
     inside = _in_lat(spec) & F.col("lon").isNotNull() & F.coalesce(F.col("p").between(spec.levels[0], spec.levels[-1]), F.lit(False))
-    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon", "p"])), on, slice_keys, values, spec, places, inside, point_keys, False)
+    return _sampled(points.select(*dict.fromkeys([*point_keys, "lat", "lon", "p"])), on, slice_keys, values, spec, places, inside, point_keys, False, slices)

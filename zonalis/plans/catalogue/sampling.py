@@ -130,13 +130,18 @@ cor AS (SELECT {keys}, i0 AS lat_idx, j0 AS lon_idx, (1 - fi) * (1 - fj) AS wt F
   SELECT {keys}, i1, j1, fi * fj FROM cell)"""
 
 
+def months(spark):
+    """The slices of a climatology of surface fields: known, so that the grid is read once."""
+    return SPEC.slices(spark, levels=False)
+
+
 @query("V4_J11_bilinear_sample", "pid:l month:i sst:6", with_(SQL_SURFACE, SQL_BEYOND, sql_corners("pts", "pid")) + """,
 x AS (SELECT pid, month, CASE WHEN count(sst) = 4 THEN sum(wt * sst) ELSE avg(sst) END AS sst
   FROM cor JOIN sclim USING (lat_idx, lon_idx) GROUP BY ALL),
 result AS (SELECT p.pid, m.month, x.sst FROM pts p CROSS JOIN (SELECT DISTINCT month FROM sclim) m LEFT JOIN x ON x.pid = p.pid AND x.month = m.month)""")
 def bilinear(spark, sf):
     """Some points lie beyond the poles; they stay, with NULL."""
-    return sm.bilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC)
+    return sm.bilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC, months(spark))
 
 
 @query("V4_V15_bilinear_with_gaps", "pid:l month:i sst:6", with_(SQL_SURFACE, SQL_POINTS, sql_corners("pts", "pid")) + """,
@@ -147,7 +152,7 @@ result AS (SELECT p.pid, m.month, x.sst FROM pts p CROSS JOIN (SELECT DISTINCT m
 def bilinear_gaps(spark, sf):
     g = surface_clim(spark, sf, "sst").withColumn(
         "sst", F.when((F.col("lat_idx") + F.col("lon_idx")) % 3 != 0, F.col("sst")))
-    return sm.bilinear(tables.probe_points(spark, sf), ["pid"], g, ["month"], ["sst"], SPEC)
+    return sm.bilinear(tables.probe_points(spark, sf), ["pid"], g, ["month"], ["sst"], SPEC, months(spark))
 
 
 @query("V5_trilinear_wind", "pid:l month:i u:6 v:6", with_(SQL_CLIM, SQL_BEYOND, SQL_LEVELS, sql_corners("pts", "pid, p")) + """,
@@ -159,7 +164,7 @@ x AS (SELECT pid, month, CASE WHEN count(u) = 8 THEN sum(wt * u) END AS u, CASE
 result AS (SELECT p.pid, m.month, x.u, x.v FROM pts p CROSS JOIN (SELECT DISTINCT month FROM clim) m LEFT JOIN x ON x.pid = p.pid AND x.month = m.month)""")
 def trilinear(spark, sf):
     """Probes reach beyond the levels and the poles; those are NULL."""
-    return sm.trilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], clim(spark, sf, "u", "v"), ["month"], ["u", "v"], SPEC)
+    return sm.trilinear(_beyond(tables.probe_points(spark, sf)), ["pid"], clim(spark, sf, "u", "v"), ["month"], ["u", "v"], SPEC, months(spark))
 
 
 @query("V6_V14_panel_sample", "probe_id:l month:i u:6", with_(SQL_CLIM, SQL_LEVELS, SQL_BEYOND) + SQL_PANEL + """,
@@ -174,7 +179,7 @@ result AS (SELECT p.pid AS probe_id, m.month, x.u FROM pts p CROSS JOIN (SELECT
 def panel_sample(spark, sf):
     z = clim(spark, sf, "u").groupBy("month", "level", "lat_idx").agg(F.avg("u").alias("u"))
     probes = _beyond(tables.probe_points(spark, sf)).select(F.col("pid").alias("probe_id"), "lat", "p")
-    return sm.panel_sample(z, probes, "u", SPEC, ["month"])
+    return sm.panel_sample(z, probes, "u", SPEC, ["month"], months(spark))
 
 
 @query("V13_arc_section", "arc_id:l s:i month:i dist_km:4 sst:6",
@@ -186,7 +191,7 @@ result AS (SELECT dd.arc_id, dd.s, m.month, dist_km, sst FROM dd CROSS JOIN (SEL
   LEFT JOIN x ON x.arc_id = dd.arc_id AND x.s = dd.s AND x.month = m.month)""")
 def arc_section(spark, sf):
     pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 192)
-    return sm.arc_section(pts, ["arc_id"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC)
+    return sm.arc_section(pts, ["arc_id"], surface_clim(spark, sf, "sst"), ["month"], ["sst"], SPEC, months(spark))
 
 
 @query("V13_upper_air_section", "arc_id:l s:i month:i level:i dist_km:4 u:6",
@@ -198,7 +203,7 @@ result AS (SELECT dd.arc_id, dd.s, m.month, m.level, dist_km, u FROM dd CROSS JO
   LEFT JOIN x ON x.arc_id = dd.arc_id AND x.s = dd.s AND x.month = m.month AND x.level = m.level)""")
 def upper_section(spark, sf):
     pts = sm.great_circle(tables.arc_ends(spark, sf), ["arc_id"], 192)
-    return sm.arc_section(pts, ["arc_id"], clim(spark, sf, "u"), ["month", "level"], ["u"], SPEC)
+    return sm.arc_section(pts, ["arc_id"], clim(spark, sf, "u"), ["month", "level"], ["u"], SPEC, SPEC.slices(spark))
 
 
 @query("P20_barb_sites", "month:i level:i lat:6 lon:6 speed:6 pennants:i full:i half:i", with_(SQL_CLIM) + """,
@@ -212,7 +217,7 @@ k AS (SELECT *, sqrt(u*u + v*v) AS speed, sqrt(u*u + v*v) * 1.94384::DOUBLE AS k
 f AS (SELECT *, floor(kt / 50) AS p FROM k), g AS (SELECT *, floor((kt - p * 50) / 10) AS q FROM f),
 result AS (SELECT month, level, lat, lon, speed, p AS pennants, q AS "full", (kt - p * 50 - q * 10 >= 4.5)::INT AS half FROM g WHERE speed >= 1.5)""")
 def barb_sites(spark, sf):
-    at = sm.bilinear(sm.barb_sites(spark), ["lat", "lon"], clim(spark, sf, "u", "v"), ["month", "level"], ["u", "v"], SPEC)
+    at = sm.bilinear(sm.barb_sites(spark), ["lat", "lon"], clim(spark, sf, "u", "v"), ["month", "level"], ["u", "v"], SPEC, SPEC.slices(spark))
     at = at.withColumn("speed", fx.wind_speed(F.col("u"), F.col("v"))).withColumn("b", fx.wind_barb(F.col("speed")))
     return at.where("b IS NOT NULL").select("month", "level", "lat", "lon", "speed", "b.*")
 

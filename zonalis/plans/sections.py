@@ -28,7 +28,8 @@ def zonal_section(store: FieldStore, req: FieldRequest) -> DataFrame:
 
 def arc_section(store: FieldStore, req: FieldRequest, points: DataFrame, arc_keys: Sequence[str]) -> DataFrame:
     """(arc keys, s, dist_km, month, level, value): a request along arcs (points with s, lat, lon)."""
-    return sampling.arc_section(points, arc_keys, on_all_levels(store, req), ["month", "level"], ["value"], store.spec)
+    known = store.spec.slices(points.sparkSession, [req.month]) if req.month is not None else None
+    return sampling.arc_section(points, arc_keys, on_all_levels(store, req), ["month", "level"], ["value"], store.spec, known)
 
 
 def area_series(store: FieldStore, req: FieldRequest, box: series.Box, baseline: str | None = None) -> DataFrame:

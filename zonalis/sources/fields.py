@@ -257,9 +257,9 @@ def missing_inputs(expected: DataFrame, present: DataFrame, keys: Sequence[str])
 
 
 def with_attributes(long: DataFrame, config: DataFrame) -> DataFrame:
-    """Fill long_name and units from a variable list (one row per variable, hence broadcast)
-    where the data carry none."""
-    c = config.select("var", F.col("long_name").alias("_n"), F.col("units").alias("_u"))
+    """Fill long_name and units from a variable list where the data carry none. A variable listed twice gets its
+    least texts and multiplies no rows; the list, one row per variable then, is broadcast."""
+    c = config.groupBy("var").agg(F.min("long_name").alias("_n"), F.min("units").alias("_u"))
     return (long.join(F.broadcast(c), "var", "left")
             .withColumn("long_name", F.coalesce("long_name", "_n"))
             .withColumn("units", F.coalesce("units", "_u")).drop("_n", "_u"))
