@@ -27,7 +27,7 @@ def test_bounds_hold():
 
 
 @pytest.mark.parametrize("sizes", [(256, 128, 1024), (4, 2, 3)])
-def test_odd_rows(spark, monkeypatch, sizes):
+def test_odd_rows(spark, monkeypatch, tmp_path, sizes):
     for name, n in zip(("BLOCK", "SHARD", "CHUNK"), sizes):
         monkeypatch.setattr(tk, name, n)
     rng = np.random.default_rng(4)
@@ -35,8 +35,8 @@ def test_odd_rows(spark, monkeypatch, sizes):
     rows += [(200, [0.1] * 5), (220, None), (240, [None] * 5), (260, [float("nan")] * 5), (261, [float("inf")] * 5), (280, []), (301, [0.5, 0.5]), (None, [1.0] * 5)]
     rows += [(5, rows[5][1]), (300, [9e5] * 5), (320, [-9e5] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    df.write.parquet(path := f"/tmp/topk-{np.random.randint(1 << 60)}/embeddings.parquet")
-    got = [tuple(r) for r in tk.op4_topk(spark, path.rsplit("/", 1)[0]).select("query_id", "rank", "vec_id", "score").collect()]
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in tk.op4_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()]
     assert len(got) == len(set((q, r) for q, r, _, _ in got)) and set(got) == brute(rows)
 
 

@@ -4,8 +4,8 @@ Pivots are well-separated vectors of a bounded sample. A vector is described by
 pivots in order. Inverted lists are kept per combination of ``SHARED`` pivots, so two vectors meet in
 a list exactly if they share that many of their nearest pivots; the shared-pivot count of a pair also
 tells the one list that is to verify it (that of its smallest shared pivots). Verification is the cosine in double
-precision. Every vector is indexed; the index misses a pair only if it shares too few pivots, and
-``recall`` measures that against brute force.
+precision. Every vector is indexed; the index misses a pair only if it shares too few pivots; a test
+measures that against brute force.
 
 Equal vectors are collapsed first, with a map-side partial step, so copies never meet in lists. Lists
 that hold very many vectors are cut into blocks that meet in pairs. A task returns the number of links of each
