@@ -75,3 +75,12 @@ def test_derived_sigmas_are_made_once(spark, fields, tmp_path):
     before = times(root)
     assert jobs.build_derived_std(fields, root, 2000, 2001) == [] and times(root) == before
     assert len(jobs.build_derived_std(fields, root, 2000, 2001, force=True)) == 7 and times(root) != before
+
+
+def test_acquisition_plan(spark, fields):
+    plan = {r["var"]: (r["folder"], r["first"], r["last"], r["n_years"]) for r in jobs.acquisition_plan(fields, "1999-2002", ["u", "msl"]).collect()}
+    assert plan == {"u": ("raw_1999_2002", 1999, 2002, 2), "msl": ("raw_1999_2002", 1999, 2002, 4)}
+    whole = jobs.acquisition_plan(fields, "2000-2001", ["u"])
+    assert whole.collect() == [] and jobs.acquisition_plan(fields, "2000-2001", ["u"], force=True).count() == 1
+    default = jobs.acquisition_plan(fields, groups=["single_levels"]).collect()
+    assert {(r["folder"], r["first"], r["last"]) for r in default} == {("raw", 1991, 2020)} and "wspd" not in {r["var"] for r in default}

@@ -41,6 +41,15 @@ def missing_inputs(spark, sf):
     return store.missing_inputs(want, tables.upper_samples(spark, sf), ["year"])
 
 
+@query("B1_acquisition_plan", "grp:s var:s folder:s first:i last:i n_years:l", with_(SQL_SAMPLES, sql_long("t", "u")) + """,
+w AS (SELECT v AS var, y AS year FROM (VALUES ('t'), ('u'), ('v')) AS a(v), range(1993, 2004) AS b(y)),
+result AS (SELECT 'pressure_levels' AS grp, var, 'raw_1993_2003' AS folder, min(year) AS first, max(year) AS last, count(*) AS n_years
+  FROM w ANTI JOIN (SELECT DISTINCT var, year FROM lg) USING (var, year) GROUP BY var)""")
+def acquisition_plan(spark, sf):
+    """For a period of its own: two fields lack four years, one lacks all."""
+    return jobs.acquisition_plan(_long(spark, sf, "t", "u"), "1993-2003", ["t", "u", "v", "sst"], ["pressure_levels"])
+
+
 @query("S2_J3_axis_aliases", "year:i month:i level:i lat:i lon:i n:l", with_(SQL_SAMPLES) + """,
 result AS (SELECT year, month, level, lat_idx AS lat, lon_idx AS lon, count(*) AS n FROM samples GROUP BY ALL)""")
 def axis_aliases(spark, sf):

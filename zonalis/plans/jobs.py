@@ -36,6 +36,23 @@ def select_inputs(long: DataFrame, variables: Sequence[str] | None = None, group
     return stride(long, stride_for(resolution, native)) if resolution else long
 
 
+def acquisition_plan(present: DataFrame, period: str | None = None, variables: Sequence[str] | None = None,
+                     groups: Sequence[str] | None = None, force: bool = False) -> DataFrame:
+    """(grp, var, folder, first, last, n_years) of what has to be fetched for a period: the raw fields of the registry less the
+    years that are ``present`` (var, year), unless ``force``. A period of its own goes to its own folder, the default to ``raw``.
+    """
+    start, end = (int(y) for y in store.resolve_period(period).split("-"))
+    folder = "raw" if period is None else f"raw_{start}_{end}"
+    names = [(f.name, "pressure_levels" if f.kind == "pl" else "single_levels") for f in FIELDS.values() if not f.derived]
+    names = [(v, g) for v, g in names if (not variables or v in variables) and (not groups or g in groups)]
+    spark = present.sparkSession
+    want = (spark.createDataFrame(names, "var string, grp string")
+            .withColumn("year", F.explode(F.sequence(F.lit(start), F.lit(end)))))
+    todo = want if force else store.missing_inputs(want, present, ["var", "year"])
+    return (todo.groupBy("grp", "var").agg(F.min("year").alias("first"), F.max("year").alias("last"), F.count("*").alias("n_years"))
+            .withColumn("folder", F.lit(folder)))
+
+
 def climatology_rows(long: DataFrame, start: int, end: int, spread: bool = True) -> DataFrame:
     """(period, kind, var, grp, level, month, cell, value) rows of one period."""
     c = reduce.climatology(store.in_years(long, start, end), ["value"], LONG_CELL, spread)
