@@ -8,7 +8,9 @@ A rank is bracketed by a small summary of its group, then found exactly; the sou
    and gap remains of all the rest. Equal values are added up before they move. One window per group then gives the running weight.
 
 A third of all rows with one value, a tiny range (ranks by number) or an extreme outlier never bring a group into one task:
-what is ordered are the distinct values of a bracket. A rank that its bracket should miss stops the query rather than giving a wrong value.
+what is ordered are the distinct values of a bracket. Averages below this operator may differ in their last bits between the two
+reads, as partial sums arrive in any order; so a bracket ends at values clearly apart from the rank's own, and is open where there are
+none. A rank that its bracket should miss all the same stops the query rather than giving a wrong value.
 Groups with NULL keys are groups like others.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Equi-depth edges of a group, and the sketch's accuracy: its ranks are wrong by n / ACCURACY at most.
 EDGES, ACCURACY = 512, 10_000
+#: Values closer than this, relative to their size, may change places between two reads.
+APART = 1e-9
 #: Logarithmic bins per power of two.
 PER_OCTAVE = 4096
 #: Keys whose values come from fixed lists (calendar, axis of levels, registry), so that their combinations are few.
@@ -37,6 +41,14 @@ def log_bin(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * F.floor(part * PER_OCTAVE))
 
 
+def _clearly_below(value: Column) -> Column:
+    return value - F.abs(value) * APART
+
+
+def _clearly_above(value: Column) -> Column:
+    return value + F.abs(value) * APART
+
+
 def _by_number(rows: DataFrame, keys: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
     """(keys, _t): each target with values surely around it, from the edges of the group's sketch."""
     edges = F.percentile_approx("_v", [k / EDGES for k in range(EDGES + 1)], ACCURACY)
@@ -46,22 +58,26 @@ def _by_number(rows: DataFrame, keys: Sequence[str], wanted: Callable[[Column],
         return F.element_at("_edges", F.greatest(F.lit(0), F.least(F.lit(EDGES), place)).cast("int") + 1)
 
     def around(x: Column) -> Column:
-        return F.struct(x["name"].alias("name"), x["pos"].alias("pos"), edge(F.floor((x["pos"] - 1) / F.col("_n") * EDGES) - 1).alias("lo"),
-                        edge(F.ceil(x["pos"] / F.col("_n") * EDGES) + 1).alias("hi"))
+        lo, hi = edge(F.floor((x["pos"] - 1) / F.col("_n") * EDGES) - 1), edge(F.ceil(x["pos"] / F.col("_n") * EDGES) + 1)
+        below = F.array_max(F.filter("_edges", lambda e: e < _clearly_below(lo)))
+        above = F.array_min(F.filter("_edges", lambda e: e > _clearly_above(hi)))
+        return F.struct(x["name"].alias("name"), x["pos"].alias("pos"), F.coalesce(below, F.lit(float("-inf"))).alias("lo"),
+                        F.coalesce(above, F.lit(float("inf"))).alias("hi"))
 
     inside = F.filter(wanted(F.col("_n")), lambda x: (x["pos"] > 0) & (x["pos"] <= F.col("_n")))
     return s.select(*keys, F.transform(inside, around).alias("_t"))
 
 
 def _by_weight(rows: DataFrame, keys: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
-    """The same from sums in logarithmic bins; a bracket spans the neighbours of its bin."""
+    """The same from sums in logarithmic bins; a bracket spans the neighbours of its bin, and is open beyond the first and last."""
     bins = (rows.groupBy(*keys, log_bin(F.col("_v")).alias("_bin"))
             .agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))).alias("_bw"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     by_bin, whole = W.partitionBy(*keys).orderBy(F.col("_bin").asc_nulls_first()), W.partitionBy(*keys)
     cum = F.coalesce(F.sum("_bw").over(by_bin.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0.0))
     bins = (bins.withColumn("_cum", cum).withColumn("_total", F.coalesce(F.sum("_bw").over(whole), F.lit(0.0)))
             .withColumn("_first", F.coalesce(F.lag("_cum").over(by_bin), F.lit(0.0)))
-            .withColumn("_below", F.coalesce(F.lag("_lo").over(by_bin), "_lo")).withColumn("_above", F.coalesce(F.lead("_hi").over(by_bin), "_hi"))
+            .withColumn("_below", F.coalesce(_clearly_below(F.lag("_lo").over(by_bin)), F.lit(float("-inf"))))
+            .withColumn("_above", F.coalesce(_clearly_above(F.lead("_hi").over(by_bin)), F.lit(float("inf"))))
             .withColumn("_end", F.lead("_bin").over(by_bin).isNull()))
     here = F.filter(wanted(F.col("_total")), lambda x: (F.col("_bw") > 0) & (x["pos"] > F.col("_first")) & ((x["pos"] <= F.col("_cum")) | F.col("_end")))
     found = F.transform(here, lambda x: F.struct(x["name"].cast("string").alias("name"), x["pos"].alias("pos"), F.col("_below").alias("lo"), F.col("_above").alias("hi")))
