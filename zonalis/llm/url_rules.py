@@ -7,11 +7,12 @@ rule with the highest confidence; without any, the default.
 
 Every part of a URL makes a token: all host labels and suffixes, path segments and query keys. One count
 in Spark leaves out tokens below the minimum support, which no rule can have; tokens that hold in the same
-URLs are mined as one and told apart again in the rules. Each kept combination of up to three tokens holds
-in a share of ``MIN_SUPPORT`` of the labelled URLs, so the list that the tasks get grows with the tokens of a
-URL (at most C / MIN_SUPPORT rules per label if C is the mean number of such combinations in a URL) and
-not with the rows. FP-growth itself takes time exponential in the frequent tokens, unlike ones, that meet in
-one URL. Matching is one narrow pass.
+URLs are one class. A rule is a combination of classes and asks for any member of each, so the classes never
+multiply. Each kept combination, of any number of classes, holds
+in a share of ``MIN_SUPPORT`` of the labelled URLs, so the list that the tasks get grows with the classes of a
+URL (at most C / MIN_SUPPORT rules per label if C is the mean number of their combinations in a URL) and
+not with the rows. That is exponential in the frequent tokens, unlike ones, that meet in one URL, as FP-growth's
+own time is. Matching is one narrow pass.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path, no tokens and the
 default verdict; repeated rows are judged alike; without labels nothing is mined.
@@ -20,9 +21,9 @@ default verdict; repeated rows are judged alike; without labels nothing is mined
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from itertools import combinations, product
 from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
@@ -37,7 +38,6 @@ MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
 #: A rule's confidence over the share of its label at large.
 MIN_LIFT = 1.05
-MOST_TOKENS = 3
 DEFAULT = "allow"
 LABEL = "label="
 
@@ -59,7 +59,7 @@ def path_of(url: str) -> Column:
 
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits; null if none does."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -92,10 +92,12 @@ def tokens(url: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Mined:
+    """A rule: ``alike`` holds, for each token, all tokens of its class (none: the token alone)."""
     tokens: tuple[str, ...]
     verdict: str
     confidence: float
     support: float
+    alike: tuple[tuple[str, ...], ...] = ()
 
 
 def mine(labelled: DataFrame, url: str = "url", verdict: str = "verdict", least_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
@@ -113,12 +115,12 @@ def mine(labelled: DataFrame, url: str = "url", verdict: str = "verdict", least_
     baskets = stored(reduced.select(F.array_append("items", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items")), "url-baskets")
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=least_confidence).fit(baskets)
     label = F.col("consequent")[0]
-    rules = (model.associationRules.where(label.startswith(LABEL) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") >= MIN_LIFT)
+    rules = (model.associationRules.where(label.startswith(LABEL) & (F.col("lift") >= MIN_LIFT)
                                           & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
              .select("antecedent", label.alias("label"), "confidence", "support").collect())
     kept = pruned([Mined(tuple(sorted(r["antecedent"])), r["label"][len(LABEL):], r["confidence"], r["support"]) for r in rules])
-    members = {same[0]: same for same in alike}
-    return ordered([replace(r, tokens=tuple(sorted(pick))) for r in kept for pick in product(*[members[t] for t in r.tokens])])
+    members = {same[0]: tuple(same) for same in alike}
+    return [replace(r, alike=tuple(members[t] for t in r.tokens)) for r in kept]
 
 
 def classes(told: DataFrame, least: int) -> list[list[str]]:
@@ -137,38 +139,61 @@ def classes(told: DataFrame, least: int) -> list[list[str]]:
 def pruned(rules: list[Mined]) -> list[Mined]:
     """Without rules that have a simpler one for the same verdict and at least the same confidence."""
     sure = {(frozenset(r.tokens), r.verdict): r.confidence for r in rules}
-    return ordered([r for r in rules if not any(sure.get((frozenset(c), r.verdict), -1.0) >= r.confidence
-                                                for size in range(1, len(r.tokens)) for c in combinations(r.tokens, size))])
+    within: dict[tuple, float] = {}                        # best confidence of a combination and its parts
+
+    def best(part: frozenset, verdict: str) -> float:
+        key = part, verdict
+        if key not in within:
+            within[key] = max(sure.get(key, -1.0), simpler(part, verdict))
+        return within[key]
+
+    def simpler(whole: frozenset, verdict: str) -> float:
+        return max((best(whole - {t}, verdict) for t in whole if len(whole) > 1), default=-1.0)
+
+    return ordered([r for r in rules if simpler(frozenset(r.tokens), r.verdict) < r.confidence])
+
+
+def rank(r: Mined) -> tuple:
+    return -r.confidence, -r.support, r.tokens, r.verdict
 
 
 def ordered(rules: list[Mined]) -> list[Mined]:
-    return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.tokens, r.verdict))
+    return sorted(rules, key=rank)
 
 
 class Index:
-    """Rules by token. ``best`` is the first rule in order whose tokens are all there."""
+    """Rules by class of tokens. ``best`` is the first rule with a member of each of its classes in the URL, written with
+    the smallest of those members; of rules alike in confidence and support the first by these tokens."""
 
     def __init__(self, rules: Sequence[Mined]):
         self.rules = rules
-        self.by_token: dict[str, list[int]] = {}
+        self.holders: dict[str, list[int]] = {}              # first member of a class -> rules
+        self.class_of: dict[str, str] = {}
         for k, r in enumerate(rules):
-            for t in r.tokens:
-                self.by_token.setdefault(t, []).append(k)
+            for same in r.alike or [(t,) for t in r.tokens]:
+                self.holders.setdefault(same[0], []).append(k)
+                if same[0] not in self.class_of:
+                    self.class_of |= dict.fromkeys(same, same[0])
         self.known: dict[tuple[str, ...], Mined | None] = {}
 
     def best(self, url: str | None) -> Mined | None:
-        key = tuple(t for t in tokens(url) if t in self.by_token)
+        there: dict[str, str] = {}
+        for t in sorted(tokens(url)):
+            if t in self.class_of:
+                there.setdefault(self.class_of[t], t)
+        key = tuple(there.values())
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            hits: dict[int, int] = {}
-            for t in key:
-                for k in self.by_token.get(t, ()):
-                    hits[k] = hits.get(k, 0) + 1
-            found = min((k for k, n in hits.items() if n == len(self.rules[k].tokens)), default=None)
-            self.known[key] = None if found is None else self.rules[found]
+            self.known[key] = self._first(there)
         return self.known[key]
 
+    def _first(self, there: dict[str, str]) -> Mined | None:
+        hits = Counter(k for c in there for k in self.holders[c])
+        fit = [self.rules[k] for k, n in hits.items() if n == len(self.rules[k].tokens)]
+        named = [replace(r, tokens=tuple(sorted(there[self.class_of[t]] for t in r.tokens))) for r in fit]
+        return min(named, key=rank, default=None)
+
 
 def judge(urls: DataFrame, mined: Sequence[Mined], url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
           default: str = DEFAULT) -> DataFrame:
