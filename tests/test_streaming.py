@@ -6,6 +6,8 @@ from helpers import SMALL, grid
 from pyspark.sql import functions as F
 
 from zonalis.operators import vertical
+from zonalis.plans.catalogue.arriving import _landing
+from zonalis.plans.catalogue.base import monthly
 from zonalis.sources import fields as store
 from zonalis.streaming import arrivals, settled, versions
 
@@ -252,3 +254,34 @@ def test_pending_goes_to_zero(spark, tmp_path):
         assert run(0) == (0, 8)
     finally:
         spark.streams.removeListener(want)
+
+
+def test_state_tasks_are_those_asked_for(spark, tmp_path):
+    """The session's shuffle tasks grow with tables; a state of few slices need not. The session keeps its own number."""
+    src = str(tmp_path / "in")
+    for y in (2000, 2001):
+        deliver(spark, src, y, 1.0)
+    before = spark.conf.get(arrivals.SHUFFLE_TASKS)
+    stream = arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1)
+    arrivals.upsert_batches(arrivals.ready_slices(stream, (2000, 2001)), f"{tmp_path}/a", f"{tmp_path}/ck_a", arrivals.SLICE, state_tasks=2).awaitTermination()
+    assert {(r["level"], r["n_years"], r["ready"]) for r in arrivals.latest_rows(spark, f"{tmp_path}/a").collect()} == {(500, 2, True), (850, 2, True)}
+    arrivals.emit_ready(arrivals.arriving(spark, src, store.MONTHLY_SCHEMA, 1), (2000, 2001), f"{tmp_path}/b", f"{tmp_path}/ck_b", state_tasks=2).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 2
+    for ck in ("ck_a", "ck_b"):
+        assert {p.name for p in (tmp_path / ck / "state" / "0").iterdir() if p.name.isdigit()} == {"0", "1"}
+    assert spark.conf.get(arrivals.SHUFFLE_TASKS) == before
+
+
+def test_deliveries_have_few_files(spark, sf, tmp_path):
+    """A file is a batch: their number must not follow the number of tasks that made the rows."""
+    changes = {arrivals.SHUFFLE_TASKS: "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changes}
+    try:
+        for k, v in changes.items():
+            spark.conf.set(k, v)
+        folder = _landing(spark, sf, str(tmp_path))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) <= 2 + 3 + 1 + 2 + 4          # Spark adds a file without rows
+    assert spark.read.parquet(folder).where("year = 1998").count() == monthly(spark, sf, "t").where("year = 1998").count()

@@ -13,6 +13,8 @@ from zonalis.streaming import arrivals, settled
 
 KEYS = ["month", *CELL]
 LONG = ["year", "month", *CELL]
+#: Tasks that hold the state of slices (a month of a level), however many tasks the session's shuffles have.
+STATE_TASKS = 12
 
 
 @query("T2_progressive_climatology", "month:i level:i lat_idx:i lon_idx:i t:6", with_(SQL_SAMPLES) + """,
@@ -28,12 +30,18 @@ def progressive(spark, sf):
 
 
 def _landing(spark, sf, work):
-    """Monthly fields dropped into a folder in three deliveries, one of them repeated."""
+    """Monthly fields dropped into a folder in three deliveries, one of them repeated.
+
+    The samples are read once. A delivery has at most a file per year (and one without rows), whatever the number of tasks that made its rows: each
+    file is a batch of the streams below.
+    """
     rows = vertical.columns_to_fields(monthly(spark, sf, "t"), LONG, ["t"]).withColumn("grp", F.lit("pressure_levels"))
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in store.MONTHLY_SCHEMA])
+    rows.write.parquet(f"{work}/made")
+    rows = spark.read.schema(store.MONTHLY_SCHEMA).parquet(f"{work}/made")
     folder = f"{work}/landing"
     for years in ((1995, 1996), (1997, 1998, 1999), (1997,), (2000, 2001)):
-        rows.where(F.col("year").isin(*years)).write.mode("append").parquet(folder)
+        rows.where(F.col("year").isin(*years)).repartition("year").write.mode("append").parquet(folder)
     return folder
 
 
@@ -54,7 +62,7 @@ def readiness(spark, sf):
     """Slices of which all of 1999-2001 have arrived (2001 ends before December)."""
     work = work_folder(spark, "ready")
     stream = arrivals.arriving(spark, _landing(spark, sf, work), store.MONTHLY_SCHEMA, files_per_batch=1)
-    q = arrivals.upsert_batches(arrivals.ready_slices(stream, (1999, 2000, 2001)), f"{work}/out", f"{work}/ckpt", arrivals.SLICE)
+    q = arrivals.upsert_batches(arrivals.ready_slices(stream, (1999, 2000, 2001)), f"{work}/out", f"{work}/ckpt", arrivals.SLICE, state_tasks=STATE_TASKS)
     q.awaitTermination()
     return arrivals.latest_rows(spark, f"{work}/out")
 
@@ -66,7 +74,7 @@ def ready_slices(spark, sf):
     """Each slice once, when the last of its years arrives; its state is gone then."""
     work = work_folder(spark, "once")
     stream = arrivals.arriving(spark, _landing(spark, sf, work), store.MONTHLY_SCHEMA, files_per_batch=1)
-    arrivals.emit_ready(stream, (1999, 2000, 2001), f"{work}/out", f"{work}/ckpt").awaitTermination()
+    arrivals.emit_ready(stream, (1999, 2000, 2001), f"{work}/out", f"{work}/ckpt", state_tasks=STATE_TASKS).awaitTermination()
     return spark.read.schema("var string, level int, month int, n_years int").parquet(f"{work}/out")
 
 

@@ -8,6 +8,7 @@ half-way leaves the state before it whole, and its replay gives the same state a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -38,10 +39,28 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+@contextmanager
+def _settings(spark: SparkSession, changes: dict[str, str | int | None]) -> Iterator[None]:
+    """Settings of the queries started inside (a query keeps those it was started with); None leaves one as it is."""
+    changes = {k: str(v) for k, v in changes.items() if v is not None}
+    kept = {k: spark.conf.get(k, None) for k in changes}
+    try:
+        for k, v in changes.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in kept.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def upsert_batches(df: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], interval: str | None = None,
-                   parts: Sequence[str] = ()) -> StreamingQuery:
+                   parts: Sequence[str] = (), state_tasks: int | None = None) -> StreamingQuery:
     """Keep the newest row of every key. ``parts`` (some of the keys) partition the state: a batch reads and writes
-    the partitions it touches. Read the state with ``latest_rows``."""
+    the partitions it touches. ``state_tasks``: tasks of each shuffle of a batch, for a state of known size (a checkpoint
+    keeps its number); None: as the session has it. Read the state with ``latest_rows``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         tree = VersionedTree(batch.sparkSession, folder, parts)
         with tree.log.batch(checkpoint, batch_id) as new:
@@ -57,7 +76,8 @@ def upsert_batches(df: DataFrame, folder: str, checkpoint: str, keys: Sequence[s
                       .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
             tree.write(merged, new, touched)
 
-    return _start(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
+    with _settings(df.sparkSession, {SHUFFLE_TASKS: state_tasks}):
+        return _start(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
 
 
 def latest_rows(spark: SparkSession, folder: str, parts: Sequence[str] = ()) -> DataFrame:
@@ -219,11 +239,12 @@ class OnceComplete(StatefulProcessor):
         pass
 
 
-def emit_ready(stream: DataFrame, expected_years: Sequence[int], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+def emit_ready(stream: DataFrame, expected_years: Sequence[int], folder: str, checkpoint: str, interval: str | None = None,
+               state_tasks: int | None = None) -> StreamingQuery:
     """Append (var, level, month, n_years) of each slice to a folder, once, when all expected years have arrived.
 
     State holds incomplete slices only, each at most the list of its years. A surface field has level 0. A slice that is
-    delivered anew after it was complete counts its years from the start.
+    delivered anew after it was complete counts its years from the start. ``state_tasks`` as in ``upsert_batches``.
     """
     spark = stream.sparkSession
     ship_package(spark)
@@ -231,18 +252,13 @@ def emit_ready(stream: DataFrame, expected_years: Sequence[int], folder: str, ch
     rows = (stream.where(F.col("year").isin(*wanted)).withColumn("level", F.coalesce("level", F.lit(store.SURFACE_LEVEL)))
             .select(*SLICE, "year").groupBy(*SLICE)
             .transformWithState(OnceComplete(wanted), "var string, level int, month int, n_years int", "append", "none"))
-    kept = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:                                                    # a query keeps the settings it was started with
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with _settings(spark, {STATE_STORE: rocks, SHUFFLE_TASKS: state_tasks}):
         return _start(rows.writeStream.outputMode("append").format("parquet").option("path", folder), checkpoint, interval)
-    finally:
-        if kept is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, kept)
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+SHUFFLE_TASKS = "spark.sql.shuffle.partitions"
 TILE = ["var", "level", "year", "month"]
 
 
