@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonalis import constants as K
 from zonalis.functions import fields as fx
 from zonalis.operators import budgets, calculus, decompose, diagnostics, lorenz, ranks, reduce, sampling, vertical
+from zonalis.plans.catalogue.base import rounded
 from zonalis.sources import tiles
 
 ROW = ["month", "level", "lat_idx"]
@@ -335,3 +336,25 @@ def test_no_point_is_lost(spark):
     assert len(three) == 10 and abs(three[1, 1] - 30) < 1e-9 and three[5, 1] is None and three[2, 1] is None and three[3, 1] is not None
     none = sampling.bilinear(pts, ["pid"], g.limit(0), ["month"], ["u"], SMALL)
     assert none.count() == 5 and none.where("u IS NOT NULL OR month IS NOT NULL").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arcs_of_one_file_are_dealt_out(spark):
+    """Points are made by all tasks, and windows along an arc shuffle them no more."""
+    arcs = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 90.0) for k in range(40)], "arc_id long, lat1 double, lon1 double, lat2 double, lon2 double").coalesce(1)
+    for make in (sampling.great_circle, sampling.straight_arc):
+        pts = make(arcs, ["arc_id"], 9)
+        assert len([n for n in pts.rdd.glom().map(len).collect() if n]) > 1
+        assert _plan(sampling.path_distance(pts, ["arc_id"])).count("Exchange hashpartitioning") == 1
+        assert {(r["s"], round(r["lat"], 9), round(r["lon"], 9)) for r in pts.collect()} == {(s, 0.0, 10.0 * s) for s in range(10)}
+
+
+def test_rounding_is_that_of_round(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, -1e-9, 0.5e-6, 1.5e-6, -2.5e-6, 1.0000005, 2.675, 1e300, 123456789.1234565, 4.35, 0.1 + 0.2, 5e-324, 999999.9999995]
+    df = spark.createDataFrame([(x,) for x in odd + [k / 8e6 for k in range(-999, 999)]], "x double")
+    for digits in (2, 3, 6):
+        same = rounded("x", digits).cast("string").eqNullSafe((F.round("x", digits) + F.lit(0.0)).cast("string"))
+        assert df.where(~same).count() == 0

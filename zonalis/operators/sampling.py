@@ -25,22 +25,28 @@ def _seam(lon: Column) -> Column:
     return F.pmod(lon + 540, F.lit(360.0)) - 180
 
 
-def _steps(df: DataFrame, n: int) -> DataFrame:
-    return (df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n))))
+def _steps(arcs: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """n+1 rows per arc. Arcs are few and short, so that their file is one task: they are dealt out first. The number of
+    tasks is stated, else they would be put together again; windows along an arc need no further shuffle."""
+    tasks = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (arcs.repartition(tasks, *keys).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n))))
             .withColumn("_t", F.col("s") / F.lit(float(n))))
 
 
 def great_circle(arcs: DataFrame, keys: Sequence[str], n: int = DEFAULT_SEGMENTS) -> DataFrame:
     """n+1 points of the minor arc (lat1, lon1) -> (lat2, lon2) by spherical interpolation;
     coinciding ends give one point."""
-    a, b = unit_vector(F.col("lat1"), F.col("lon1")), unit_vector(F.col("lat2"), F.col("lon2"))
+    ends = {f"_{e}{k}": c for e in "12" for k, c in zip("xyz", unit_vector(F.col(f"lat{e}"), F.col(f"lon{e}")))}
+    df = arcs.withColumns(ends)                             # columns of their own: once per arc, not in every term of a point
+    a, b = ([F.col(f"_{e}{k}") for k in "xyz"] for e in "12")
     dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    df = arcs.withColumn("_th", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-    df = _steps(df, n).where((F.col("_th") >= 1e-6) | (F.col("s") == 0))
+    df = df.withColumn("_th", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    df = df.withColumn("_sin", F.nullif(F.sin("_th"), F.lit(0.0)))
+    df = _steps(df, keys, n).where((F.col("_th") >= 1e-6) | (F.col("s") == 0))
     th, t = F.col("_th"), F.col("_t")
-    sin_th = F.nullif(F.sin(th), F.lit(0.0))
-    wa, wb = F.sin((1 - t) * th) / sin_th, F.sin(t * th) / sin_th
-    x, y, z = (wa * p + wb * q for p, q in zip(a, b))
+    df = df.withColumns({"_wa": F.sin((1 - t) * th) / F.col("_sin"), "_wb": F.sin(t * th) / F.col("_sin")})
+    df = df.withColumns({f"_{k}": F.col("_wa") * p + F.col("_wb") * q for k, p, q in zip("xyz", a, b)})
+    x, y, z = (F.col(f"_{k}") for k in "xyz")
     same = th < 1e-6
     return df.select(*keys, "s", F.when(same, F.col("lat1")).otherwise(vector_lat(x, y, z)).alias("lat"),
                      F.when(same, F.col("lon1")).otherwise(vector_lon(x, z)).alias("lon"))
@@ -50,7 +56,7 @@ def straight_arc(arcs: DataFrame, keys: Sequence[str], n: int = DEFAULT_SEGMENTS
     """n+1 points straight in (lat, lon), taking the short way round."""
     d = _shortest(F.col("lon2") - F.col("lon1"))
     t = F.col("_t")
-    return _steps(arcs, n).select(
+    return _steps(arcs, keys, n).select(
         *keys, "s", (F.col("lat1") + t * (F.col("lat2") - F.col("lat1"))).alias("lat"),
         _seam(F.col("lon1") + t * d).alias("lon"))
 
@@ -72,7 +78,7 @@ def midpoints(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def three_point_arc(arcs: DataFrame, keys: Sequence[str], n: int = DEFAULT_SEGMENTS,
                     kind: str = "gc") -> DataFrame:
     """Quadratic curve through (lat1, lon1), (latm, lonm), (lat2, lon2) at t = 0, 1/2, 1."""
-    df = _steps(arcs, max(2, n))
+    df = _steps(arcs, keys, max(2, n))
     t = F.col("_t")
     u = 1 - t
     w0, w1, w2 = u * u, 2 * u * t, t * t
