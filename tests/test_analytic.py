@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalis import constants as K
 from zonalis.functions import fields as fx
+from zonalis.grid import GridSpec
 from zonalis.operators import budgets, calculus, decompose, diagnostics, lorenz, ranks, reduce, sampling, vertical
 from zonalis.plans.catalogue.base import rounded
 from zonalis.sources import tiles
@@ -352,6 +353,22 @@ def test_arcs_of_one_file_are_dealt_out(spark):
         assert {(r["s"], round(r["lat"], 9), round(r["lon"], 9)) for r in pts.collect()} == {(s, 0.0, 10.0 * s) for s in range(10)}
 
 
+def test_points_are_not_dealt_by_their_few_homes(spark):
+    """A small grid goes to the points, whatever its estimated size; a large one is left to the planner."""
+    pts = spark.range(50).selectExpr("id AS pid", "CAST(id AS DOUBLE) AS lat", "CAST(id AS DOUBLE) AS lon")
+    g = grid(spark, SMALL, lambda m, p, la, lo: la + 2 * abs(lo))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sampling.bilinear(pts, ["pid"], g, ["month", "level"], ["u"], SMALL, SMALL.slices(spark, [1]))
+        assert "BroadcastHashJoin [_h_lat_idx" in _plan(out)
+        assert not sampling._small(["month", "level"], ["u"], GridSpec(), ["lat_idx", "lon_idx"])
+        assert not sampling._small(["year", "month"], ["u"], SMALL, ["lat_idx", "lon_idx"])
+        assert all(abs(r["u"] - 3 * r["pid"]) < 1e-9 for r in out.collect()) and out.count() == 50 * len(SMALL.levels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_rounding_is_that_of_round(spark):
     odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, -1e-9, 0.5e-6, 1.5e-6, -2.5e-6, 1.0000005, 2.675, 1e300, 123456789.1234565, 4.35, 0.1 + 0.2, 5e-324, 999999.9999995]
     df = spark.createDataFrame([(x,) for x in odd + [k / 8e6 for k in range(-999, 999)]], "x double")

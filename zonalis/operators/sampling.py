@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import product
@@ -15,6 +16,8 @@ from zonalis.functions.fields import haversine_km, unit_vector, vector_lat, vect
 from zonalis.grid import GridSpec, only_one
 
 DEFAULT_SEGMENTS = 128
+#: Boxes of at most so many values are copied to the tasks that hold the points.
+SMALL_BOXES = 1 << 18
 
 
 def _shortest(dlon: Column) -> Column:
@@ -167,6 +170,15 @@ def boxes(grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spe
     return every.join(found, [*slice_keys, *homes], "left")
 
 
+def _small(slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec, axes: Sequence[str]) -> bool:
+    """Whether the axes alone keep boxes small. Then points, of which there is any number, need not be dealt anew by
+    their homes, which are few."""
+    if not {*slice_keys} <= {"month", "level"}:
+        return False
+    size = {"lat_idx": spec.nlat, "lon_idx": spec.nlon, "_k": len(spec.levels), "month": 12, "level": len(spec.levels)}
+    return len(values) * 2 ** len(axes) * math.prod(size[k] for k in (*axes, *slice_keys)) <= SMALL_BOXES
+
+
 def _sampled(points: DataFrame, grid: DataFrame, slice_keys: Sequence[str], values: Sequence[str], spec: GridSpec,
              places: dict[str, tuple[Column, Column]], inside: Column, point_keys: Sequence[str], partial_mean: bool,
              slices: DataFrame | None = None) -> DataFrame:
@@ -177,7 +189,8 @@ def _sampled(points: DataFrame, grid: DataFrame, slice_keys: Sequence[str], valu
     at = points.withColumn("_in", inside)
     for a, (home, frac) in places.items():
         at = at.withColumn(f"_h_{a}", F.coalesce(F.when(F.col("_in"), home), F.lit(0)).cast("int")).withColumn(f"_f_{a}", frac)
-    hit = at.join(boxes(grid, slice_keys, values, spec, axes, slices), [f"_h_{a}" for a in axes], "left")
+    near = boxes(grid, slice_keys, values, spec, axes, slices)
+    hit = at.join(F.broadcast(near) if _small(slice_keys, values, spec, axes) else near, [f"_h_{a}" for a in axes], "left")
     out = []
     for v in values:
         total, present, n = F.lit(0.0), F.lit(0), 0
