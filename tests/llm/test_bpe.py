@@ -56,6 +56,51 @@ def test_cache_eviction_changes_nothing(monkeypatch):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_marks_take_no_room_of_words():
+    e = bpe.Encoder(PATH)
+    merged = []
+    merge, e.merge = e.merge, lambda word: merged.append(word) or merge(word)
+    text = "x rhinoceros, rhinoceros. rhinoceros!! (rhinoceros) rhinoceros?\nrhinoceros rhinoceros's rhinoceros"
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert merged.count(b" rhinoceros") == 1
+    assert [p for p in e.after_blank if p.startswith("rhinoceros")] == ["rhinoceros", "rhinoceros's"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abéß文'" + bpe.MARKS + "\n1²"), min_size=1, max_size=8), max_size=6))
+def test_marks_behind_words(pieces):
+    text = " ".join(pieces)
+    assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 66, 16384, 16385, 40000])
+@pytest.mark.parametrize("part", ["a", "éa", "tion", "-=", "文"])
+def test_words_of_any_length(n, part):
+    text = (part * n).encode()[:n].decode(errors="ignore")
+    for t in (text, " " + text):
+        assert ids(t) == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_letters_and_marks_are_classes_of_the_pattern():
+    for k in range(0x110000):
+        c = chr(k)
+        if c.isalpha():
+            assert OWN.pretokens(f" {c}a") == [f" {c}a"]
+    assert OWN.pretokens(f" a{bpe.MARKS}") == [" a", bpe.MARKS]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, max(OWN.bytes_of)).filter(OWN.bytes_of.__contains__), max_size=40))
+def test_own_ids_are_decoded_as_any(some):
+    assert OWN.decode_own(np.array(some, "<i4")) == OWN.decode(some)
+
+
+def test_own_ids_are_decoded_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED", 3)
+    text = "Größe 文字 and tokens\n" * 5
+    assert OWN.decode_own(np.frombuffer(OWN.encode(text), "<i4")) == text
+
+
 def test_rows(spark):
     rows = [(1, "Hello  world", "a"), (1, "Hello  world", "a"), (None, None, None), (2, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

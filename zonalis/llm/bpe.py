@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import heapq
 import json
 from collections.abc import Callable
 from functools import lru_cache
-from struct import pack
+from heapq import heapify, heappop, heappush, heapreplace
+from operator import add, getitem
+from struct import Struct, pack
 
 import numpy as np
 import regex
@@ -30,6 +31,8 @@ from zonalis.llm.common import append, table
 
 #: Encoded pieces that one Python worker keeps in each of two generations.
 CACHE = 200_000
+#: Ids that are decoded at once.
+DECODED = 1 << 14
 
 # The pre-token pattern of byte-level BPE (white space as Unicode defines it).
 SPACE = r"\p{White_Space}"
@@ -51,6 +54,16 @@ BESIDE = [x for c in ASCII_SPACES for x in (f" {c}", f"{c} ")] + ["  "]
 BESIDE_WIDE = BESIDE + [x for c in OTHER_SPACES for x in (f" {c}", f"{c} ")]
 
 
+# Marks that stand behind words; all are one class of the pattern and none begins a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Bits of the place in an entry of the queue, in words of usual and of any length (numbers below 2^30 are
+# compared fastest); lists of usual words, made once.
+BITS, BITS_WIDE = 14, 40
+NOTHING: dict[int, int] = {}
+PLACES, BEFORE, AFTER = range(64), list(range(-1, 64)), list(range(1, 66))
+PACK = [Struct(f"<{n}I").pack for n in range(33)]
+
+
 def blanks(text: str) -> bool:
     """Whether some blank has white space or the end of the text beside it."""
     plain = text.isascii()
@@ -78,6 +91,23 @@ class Cache(dict):
         return got
 
 
+class Pieces(Cache):
+    """Encoded pieces after a blank. What seldom comes again, words with marks behind them and what goes over
+    the end of a line, is put together from its parts each time, so that the cache has room for words."""
+
+    def __init__(self, compute: Callable[[str], bytes], bare: Cache):
+        super().__init__(compute)
+        self.bare = bare
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if len(word) < len(piece) and word.isalpha():
+            return self[word] + self.bare[piece[len(word):]]
+        if "\n" in piece:
+            return self.compute(piece)
+        return super().__missing__(piece)
+
+
 class Encoder:
     """Vocabulary and merge ranks of one tokenizer file."""
 
@@ -91,67 +121,87 @@ class Encoder:
         as_byte = {c: b for b, c in letters.items()}
         ids = model["vocab"]
         self.first = [ids[letters[b]] for b in range(256)]
-        self.size = max(ids.values()) + 1
-        #: left id x size + right id -> rank; and by rank the two ids and that of the merged symbol
-        self.rank, self.parts = {}, []
+        size = max(ids.values()) + 1
+        #: by left id: right id -> rank (the last for no symbol at all); by rank the id of the merged symbol
+        self.ranks, self.merged = [NOTHING] * (size + 1), []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank[ids[left] * self.size + ids[right]] = rank
-            self.parts.append((ids[left], ids[right], ids[left + right]))
+            if self.ranks[ids[left]] is NOTHING:
+                self.ranks[ids[left]] = {}
+            self.ranks[ids[left]][ids[right]] = rank
+            self.merged.append(ids[left + right])
+        #: by two bytes: entry of the queue for place 0, without a merge one that comes after all others
+        self.pairs = [[self.ranks[x].get(y, len(self.merged)) << BITS for y in self.first] for x in self.first]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(as_byte[c] for c in s) for s, i in ids.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
+        #: the same as one array, with the length and the start of every id
+        strings = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.lengths = np.array(list(map(len, strings)))
+        self.starts, self.joined = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(strings), "u1")
         self.pretokens = regex.compile(PRETOKEN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         #: by the piece without the blank before it, and by pre-tokens as they are
-        self.after_blank, self.bare = Cache(lambda p: self.words(" " + p)), Cache(self.symbols)
+        self.bare = Cache(self.symbols)
+        self.after_blank = Pieces(lambda p: self.symbols(" " + p) if p.isalpha() else self.words(" " + p), self.bare)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: merges by rank, leftmost first among equals.
 
-        An entry of the queue is rank x 2^32 + place of the left symbol. It is stale if the symbols
-        that stand there are no longer those of its rank.
+        An entry of the queue is the rank, then the place of the left symbol in the last bits. It is stale
+        if ``newest`` has another one for that place. Behind the last symbol, and so before the first one
+        too, stands one that merges with nothing.
         """
         ids = list(map(self.first.__getitem__, word))
-        size, ranks, parts = self.size, self.rank.get, self.parts
-        queue, i, left = [], 0, ids[0]
-        for right in ids[1:]:
-            r = ranks(left * size + right)
-            if r is not None:
-                queue.append(r << 32 | i)
-            i += 1
-            left = right
-        if not queue:
-            return ids
-        n = i + 1
-        heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        pop, push = heapq.heappop, heapq.heappush
-        while queue:
-            entry = pop(queue)
-            i = entry & 0xFFFFFFFF
-            left, right, merged = parts[entry >> 32]
-            j = after[i]
-            if ids[i] != left or j == n or ids[j] != right:
+        n = len(ids)
+        entries = map(getitem, map(self.pairs.__getitem__, word), word[1:])
+        if n < len(AFTER):
+            bits, newest, before, after = BITS, list(map(add, entries, PLACES)), BEFORE[:n + 1], AFTER[:n + 1]
+        else:
+            bits, before, after = BITS_WIDE, list(range(-1, n)), list(range(1, n + 2))
+            newest = [(x << BITS_WIDE - BITS) + i for i, x in enumerate(entries)]
+        queue = newest.copy()
+        heapify(queue)
+        ids.append(-1)
+        newest += None, None
+        ranks, merges, mask = self.ranks, self.merged, (1 << bits) - 1
+        end = len(merges) << bits
+        while queue and (entry := queue[0]) < end:
+            i = entry & mask
+            if newest[i] != entry:
+                heappop(queue)
                 continue
-            ids[i], ids[j] = merged, -1
+            ids[i] = symbol = merges[entry >> bits]
+            j = after[i]
+            ids[j] = newest[j] = None
             k = after[i] = after[j]
-            if k != n:
-                before[k] = i
-                r = ranks(merged * size + ids[k])
-                if r is not None:
-                    push(queue, r << 32 | i)
+            before[k] = i
             h = before[i]
-            if h >= 0:
-                r = ranks(ids[h] * size + merged)
-                if r is not None:
-                    push(queue, r << 32 | h)
-        return [i for i in ids if i >= 0]
+            with_left, with_right = ranks[ids[h]].get(symbol), ranks[symbol].get(ids[k])
+            if with_right is None:
+                newest[i] = None
+                if with_left is None:
+                    newest[h] = None
+                    heappop(queue)
+                else:
+                    newest[h] = entry = with_left << bits | h
+                    heapreplace(queue, entry)
+            else:
+                newest[i] = entry = with_right << bits | i
+                heapreplace(queue, entry)
+                if with_left is None:
+                    newest[h] = None
+                else:
+                    newest[h] = entry = with_left << bits | h
+                    heappush(queue, entry)
+        del ids[-1]
+        return [i for i in ids if i is not None]
 
     def symbols(self, word: str) -> bytes:
         """Ids of one pre-token (little-endian, 32 bits each)."""
         ids = self.merge(word.encode())
-        return pack(f"<{len(ids)}I", *ids)
+        n = len(ids)
+        return PACK[n](*ids) if n < len(PACK) else pack(f"<{n}I", *ids)
 
     def words(self, text: str) -> bytes:
         """Ids of a text cut by the pattern alone."""
@@ -188,6 +238,17 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_own(self, ids: np.ndarray) -> str:
+        """As ``decode``, for ids that come from this encoder (others are not looked for)."""
+        out = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at:at + DECODED]
+            n = self.lengths[part]
+            places = np.repeat(self.starts[part] - np.cumsum(n) + n, n)
+            places += np.arange(len(places))
+            out.append(self.joined[places].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
@@ -223,7 +284,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", keep_ids: bo
             ids = np.frombuffer(raw, "<i4")
             cols[0].append(len(ids))
             cols[1].append(hashlib.sha256(raw).hexdigest())
-            cols[2].append(hashlib.sha256(e.decode(ids.tolist()).encode()).hexdigest())
+            cols[2].append(hashlib.sha256(e.decode_own(ids).encode()).hexdigest())
             cols[3].append(ids)
         return cols if keep_ids else cols[:3]
     return append(docs, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, work)
